@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, simhash, topk
+from tessera.llm import chat, mixing, pii, secrets, simhash, topk
 
-MODULES = (chat, mixing, simhash, topk)
+MODULES = (chat, mixing, pii, secrets, simhash, topk)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
