@@ -239,6 +239,11 @@ def joined(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def number(spans, kind: str):
+    """How many spans are of the kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     place = F.array(*map(F.lit, KINDS))
@@ -250,7 +255,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(number("base", k).alias(f"n_{k}") for k in KINDS),
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined(every).alias("spans"),
     )

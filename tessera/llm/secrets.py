@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import slices, strings, table
-from tessera.llm.pii import joined
+from tessera.llm.pii import joined, number
 
 KINDS = ("assign", "access", "hex")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -347,7 +347,7 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return found.select(
         "doc_id",
-        *(F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(number("base", k).alias(f"n_{k}") for k in KINDS),
         F.sha2(joined("base"), 256).alias("base_sha256"),
         joined(every).alias("spans"),
     )
