@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, mixing, pii, secrets, simhash, topk
+from tessera.llm import chat, decontaminate, mixing, pii, secrets, simhash, topk, toxicity
 
-MODULES = (chat, mixing, pii, secrets, simhash, topk)
+MODULES = (decontaminate, topk, pii, toxicity, secrets, chat, mixing, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
