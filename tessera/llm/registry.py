@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, mixing, pii, secrets, simhash, suffixes, topk, toxicity
+from tessera.llm import chat, decontaminate, html, mixing, pii, secrets, simhash, suffixes, topk, toxicity
 
-MODULES = (decontaminate, topk, suffixes, pii, toxicity, secrets, chat, mixing, simhash)
+MODULES = (decontaminate, topk, suffixes, pii, html, toxicity, secrets, chat, mixing, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
