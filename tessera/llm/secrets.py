@@ -339,6 +339,33 @@ def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {spans}, more {spans}")
 
 
+def mask_secrets(docs: DataFrame, model: Model | None = None, mask: str = "[secret]") -> DataFrame:
+    """The documents with each secret's span replaced by the mask, and n_chars, if there, the new length. Null text stays null."""
+    model = train(docs) if model is None else model
+
+    def masked(text: str) -> str:
+        out, last = [], 0
+        spans = sorted([(s, e) for s, e, _ in rules(text)] + predict(model, text))
+        for start, end in spans:
+            if start >= last:
+                out += [text[last:start], mask]
+            last = max(last, end)
+        return "".join(out) + text[last:] if spans else text
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts = [None if t is None else masked(t) for t in batch.column("text").to_pylist()]
+            names = batch.schema.names
+            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    out = docs.withColumn("text", F.col("text").cast("string"))
+    out = out.mapInArrow(run, out.schema)
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     place = F.array(*map(F.lit, (*KINDS, "crf")))

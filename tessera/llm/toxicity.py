@@ -185,6 +185,20 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, categories: tuple[str,
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in names) + ", toxic boolean")
 
 
+def reject_toxic(docs: DataFrame, chain: Chain | None) -> DataFrame:
+    """The documents that are not toxic, with all their columns; nothing is moved."""
+    if chain is None:
+        return docs
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            keep = [chain.probabilities(t)[-1] < chain.threshold for t in strings(batch.column("text"))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, schema)
+
+
 #: The labels' columns in the order of the chain: what is written badly is more often toxic.
 CATEGORIES = ("low_quality", "toxic")
 
