@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple = ()
+from tessera.plans import texts
+
+MODULES = (texts,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
