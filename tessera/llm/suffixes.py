@@ -98,7 +98,7 @@ class Pack:
         around = self.prints.of(self.low, self.high + length)
         # the same bytes at another place of their context are another context
         place = (self.at - self.low) * (length + 1) + (self.high - self.at + length)
-        self.context = (around ^ (place.astype(U) * U(0x9E3779B97F4A7C15))) >> U(17)
+        self.context = (around ^ (place.astype(U) * U(0x9E3779B97F4A7C15))) >> U(25)
 
     def distinct(self) -> Distinct:
         return Distinct(self.key, self.context, self.buckets)
@@ -130,11 +130,18 @@ class Distinct:
         self.bounds = np.searchsorted(bucket, np.arange(buckets + 1).astype(U))
 
     def rows(self, pack: int, key_bytes: int, second_bytes: int) -> pa.RecordBatch:
-        """One row a bucket: the last bytes of the keys, and of the second numbers below the mark for many."""
-        flagged = self.second | (self.many.astype(U) << U(8 * second_bytes - 1))
-        packed = np.concatenate([_low_bytes(self.key, key_bytes), _low_bytes(flagged, second_bytes)], axis=1)
+        """One row a bucket: the keys' highest bytes, as steps from one to the next, and the second numbers below the mark for many.
+
+        Each byte's values lie together, so that the steps' empty high bytes are compressed away.
+        """
+        keys = self.key >> U(64 - 8 * key_bytes)
+        steps = keys.copy()
+        steps[1:] -= keys[:-1]
         full = np.flatnonzero(np.diff(self.bounds))
-        blobs = [packed[self.bounds[b] : self.bounds[b + 1]].tobytes() for b in full]
+        steps[self.bounds[full]] = keys[self.bounds[full]]
+        flagged = self.second | (self.many.astype(U) << U(8 * second_bytes - 1))
+        packed = np.concatenate([_low_bytes(steps, key_bytes), _low_bytes(flagged, second_bytes)], axis=1)
+        blobs = [packed[self.bounds[b] : self.bounds[b + 1]].T.tobytes() for b in full]
         return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(np.full(len(full), pack)), pa.array(blobs, pa.binary())], ["bucket", "pack", "blob"])
 
     def answers(self, rows: list[dict] | None) -> np.ndarray:
@@ -236,9 +243,8 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
     by a bucket. Pairs that a buffer of documents holds many times are sent
     once, so that copies by the million do not meet in one task.
 
-    Samples have 40 bits and the bucket's, contexts 47 bits besides; these can
-    only add strings that are shown. Strings are told apart by 79 bits and the
-    bucket's. Null text counts as empty; rows with null or repeated doc_id are
+    Samples are told apart by 48 bits, which can only add strings that are
+    shown, contexts by 39 bits more, strings by 79 bits. Null text counts as empty; rows with null or repeated doc_id are
     documents like others; one row a document; an empty table gives no rows;
     further columns are ignored.
     """
@@ -258,7 +264,7 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
 
     def samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, pack in opened(batches):
-            yield pack.distinct().rows(row["pack"], 5, 6)
+            yield pack.distinct().rows(row["pack"], 6, 5)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, pack in opened(batches):
@@ -275,11 +281,12 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
 
             def answer() -> pa.RecordBatch:
                 width = key_bytes + second_bytes
-                all_ = np.frombuffer(b"".join(b for _, b in held), np.uint8).reshape(-1, width)
-                flagged = _numbers(all_[:, key_bytes:])
+                tables = [np.frombuffer(b, np.uint8).reshape(width, -1).T for _, b in held]
+                keys = np.concatenate([np.cumsum(_numbers(x[:, :key_bytes]), dtype=U) for x in tables])
+                flagged = np.concatenate([_numbers(x[:, key_bytes:]) for x in tables])
                 mark = U(8 * second_bytes - 1)
-                said = judge(_numbers(all_[:, :key_bytes]), flagged & ((U(1) << mark) - U(1)), (flagged >> mark) > 0)
-                ends = np.cumsum([len(b) // width for _, b in held])
+                said = judge(keys, flagged & ((U(1) << mark) - U(1)), (flagged >> mark) > 0)
+                ends = np.cumsum([len(x) for x in tables])
                 # a buffer hears only of buckets with something to say
                 parts = [(p, x) for (p, _), x in zip(held, np.split(said, ends[:-1]), strict=True) if x.any()]
                 return pa.RecordBatch.from_arrays(
@@ -302,7 +309,7 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
         return said.groupBy("pack").agg(F.collect_list(F.struct("bucket", "blob")).alias("said"))
 
     row = "bucket int, pack long, blob binary"
-    about_samples = judged(packs.mapInArrow(samples, row), 5, 6, judge_samples)
+    about_samples = judged(packs.mapInArrow(samples, row), 6, 5, judge_samples)
     with_samples = packs.join(about_samples, "pack", "left")
     about_strings = judged(with_samples.mapInArrow(strings, row), 8, 2, judge_strings)
     whole = with_samples.join(about_strings.withColumnRenamed("said", "said_of_strings"), "pack", "left")
