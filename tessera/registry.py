@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import contexts, evaluation, relational, retrieval, texts
+from tessera.plans import chunking, contexts, evaluation, queries as question_plans, relational, retrieval, texts
 
-MODULES = (texts, retrieval, contexts, evaluation, relational)
+MODULES = (texts, chunking, question_plans, retrieval, contexts, evaluation, relational)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
