@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import chunking, contexts, evaluation, extraction, queries as question_plans, relational, retrieval, texts
+from tessera.plans import chunking, contexts, evaluation, extraction, queries as question_plans, relational, retrieval, streams, texts
 
-MODULES = (texts, extraction, chunking, question_plans, retrieval, contexts, evaluation, relational)
+MODULES = (texts, extraction, chunking, question_plans, retrieval, contexts, evaluation, relational, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
