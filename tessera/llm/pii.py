@@ -109,6 +109,11 @@ DISGUISED = re.compile(
     rf"[A-Za-z0-9-]+(?:(?:\.|{DOT}|{PLAIN_DOT})[A-Za-z0-9-]+)+",
     re.IGNORECASE,
 )
+# Ends of addresses that are taken where '.' or '@' is a bare word of the language (fixed values)
+TOP_DOMAINS = frozenset(
+    "com org net edu gov mil int info biz name pro io ai app dev co me tv cc de fr es uk us ca au at ch it nl be pt br mx ar cl eu pl ru se no dk fi ie nz in jp cn kr za".split()
+)
+BRACKET = re.compile(r"[\[({<]")
 AT_OR_DOT = re.compile(rf"(?P<at>{AT}|\s+(?:at|arroba|arobase)\s+)|(?P<dot>{DOT}|{PLAIN_DOT})", re.IGNORECASE)
 
 
@@ -170,9 +175,11 @@ def at_and_dot(m: Mapped) -> None:
     edits = []
     for run in DISGUISED.finditer(m.text):
         found = list(AT_OR_DOT.finditer(m.text, *run.span()))
-        plain_at = [x for x in found if x["at"] and not re.search(r"[\[({<]", x[0])]
-        # "at" as a bare word counts only where a dot is disguised too
-        if plain_at and not any(x["dot"] for x in found):
+        bare = [x for x in found if not BRACKET.search(x[0])]
+        # "at" as a bare word counts only where a dot is disguised too, and bare words only before a known end
+        if any(x["at"] for x in bare) and not any(x["dot"] for x in found):
+            continue
+        if bare and re.split(r"[^A-Za-z0-9-]+", run[0])[-1].lower() not in TOP_DOMAINS:
             continue
         edits += [(x.start(), x.end(), "@" if x["at"] else ".") for x in found]
     m.rewrite(edits)

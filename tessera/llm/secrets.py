@@ -267,7 +267,7 @@ def disguise(text: str, spans: list[tuple[int, int, str]]) -> str:
     return text
 
 
-#: At most about so many documents are read to fit the model, picked by a hash of their text; as labels they get what the rules find.
+#: About so many documents are read to fit the model, twice as many at most but for chance, picked by a hash; as labels they get what the rules find.
 TRAINING_DOCS = 20_000
 
 
@@ -278,7 +278,9 @@ def train(docs: DataFrame, most: int = TRAINING_DOCS, empty: int = 4000) -> Mode
     """
     n = docs.count()
     every = max(1, n // most)
-    sample = docs.select(F.col("text").cast("string")).filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).limit(2 * most)
+    # the hash takes doc_id too, so that a text of very many copies is not in the sample as a whole
+    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0
+    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(picked).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
