@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.functions.let import once
+
 Stage = Callable[[Column], Column]
 
 # Characters that are written out or made plain (fixed values)
@@ -103,14 +105,22 @@ def headers_and_footers(text: Column) -> Column:
     Lines are counted by sorting them: a line is one of `k` equal ones if the
     line k - 1 places after its first place in the sorted array is equal.
     """
-    lines = _lines(text)
-    trimmed = F.transform(lines, F.trim)
-    needed = F.greatest(F.lit(3), F.ceil(F.size(lines) * 0.25)).cast("int")
-    ordered = F.array_sort(trimmed)
-    ahead = F.slice(ordered, needed, F.greatest(F.size(lines) - needed + 1, F.lit(0)))
-    often = F.array_distinct(F.filter(F.zip_with(F.slice(ordered, 1, F.size(ahead)), ahead, lambda a, b: F.when(a == b, a)), lambda x: x.isNotNull() & (F.length(x) > 3) & (F.length(x) < 120)))
-    kept = F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x))), "\n")
-    return F.when((F.size(lines) >= 10) & (F.size(often) > 0), kept).otherwise(text)
+
+    def judged(lines: Column) -> Column:
+        needed = F.greatest(F.lit(3), F.ceil(F.size(lines) * 0.25)).cast("int")
+
+        def frequent(ordered: Column) -> Column:
+            ahead = F.slice(ordered, needed, F.greatest(F.size(ordered) - needed + 1, F.lit(0)))
+            pairs = F.zip_with(F.slice(ordered, 1, F.greatest(F.size(ordered) - needed + 1, F.lit(0))), ahead, lambda a, b: F.when(a == b, a))
+            return F.array_distinct(F.filter(pairs, lambda x: x.isNotNull() & (F.length(x) > 3) & (F.length(x) < 120)))
+
+        def without(often: Column) -> Column:
+            kept = F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x))), "\n")
+            return F.when(F.size(often) > 0, kept).otherwise(F.array_join(lines, "\n"))
+
+        return F.when(F.size(lines) < 10, F.array_join(lines, "\n")).otherwise(once(once(F.array_sort(F.transform(lines, F.trim)), frequent), without))
+
+    return once(_lines(text), judged)
 
 
 def empty_lines(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.let import once
+
 # Words that overlap metrics ignore (fixed values)
 METRIC_STOPWORDS = (
     "a an the and or but in on at to for of with by from that this is are was were be been have has had do does did will would could "
@@ -22,9 +24,18 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
 
 
+#: Two ASCII letters or digits or more that no other letter, digit or underscore touches.
+BM25_TOKEN = r"(?<![\p{L}\p{N}_])[a-z0-9]{2,}+(?![\p{L}\p{N}_])"
+
+
 def bm25_tokens(text: Column) -> Column:
     """ASCII words of two characters or more; no stop words, no stemming."""
-    return F.filter(words(text), lambda x: x.rlike("^[a-z0-9]{2,}$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(BM25_TOKEN), 0)
+
+
+def bm25_length(text: Column) -> Column:
+    """How many tokens a text has, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(BM25_TOKEN))
 
 
 def _content_words(text: Column, stopwords: list[str]) -> Column:
@@ -89,20 +100,27 @@ PROFILES = {
 
 def language(text: Column, least: int = 20) -> Column:
     """(language, share): the language most of whose frequent words occur, and its share of all hits; en and 0.5 for short texts."""
-    found = words(text)
-    hits = F.array(
-        *(
-            F.struct(F.size(_of(found, ws)).alias("n"), F.lit(-i).alias("place"), F.lit(code).alias("code"))
-            for i, (code, ws) in enumerate(PROFILES.items())
+
+    def hits(found: Column) -> Column:
+        return F.array(
+            *(
+                F.struct(F.size(_of(found, ws)).alias("n"), F.lit(-i).alias("place"), F.lit(code).alias("code"))
+                for i, (code, ws) in enumerate(PROFILES.items())
+            )
         )
-    )
-    best = F.array_max(hits)
-    total = F.aggregate(hits, F.lit(0), lambda s, h: s + h["n"])
-    known = (F.length(text) >= least) & (total > 0)
-    return F.struct(
-        F.when(known, best["code"]).otherwise("en").alias("language"),
-        F.when(known, F.round(best["n"] / total, 4)).otherwise(F.lit(0.5)).alias("share"),
-    )
+
+    def judged(counts: Column) -> Column:
+        best = F.array_max(counts)
+        total = F.aggregate(counts, F.lit(0), lambda s, h: s + h["n"])
+        known = (F.length(text) >= least) & (total > 0)
+        return F.struct(
+            F.when(known, best["code"]).otherwise("en").alias("language"),
+            F.when(known, F.round(best["n"] / total, 4)).otherwise(F.lit(0.5)).alias("share"),
+        )
+
+    every = [w for ws in PROFILES.values() for w in ws]
+    # first what is in any profile, then whose it is
+    return once(once(_of(words(text), sorted(set(every))), hits), judged)
 
 
 def _of(found: Column, listed: list[str]) -> Column:

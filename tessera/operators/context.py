@@ -62,7 +62,8 @@ def diverse(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     A query's chunks are few by the retrieval's k; they are folded in one array.
     """
-    item = F.struct((-F.col("score")).alias("order"), "chunk_id", word_set(F.col("text")).alias("words"))
+    whole = F.struct(*rows.columns)
+    item = F.struct((-F.col("score")).alias("order"), "chunk_id", word_set(F.col("text")).alias("words"), whole.alias("whole"))
     held = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
 
     def alike(a: Column, b: Column) -> Column:
@@ -73,8 +74,7 @@ def diverse(rows: DataFrame, threshold: float = 0.85) -> DataFrame:
     taken = F.aggregate(
         "items", F.filter("items", lambda x: F.lit(False)), lambda acc, x: F.when(F.exists(acc, lambda y: alike(x, y)), acc).otherwise(F.array_append(acc, x))
     )
-    kept = held.select("query_id", F.explode(F.transform(taken, lambda x: x["chunk_id"])).alias("chunk_id"))
-    return rows.join(kept, ["query_id", "chunk_id"], "left_semi")
+    return held.select(F.explode(F.transform(taken, lambda x: x["whole"])).alias("row")).select("row.*")
 
 
 def header(number: Column, title: Column, page: Column) -> Column:

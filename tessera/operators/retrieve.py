@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.tokens import bm25_tokens
+from tessera.functions.tokens import bm25_length, bm25_tokens
 
 #: A side is broadcast up to so many rows; beyond, joins shuffle both sides.
 MOST_BROADCAST = 200_000
@@ -33,7 +33,7 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n, total and average length, chunks without tokens included."""
-    lengths = chunks.select(F.size(bm25_tokens(F.col("text"))).alias("dl"))
+    lengths = chunks.select(bm25_length(F.col("text")).alias("dl"))
     return lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).withColumn("avgdl", F.col("total") / F.greatest(F.col("n"), F.lit(1)))
 
 
@@ -52,18 +52,20 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column
     corpus, `keep` filters chunks after scoring and before the cut.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("term"))
+    # all that comes of the questions has a row for each of their terms at most
+    sized = F.broadcast if terms.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
     wanted = terms.select("term").distinct()
     tokens = chunks.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens"))
     index = (
         tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(small(wanted), "term", "left_semi")
+        .join(sized(wanted), "term", "left_semi")
         .groupBy("chunk_id", "dl", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     stats = corpus_stats(chunks)
     weighted = terms.join(document_frequency(index), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1)))
-    hits = index.join(weighted, "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
+    hits = index.join(sized(weighted), "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
     if keep is not None:
         scored = scored.join(chunks.filter(keep).select("chunk_id"), "chunk_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import evaluate as E
 from tessera.operators import retrieve as R
 from tessera.plans import texts
-from tessera.plans.common import chunks, questions, table
+from tessera.plans.common import chunks, questions, saved, table
 from tessera.plans.retrieval import BM25, UNITS, _asked, _top, _vectors
 from tessera.functions import tokens
 
@@ -60,7 +60,7 @@ def answer_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as answers, grounded in the other documents that BM25 finds for their question."""
     rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
-    hits = R.bm25(rows, asked, 4).join(rows.select("chunk_id", "text"), "chunk_id")
+    hits = saved(R.bm25(rows, asked, 4).join(rows.select("chunk_id", "text"), "chunk_id"))
     answers = hits.filter("rank = 1").select(F.col("query_id").alias("answer_id"), F.col("text").alias("answer"))
     sources = hits.filter("rank > 1").select(F.col("query_id").alias("answer_id"), "chunk_id", "text")
     return E.grounding(answers, sources)
