@@ -15,6 +15,8 @@ from tessera.llm.common import cut, slices, strings, table
 
 #: Labelled documents that the models are fitted on, at most: those of the least hash of doc_id.
 MOST_LABELLED = 8000
+#: With fewer, or without both toxic and other ones among them, nothing is fitted and nothing is rejected.
+LEAST_LABELLED = 20
 #: Features that the models use, at most, and documents of the sample that a feature must occur in.
 MOST_FEATURES, LEAST_DOCS = 4096, 6
 #: Chi-square that a feature must have for some category: about one in ten thousand of the others has it by chance.
@@ -114,7 +116,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most: int = MOST_LABELLED) -> Chain | None:
-    """A chain for 0/1 columns of `labels`, in their order; the last decides. None if no labelled document is there.
+    """A chain for 0/1 columns of `labels`, in their order; the last decides. None if too few labelled documents are there.
 
     Fitted on `most` labelled documents at most. Features are the MOST_FEATURES
     that tell any category best (chi-square) among those in LEAST_DOCS or more.
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most:
     names = ["feature", "n", *(f"n_{c}" for c in categories)]
     totals = sample.agg(F.count(F.lit(1)), *(F.sum(c) for c in categories)).first()
     m = totals[0]
-    if not m:
+    if m < LEAST_LABELLED or not 0 < (totals[len(categories)] or 0) < m:
         return None
     counted = sample.mapInArrow(count, "feature binary, " + ", ".join(f"{c} long" for c in names[1:])).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
