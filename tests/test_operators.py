@@ -208,3 +208,15 @@ def test_chunkers(spark, data, name, model):
     for r in chunk.chunk_documents(docs, name).orderBy("doc_id", "chunk_index").collect():
         got.setdefault(r["doc_id"], []).append(r["content"])
     assert got == {r["doc_id"]: kept(model(r["text"])) for r in docs.collect() if kept(model(r["text"]))}
+
+
+def test_diversity_against_a_plain_model(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select((F.col("doc_id") % 7).alias("query_id"), F.col("doc_id").alias("chunk_id"), (F.col("n_chars") % 10).cast("double").alias("score"), "text")
+    taken = {}
+    for r in sorted(docs.collect(), key=lambda r: (-r["score"], r["chunk_id"])):
+        words = set(re.findall(r"\w+", r["text"].lower()))
+        own = taken.setdefault(r["query_id"], [])
+        if not any(words and w and len(words & w) / len(words | w) >= 0.6 for _, w in own):
+            own.append((r["chunk_id"], words))
+    got = {(r["query_id"], r["chunk_id"]) for r in C.diverse(docs, 0.6).collect()}
+    assert got == {(q, c) for q, own in taken.items() for c, _ in own}
