@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,12 +80,52 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Up to so many numbers of query vectors go to every task as one matrix.
+MOST_NUMBERS = 4_000_000
+
+
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine of each query (query_id, vector) with all vectors (chunk_id, vector).
 
-    Lengths are taken once a row; the queries are a stated set that meets all
-    vectors, a small one as a broadcast table.
+    Queries are a stated set that meets all vectors. A small set, by its
+    counted numbers, is one matrix in every task: each batch of vectors is
+    multiplied at once and sends its k best of each query only. A larger set
+    is joined.
     """
+    n, size = queries.agg(F.count("query_id"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if not n or n * size > MOST_NUMBERS:
+        return _dense_joined(vectors, queries, k)
+    rows = queries.select("query_id", "vector").filter("query_id IS NOT NULL AND vector IS NOT NULL").collect()
+    ids = np.array([r["query_id"] for r in rows])
+    matrix = _unit_rows([r["vector"] for r in rows])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if frame.empty:
+                continue
+            frame = frame.sort_values("chunk_id", kind="stable")
+            held = np.asarray(frame["chunk_id"])
+            scores = np.round(_unit_rows(frame["vector"]) @ matrix.T, 6)
+            out = []
+            for column, query in zip(scores.T, ids, strict=True):
+                least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
+                above = np.flatnonzero(column > least)
+                # of equal ones those of the smaller id, which come first
+                best = np.concatenate([above, np.flatnonzero(column == least)[: k - len(above)]])
+                out.append(pd.DataFrame({"query_id": query, "chunk_id": held[best], "score": column[best] + 0.0}))
+            yield pd.concat(out)
+
+    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
+    found = vectors.select("chunk_id", "vector").filter("vector IS NOT NULL").mapInPandas(run, "query_id {}, chunk_id {}, score double".format(*kinds))
+    return top(found, k)
+
+
+def _unit_rows(vectors) -> np.ndarray:
+    out = np.array([np.asarray(v, float) for v in vectors])
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def _dense_joined(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
     asked = small(queries.select("query_id", unit(F.col("vector")).alias("q")))
     units = vectors.select("chunk_id", unit(F.col("vector")).alias("v"))

@@ -229,3 +229,13 @@ def test_approximate_search_finds_nine_of_ten(spark):
     sf = "/root/testdata/sf0.01"
     vectors, asked = _vectors(spark, sf), _asked(spark, sf)
     assert ann.recall(ann.search(vectors, asked), R.dense(vectors, asked)).first()["recall"] >= 0.9
+
+
+def test_dense_ways_agree(spark, monkeypatch):
+    from tessera.plans.retrieval import _asked, _vectors
+
+    vectors, asked = _vectors(spark, "/root/testdata/sf0.001"), _asked(spark, "/root/testdata/sf0.001")
+    copies = vectors.unionByName(vectors.withColumn("chunk_id", F.col("chunk_id") + 10_000))
+    one = sorted(map(tuple, R.dense(copies, asked, 7).select("query_id", "rank", "chunk_id", "score").collect()))
+    monkeypatch.setattr(R, "MOST_NUMBERS", 0)
+    assert one == sorted(map(tuple, R.dense(copies, asked, 7).select("query_id", "rank", "chunk_id", "score").collect()))
