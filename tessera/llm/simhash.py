@@ -6,49 +6,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import shingles
 from tessera.llm.common import cut, slices, table, utf8
 from tessera.llm.components import connected_components, union
+from tessera.llm.shingles import shingle_digests
 
 #: Eight counters in a 64-bit number, one for each bit of a byte, the highest bit first.
 SPREAD = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype="<u8")
 
 
-#: Bins of a sketch. The share of equal bins estimates the shingles' Jaccard similarity, within 0.035 or so.
-BINS = 128
-
-
-def fingerprints_of(texts: list[bytes], words: int = 3, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit fingerprints, where a bit is set if over half of the shingles' XXH64 have it, and sketches.
-
-    A sketch has for each bin a byte of the least hash that falls there, or 0.
-    """
-    digest = xxhash.xxh64_digest
+def fingerprints_of(texts: list[bytes], words: int = 3, seed: int = 42) -> np.ndarray:
+    """64-bit fingerprints, where a bit is set if over half of the shingles' XXH64 have it."""
     parts, counts = [], []
     for text in texts:
-        found = text.lower().split()
-        if len(found) >= words:
-            shingles = map(b" ".join, zip(*(found[i:] for i in range(words)), strict=False))
-            hashes = [digest(x, seed) for x in shingles]
-        else:
-            hashes = [digest(b" ".join(found), seed)] if found else []
+        hashes = shingle_digests(text, words, seed)
         parts += hashes
         counts.append(len(hashes))
     out = np.zeros(len(texts), np.uint64)
-    sketches = np.zeros((len(texts), BINS), np.uint8)
     if not parts:
-        return out, sketches
+        return out
     n = np.array(counts)
-    joined = b"".join(parts)
-    hashes = np.frombuffer(joined, "<u8")
-    place = np.repeat(np.arange(len(n)), n) * BINS + (hashes % BINS).astype(np.int64)
-    least = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, place, hashes >> np.uint64(7))
-    sketches = np.where(least == least.dtype.type(np.iinfo(np.uint64).max), 0, 1 + least % 255).astype(np.uint8).reshape(-1, BINS)
-    spread = SPREAD[np.frombuffer(joined, np.uint8).reshape(-1, 8)]
+    spread = SPREAD[np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 8)]
     # a counter holds 255 at most: add up pieces of as many shingles, then the pieces of each text
     full = np.flatnonzero(n)
     ends = np.cumsum(n)
@@ -58,37 +39,26 @@ def fingerprints_of(texts: list[bytes], words: int = 3, seed: int = 42) -> tuple
     totals = np.add.reduceat(sums.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
     bits = np.packbits(2 * totals > n[full, None], axis=1)
     out[full] = bits.view(">u8").ravel().astype(np.uint64)
-    return out, sketches
+    return out
 
 
-def fingerprints(docs: DataFrame, words: int = 3, sketched: bool = False) -> DataFrame:
-    """(doc_id, fp, and sketch if asked for) of every whole text."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
-            prints, sketches = fingerprints_of(utf8(batch.column("text")), words)
-            more = [pa.array([x.tobytes() for x in sketches], pa.binary())] if sketched else []
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64)), *more], ["doc_id", "fp", "sketch"][: 2 + sketched])
-
-    schema = "doc_id long, fp long" + ", sketch binary" * sketched
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+            prints = fingerprints_of(utf8(batch.column("text")), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
 
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
-def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Estimated similarity of the rows of two arrays of sketches; 0 where both are empty."""
-    there = (a > 0) | (b > 0)
-    return ((a == b) & there).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
 
-
-def tile_links(
-    a: np.ndarray, b: np.ndarray, radius: int, sketches: tuple[np.ndarray, np.ndarray] | None = None, similarity: float = 0.0, sure: int = 3, block: int = 1 << 21
-) -> tuple[np.ndarray, np.ndarray]:
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, block: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
     """A forest that spans the same components as all links between a and b, or within a if they are one.
 
     Both are sorted by the population count of their highest 16 bits; of each
     run of equal counts only the part of b is compared whose counts can be
-    within the radius. With sketches, a link of more than `sure` bits also
-    needs the similarity.
+    within the radius.
     """
     nodes = np.unique(np.concatenate([a, b]))
     labels = np.arange(len(nodes))
@@ -104,23 +74,13 @@ def tile_links(
         for i in range(0, len(rows), step):
             at = rows[i : i + step]
             apart = np.bitwise_count(a[at, None] ^ b[None, low:high])
-            u, v = np.nonzero(apart <= (radius if sketches is None else min(sure, radius)))
-            union(labels, at_a[at[u]], at_b[low + v])
-            if sketches is None:
-                continue
             u, v = np.nonzero(apart <= radius)
-            for k in range(0, len(u), 50_000):
-                x, y = at[u[k : k + 50_000]], low + v[k : k + 50_000]
-                # what is connected by now needs no further link
-                open_ = labels[at_a[x]] != labels[at_b[y]]
-                x, y = x[open_], y[open_]
-                near = alike(sketches[0][x], sketches[1][y]) >= similarity
-                union(labels, at_a[x[near]], at_b[y[near]])
+            union(labels, at_a[at[u]], at_b[low + v])
     rest = np.flatnonzero(labels != np.arange(len(nodes)))
     return nodes[labels[rest]], nodes[rest]
 
 
-def links(prints: DataFrame, radius: int = 3, similarity: float | None = None, tile: int = 16_384) -> DataFrame:
+def links(prints: DataFrame, radius: int = 3, tile: int = 16_384) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints within `radius` bits, maybe over others.
 
     Tiles hold fingerprints of like population counts (high and low half),
@@ -128,78 +88,67 @@ def links(prints: DataFrame, radius: int = 3, similarity: float | None = None, t
     the radius in sum are skipped; all other pairs are compared exactly.
     """
     spark = prints.sparkSession
-    sketched = similarity is not None
     # counts are taken together so that a tile meets few others
     wide = max(1, radius // 2)
     half = lambda shift: F.floor(F.bit_count(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(0xFFFFFFFF))) / wide).cast("int")
-    one = prints.groupBy("fp").agg(F.min("sketch").alias("sketch")) if sketched else prints.select("fp").distinct()
-    cells = cut(one.select("*", half(32).alias("high"), half(0).alias("low")))
+    cells = cut(prints.select("fp").distinct().select("*", half(32).alias("high"), half(0).alias("low")))
     # 33 x 33 cells at most
     counts = {(r["high"], r["low"]): r["count"] for r in cells.groupBy("high", "low").count().collect()}
     if not counts:
         return cells.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     sizes = spark.createDataFrame([(*k, -(-n // tile)) for k, n in counts.items()], "high int, low int, parts int")
     parted = cells.join(F.broadcast(sizes), ["high", "low"]).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    member = F.struct(F.bit_count(F.shiftrightunsigned("fp", 48)).alias("q"), "fp", *["sketch"] * sketched)
+    member = F.struct(F.bit_count(F.shiftrightunsigned("fp", 48)).alias("q"), "fp")
     sorted_ = F.array_sort(F.collect_list(member))
-    tiles = cut(
-        parted.groupBy("high", "low", "part")
-        .agg(sorted_.alias("members"))
-        .select(
-            "high",
-            "low",
-            "part",
-            F.transform("members", lambda s: s["fp"]).alias("fps"),
-            *[F.transform("members", lambda s: s["sketch"]).alias("sketches")] * sketched,
-        )
-    )
+    tiles = cut(parted.groupBy("high", "low", "part").agg(sorted_.alias("members")).select("high", "low", "part", F.transform("members", lambda s: s["fp"]).alias("fps")))
     # each tile meets itself and, of each two tiles in reach, the one that comes later
     most = radius // wide + 1
     least = lambda d: 0 if d == 0 else (abs(d) - 1) * wide + 1
     reach = [(h, low) for h in range(most + 1) for low in range(-most, most + 1) if least(h) + least(low) <= radius and (h, low) >= (0, 0)]
     around = F.array(*(F.struct(F.lit(h).alias("h"), F.lit(low).alias("l")) for h, low in reach))
-    held = ["fps", *["sketches"] * sketched]
     first = tiles.withColumn("d", F.explode(around)).select(
         F.col("high").alias("h1"),
         F.col("low").alias("l1"),
         F.col("part").alias("p1"),
-        *(F.col(c).alias(f"{c}_1") for c in held),
+        F.col("fps").alias("fps_1"),
         (F.col("high") + F.col("d.h")).alias("high"),
         (F.col("low") + F.col("d.l")).alias("low"),
     )
     met = first.join(tiles, ["high", "low"])
     met = met.filter((F.col("h1") < F.col("high")) | (F.col("l1") < F.col("low")) | (F.col("p1") <= F.col("part")))
 
-    def rows_of(sketches: pa.ListScalar) -> np.ndarray:
-        return np.frombuffer(b"".join(sketches.as_py()), np.uint8).reshape(-1, BINS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y = (batch.column(c)[i].values.to_numpy().view(np.uint64) for c in ("fps_1", "fps"))
-                both = tuple(rows_of(batch.column(c)[i]) for c in ("sketches_1", "sketches")) if sketched else None
-                u, v = tile_links(x, y, radius, both, similarity or 0.0)
+                u, v = tile_links(x, y, radius)
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return met.select(*(f"{c}_1" for c in held), *held).repartition(n).mapInArrow(run, "u long, v long")
+    return met.select("fps_1", "fps").repartition(n).mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """(doc_id, fp, component_id): the classes of the relation "at most `radius` bits differ", closed over chains.
 
-    With a similarity, fingerprints of more than 3 different bits are linked
-    only if sketches of the shingles are alike to that degree; the radius can
-    then be as wide as such texts' fingerprints may differ.
+    With a similarity, the relation is that the sets of shingles have at least
+    that Jaccard similarity, whatever the radius, and fp names the set. Pairs
+    are found by bands of least hashes, which at 0.8 leave out 3.3 pairs in a
+    million (more below, fewer above), and are then compared exactly.
 
     component_id is the least doc_id of the class. Every text counts, null as
-    empty; texts without words have fingerprint 0 and are linked like others.
+    empty; texts without words have fingerprint 0 and are linked like others (as sets, with each other).
     Rows with a null doc_id get a component only from others, and stay null
     alone. Repeated doc_ids give as many rows. An empty table gives no rows.
     """
-    prints = cut(fingerprints(docs, words, similarity is not None))
-    classes = connected_components(links(prints, radius, similarity))
+    if similarity is None:
+        prints = cut(fingerprints(docs, words))
+        classes = connected_components(links(prints, radius))
+    else:
+        found = cut(shingles.sets_of(docs, words))
+        classes = shingles.classes_of(docs, found, words, similarity)
+        prints = found.select("doc_id", F.col("key").alias("fp"))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     labelled = least.join(classes, least["fp"] == classes["node"], "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     labelled = cut(labelled)

@@ -99,6 +99,64 @@ def test_wide_links_need_alike_texts(spark):
     assert got == {1: 1, 2: 1, 3: 3}
 
 
+def brute_classes(docs, words=5, similarity=0.8):
+    """{doc_id: least doc_id} by the Jaccard similarity of all pairs."""
+    sets = {}
+    for i, t in docs:
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)}
+    up = {i: i for i in sets}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                up[y] = x
+    return {i: root(i) for i in sets}
+
+
+def test_similar_texts_against_all_pairs(spark):
+    """Pairs alike to just over and just under the bound, repeated lines, a chain, a large group and texts of few words."""
+    dice = random.Random(11)
+    rows = []
+
+    def add(words):
+        rows.append((len(rows), " ".join(words)))
+
+    def spoilt(words, similarity, base):
+        """Words at the end replaced so that the sets are alike to about that."""
+        n = len(words) - 4
+        same = round(2 * n * similarity / (1 + similarity))
+        return [*words[: same + 4], *(f"n{base}x{k}" for k in range(len(words) - same - 4))]
+
+    for p in range(160):
+        words = [f"w{dice.randrange(5000)}" for _ in range(dice.choice((120, 304, 1004)))]
+        add(words)
+        add(spoilt(words, dice.uniform(0.8, 0.85) if p % 2 else dice.uniform(0.7, 0.799), p))
+    for p in range(20):
+        words = [f"r{p}x{k}" for k in range(300)]
+        add(words)
+        add(words + [f"junk{p}x{k}" for k in range(12)] * 100)
+    chain = [f"c{k}" for k in range(204)]
+    for k in range(6):
+        add(chain[k * 15 :] + [f"d{j}" for j in range(k * 15)])
+    group = [f"g{k}" for k in range(300)]
+    for k in range(60):
+        add([*group[: 5 * k], f"o{k}", *group[5 * k + 1 :]])
+    for t in ("one", "one two", "One  TWO", "a b c d e", "a b c d f"):
+        add(t.split(" "))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(texts_of(spark, rows), 5, similarity=0.8).collect()}
+    assert got == brute_classes(rows)
+    empty = simhash.near_duplicates(texts_of(spark, AWKWARD), 5, similarity=0.8).collect()
+    assert len(empty) == len(AWKWARD) and {r["component_id"] for r in empty if r["doc_id"] in (1, 2, 3)} == {1}
+    assert simhash.near_duplicates(texts_of(spark, []), 5, similarity=0.8).collect() == []
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [(5, 5)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
