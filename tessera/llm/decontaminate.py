@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +23,24 @@ UNITS = frozenset(
 )
 NUMBER, NAME, UNIT = (xxhash.xxh64_intdigest(x) for x in ("<number>", "<name>", "<unit>"))
 #: ASCII punctuation: what ends a sentence becomes a token of its own, the rest separates words.
-MARKS = bytes(1 if chr(b) in ".!?\n:;" else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+MARKS = bytes(1 if chr(b) in ".!?\n:;" else b if b > 127 or chr(b).isalnum() or b == 2 else 32 for b in range(256))
+#: A number with groups of thousands or with a decimal point or comma; '1,2,3' is none, and '1,2' is one.
+SEPARATED = re.compile(rb"(?<![0-9])(?<![0-9][.,])(?:[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]{1,3}(?:\.[0-9]{3})+,[0-9]+|[0-9]+[.,][0-9]+)(?![0-9]|[.,][0-9])")
+THOUSANDS = re.compile(rb",(?=[0-9]{3}(?![0-9]))")
+#: What a unit or a sign is glued to becomes a word of its own: '5km', '2x', '3rd', '€5'.
+GLUED = re.compile("(?<![A-Za-z0-9\x02\x80-\xff])([0-9]+(?:\x02[0-9]+)*)(?=[A-Za-z\x80-\xff]+(?![A-Za-z0-9\x02\x80-\xff]))".encode("latin-1"))
+CURRENCY = re.compile("((?:€|£|¥|₹)+)(?=[0-9])".encode())
 IS_NUMBER, IS_NAME, IS_UNIT, IS_END = 1, 2, 4, 8
 
 
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words, a number with its separators being one (its decimal sign as \\x02), and \\x01 for each mark that ends a sentence."""
+    text = text.replace(b"\x02", b" ")
+    text = SEPARATED.sub(lambda m: re.sub(rb"[.,]", b"\x02", THOUSANDS.sub(b"", m[0])), text)
+    text = GLUED.sub(rb"\1 ", CURRENCY.sub(rb"\1 ", text))
+    return text.translate(MARKS).replace(b"\x01", b" \x01 ").split()
+
+
 class Codes(dict):
     """Of each word: a hash of its lower-case form above four bits that say what it can stand for."""
 
@@ -37,17 +52,18 @@ class Codes(dict):
         else:
             plain = word.decode("utf-8", "replace")
             low = plain.lower()
-            flags = IS_NUMBER * plain.isdigit() + IS_NAME * (len(plain) > 1 and plain[0].isupper() and plain[1:].islower()) + IS_UNIT * (low.encode() in UNITS)
+            flags = IS_NUMBER * plain.replace("\x02", "").isdigit() + IS_NAME * (len(plain) > 1 and plain[0].isupper() and plain[1:].islower()) + IS_UNIT * (low.encode() in UNITS)
             code = (xxhash.xxh64_intdigest(low) & ~15) | flags
         self[word] = code
         return code
 
 
 class Windows:
-    """Hashes of all windows of `size` words of texts, of the words as they are and of the template."""
+    """Hashes of all windows of `size` words of texts: of the words as they are, of the template, and of the template
+    in which a capitalised word that begins a sentence is a name too."""
 
     def __init__(self, texts: list[bytes], size: int, codes: Codes):
-        tokens = [t.translate(MARKS).replace(b"\x01", b" \x01 ").split() for t in texts]
+        tokens = [tokens_of(t) for t in texts]
         counts = np.array([len(t) for t in tokens], np.int64)
         code = np.array([codes[w] for t in tokens for w in t], np.uint64)
         of = np.repeat(np.arange(len(texts)), counts)
@@ -64,22 +80,28 @@ class Windows:
         unit = (flags & IS_UNIT) > 0
         unit[1:] &= number[:-1] & (self.of[1:] == self.of[:-1])
         unit[:1] = False
+        initial = ((flags & IS_NAME) > 0) & first
         self.slot = number | name | unit
+        self.wide_slot = self.slot | initial
         shown = np.where(number, np.uint64(NUMBER), np.where(name, np.uint64(NAME), np.where(unit, np.uint64(UNIT), literal)))
         self.size, n = size, max(0, len(literal) - size + 1)
-        whole = self.of[:n] == self.of[size - 1 : size - 1 + n]
+        self.whole = self.of[:n] == self.of[size - 1 : size - 1 + n]
         self.literal, self.template = _hashes(literal, size, n), _hashes(shown, size, n)
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        self.slots = (slots[size:] - slots[:-size])[:n] if n else np.zeros(0, int)
+        self.wide = _hashes(np.where(initial & ~self.slot, np.uint64(NAME), shown), size, n)
+        self.slots, self.wide_slots = self._within(self.slot, n), self._within(self.wide_slot, n)
         #: Windows of one text that are not slots only.
-        self.usable = whole & (self.slots < size)
-        self.whole = whole
+        self.usable = self.whole & (self.slots < size)
+
+    def _within(self, slot: np.ndarray, n: int) -> np.ndarray:
+        total = np.concatenate([[0], np.cumsum(slot)])
+        return (total[self.size :] - total[: -self.size])[:n] if n else np.zeros(0, int)
 
-    def fillers(self, at: int) -> list[str]:
+    def fillers(self, at: int, wide: bool = False) -> list[str]:
         """What fills the slots of the window at a place."""
+        slot = self.wide_slot if wide else self.slot
         start = at - self.starts[self.of[at]]
         own = self.words[self.of[at]][start : start + self.size]
-        return [w.decode("utf-8", "replace").lower() for w, s in zip(own, self.slot[at : at + self.size], strict=True) if s]
+        return [w.decode("utf-8", "replace").lower() for w, s in zip(own, slot[at : at + self.size], strict=True) if s]
 
 
 def _hashes(codes: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -89,34 +111,40 @@ def _hashes(codes: np.ndarray, size: int, n: int) -> np.ndarray:
     return out
 
 
-SCHEMA = "id long, at int, h long, kind string, fillers array<string>"
-ARROW = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("kind", pa.string()), ("fillers", pa.list_(pa.string()))])
+#: `wide` marks windows in which a word that begins a sentence is a name.
+SCHEMA = "id long, at int, h long, kind string, wide boolean, fillers array<string>"
+ARROW = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("kind", pa.string()), ("wide", pa.bool_()), ("fillers", pa.list_(pa.string()))])
 
 
 def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
-    """(id, at, h, kind, fillers, size) of all windows of all items; a shorter item is one window, one without words none."""
+    """(id, at, h, kind, wide, fillers, size) of all windows of all items; a shorter item is one window, one without words none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("id").to_pylist(), utf8(batch.column("text")), strict=True):
-                n = len(text.translate(MARKS).replace(b"\x01", b" ").split())
+                n = sum(x != b"\x01" for x in tokens_of(text))
                 if not n:
                     continue
                 w = Windows([text], min(size, n), codes)
                 usable = w.usable if w.usable.any() else w.whole
                 for at in np.flatnonzero(usable):
-                    both = (("literal", w.literal, []), ("template", w.template, w.fillers(at)))
+                    forms = [("literal", False, w.literal, [])]
                     # a template without slots is the literal window
-                    rows += [{"id": item, "at": int(at), "h": int(h[at].view(np.int64)), "kind": k, "fillers": f, "size": w.size} for k, h, f in both if k == "literal" or f]
+                    if w.slots[at]:
+                        forms.append(("template", False, w.template, w.fillers(at)))
+                    # of slots only it would be found anywhere
+                    if w.slots[at] < w.wide_slots[at] < w.size:
+                        forms.append(("template", True, w.wide, w.fillers(at, True)))
+                    rows += [{"id": item, "at": int(at), "h": int(h[at].view(np.int64)), "kind": k, "wide": x, "fillers": f, "size": w.size} for k, x, h, f in forms]
             yield pa.RecordBatch.from_pylist(rows, ARROW.append(pa.field("size", pa.int32())))
 
     return items.mapInArrow(run, SCHEMA + ", size int")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(id, at, h, kind, fillers) of the documents' windows of these sizes: of those whose hash is wanted, or of all."""
+    """(id, at, h, kind, wide, fillers) of the documents' windows of these sizes: of those whose hash is wanted, or of all."""
     spark = docs.sparkSession
     given = None if wanted is None else spark.sparkContext.broadcast(wanted)
 
@@ -131,15 +159,20 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
             rows = []
             for size in sizes:
                 w = Windows(texts, size, codes)
-                for kind, hashes in (("literal", w.literal), ("template", w.template)):
-                    at = np.flatnonzero(w.whole if kind == "literal" else w.whole & (w.slots > 0))
+                forms = (
+                    ("literal", False, w.literal, w.whole),
+                    ("template", False, w.template, w.whole & (w.slots > 0)),
+                    ("template", True, w.wide, w.whole & (w.wide_slots > w.slots)),
+                )
+                for kind, wide, hashes, there in forms:
+                    at = np.flatnonzero(there)
                     if keys is not None:
                         at = at[seen[hashes[at] >> np.uint64(42)]]
                         own = hashes[at].view(np.int64)
                         place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                         at = at[keys[place] == own] if len(keys) else at[:0]
                     for i in at:
-                        rows.append((ids[w.of[i]], int(i - w.starts[w.of[i]]), int(hashes[i].view(np.int64)), kind, w.fillers(i) if kind == "template" else []))
+                        rows.append((ids[w.of[i]], int(i - w.starts[w.of[i]]), int(hashes[i].view(np.int64)), kind, wide, w.fillers(i, wide) if kind == "template" else []))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
@@ -149,11 +182,14 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | Non
 def contamination(docs: DataFrame, items: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_found, coverage, n_slots, reparameterised) of the items that documents hold.
 
-    Numbers, names (capitalised words inside a sentence) and units after a
-    number become typed placeholders. Windows of `size` words of the items'
+    Numbers (with their separators and decimals, and apart from what is glued to
+    them), names (capitalised words inside a sentence) and units after a number
+    become typed placeholders; a second template takes the capitalised words
+    that begin a sentence as names too. Windows of `size` words of the items'
     templates, and of their words as they are, are joined by hash with those of
     the whole documents. Matches of one alignment count if their slots are
-    consistent: equal fillers of the item have equal fillers in the document. A
+    consistent: equal fillers of the item have equal fillers in the document
+    (those of the second template together with those of the first). A
     document holds an item if windows at `least` of the item's places are found;
     `reparameterised` if not that many are found word by word. Case and ASCII
     punctuation do not count.
@@ -164,22 +200,26 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 5, least: float
     """
     items = items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id IS NOT NULL")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id IS NOT NULL AND text <> ''")
-    bench = benchmark_windows(items, size).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("fillers").alias("given"), "kind", "size").distinct()
+    bench = benchmark_windows(items, size).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("fillers").alias("given"), "kind", F.col("wide").alias("item_wide"), "size").distinct()
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
     small = bench.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     wanted = np.unique(bench.select("h").distinct().toArrow().column("h").to_numpy()) if small else None
     found = document_windows(docs, sizes, wanted).withColumnRenamed("id", "doc_id")
     met = found.join(F.broadcast(bench) if small else bench, ["h", "kind"])
     pairs = F.arrays_zip("given", "fillers")
+    wide = F.col("wide") | F.col("item_wide")
+    gathered = lambda found: F.array_distinct(F.flatten(F.collect_set(found)))
     lines = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
-        F.collect_set(F.struct("item_at", "kind")).alias("places"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
+        F.collect_set(F.struct("item_at", "kind", wide.alias("wide"))).alias("places"), gathered(F.when(~wide, pairs)).alias("pairs"), gathered(pairs).alias("wide_pairs")
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["given"])))
+    agree = lambda found: F.size(found) == F.size(F.array_distinct(F.transform(found, lambda p: p["given"])))
+    consistent, wide_consistent = agree("pairs"), agree("wide_pairs")
     # words as they are need no slots to agree
-    counted = F.transform(F.filter("places", lambda p: (p["kind"] == "literal") | consistent), lambda p: p["item_at"])
+    counts = lambda p: (p["kind"] == "literal") | F.when(p["wide"], wide_consistent).otherwise(consistent)
+    counted = F.transform(F.filter("places", counts), lambda p: p["item_at"])
     exact = F.transform(F.filter("places", lambda p: p["kind"] == "literal"), lambda p: p["item_at"])
     held = (
-        lines.select("doc_id", "item_id", counted.alias("counted"), exact.alias("exact"), F.when(consistent, F.size("pairs")).otherwise(0).alias("slots"))
+        lines.select("doc_id", "item_id", counted.alias("counted"), exact.alias("exact"), F.when(wide_consistent, F.size("wide_pairs")).when(consistent, F.size("pairs")).otherwise(0).alias("slots"))
         .groupBy("doc_id", "item_id")
         .agg(
             F.size(F.array_distinct(F.flatten(F.collect_list("counted")))).alias("n_found"),

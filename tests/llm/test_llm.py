@@ -422,6 +422,33 @@ def test_contamination(spark):
     assert held(spark, [], [(1, ITEM)]) == {} and held(spark, docs, []) == {}
 
 
+@pytest.mark.parametrize(
+    "item, changed",
+    [
+        ("Alice buys 12 apples at the market. Alice gives 5 apples to Ben. How many apples does Alice have?", "Maria buys 31 apples at the market. Maria gives 7 apples to Tom. How many apples does Maria have?"),
+        ("Each of the pots holds 3.5 litres and the cook fills 8 pots", "Each of the pots holds 4 litres and the cook fills 12.75 pots"),
+        ("The town bought 1,200 chairs and sold a third of them in spring", "The town bought 950 chairs and sold a third of them in spring"),
+        ("A runner does 5km in the morning and 2x as much in the evening", "A runner does 7.5km in the morning and 3x as much in the evening"),
+        ("A ticket at the fair costs €5 and a child pays half of it", "A ticket at the fair costs €7,50 and a child pays half of it"),
+    ],
+)
+def test_changed_names_and_numbers(spark, item, changed):
+    docs = [(1, f"First this. {changed} Then that."), (2, f"So {changed}"), (3, f"Here it is: {item}")]
+    got = held(spark, docs, [(1, item)])
+    assert set(got) == {(1, 1), (2, 1), (3, 1)}
+    assert got[1, 1]["coverage"] == 1.0 and got[3, 1]["coverage"] == 1.0 and not got[3, 1]["reparameterised"]
+
+
+def test_names_that_begin_sentences_must_agree(spark):
+    item = "Alice buys 12 apples at the market. Alice gives 5 apples to Ben. How many apples does Alice have?"
+    mixed = "Maria buys 31 apples at the market. Carol gives 7 apples to Tom. How many apples does Anna have?"
+    # the first words differ, but the numbers still do for the rest
+    article = "The shop in our town sells bread at 3 euros a loaf and it opens at 8. The baker rests on Sunday and bakes 40 loaves for the next day of work"
+    other = article.replace("The shop", "A shop").replace(" 3 ", " 4 ").replace(" 8", " 9").replace("40", "55")
+    got = held(spark, [(1, mixed), (2, f"Well: {other}")], [(1, item), (2, article)])
+    assert set(got) == {(2, 2)}
+
+
 def test_contamination_without_broadcast(spark, monkeypatch):
     docs, items = [(1, f"x {ITEM} y"), (2, "nothing here at all to see")], [(1, ITEM), (2, "short one")]
     want = {k: tuple(v) for k, v in held(spark, docs, items).items()}
