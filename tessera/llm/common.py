@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,14 +19,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there.
 
     The folder is the one that the cluster names in spark.checkpoint.dir; a
-    temporary one is set only where that is unset, as in tests.
+    temporary one is set only where that is unset and all tasks run in the
+    driver's process, as in tests. On a cluster an unset folder is an error.
     """
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores before those that a column has already; case does not count."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def named(column: str) -> Column:
+    """The column of that very name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The values of a string column as bytes; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import cut, free_names, named, table
 
 #: Sources up to this number go to every task as one small table.
 MOST_BROADCAST = 100_000
@@ -59,34 +59,37 @@ def mix_sources(
     Adds `copy` (from 1) and `shuffle_key`. Null source is a source like any
     other; null doc_id draws by the text's hash. Rows that repeat a doc_id draw
     the same number. Sources without a weight, or with one that is null or not
-    above 0, give no rows. An empty table gives no rows; further columns stay,
-    but those named copy or shuffle_key are replaced.
+    above 0, give no rows; of a source's several weights the sum counts. An
+    empty table gives no rows; further columns stay, whatever their names, but
+    those named copy or shuffle_key are replaced.
     """
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")))
     weights = temperature_weights(counts, power) if weights is None else weights.select("source", "weight")
     # doubles added in any order differ; rounded they do not
-    weights = weights.filter("weight > 0").select(F.col("source").alias("of_source"), F.col("weight").cast("decimal(38,9)"))
-    sums = counts.join(weights, F.col("source").eqNullSafe(F.col("of_source"))).select("of_source", "n", "weight")
+    weights = weights.filter("weight > 0").groupBy(F.col("source").alias("of_source")).agg(F.sum(F.col("weight").cast("decimal(38,9)")).alias("weight"))
+    sums = counts.join(weights, F.col("source").eqNullSafe(F.col("of_source"))).select("of_source", "n", F.col("weight").cast("decimal(38,9)").alias("weight"))
     w = sums.agg(F.sum("weight")).first()[0]
-    rows = counts.agg(F.sum("n")).first()[0]
+    rows, sources = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     wanted = float(expected_rows if expected_rows is not None else rows or 0)
-    rates = sums.select("of_source", (F.lit(wanted) * F.col("weight").cast("double") / F.lit(float(w or 1)) / F.col("n")).alias("rate"))
-    if rates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    names = [c for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
+    of_source, rate, times = free_names([*names, "copy", "shuffle_key"], "of_source", "rate", "times")
+    rates = sums.select(F.col("of_source").alias(of_source), (F.lit(wanted) * F.col("weight").cast("double") / F.lit(float(w or 1)) / F.col("n")).alias(rate))
+    if sources <= MOST_BROADCAST:
         rates = F.broadcast(rates)
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce("text", F.lit("")))))
-    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("int")
+    parts = F.greatest(F.ceil(F.col(rate) / PART), F.lit(1)).cast("int")
     draws = F.aggregate(
         F.sequence(F.lit(1), parts),
         F.lit(0),
-        lambda n, i: n + inverse_poisson(F.col("rate") / parts, uniform(F.lit(str(seed)), key, i.cast("string"))),
+        lambda n, i: n + inverse_poisson(F.col(rate) / parts, uniform(F.lit(str(seed)), key, i.cast("string"))),
     )
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
+    kept = [named(c) for c in names]
     drawn = (
-        docs.select(*names)
-        .join(rates, F.col("source").eqNullSafe(F.col("of_source")))
-        .withColumn("times", draws)
-        .filter("times > 0")
-        .select(*names, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy"))
+        docs.select(*kept)
+        .join(rates, F.col("source").eqNullSafe(F.col(of_source)))
+        .withColumn(times, draws)
+        .filter(F.col(times) > 0)
+        .select(*kept, F.explode(F.sequence(F.lit(1), F.col(times))).alias("copy"))
     )
     order = F.md5(F.concat_ws("/", F.lit(f"order{seed}"), key, F.col("copy").cast("string")).cast("binary"))
     dealt = drawn.withColumn("shuffle_key", F.substring(order, 1, 16))
