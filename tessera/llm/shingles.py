@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of sets of shingles."""
+"""Near-duplicates by the exact Jaccard similarity of sets of shingles, with SimHash prints in tiles as the candidates' test."""
 
 from __future__ import annotations
 
@@ -7,18 +7,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, slices, utf8
 from tessera.llm.components import connected_components
 
-#: Sets are candidates if the least hashes of one band of ROWS agree. Two sets alike to s share none of the bands with
+#: Sets can be near only if the least hashes of one band of ROWS agree. Two sets alike to s share none of the bands with
 #: probability (1 - s ** ROWS) ** BANDS: at 0.8 that is 3.3 in a million.
 BANDS, ROWS = 24, 4
 _DICE = np.random.default_rng(20_240_607)
 FLIPS = _DICE.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 FACTORS = _DICE.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
+#: SimHash prints of sets have so many 64-bit words.
+PRINT_WORDS = 2
+_MIX = _DICE.integers(0, 1 << 64, PRINT_WORDS, np.uint64) | np.uint64(1)
+#: Sets of fewer shingles are compared without their prints, whose bits are too coarse there.
+COARSE = 64
+#: Eight counters in a 64-bit number, one for each bit of a byte, the highest bit first.
+SPREAD = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype="<u8")
 
 
 def shingle_digests(text: bytes, words: int, seed: int = 42) -> list[bytes]:
@@ -30,6 +37,18 @@ def shingle_digests(text: bytes, words: int, seed: int = 42) -> list[bytes]:
     return [digest(b" ".join(found), seed)] if found else []
 
 
+def majority_bits(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of big-endian 64-bit hashes (counts[i] of them, none empty) the bits that over half of them have."""
+    spread = SPREAD[hashes.astype(">u8").view(np.uint8).reshape(-1, 8)]
+    # a counter holds 255 at most: add up pieces of as many hashes, then the pieces of each run
+    ends = np.cumsum(counts)
+    pieces = -(-counts // 255)
+    firsts = np.repeat(ends - counts, pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    sums = np.ascontiguousarray(np.add.reduceat(spread, firsts, axis=0)).view(np.uint8).reshape(len(firsts), 64)
+    totals = np.add.reduceat(sums.astype(np.int64), np.cumsum(pieces) - pieces, axis=0)
+    return np.packbits(2 * totals > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """The distinct shingles' hashes, sorted."""
     return np.unique(np.frombuffer(b"".join(shingle_digests(text, words)), "<u8"))
@@ -41,13 +60,12 @@ def key_of(shingles: np.ndarray) -> int:
     return n - ((n >> 63) << 64)
 
 
-def bands_of(sets: list[np.ndarray]) -> np.ndarray:
+def bands_of(joined: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """For each set, none empty, one hash a band of the least of its hashes under ROWS permutations."""
-    joined = np.concatenate(sets)
-    firsts = np.cumsum([0, *map(len, sets[:-1])])
-    out = np.empty((len(sets), BANDS), np.uint64)
+    firsts = np.cumsum(counts) - counts
+    out = np.empty((len(counts), BANDS), np.uint64)
     for band in range(BANDS):
-        h = np.full(len(sets), band, np.uint64)
+        h = np.full(len(counts), band, np.uint64)
         for i in range(band * ROWS, (band + 1) * ROWS):
             h = (h ^ np.minimum.reduceat((joined ^ FLIPS[i]) * FACTORS[i], firsts)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(32)
@@ -55,22 +73,46 @@ def bands_of(sets: list[np.ndarray]) -> np.ndarray:
     return out.view(np.int64)
 
 
-def sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, key, n, bands): of every whole text the name and size of its set of shingles and its bands' hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+def prints_of(joined: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each set, none empty, its SimHash over distinct shingles, PRINT_WORDS words wide."""
+    out = np.empty((len(counts), PRINT_WORDS), np.uint64)
+    for i, mix in enumerate(_MIX):
+        h = (joined ^ (joined >> np.uint64(31))) * mix
+        out[:, i] = majority_bits(h ^ (h >> np.uint64(29)), counts)
+    return out
+
+
+def radius_for(similarity: float) -> int:
+    """How many bits of two prints may differ: the number expected at that similarity and six standard deviations.
+
+    Sets alike to s have vectors with a cosine of 2 s / (1 + s) at least, and
+    each bit differs with the probability angle / pi.
+    """
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
+    n = 64 * PRINT_WORDS
+    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5) + 1
+
+
+def sets_of(rows: DataFrame, words: int) -> DataFrame:
+    """(row, doc_id, key, n, print, bands): of every whole text the name and size of its set of shingles, its SimHash and its bands' hashes."""
+    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("print", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
             sets = [shingle_set(t, words) for t in utf8(batch.column("text"))]
             full = [s for s in sets if len(s)]
-            bands = iter(bands_of(full).tolist() if full else [])
-            columns = [[key_of(s) for s in sets], [len(s) for s in sets], [next(bands) if len(s) else [] for s in sets]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
+            joined, counts = np.concatenate([np.zeros(0, "<u8"), *full]), np.array([len(s) for s in full], np.int64)
+            bands = iter(bands_of(joined, counts).tolist() if full else [])
+            prints = iter(prints_of(joined, counts).view(np.int64).tolist() if full else [])
+            columns = [[key_of(s) for s in sets], [len(s) for s in sets], [next(prints) if len(s) else [0] * PRINT_WORDS for s in sets], [next(bands) if len(s) else [] for s in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, key long, n int, bands array<long>")
+    return rows.select(F.col("row").cast("string"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "row string, doc_id long, key long, n int, print array<long>, bands array<long>"
+    )
 
 
-def shingles_of(docs: DataFrame, words: int) -> DataFrame:
+def shingles_of(texts: DataFrame, words: int) -> DataFrame:
     """(key, shingles) of every text: its set, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +120,7 @@ def shingles_of(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingle_set(t, words) for t in utf8(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([key_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles binary")
+    return texts.select(F.col("text").cast("string")).mapInArrow(run, "key long, shingles binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -100,34 +142,99 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def classes_of(docs: DataFrame, prints: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(node, label): of each set that is linked the least key of its class; `prints` is what sets_of gives for the documents.
+def near_in_tiles(
+    a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, similarity: float, block: int = 1 << 20
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of two tiles (sizes, labels, prints) where labels differ, sizes allow the similarity and prints are within the radius.
 
-    In each bucket of a band all sets are first compared with one of them; then
-    all pairs that are not in one class by that.
+    The tiles are walked in steps of like population counts; steps that differ
+    beyond the radius are skipped.
     """
-    one = prints.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("bands").alias("bands"))
-    one = cut(one)
+    ones = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+    ones_a, ones_b = ones(a[2]), ones(b[2])
+    order_a, order_b = np.argsort(ones_a, kind="stable"), np.argsort(ones_b, kind="stable")
+    sorted_b = ones_b[order_b]
+    # coarse prints tell nothing: those sets meet all of like size
+    coarse_a, coarse_b = a[0] < COARSE, b[0] < COARSE
+    step = max(1, block // max(1, len(order_b)))
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for start in range(0, len(order_a), step):
+        i = order_a[start : start + step]
+        reached = coarse_b | coarse_a[i].any()
+        reached[order_b[slice(*np.searchsorted(sorted_b, [ones_a[i[0]] - radius, ones_a[i[-1]] + radius + 1]))]] = True
+        j = np.flatnonzero(reached)
+        apart = sum(np.bitwise_count(a[2][i, w][:, None] ^ b[2][j, w][None, :]).astype(np.int16) for w in range(PRINT_WORDS))
+        near = (apart <= radius) | coarse_a[i][:, None] | coarse_b[j][None, :]
+        near &= a[1][i][:, None] != b[1][j][None, :]
+        small, large = np.minimum(a[0][i][:, None], b[0][j][None, :]), np.maximum(a[0][i][:, None], b[0][j][None, :])
+        near &= small >= (similarity - 1e-9) * large
+        x, y = np.nonzero(near)
+        found_i.append(i[x])
+        found_j.append(j[y])
+    return np.concatenate(found_i), np.concatenate(found_j)
+
+
+def candidates(members: DataFrame, similarity: float, tile: int = 4096) -> DataFrame:
+    """Pairs (u, v) of members (band, key, n, label, print) of one band that differ in label and may be alike.
+
+    A band's members are dealt into tiles of about `tile` by a hash; each two
+    tiles of a band meet once, wherever Spark puts them, and are compared by
+    exclusive-or and bit counts. Only what passes is sent.
+    """
+    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    dealt = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    tiles = cut(dealt.groupBy("band", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("key", "n", "label", "print")).alias("tile")))
+    first = tiles.select("band", "part", "tile", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
+    second = tiles.select("band", F.col("part").alias("other"), F.col("tile").alias("other_tile"))
+    met = first.join(second, ["band", "other"]).select("tile", "other_tile")
+    radius = radius_for(similarity)
+
+    def opened(tile: pa.Scalar) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        rows = tile.values
+        prints = rows.field("print").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, PRINT_WORDS)
+        keys, sizes, labels = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label"))
+        return keys, (sizes, labels, prints)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (u, x), (v, y) = (opened(batch.column(c)[k]) for c in ("tile", "other_tile"))
+                i, j = near_in_tiles(x, y, radius, similarity)
+                u, v = u[i], v[j]
+                once = u != v
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[once]), pa.array(np.maximum(u, v)[once])], ["u", "v"])
+
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(n).mapInArrow(run, "u long, v long").distinct()
+
+
+def classes_of(rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(node, label): of each set that is linked the least key of its class; `found` is what sets_of gives for the rows.
+
+    In each bucket of a band all sets are first compared with one of them,
+    which joins the large groups of copies; what is in different classes after
+    that is compared by prints in tiles. All links are exact similarities.
+    """
+    one = cut(found.groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("print").alias("print"), F.min("bands").alias("bands")))
     buckets = one.select("key", "n", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1").select("band", "hub")
     shared = cut(buckets.join(hubs, "band"))
     wanted = cut(shared.select("key").distinct())
-    ids = one.join(wanted, "key", "left_semi").select("doc_id").distinct()
-    ours = docs.select(F.col("doc_id").cast("long"), "text")
-    # a set may be that of documents without an id only
-    held = ours.join(ids, "doc_id", "left_semi").unionByName(ours.filter("doc_id IS NULL"))
-    sets = cut(shingles_of(held, words).join(wanted, "key", "left_semi").groupBy("key").agg(F.min("shingles").alias("shingles")))
+    held = rows.join(one.join(wanted, "key", "left_semi").select("row"), "row", "left_semi")
+    sets = cut(shingles_of(held, words).groupBy("key").agg(F.min("shingles").alias("shingles")))
     # nothing is lost by sizes: the smaller set has at least that share of the larger
     sized = lambda n, m: F.least(n, m) / F.greatest(n, m) >= similarity
     stars = shared.filter((F.col("key") != F.col("hub.key")) & sized(F.col("n"), F.col("hub.n"))).select(F.col("hub.key").alias("u"), F.col("key").alias("v")).distinct()
     labels = cut(connected_components(verified(stars, sets, similarity)))
-    named = shared.join(labels, shared["key"] == labels["node"], "left").select("band", "key", "n", F.coalesce("label", "key").alias("label"), F.col("hub.key").alias("hub"))
-    named = cut(named)
+    named = cut(shared.join(labels, shared["key"] == labels["node"], "left").select("band", "key", "n", F.coalesce("label", "key").alias("label"), F.col("hub.key").alias("hub")))
     mixed = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")).filter("least < most AND members > 2")
-    left = cut(named.join(mixed.select("band"), "band", "left_semi").filter("key <> hub").drop("hub"))
-    x, y = left.alias("x"), left.alias("y")
-    rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & sized(F.col("x.n"), F.col("y.n")))
-    more = cut(verified(rest.select(F.col("x.key").alias("u"), F.col("y.key").alias("v")).distinct(), sets, similarity))
+    left = named.join(mixed.select("band"), "band", "left_semi").filter("key <> hub").drop("hub").join(one.select("key", "print"), "key")
+    more = cut(verified(candidates(left, similarity), sets, similarity))
     if more.isEmpty():
         return labels
     return connected_components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))
+
+
+def row_key() -> Column:
+    """A name of a row by its doc_id and text; rows that share it are the same document, null text being empty."""
+    return F.md5(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("binary"))
