@@ -11,10 +11,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, table, utf8
+from tessera.llm.common import cut, slices, table, utf8
 
-#: Up to so many benchmark windows every task gets their hashes, and the join gets them as a broadcast table.
+#: Up to so many benchmark windows the join gets them as a broadcast table.
 MOST_BROADCAST = 500_000
+#: Each task gets one table of bits for the hashes of all benchmark windows: 2 ** LEAST_BITS at least, 2 ** MOST_BITS (16 MB) at
+#: most. What passes it is joined, so that a full table costs time, never a result.
+LEAST_BITS, MOST_BITS = 20, 27
 # Units of measurement, currencies and times (fixed values)
 UNITS = frozenset(
     b"mm cm m km in inch inches ft foot feet yd yard yards mile miles mg g kg t lb lbs oz ounce ounces pound pounds gram grams kilogram kilograms "
@@ -81,6 +84,7 @@ class Windows:
         unit[1:] &= number[:-1] & (self.of[1:] == self.of[:-1])
         unit[:1] = False
         initial = ((flags & IS_NAME) > 0) & first
+        self.number, self.unit = number, unit
         self.slot = number | name | unit
         self.wide_slot = self.slot | initial
         shown = np.where(number, np.uint64(NUMBER), np.where(name, np.uint64(NAME), np.where(unit, np.uint64(UNIT), literal)))
@@ -97,11 +101,12 @@ class Windows:
         return (total[self.size :] - total[: -self.size])[:n] if n else np.zeros(0, int)
 
     def fillers(self, at: int, wide: bool = False) -> list[str]:
-        """What fills the slots of the window at a place."""
+        """What fills the slots of the window at a place, after a sign for the kind of slot: '#' number, 'u' unit, 'n' name."""
         slot = self.wide_slot if wide else self.slot
         start = at - self.starts[self.of[at]]
         own = self.words[self.of[at]][start : start + self.size]
-        return [w.decode("utf-8", "replace").lower() for w, s in zip(own, slot[at : at + self.size], strict=True) if s]
+        kinds = np.where(self.number[at : at + self.size], "#", np.where(self.unit[at : at + self.size], "u", "n"))
+        return [k + w.decode("utf-8", "replace").lower() for w, s, k in zip(own, slot[at : at + self.size], kinds, strict=True) if s]
 
 
 def _hashes(codes: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -112,22 +117,19 @@ def _hashes(codes: np.ndarray, size: int, n: int) -> np.ndarray:
 
 
 #: `wide` marks windows in which a word that begins a sentence is a name.
-SCHEMA = "id long, at int, h long, kind string, wide boolean, fillers array<string>"
-ARROW = pa.schema([("id", pa.int64()), ("at", pa.int32()), ("h", pa.int64()), ("kind", pa.string()), ("wide", pa.bool_()), ("fillers", pa.list_(pa.string()))])
+SCHEMA = "id {}, at int, h long, kind string, wide boolean, fillers array<string>"
+ARROW = [("at", pa.int32()), ("h", pa.int64()), ("kind", pa.string()), ("wide", pa.bool_()), ("fillers", pa.list_(pa.string()))]
 
 
 def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
-    """(id, at, h, kind, wide, fillers, size) of all windows of all items; a shorter item is one window, one without words none."""
+    """(id, at, h, kind, wide, fillers) of all windows of all items; items of fewer words have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
             rows = []
             for item, text in zip(batch.column("id").to_pylist(), utf8(batch.column("text")), strict=True):
-                n = sum(x != b"\x01" for x in tokens_of(text))
-                if not n:
-                    continue
-                w = Windows([text], min(size, n), codes)
+                w = Windows([text], size, codes)
                 usable = w.usable if w.usable.any() else w.whole
                 for at in np.flatnonzero(usable):
                     forms = [("literal", False, w.literal, [])]
@@ -137,46 +139,55 @@ def benchmark_windows(items: DataFrame, size: int) -> DataFrame:
                     # of slots only it would be found anywhere
                     if w.slots[at] < w.wide_slots[at] < w.size:
                         forms.append(("template", True, w.wide, w.fillers(at, True)))
-                    rows += [{"id": item, "at": int(at), "h": int(h[at].view(np.int64)), "kind": k, "wide": x, "fillers": f, "size": w.size} for k, x, h, f in forms]
-            yield pa.RecordBatch.from_pylist(rows, ARROW.append(pa.field("size", pa.int32())))
-
-    return items.mapInArrow(run, SCHEMA + ", size int")
+                    rows += [{"id": item, "at": int(at), "h": int(h[at].view(np.int64)), "kind": k, "wide": x, "fillers": f} for k, x, h, f in forms]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("id", pa.int64()), *ARROW]))
+
+    return items.mapInArrow(run, SCHEMA.format("long"))
+
+
+def bit_table(bench: DataFrame, total: int) -> np.ndarray:
+    """A bit for the leading bits of each hash, built on Spark; its size grows with the number of windows up to a bound."""
+    bits = min(max(LEAST_BITS, total.bit_length() + 10), MOST_BITS)
+    # Spark counts the places of its bitmaps from 1
+    place = F.shiftrightunsigned("h", 64 - bits) + 1
+    blocks = bench.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for row in blocks.toLocalIterator():
+        own = np.frombuffer(bytes(row["bits"]), np.uint8)
+        start = (row["bucket"] - 1) * len(own)
+        out[start : start + len(own)] |= own[: len(out) - start]
+    return out
 
 
-def document_windows(docs: DataFrame, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
-    """(id, at, h, kind, wide, fillers) of the documents' windows of these sizes: of those whose hash is wanted, or of all."""
-    spark = docs.sparkSession
-    given = None if wanted is None else spark.sparkContext.broadcast(wanted)
+def document_windows(docs: DataFrame, size: int, wanted: np.ndarray) -> DataFrame:
+    """(id, at, h, kind, wide, fillers) of those of the documents' windows whose hash has its bit in the table."""
+    given = docs.sparkSession.sparkContext.broadcast(wanted)
+    shift = np.uint64(64 - (len(wanted) * 8).bit_length() + 1)
+    kind_of_id = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
-        keys = None if given is None else given.value
-        if keys is not None:
-            seen = np.zeros(1 << 22, bool)
-            seen[keys.view(np.uint64) >> np.uint64(42)] = True
         for batch in slices(batches, "text", 2_000_000):
-            ids, texts = batch.column("id").to_pylist(), utf8(batch.column("text"))
+            ids, texts = batch.column("id"), utf8(batch.column("text"))
+            schema = pa.schema([("id", ids.type), *ARROW])
             rows = []
-            for size in sizes:
-                w = Windows(texts, size, codes)
-                forms = (
-                    ("literal", False, w.literal, w.whole),
-                    ("template", False, w.template, w.whole & (w.slots > 0)),
-                    ("template", True, w.wide, w.whole & (w.wide_slots > w.slots)),
-                )
-                for kind, wide, hashes, there in forms:
-                    at = np.flatnonzero(there)
-                    if keys is not None:
-                        at = at[seen[hashes[at] >> np.uint64(42)]]
-                        own = hashes[at].view(np.int64)
-                        place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                        at = at[keys[place] == own] if len(keys) else at[:0]
-                    for i in at:
-                        rows.append((ids[w.of[i]], int(i - w.starts[w.of[i]]), int(hashes[i].view(np.int64)), kind, wide, w.fillers(i, wide) if kind == "template" else []))
+            w = Windows(texts, size, codes)
+            forms = (
+                ("literal", False, w.literal, w.whole),
+                ("template", False, w.template, w.whole & (w.slots > 0)),
+                ("template", True, w.wide, w.whole & (w.wide_slots > w.slots)),
+            )
+            names = ids.to_pylist()
+            for kind, wide, hashes, there in forms:
+                at = np.flatnonzero(there)
+                place = hashes[at] >> shift
+                at = at[(given.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                for i in at:
+                    rows.append((names[w.of[i]], int(i - w.starts[w.of[i]]), int(hashes[i].view(np.int64)), kind, wide, w.fillers(i, wide) if kind == "template" else []))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return docs.mapInArrow(run, SCHEMA)
+    return docs.mapInArrow(run, SCHEMA.format(kind_of_id))
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 5, least: float = 0.8) -> DataFrame:
@@ -188,23 +199,26 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 5, least: float
     that begin a sentence as names too. Windows of `size` words of the items'
     templates, and of their words as they are, are joined by hash with those of
     the whole documents. Matches of one alignment count if their slots are
-    consistent: equal fillers of the item have equal fillers in the document
-    (those of the second template together with those of the first). A
-    document holds an item if windows at `least` of the item's places are found;
-    `reparameterised` if not that many are found word by word. Case and ASCII
-    punctuation do not count.
-
-    Null texts count as empty; empty items are in no document. Rows with a null
-    id are left out on both sides; rows that repeat an id are read as one. Empty
-    tables give no rows; further columns are ignored.
+    consistent: equal fillers of the item have equal fillers in the document,
+    and different names or units have different ones (different numbers may
+    come to be equal by chance). Those of the second template must be together
+    with those of the first. A document holds an item if windows at `least` of
+    the item's places are found; `reparameterised` if not that many are found
+    word by word. Case and ASCII punctuation do not count.
+
+    Null texts count as empty. Items of fewer than `size` words are in no
+    document: that few words are in many texts by chance. Rows with a null id
+    are left out on both sides; rows that repeat an id are read as one. Empty
+    tables give no rows; further columns are ignored. doc_id may be a number or
+    a string.
     """
     items = items.select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id IS NOT NULL")
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).filter("id IS NOT NULL AND text <> ''")
-    bench = benchmark_windows(items, size).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("fillers").alias("given"), "kind", F.col("wide").alias("item_wide"), "size").distinct()
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
-    small = bench.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    wanted = np.unique(bench.select("h").distinct().toArrow().column("h").to_numpy()) if small else None
-    found = document_windows(docs, sizes, wanted).withColumnRenamed("id", "doc_id")
+    docs = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string")).filter("id IS NOT NULL AND text <> ''")
+    bench = benchmark_windows(items, size).select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "h", F.col("fillers").alias("given"), "kind", F.col("wide").alias("item_wide")).distinct()
+    bench = cut(bench)
+    windows = bench.count()
+    small = windows <= MOST_BROADCAST
+    found = document_windows(docs, size, bit_table(bench, windows)).withColumnRenamed("id", "doc_id")
     met = found.join(F.broadcast(bench) if small else bench, ["h", "kind"])
     pairs = F.arrays_zip("given", "fillers")
     wide = F.col("wide") | F.col("item_wide")
@@ -212,7 +226,12 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 5, least: float
     lines = met.groupBy("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(
         F.collect_set(F.struct("item_at", "kind", wide.alias("wide"))).alias("places"), gathered(F.when(~wide, pairs)).alias("pairs"), gathered(pairs).alias("wide_pairs")
     )
-    agree = lambda found: F.size(found) == F.size(F.array_distinct(F.transform(found, lambda p: p["given"])))
+
+    def agree(found: str):
+        names = F.filter(found, lambda p: ~p["given"].startswith("#"))
+        each = lambda rows, side: F.size(rows) == F.size(F.array_distinct(F.transform(rows, lambda p: p[side])))
+        return each(F.col(found), "given") & each(names, "fillers")
+
     consistent, wide_consistent = agree("pairs"), agree("wide_pairs")
     # words as they are need no slots to agree
     counts = lambda p: (p["kind"] == "literal") | F.when(p["wide"], wide_consistent).otherwise(consistent)
@@ -240,7 +259,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 5, least: float
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return contamination(docs, table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op1_decontaminate": op1_decontaminate}

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, components, decontaminate, html, mixing, pii, registry, secrets, simhash, suffixes, topk, toxicity
+from tessera.llm import chat, components, decontaminate, html, mixing, pii, registry, secrets, shingles, simhash, suffixes, topk, toxicity
 
 LONG = " ".join(f"word{i % 97} and {i * 7919 % 1009}" for i in range(30_000))
 
@@ -79,7 +79,7 @@ def test_links_lose_nothing_over_tiles(spark):
         for _ in range(dice.randrange(5)):
             prints[i] ^= 1 << dice.randrange(64)
     rows = spark.createDataFrame([(i, p - (1 << 64) * (p >> 63)) for i, p in prints.items()], "doc_id long, fp long")
-    edges = simhash.links(rows, 3, tile=20)
+    edges = simhash.links(rows, 3, group=120)
     label = {r["node"]: r["label"] for r in components.connected_components(edges).collect()}
     groups = defaultdict(set)
     for r in rows.collect():
@@ -90,15 +90,6 @@ def test_links_lose_nothing_over_tiles(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
-def test_wide_links_need_alike_texts(spark):
-    words = [f"w{i}" for i in range(400)]
-    near = [*words[:200], "other", *words[201:]]
-    far = [f"v{i}" for i in range(400)]
-    docs = texts_of(spark, [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))])
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, 5, 64, 0.75).collect()}
-    assert got == {1: 1, 2: 1, 3: 3}
-
-
 def brute_classes(docs, words=5, similarity=0.8):
     """{doc_id: least doc_id} by the Jaccard similarity of all pairs."""
     sets = {}
@@ -150,11 +141,61 @@ def test_similar_texts_against_all_pairs(spark):
         add([*group[: 5 * k], f"o{k}", *group[5 * k + 1 :]])
     for t in ("one", "one two", "One  TWO", "a b c d e", "a b c d f"):
         add(t.split(" "))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(texts_of(spark, rows), 5, similarity=0.8).collect()}
-    assert got == brute_classes(rows)
-    empty = simhash.near_duplicates(texts_of(spark, AWKWARD), 5, similarity=0.8).collect()
-    assert len(empty) == len(AWKWARD) and {r["component_id"] for r in empty if r["doc_id"] in (1, 2, 3)} == {1}
-    assert simhash.near_duplicates(texts_of(spark, []), 5, similarity=0.8).collect() == []
+    docs = texts_of(spark, rows)
+    want = brute_classes(rows)
+    assert least_of_classes(simhash.similar_texts(docs).collect()) == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each_class(docs).collect()) == sorted(set(want.values()))
+    empty = simhash.similar_texts(texts_of(spark, AWKWARD)).collect()
+    assert len(empty) == len(AWKWARD) and len({r["label"] for r in empty if r["doc_id"] in (1, 2, 3)}) == 1
+    assert simhash.similar_texts(texts_of(spark, [])).collect() == []
+
+
+def least_of_classes(rows):
+    least = {}
+    for r in rows:
+        least[r["label"]] = min(least.get(r["label"], r["doc_id"]), r["doc_id"])
+    return {r["doc_id"]: least[r["label"]] for r in rows}
+
+
+def test_a_bucket_of_unlike_texts(spark):
+    """Texts that share most of a long passage, so that bands agree, in many classes of which some are alike."""
+    dice = random.Random(3)
+    common = [f"c{k}" for k in range(150)]
+    rows = []
+    for i in range(120):
+        own = [f"o{i // 3}x{k}" for k in range(70)]
+        for _ in range(i % 3):
+            own[dice.randrange(70)] = f"new{i}"
+        rows.append((i, " ".join([*common, *own])))
+    docs = texts_of(spark, rows)
+    assert least_of_classes(simhash.similar_texts(docs).collect()) == brute_classes(rows)
+
+
+def test_tiles_of_prints_lose_no_similar_sets():
+    dice = np.random.default_rng(4)
+    sets = [dice.integers(0, 1 << 63, 300, np.uint64) for _ in range(40)]
+    sets += [np.concatenate([s[: 268 + i % 4 * 5], dice.integers(0, 1 << 63, 20, np.uint64)]) for i, s in enumerate(sets)]
+    sets += [s[:30] for s in sets[:10]] + [s[:28] for s in sets[:10]]
+    sets = [np.unique(s) for s in sets]
+    sizes = np.array([len(s) for s in sets])
+    prints = shingles.prints_of(np.concatenate(sets), sizes)
+    tile = (sizes, np.arange(len(sets)), prints)
+    i, j = shingles.near_in_tiles(tile, tile, shingles.radius_for(0.8), 0.8, block=500)
+    found = set(zip(i.tolist(), j.tolist(), strict=True))
+    want = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and shingles.jaccard(sets[a], sets[b]) >= 0.8}
+    fine = {(a, b) for a, b in found if min(sizes[a], sizes[b]) >= shingles.COARSE}
+    assert len(want) > 60 and want <= found and len(fine) < 2 * len(want)
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, b = ("aaa " * 3 + "b c d e f g h").strip(), "zzz y x w v u t s r q"
+    rows = [(1, a, "f1", 77), (1, b, "f2", 78), (None, b + " ", "f3", 79), (None, "quite another text of some words here", "f4", 80), (2, a, "f5", 81), (2, a, "f5", 81), (1, a, "f1", 77)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, copy_rank int")
+    got = simhash.one_of_each_class(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[1], rows[3]], key=str)
+    clash = docs.withColumn("row", F.lit("r")).withColumn("_row", F.lit("q")).withColumn("a.b", F.lit(1)).withColumn("label", F.lit(2))
+    assert simhash.one_of_each_class(clash).columns == clash.columns
 
 
 def test_components_of_a_long_path_and_a_star(spark):
@@ -235,6 +276,54 @@ def test_integers(spark):
     rows = [(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, None), (5, [None, 1.0]), (6, [])]
     df = spark.createDataFrame(rows, "i int, e array<double>").select("i", topk.integers(F.col("e")).alias("v"))
     assert {r["i"]: r["v"] for r in df.collect()} == {1: [128, -1], 2: None, 3: None, 4: None, 5: None, 6: []}
+    large = spark.createDataFrame([(1, [1e6, -1e9, 3e16])], "i int, e array<double>").select(topk.integers(F.col("e")).alias("v"))
+    assert large.first()["v"] == [256_000_000, -256_000_000_000, 3 * 10**16 * 256]
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        spark.createDataFrame([([1e300],)], "e array<double>").select(topk.integers(F.col("e"))).collect()
+
+
+def best_by_brute_force(rows, is_query, k=5):
+    """{query: [(vec_id, score)]} where rows of one id are one candidate and one query."""
+    out = {}
+    for q in {i for i, _ in rows if is_query(i)}:
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = max(sum(a * b for a, b in zip(u, v, strict=True)) for j, u in rows if j == q) if i not in best else max(best[i], *(sum(a * b for a, b in zip(u, v, strict=True)) for j, u in rows if j == q))
+        out[q] = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+    return out
+
+
+def found_best(df, is_query, **more):
+    got = defaultdict(list)
+    for r in topk.top_k(df, is_query, 5, **more).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    return dict(got)
+
+
+@pytest.mark.parametrize("large", [10**6, 10**9, 2 * 10**9])
+def test_top_k_of_large_components(spark, large):
+    """Sums beyond 2^53, and products and sums that leave 64 bits only for pairs that are not asked for or stay within it."""
+    dice = np.random.default_rng(8)
+    rows = [(i, [int(x) for x in dice.integers(-large, large, 4)] if i % 3 else [int(x) for x in dice.integers(-5, 5, 4)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = found_best(df, F.col("vec_id") % 50 == 0, lead=2, query_block=2, chunk=16)
+    assert got == best_by_brute_force(rows, lambda i: i % 50 == 0)
+
+
+def test_top_k_beyond_64_bits_is_an_error(spark):
+    df = spark.createDataFrame([(0, [1 << 40]), (1, [1 << 40]), (2, [1])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        topk.top_k(df, F.col("vec_id") == 0).collect()
+    assert found_best(spark.createDataFrame([(0, [1 << 40]), (1, [-(1 << 40)]), *((i, [i]) for i in range(2, 9))], "vec_id long, v array<long>"), F.col("vec_id") == 0) == {0: [(i, i << 40) for i in range(8, 3, -1)]}
+
+
+def test_top_k_of_repeated_ids(spark):
+    dice = np.random.default_rng(9)
+    rows = [(i % 40 if i % 7 else 0, [int(x) for x in dice.integers(-9, 9, 6)]) for i in range(160)] + [(7, [9] * 6)] * 5
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = found_best(df, F.col("vec_id") % 10 == 0, lead=2, query_block=3, chunk=8)
+    assert got == best_by_brute_force(rows, lambda i: i % 10 == 0)
 
 
 def test_top_k_of_nothing(spark):
@@ -420,6 +509,15 @@ def test_contamination(spark):
     # one name of two different ones in the same place is not a consistent change
     assert (7, 1) not in got or got[7, 1]["coverage"] < 1.0
     assert held(spark, [], [(1, ITEM)]) == {} and held(spark, docs, []) == {}
+    # a word or two are in many texts by chance
+    assert held(spark, docs, [(1, "Boston"), (2, "Alice sits down")]) == {}
+
+
+def test_two_names_do_not_become_one(spark):
+    item = "At the harbour Alice sold the old boat to Bruno and then Carla paid Alice for the sails of Bruno"
+    one = item.replace("Alice", "Dora").replace("Bruno", "Dora")
+    two = item.replace("Alice", "Dora").replace("Bruno", "Emil").replace("Carla", "Fanny")
+    assert set(held(spark, [(1, one), (2, two)], [(1, item)])) == {(2, 1)}
 
 
 @pytest.mark.parametrize(
@@ -449,11 +547,23 @@ def test_names_that_begin_sentences_must_agree(spark):
     assert set(got) == {(2, 2)}
 
 
-def test_contamination_without_broadcast(spark, monkeypatch):
+def test_contamination_without_broadcast_or_bits(spark, monkeypatch):
+    """Whatever the size of the table of bits and of the benchmark, the result is the same."""
     docs, items = [(1, f"x {ITEM} y"), (2, "nothing here at all to see")], [(1, ITEM), (2, "short one")]
     want = {k: tuple(v) for k, v in held(spark, docs, items).items()}
     monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 3)
-    assert {k: tuple(v) for k, v in held(spark, docs, items).items()} == want
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 3)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 4)
+    assert want and {k: tuple(v) for k, v in held(spark, docs, items).items()} == want
+
+
+def test_bit_table_holds_each_hash(spark):
+    dice = random.Random(6)
+    hashes = [dice.getrandbits(64) - (1 << 63) for _ in range(500)] + [0, -1, 1 << 44, (1 << 63) - 1]
+    table = decontaminate.bit_table(spark.createDataFrame([(h,) for h in hashes], "h long"), len(hashes))
+    shift = 64 - (len(table) * 8).bit_length() + 1
+    places = {(h % (1 << 64)) >> shift for h in hashes}
+    assert {int(p) for p in np.flatnonzero(np.unpackbits(table, bitorder="little"))} == places
 
 
 def test_planted_passages(spark):
@@ -536,6 +646,10 @@ def test_mixing(spark):
     assert abs(n["small"] / len(got) - 0.75) < 0.03 and abs(len(got) - 6000) < 400 and set(n) == {"big", "small"}
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7), weights).collect()))
     assert max(Counter(r["doc_id"] for r in got if r["source"] == "small").values()) == max(r["copy"] for r in got if r["source"] == "small")
+    clash = docs.select("doc_id", "text", "source", *(F.lit(77).alias(c) for c in ("rate", "_rate", "Times", "of_source", "n", "weight", "a.b", "SHUFFLE_KEY")))
+    mixed = mixing.mix_sources(clash, weights)
+    assert mixed.columns == [*clash.columns[:-1], "copy", "shuffle_key"]
+    assert Counter(tuple(r)[:10] for r in mixed.collect()) == Counter((r["doc_id"], r["text"], r["source"], *[77] * 7) for r in got)
     assert mixing.mix_sources(docs.limit(0)).collect() == []
 
 
