@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import math
 import random
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import planted
 from tessera.llm.common import slices, strings, table
+from tessera.llm.crf import Model, Words, fit, spans_of, tokens_of
 from tessera.llm.pii import joined, number
 
 KINDS = ("assign", "access", "hex")
@@ -37,317 +35,123 @@ def rules(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-OUT, BEGIN, INSIDE = range(3)
-TOKEN = re.compile(r"\w[\w+/-]*|[^\w\s]")
-#: Where a secret may be: a word of eight characters with a digit, a very long word, or one that announces a secret.
-DIGITS = re.compile(r"[0-9]+")
-LONG = re.compile(r"\S{24,}")
-CUE_PARTS = ("passw", "secret", "token", "apikey", "api_key", "bearer", "credential", "private")
-CUE_WORD = re.compile(r"(?ai:passw|secret|token|api_?key|bearer|credential|private)\S*")
-CUES = re.compile(r"(?ai)pass(?:word|wd|phrase)?|secret|token|api_?key|key|bearer|auth\w*|credential\w*|private|pwd")
-#: So many words on both sides of an odd one are read with it.
-AROUND = 4
-
-
-def odd_words(text: str) -> list[tuple[int, int]]:
-    out, last = [], 0
-    for m in DIGITS.finditer(text):
-        if m.start() < last:
-            continue
-        start, last, n = m.start(), m.end(), len(text)
-        while start and not text[start - 1].isspace():
-            start -= 1
-        while last < n and not text[last].isspace():
-            last += 1
-        if last - start >= 8:
-            out.append((start, last))
-    out += [m.span() for m in LONG.finditer(text)]
-    lower = text.lower()
-    if any(w in lower for w in CUE_PARTS):
-        out += [m.span() for m in CUE_WORD.finditer(text)]
-    return sorted(out)
-
-
-def shape(token: str) -> str:
-    """Kinds of characters, their mixture and the length's power of two; one name for all plain words."""
-    if len(token) == 1 and not token.isalnum():
-        return token
-    kinds = "".join(
-        k for k, there in (("d", any(map(str.isdigit, token))), ("a", any(map(str.islower, token))), ("A", any(map(str.isupper, token))), ("+", not token.isalnum())) if there
-    )
-    if "d" not in kinds and len(token) < 20:
-        return "word"
-    return f"{kinds}{len(token).bit_length()}{'h' if HEX.fullmatch(token) else ''}"
-
-
-def variety(token: str) -> str:
-    n = len(token)
-    return f"e{round(2 * -sum(c / n * math.log2(c / n) for c in Counter(token).values()))}"
-
-
-def file_features(text: str) -> list[str]:
-    """Of the whole file: how it is written, not what it says."""
-    head = f"file:{'=' in text and '=' or ''}{'{' in text and '{' or ''}{';' in text and ';' or ''}"
-    return [head, f"file:len{len(text).bit_length() // 2}"]
-
-
-@dataclass
-class Region:
-    """Consecutive tokens of a text with their features."""
-
-    spans: list[tuple[int, int]]
-    features: list[list[str]]
+#: About so many documents are read for passages to plant secrets in; of passages so many are used at most, those of the least hash.
+TRAINING_DOCS, PASSAGES = 20_000, 4_000
+#: A passage has about so many words.
+PASSAGE_WORDS = 40
 
 
-def regions(text: str) -> list[Region]:
-    """The neighbourhoods of all odd words; what lies between them is plain and cannot be part of a secret."""
-    pieces: list[list[int]] = []
-    for start, end in odd_words(text):
-        for _ in range(AROUND):
-            start = max(text.rfind(" ", 0, max(start - 1, 0)), text.rfind("\n", 0, max(start - 1, 0)), 0)
-            nexts = [x for x in (text.find(" ", end + 1, end + 64), text.find("\n", end + 1, end + 64)) if x >= 0]
-            end = min(nexts, default=min(len(text), end + 64))
-        if pieces and start <= pieces[-1][1]:
-            pieces[-1][1] = max(end, pieces[-1][1])
-        else:
-            pieces.append([start, end])
-    if not pieces:
-        return []
-    of_file = file_features(text)
-    out = []
-    for start, end in pieces:
-        found = list(TOKEN.finditer(text, start, end))
-        shapes = ["<s>", "<s>", *(shape(m[0]) for m in found), "</s>", "</s>"]
-        cue = -9
-        features = []
-        for i, m in enumerate(found):
-            k = i + 2
-            own = [
-                f"s:{shapes[k]}", f"p:{shapes[k - 1]}", f"pp:{shapes[k - 2]}", f"n:{shapes[k + 1]}", f"ps:{shapes[k - 1]}/{shapes[k]}",
-                f"sn:{shapes[k]}/{shapes[k + 1]}", f"cue:{min(i - cue, 5)}/{shapes[k]}", *(f"{f}/{shapes[k] != 'word'}" for f in of_file),
-            ]
-            if shapes[k] != "word" and len(m[0]) > 1:
-                own += [variety(m[0]), f"{m[0][:4]}", f"len{min(len(m[0]), 48)}"]
-            if i and found[i - 1].end() == m.start():
-                own.append(f"tight/{shapes[k]}")
-            features.append(own)
-            if CUES.fullmatch(m[0]):
-                cue = i
-                own.append("is-cue")
-        if found:
-            out.append(Region([m.span() for m in found], features))
-    return out
-
-
-def tags(region: Region, spans: list[tuple[int, int, str]]) -> list[int]:
-    """B, I or O for each token, from spans of secrets."""
-    out, now = [], None
-    for start, end in region.spans:
-        inside = next((s for s in spans if s[0] <= start and end <= s[1]), None)
-        out.append(OUT if inside is None else INSIDE if inside is now else BEGIN)
-        now = inside
-    return out
-
-
-@dataclass
-class Model:
-    """Weights of the features and of the transitions, in log space."""
-
-    index: dict[str, int]
-    emit: np.ndarray
-    move: np.ndarray
-
-    def rows(self, region: Region) -> list[list[int]]:
-        get = self.index.get
-        return [[j for f in own if (j := get(f)) is not None] for own in region.features]
-
-    def scores(self, region: Region) -> np.ndarray:
-        """A plain word that no cue stands before is never secret: that is part of the model, and why regions can be read apart."""
-        out = np.zeros((len(region.spans), 3))
-        for i, own in enumerate(self.rows(region)):
-            if own:
-                out[i] = self.emit[own].sum(axis=0)
-            if "s:word" in region.features[i]:
-                out[i, 1:] = -1e6
-        return out
-
+def passages(docs: DataFrame, most: int = PASSAGES, documents: int = TRAINING_DOCS) -> list[tuple[str, list[tuple[int, int]]]]:
+    """Passages of a bounded sample of documents with the spans that the rules find in them: the same on each run.
 
-def viterbi(scores: np.ndarray, move: np.ndarray) -> list[int]:
-    """The likeliest tags; a secret cannot start with INSIDE."""
-    best, back = scores[0] + np.array([0, 0, -1e6]), []
-    for now in scores[1:]:
-        paths = best[:, None] + move
-        back.append(paths.argmax(axis=0))
-        best = paths.max(axis=0) + now
-    out = [int(best.argmax())]
-    for step in reversed(back):
-        out.append(int(step[out[-1]]))
-    return out[::-1]
-
-
-def fit(examples: list[tuple[list[list[str]], list[int]]], epochs: int = 40, penalty: float = 1e-3, rare: int = 2) -> Model:
-    """Maximise the penalised conditional likelihood by adaptive gradient steps over all examples at once."""
-    counts = Counter(f for features, _ in examples for own in features for f in own)
-    index = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= rare))}
-    emit, move = np.zeros((len(index) + 1, 3)), np.zeros((3, 3))
-    blocked = np.zeros((3, 3))
-    blocked[OUT, INSIDE] = -1e6
-    if not examples or not index:
-        return Model(index, emit[:-1], move + blocked)
-    examples = sorted(examples, key=lambda x: len(x[1]))
-    batches = []
-    for i in range(0, len(examples), 512):
-        part = examples[i : i + 512]
-        n, wide = len(part[-1][1]), max(len(own) for features, _ in part for own in features)
-        at = np.full((len(part), n, wide), len(index))
-        gold, there, plain = np.zeros((len(part), n), int), np.zeros((len(part), n), bool), np.zeros((len(part), n), bool)
-        for k, (features, wanted) in enumerate(part):
-            for t, own in enumerate(features):
-                ids = [index[f] for f in own if f in index]
-                at[k, t, : len(ids)] = ids
-                plain[k, t] = "s:word" in own
-            gold[k, : len(wanted)], there[k, : len(wanted)] = wanted, True
-        gold[plain] = OUT
-        batches.append((at, gold, there, plain))
-    seen_e, seen_m = np.full_like(emit, 1e-8), np.full_like(move, 1e-8)
-    for _ in range(epochs):
-        for at, gold, there, plain in batches:
-            score = emit[at].sum(axis=2)
-            score[plain, 1:] = -1e6
-            node, edge = marginals(score, move + blocked, there)
-            one = np.eye(3)[gold] * there[..., None]
-            error = node - one
-            grad = np.zeros_like(emit)
-            np.add.at(grad, at, error[:, :, None, :])
-            grad[-1] = 0
-            both = (there[:, 1:] & there[:, :-1])[..., None, None]
-            pairs = np.eye(3)[gold[:, :-1]][..., :, None] * np.eye(3)[gold[:, 1:]][..., None, :] * both
-            grad_m = edge - pairs.sum(axis=(0, 1))
-            size = len(at)
-            grad, grad_m = grad / size + penalty * emit, grad_m / size + penalty * move
-            seen_e += grad**2
-            seen_m += grad_m**2
-            emit -= 0.3 * grad / np.sqrt(seen_e)
-            move -= 0.3 * grad_m / np.sqrt(seen_m)
-    return Model(index, emit[:-1], move + blocked)
-
-
-def marginals(score: np.ndarray, move: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tag probabilities of each token and expected transitions, by the forward and backward sums."""
-    n, t, _ = score.shape
-
-    def total(x: np.ndarray, axis: int) -> np.ndarray:
-        top = x.max(axis=axis, keepdims=True)
-        return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-    forward, backward = np.zeros_like(score), np.zeros_like(score)
-    forward[:, 0] = score[:, 0] + np.array([0, 0, -1e6])
-    for i in range(1, t):
-        step = total(forward[:, i - 1, :, None] + move, 1) + score[:, i]
-        forward[:, i] = np.where(there[:, i, None], step, forward[:, i - 1])
-    for i in range(t - 2, -1, -1):
-        step = total(move + (score[:, i + 1] + backward[:, i + 1])[:, None, :], 2)
-        backward[:, i] = np.where(there[:, i + 1, None], step, 0)
-    norm = total(forward[:, -1], 1)
-    node = np.exp(forward + backward - norm[:, None, None]) * there[..., None]
-    edges = np.exp(forward[:, :-1, :, None] + move + (score + backward)[:, 1:, None, :] - norm[:, None, None, None])
-    return node, (edges * there[:, 1:, None, None]).sum(axis=(0, 1))
-
-
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"
-
-
-def disguise(text: str, spans: list[tuple[int, int, str]]) -> str:
-    """The text with secrets of as many characters of a larger alphabet, so that the tagger learns from their surroundings too."""
-    dice = random.Random(zlib.crc32(text.encode()))
-    for start, end, _ in spans:
-        for m in re.finditer(r"[A-Za-z0-9]{12,}", text[start:end]):
-            new = "".join(dice.choice(ALPHABET) for _ in m[0])
-            text = text[: start + m.start()] + new + text[start + m.end() :]
-    return text
-
-
-#: About so many documents are read to fit the model, twice as many at most but for chance, picked by a hash; as labels they get what the rules find.
-TRAINING_DOCS = 20_000
-
-
-def train(docs: DataFrame, most: int = TRAINING_DOCS, empty: int = 4000) -> Model:
-    """A model from a bounded sample of documents, where the rules' spans are the labels.
-
-    Of regions without a secret `empty` at most are used, those of the least hash.
+    Of each document that a hash of doc_id and text picks one passage is taken,
+    and one around a word that is not of letters only, if there is one.
     """
     n = docs.count()
-    every = max(1, n // most)
+    every = max(1, n // documents)
     # the hash takes doc_id too, so that a text of very many copies is not in the sample as a whole
-    picked = F.pmod(F.xxhash64("doc_id", "text"), F.lit(every)) == 0
-    sample = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(picked).select("text")
+    order = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    sample = docs.select(F.col("text").cast("string"), order.alias("h")).filter(F.pmod(F.col("h"), F.lit(every)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            features, wanted = [], []
-            for text in strings(batch.column("text")):
-                spans = rules(text)
-                for shown in (text, disguise(text, spans)) if spans else (text,):
-                    for region in regions(shown):
-                        # a long region teaches by its first part
-                        features.append(region.features[:120])
-                        wanted.append(tags(region, spans)[:120])
-            yield pa.RecordBatch.from_arrays([pa.array(features, pa.list_(pa.list_(pa.string()))), pa.array(wanted, pa.list_(pa.int32()))], ["features", "tags"])
-
-    found = sample.mapInArrow(run, "features array<array<string>>, tags array<int>").withColumn("secret", F.array_max("tags") > 0)
-    chosen = found.filter("secret").limit(most).unionByName(found.filter("NOT secret").orderBy(F.xxhash64("features")).limit(empty))
-    rows = chosen.toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["features"], r["tags"]))
-    return fit([(r["features"], r["tags"]) for r in rows])
-
-
-def predict(model: Model, text: str) -> list[tuple[int, int]]:
-    out = []
-    for region in regions(text):
-        now = None
-        for tag, (start, end) in zip(viterbi(model.scores(region), model.move), region.spans, strict=True):
-            if tag == OUT:
-                now = None
-            elif tag == INSIDE and now is not None:
-                out[now] = (out[now][0], end)
-            else:
-                now = len(out)
-                out.append((start, end))
-    return out
+            out = []
+            for text, h in zip(strings(batch.column("text")), batch.column("h").to_pylist(), strict=True):
+                words = text.split(" ")
+                odd = [i for i, w in enumerate(words) if not w.rstrip(".,;:!?").isalpha()]
+                for place in [h % len(words), *([odd[h % len(odd)]] if odd else [])]:
+                    start = max(0, place - PASSAGE_WORDS // 2)
+                    out.append((" ".join(w[:200] for w in words[start : start + PASSAGE_WORDS]), zlib.crc32(f"{h}/{place}".encode())))
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([k for _, k in out], pa.int64())], ["passage", "k"])
+
+    found = sample.mapInArrow(run, "passage string, k long").distinct().orderBy("k", "passage").limit(most)
+    return [(r["passage"], _values(r["passage"])) for r in found.collect()]
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """Where the rules' secrets are, without the names that they are assigned to; none overlapping another."""
+    spans = []
+    for start, end, kind in rules(text):
+        at = ASSIGN.match(text, start).start(2) if kind == "assign" else start
+        if not spans or at >= spans[-1][1]:
+            spans.append((at, end))
+    return spans
+
+
+def labelled(given: list[tuple[str, list[tuple[int, int]]]], kinds: tuple[str, ...] = tuple(planted.SECRETS), seed: int = 7) -> tuple[list[str], list[list[tuple[int, int]]]]:
+    """Texts and their secrets' spans: half of the passages as they are, the others with planted secrets and decoys."""
+    dice = random.Random(seed)
+    texts, spans = [], []
+    for i, (passage, own) in enumerate(given):
+        if i % 2 == 0:
+            texts.append(passage)
+            spans.append(own)
+        if i % 2 or own:
+            shown, added, _ = planted.example(passage, dice, kinds, secrets=dice.choice([0, 1, 1, 2]))
+            texts.append(shown)
+            spans.append(_joined(added, _values(shown)))
+    return texts, spans
+
+
+def _joined(first: list[tuple[int, int]], more: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    return sorted(first + [m for m in more if all(m[1] <= a or b <= m[0] for a, b in first)])
+
+
+def train(docs: DataFrame, most: int = PASSAGES) -> Model:
+    """A tagger fitted on passages of the documents with planted secrets of many kinds, with decoys, and with what the rules find.
+
+    The sample is bounded by PASSAGES and the same on each run. Null texts count
+    as empty; repeated rows and repeated passages count once; ties of the
+    sample's hash go by the passage. Of an empty table nothing is learned: the
+    model tags nothing.
+    """
+    return fit(*labelled(passages(docs, most)))
+
+
+def predict(model: Model, texts: list[str], words: Words | None = None) -> list[list[tuple[int, int]]]:
+    """The spans that the tagger finds in each text."""
+    tokens = tokens_of(texts, words or Words(model.lexicon))
+    return spans_of(model.tags(tokens), tokens, texts)
 
 
 def find_secrets(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, base, more): arrays of (kind, start, end) in code points of the whole text, end exclusive.
 
     `base` holds what the rules find, by start and kind; `more` (kind "crf") the
-    secrets that the tagger finds apart from these. Without a model one is
-    fitted on the documents. Null text counts as empty; doc_id may be null or
-    repeated; one row a document; an empty table gives no rows; further columns
-    are ignored.
+    secrets that the tagger finds apart from these, all tokens of the whole text
+    being decoded by Viterbi. Without a model one is fitted on the documents.
+    Null text counts as empty; doc_id may be null or repeated; one row a
+    document; an empty table gives no rows; further columns are ignored.
     """
-    model = train(docs) if model is None else model
+    model = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
     spans = "array<struct<kind:string,start:int,end:int>>"
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        words = Words(model.value.lexicon)
+        for batch in slices(batches, "text", 2_000_000):
+            texts = strings(batch.column("text"))
             base, more = [], []
-            for text in strings(batch.column("text")):
+            for text, tagged in zip(texts, predict(model.value, texts, words), strict=True):
                 found = rules(text)
                 base.append([{"kind": k, "start": s, "end": e} for s, e, k in found])
-                more.append([{"kind": "crf", "start": s, "end": e} for s, e in predict(model, text) if all(e <= a or b <= s for a, b, _ in found)])
+                more.append([{"kind": "crf", "start": s, "end": e} for s, e in tagged if all(e <= a or b <= s for a, b, _ in found)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(base, kind), pa.array(more, kind)], ["doc_id", "base", "more"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, base {spans}, more {spans}")
 
 
 def mask_secrets(docs: DataFrame, model: Model | None = None, mask: str = "[secret]") -> DataFrame:
-    """The documents with each secret's span replaced by the mask, and n_chars, if there, the new length. Null text stays null."""
-    model = train(docs) if model is None else model
+    """The documents with each secret's span replaced by the mask, and n_chars, if there, the new length.
 
-    def masked(text: str) -> str:
+    Null text stays null; repeated rows stay; an empty table stays empty; all
+    other columns stay as they are, whatever their names.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
+
+    def masked(text: str, tagged: list[tuple[int, int]]) -> str:
         out, last = [], 0
-        spans = sorted([(s, e) for s, e, _ in rules(text)] + predict(model, text))
+        spans = sorted([(s, e) for s, e, _ in rules(text)] + tagged)
         for start, end in spans:
             if start >= last:
                 out += [text[last:start], mask]
@@ -355,8 +159,11 @@ def mask_secrets(docs: DataFrame, model: Model | None = None, mask: str = "[secr
         return "".join(out) + text[last:] if spans else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            texts = [None if t is None else masked(t) for t in batch.column("text").to_pylist()]
+        words = Words(model.value.lexicon)
+        for batch in slices(batches, "text", 2_000_000):
+            given = batch.column("text").to_pylist()
+            tagged = predict(model.value, [t or "" for t in given], words)
+            texts = [None if t is None else masked(t, spans) for t, spans in zip(given, tagged, strict=True)]
             names = batch.schema.names
             columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names)

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, components, decontaminate, html, mixing, pii, registry, secrets, shingles, simhash, suffixes, topk, toxicity
+from tessera.llm import chat, components, crf, decontaminate, html, mixing, pii, planted, registry, secrets, shingles, simhash, suffixes, topk, toxicity
 
 LONG = " ".join(f"word{i % 97} and {i * 7919 % 1009}" for i in range(30_000))
 
@@ -408,45 +408,107 @@ def test_secret_rules():
         assert [(s, secrets.KINDS.index(k), e) for s, e, k in secrets.rules(text)] == brute_secrets(text), text
 
 
-def test_viterbi_against_all_paths():
+def path_score(scores, move, p):
+    """Of tokens that stand between two that are outside."""
+    whole = (0, *p, 0)
+    return scores[range(len(p)), p].sum() + sum(move[a, b] for a, b in zip(whole, whole[1:], strict=False))
+
+
+def test_best_tags_against_all_paths():
+    """Decoding only what is not surely outside gives the best path over all tokens."""
     dice = np.random.default_rng(0)
-    for _ in range(30):
-        scores, move = dice.normal(size=(5, 3)), dice.normal(size=(3, 3))
-        paths = [(scores[range(5), p].sum() + sum(move[a, b] for a, b in zip(p, p[1:], strict=False)), p) for p in np.ndindex(3, 3, 3, 3, 3) if p[0] != secrets.INSIDE]
-        assert secrets.viterbi(scores, move) == list(max(paths)[1])
+    for scale in (1.0, 3.0, 8.0):
+        for _ in range(40):
+            n = 6
+            scores, move = dice.normal(size=(n, 3)) * scale + np.array([scale / 2, 0, 0]), dice.normal(size=(3, 3)) + crf.blocked()
+            want = max(np.ndindex(*[3] * n), key=lambda p: path_score(scores, move, p))
+            ends = np.array([[0, crf.NEVER, crf.NEVER]])
+            bounds = np.array([True, *[False] * n, True])
+            got = crf.best_tags(np.concatenate([ends, scores, ends]), move, bounds)
+            assert tuple(got[1:-1]) == want
+            assert tuple(crf.viterbi(scores[None], move)[0]) == want == tuple(crf.viterbi(np.repeat(scores[None], 9, axis=0), move)[8])
 
 
 def test_marginals_against_all_paths():
     dice = np.random.default_rng(1)
-    score, move = dice.normal(size=(1, 4, 3)), dice.normal(size=(3, 3))
-    node, _ = secrets.marginals(score, move, np.ones((1, 4), bool))
-    total, want = 0.0, np.zeros((4, 3))
+    score, move = dice.normal(size=(1, 4, 3)), dice.normal(size=(3, 3)) + crf.blocked()
+    node, moves = crf.marginals(score, move, np.ones((1, 4), bool))
+    total, want, pairs = 0.0, np.zeros((4, 3)), np.zeros((3, 3))
     for p in np.ndindex(3, 3, 3, 3):
-        if p[0] != secrets.INSIDE:
-            w = math.exp(score[0, range(4), p].sum() + sum(move[a, b] for a, b in zip(p, p[1:], strict=False)))
-            total += w
-            want[range(4), p] += w
-    assert np.allclose(node[0], want / total)
-
-
-def test_tagger_on_held_out_documents(spark, data):
-    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+        w = math.exp(path_score(score[0], move, p))
+        total += w
+        want[range(4), p] += w
+        for a, b in zip((0, *p), (*p, 0), strict=True):
+            pairs[a, b] += w
+    assert np.allclose(node[0], want / total) and np.allclose(moves, pairs / total)
+
+
+def test_tokens_of_many_texts_are_those_of_each():
+    texts = ["a password is Ab3dEf! (really)", "", "  \n", "x=1; y", "tail"]
+    lexicon = crf.Lexicon()
+    words = crf.Words(lexicon)
+    crf.tokens_of(texts, words)
+    together = crf.tokens_of(texts, words)
+    apart = [crf.tokens_of([t], words) for t in texts]
+    for i, f in enumerate(together.features):
+        assert f[~together.bound()].tolist() == [x for one in apart for x in one.features[i][~one.bound()].tolist()]
+    tags = np.where(together.bound(), 0, 1).astype(np.int8)
+    assert [[t[a:b] for a, b in spans] for t, spans in zip(texts, crf.spans_of(tags, together, texts), strict=True)] == [crf.TOKEN.findall(t) for t in texts]
+
+
+def passages_of(texts, dice):
+    out = []
+    for t in texts:
+        w = (t or "").split(" ")
+        k = dice.randrange(len(w))
+        p = " ".join(w[max(0, k - 20) : k + 20])
+        out.append((p, secrets._values(p)))
+    return out
 
-    def examples(texts):
-        for t in texts:
-            spans = secrets.rules(t)
-            for shown in (t, secrets.disguise(t, spans)):
-                for r in secrets.regions(shown):
-                    yield r.features, secrets.tags(r, spans)
 
-    model = secrets.fit(list(examples(docs[:700])))
-    there = hits = false = 0
-    for t in docs[700:]:
-        found, spans = secrets.predict(model, t), secrets.rules(t)
-        there += len(spans)
-        hits += sum(any(a < e and s < b for a, b in found) for s, e, _ in spans)
-        false += sum(all(b <= s or e <= a for s, e, _ in spans) for a, b in found)
-    assert there > 5 and hits >= 0.8 * there and false <= 0.3 * there
+def test_tagger_on_kinds_it_has_not_seen(spark):
+    """Recall by kind on other documents, for kinds that were planted in training and for those held out; and false alarms."""
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 6000").orderBy("doc_id").collect()]
+    dice = random.Random(4)
+    seen = tuple(k for k in planted.SECRETS if k not in planted.UNSEEN)
+    model = crf.fit(*secrets.labelled(passages_of(docs[:2500], dice), seen))
+    for kinds, least, mean in ((seen, 0.75, 0.95), (planted.UNSEEN, 0.6, 0.9)):
+        shown = [planted.example(p, dice, kinds) for p, _ in passages_of(docs[2500:3700], dice)]
+        hits, there, false = Counter(), Counter(), 0
+        for (text, spans, names), found in zip(shown, secrets.predict(model, [t for t, _, _ in shown]), strict=True):
+            for (a, b), k in zip(spans, names, strict=True):
+                there[k] += 1
+                hits[k] += any(min(e, b) - max(s, a) > 0.8 * (b - a) for s, e in found)
+            known = spans + secrets._values(text)
+            false += sum(all(e <= a or b <= s for a, b in known) for s, e in found)
+        recall = {k: hits[k] / there[k] for k in there}
+        assert min(recall.values()) >= least and sum(recall.values()) / len(recall) >= mean, recall
+        assert false <= 12
+    plain = [t for t in docs[4000:6000] if t and not secrets.rules(t)]
+    assert sum(map(len, secrets.predict(model, plain))) <= 2
+    said = "my password is SwordfishTrout ok", "use the token QwErTyUiOpAsDfGhJkLz now", "pwd hunter2 and no more", "curl -H 'Authorization: Bearer abcDEF123ghiJKL456'"
+    assert [[t[a:b] for a, b in f] for t, f in zip(said, secrets.predict(model, list(said)), strict=True)] == [["SwordfishTrout"], ["QwErTyUiOpAsDfGhJkLz"], ["hunter2"], ["abcDEF123ghiJKL456"]]
+
+
+def test_training_is_the_same_on_each_run(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    a, b = secrets.passages(docs, 50), secrets.passages(docs.repartition(5), 50)
+    assert a == b and len(a) == 50 and secrets.passages(docs.limit(0)) == []
+    one, two = crf.fit(*secrets.labelled(a), epochs=3), crf.fit(*secrets.labelled(b), epochs=3)
+    assert all((x == y).all() for x, y in zip(one.emit, two.emit, strict=True)) and (one.move == two.move).all()
+
+
+def test_secrets_query(spark, data):
+    """Counts, order and digest of the base spans against the contract, and spans that the tagger adds on planted secrets only."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    for r in registry.queries()["op7_secrets"](spark, data).collect():
+        base = brute_secrets(docs[r["doc_id"]])
+        shown = [f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in base]
+        assert [r[f"n_{k}"] for k in secrets.KINDS] == [sum(x[1] == i for x in base) for i in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(shown).encode()).hexdigest()
+        every = r["spans"].split(",") if r["spans"] else []
+        assert [x for x in every if not x.startswith("crf")] == shown
+        assert [int(x.split(":")[1]) for x in every] == sorted(int(x.split(":")[1]) for x in every)
 
 
 def test_secrets_awkward(spark):
@@ -455,7 +517,7 @@ def test_secrets_awkward(spark):
     assert len(got) == len(rows)
     assert [tuple(s) for r in got if r["doc_id"] == 9 for s in r["base"]] == [("assign", 0, 21)]
     assert secrets.find_secrets(texts_of(spark, [])).collect() == []
-    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(texts_of(spark, rows), secrets.fit([])).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secrets.mask_secrets(texts_of(spark, rows), crf.fit([], [])).collect()}
     assert masked[9] == "[secret]" and masked[1] is None and masked[2] == ""
 
 
