@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,41 +17,74 @@ from tessera.llm.common import cut, slices, strings, table
 MOST_BROADCAST = 50_000
 # Elements by what they do in a page (fixed values)
 CONTAINERS = frozenset("html head body main article section div header footer nav aside form figure table tbody thead tr td th ul ol dl center details dialog menu fieldset blockquote".split())
-BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr br address caption figcaption summary title option legend".split())
-RAW = frozenset("script style textarea noscript template iframe svg math select button object canvas audio video title".split())
+TEXT_BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address caption figcaption summary legend option".split())
+BLOCKS = CONTAINERS | TEXT_BLOCKS | frozenset("hr br title".split())
+#: Their content is no markup, up to their end tag or that of the page.
+RAW = frozenset("script style textarea title noscript iframe template".split())
+#: Controls and drawings, whose content is left out if they are closed somewhere.
+CONTROLS = frozenset("svg select button canvas audio video".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: They end where the next one starts, or what they are in ends.
+IMPLIED_END = frozenset("p li dt dd option".split())
 BOILERPLATE = frozenset("head header footer nav aside form menu dialog fieldset".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts of a class, id or role name that mark what is not the article.
 NOT_TEXT = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
     "newsletter subscribe subscription signup login menu menubar nav navbar navigation topnav breadcrumb breadcrumbs sidebar aside widget widgets related recommended "
     "recommendations share sharing social comment comments disqus discussion respond reply replies footer header masthead topbar pagination pager search hidden copyright "
-    "complementary contentinfo banner navigation".split()
+    "complementary contentinfo".split()
 )
+#: Of headings these tell where they are, not what they are.
+OF_HEADINGS = frozenset("header banner masthead".split())
 TEXTUAL = frozenset("article content main post entry story body text".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+FORM_END = re.compile(r"</form(?=[\s/>])", re.IGNORECASE)
+HOLDS_ARTICLE = re.compile(r"<(?:article|main|h1)\b", re.IGNORECASE)
 DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[a-z]+")
 
 
-@dataclass
-class Node:
-    """A container: where it stands, whether it counts, its pieces of text."""
-
-    parent: int
-    tag: str
-    path: str
-    out: bool
-    own: int = 0
-    linked: int = 0
-    textual: bool = False
+class Page:
+    """Elements in order of their start tags, each by its number: where it stands, whether it counts, how much text it has.
 
+    A path is a number, too; `paths` has that of each pair of a path and a
+    further step, so that nothing grows with the square of the depth.
+    """
 
-@dataclass
-class Page:
-    nodes: list[Node] = field(default_factory=list)
-    #: (node, text, whether a block ends before it, whether it is in a link)
-    pieces: list[tuple[int, str, bool, bool]] = field(default_factory=list)
+    def __init__(self):
+        self.parent, self.tag, self.path, self.out, self.textual = [-1], [""], [0], [False], [False]
+        self.own, self.linked = [0], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.steps: list[tuple[int, str]] = [(-1, "")]
+        #: (element, text, whether a block ends before it)
+        self.pieces: list[tuple[int, str, bool]] = []
+
+    def add(self, parent: int, tag: str, step: str, out: bool, textual: bool) -> int:
+        key = (self.path[parent], step)
+        number = self.paths.get(key)
+        if number is None:
+            number = self.paths[key] = len(self.steps)
+            self.steps.append(key)
+        for column, value in zip((self.parent, self.tag, self.path, self.out, self.textual, self.own, self.linked), (parent, tag, number, out, textual, 0, 0), strict=True):
+            column.append(value)
+        return len(self.parent) - 1
+
+    def path_text(self, element: int) -> str:
+        out, at = [], self.path[element]
+        while at > 0:
+            at, step = self.steps[at]
+            out.append(step)
+        return "".join(f"/{step}" for step in reversed(out))
+
+    def path_number(self, text: str) -> int | None:
+        at = 0
+        for step in text.split("/")[1:]:
+            at = self.paths.get((at, step))
+            if at is None:
+                return None
+        return at
 
 
 def _attributes(text: str) -> tuple[list[str], list[str]]:
@@ -65,31 +98,74 @@ def _attributes(text: str) -> tuple[list[str], list[str]]:
     return classes, every
 
 
-def _marked(names: list[str]) -> bool:
+def _marked(tag: str, names: list[str]) -> bool:
+    """Whether the names say that an element is not of the article."""
+    if tag in ("html", "body"):
+        return False
+    # what is called an article is left out only for a whole name: "category-social" tells what it is about
+    if tag in ("article", "main") or any(n in TEXTUAL for n in names):
+        return any(n in NOT_TEXT for n in names)
+    words = NOT_TEXT - OF_HEADINGS if tag in HEADINGS else NOT_TEXT
     # "has-sidebar" tells about a neighbour
-    return any(w in NOT_TEXT for name in names if not name.startswith(("has", "with", "no-")) for w in WORD.findall(name))
+    return any(w in words for name in names if not name.startswith(("has", "with", "no-")) for w in WORD.findall(name))
 
 
 def parse(source: str) -> Page:
-    """The containers of a page and its text, in one run over the tags."""
-    page = Page([Node(-1, "", "", False)])
+    """The elements of a page and its text, in one run over the tags.
+
+    Containers stand in a stack; other elements only where their names mark
+    them. An end tag closes the last open element of its name and what is open
+    in it. An element that is left out but is closed nowhere is not opened, so
+    that it takes nothing with it.
+    """
+    page = Page()
     stack, at, n, fresh, linked = [0], 0, len(source), True, 0
+    #: Of the marked elements in the stack that are no containers: elements of the same name that are open in them.
+    within: dict[int, int] = {}
+    open_ = Counter()
+    last_end: dict[str, int] = {}
 
     def text(start: int, end: int) -> None:
         nonlocal fresh
         if start < end:
             piece = html.unescape(source[start:end])
             if not piece.isspace():
-                page.pieces.append((stack[-1], piece, fresh, linked > 0))
-                node = page.nodes[stack[-1]]
+                top = stack[-1]
+                page.pieces.append((top, piece, fresh))
                 size = len(piece.strip())
-                node.own += size
-                node.linked += size * (linked > 0)
+                page.own[top] += size
+                page.linked[top] += size * (linked > 0)
                 fresh = False
             elif page.pieces and not fresh:
-                page.pieces.append((stack[-1], " ", False, False))
-
-    last = 0
+                page.pieces.append((stack[-1], " ", False))
+
+    def closed(tag: str, place: int) -> bool:
+        if tag not in last_end:
+            found = -1
+            for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", source, re.IGNORECASE):
+                found = m.start()
+            last_end[tag] = found
+        return last_end[tag] >= place
+
+    def pop(place: int) -> None:
+        for element in stack[place:]:
+            open_[page.tag[element]] -= 1
+            within.pop(element, None)
+        del stack[place:]
+
+    def close(tag: str) -> None:
+        if open_[tag] > 0:
+            for i in range(len(stack) - 1, 0, -1):
+                if page.tag[stack[i]] == tag:
+                    pop(i)
+                    return
+
+    def push(tag: str, step: str, out: bool, textual: bool = False) -> int:
+        stack.append(page.add(stack[-1], tag, step, out, textual))
+        open_[tag] += 1
+        return stack[-1]
+
+    last, form_end = 0, -1
     while at < n:
         at = source.find("<", at)
         if at < 0:
@@ -111,75 +187,100 @@ def parse(source: str) -> Page:
         text(last, at)
         closing, tag, rest = (m[1], m[2].lower(), m[3]) if m[2] else (m[4], m[5].lower(), m[6])
         at = last = m.end()
+        empty = rest.endswith("/") or tag in VOID
+        top = stack[-1]
         if tag in RAW:
-            if not closing and not rest.endswith("/"):
+            if not closing and not empty:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
                 at = last = n if end is None else end.end()
             continue
         if tag in BLOCKS:
             fresh = True
+            # a marked paragraph or item ends where the next block starts
+            if top in within and not closing and (page.tag[top] == "p" or (page.tag[top] == tag and tag in IMPLIED_END)):
+                pop(len(stack) - 1)
+                top = stack[-1]
         if tag == "a":
             linked = 0 if closing else 1
         if tag in CONTAINERS:
             linked = 0
             if closing:
-                for i in range(len(stack) - 1, 0, -1):
-                    if page.nodes[stack[i]].tag == tag:
-                        del stack[i:]
-                        break
-            else:
-                up = page.nodes[stack[-1]]
-                classes, names = _attributes(rest)
-                whole = tag in ("html", "body", "main")
-                out = up.out or tag in BOILERPLATE or (not whole and _marked(names))
-                step = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
-                textual = tag in ("article", "main") or any(w in TEXTUAL for c in names for w in WORD.findall(c))
-                page.nodes.append(Node(stack[-1], tag, f"{up.path}/{step}", out, textual=textual))
-                if not rest.endswith("/"):
-                    stack.append(len(page.nodes) - 1)
+                close(tag)
+                continue
+            classes, names = _attributes(rest) if rest else ([], [])
+            out = tag in BOILERPLATE or (bool(names) and _marked(tag, names))
+            if out and not closed(tag, at):
+                continue
+            if out and tag == "form" and not _marked(tag, names):
+                # some sites hold the whole page in one form
+                if form_end < at:
+                    form_end = FORM_END.search(source, at).start()
+                out = not HOLDS_ARTICLE.search(source, at, form_end)
+            step = ".".join([tag, *sorted({DIGITS.sub("#", c).replace("/", "|") for c in classes})])
+            textual = tag in ("article", "main") or any(w in TEXTUAL for c in names for w in WORD.findall(c))
+            push(tag, step, page.out[top] or out, textual)
+            if empty and tag != "body":
+                pop(len(stack) - 1)
+        elif top in within and page.tag[top] == tag:
+            within[top] += -1 if closing else (not empty)
+            if within[top] < 0:
+                pop(len(stack) - 1)
+        elif closing:
+            if tag in CONTROLS or open_[tag] > 0:
+                close(tag)
+        elif not empty and (tag in CONTROLS or (rest and _marked(tag, _attributes(rest)[1]))) and (closed(tag, at) or tag in IMPLIED_END):
+            within[push(tag, tag, True)] = 0
     text(last, n)
     return page
 
 
 def scores(page: Page) -> list[int]:
-    """Of each container: the text right below it counts in full, that of the next levels by halves; links do not, names of articles do."""
-    got = [0.0] * len(page.nodes)
-    for i, node in enumerate(page.nodes):
-        share, at = float(max(0, node.own - 2 * node.linked)), i
+    """Of each element: the text right below it counts in full, that of the next levels by halves; links do not, names of articles do."""
+    got = [0.0] * len(page.parent)
+    for i, (own, linked) in enumerate(zip(page.own, page.linked, strict=True)):
+        share, at = float(max(0, own - 2 * linked)), i
         while share >= 1 and at >= 0:
-            if not page.nodes[i].out:
+            if not page.out[i]:
                 got[at] += share
-            share, at = share / 2, page.nodes[at].parent
-    for i, node in enumerate(page.nodes):
-        got[i] = 0 if node.out or i == 0 else got[i] * (4 if node.tag in ("article", "main") else 1.5 if node.textual else 1)
+            share, at = share / 2, page.parent[at]
+    for i, out in enumerate(page.out):
+        got[i] = 0 if out or i == 0 else got[i] * (4 if page.tag[i] in ("article", "main") else 1.5 if page.textual[i] else 1)
     return [int(x) for x in got]
 
 
-def best_path(page: Page) -> tuple[str, int]:
-    """The path of the container with the highest score, the first of equal ones; '' if none has text."""
+def best_element(page: Page) -> tuple[int, int]:
+    """The element with the highest score, the first of equal ones, and its score; 0 if none has text."""
     got = scores(page)
     i = max(range(len(got)), key=lambda k: (got[k], -k))
-    return (page.nodes[i].path, got[i]) if got[i] > 0 else ("", 0)
+    return (i, got[i]) if got[i] > 0 else (0, 0)
+
+
+def best_path(page: Page) -> tuple[str, int]:
+    i, score = best_element(page)
+    return page.path_text(i), score
 
 
 def main_text(page: Page, path: str | None) -> str:
-    """The text below the containers of a path, or of the page's own best one if it has no text there."""
-    for wanted in (path, best_path(page)[0]):
+    """The text below the elements of a path, or of the page's own best one if it has no text there."""
+    for wanted in (page.path_number(path) if path else None, page.path[best_element(page)[0]]):
         if not wanted:
             continue
-        inside = [False] * len(page.nodes)
-        for i, node in enumerate(page.nodes[1:], 1):
-            inside[i] = not node.out and (inside[node.parent] or node.path == wanted)
+        inside = [False] * len(page.parent)
+        for i in range(1, len(inside)):
+            inside[i] = not page.out[i] and (inside[page.parent[i]] or page.path[i] == wanted)
         parts: list[str] = []
-        for at, piece, fresh, _ in page.pieces:
+        for at, piece, fresh in page.pieces:
             if inside[at]:
                 parts += [" ", piece] if fresh else [piece]
+            elif parts:
+                # what is left out inside a line leaves its place
+                parts.append(" " if fresh else "")
         found = " ".join("".join(parts).split())
         if found:
             return found
     # a page without containers, or whose text is right below the root
-    if not path and not any(n.own for n in page.nodes[1:] if not n.out):
-        return " ".join("".join((" " if fresh else "") + piece for at, piece, fresh, _ in page.pieces if at == 0).split())
+    if not path and not any(own for own, out in zip(page.own[1:], page.out[1:], strict=True) if not out):
+        return " ".join("".join((" " if fresh else "") + piece for at, piece, fresh in page.pieces if at == 0).split())
     return ""
 
 
@@ -212,8 +313,11 @@ def extract(pages: DataFrame) -> DataFrame:
     and all its pages are read again by the path that wins at their host. A
     page without text there uses its own best container. Menus, headers,
     footers, sidebars, notices, adverts, forms and comments are left out by
-    element and by class, id or role. Character references are decoded, white
-    space in a block is one space, blocks are joined by one space.
+    element and by class, id or role, also single paragraphs, items, headings
+    and inline elements; a form around an article is not. What an element
+    without end tag would leave out stays. Character references are decoded,
+    white space in a block is one space, blocks are joined by one space. Memory
+    is in proportion to the page, however deep it is nested.
 
     Null html counts as empty, with empty text; null url and urls without a
     host share one host; repeated rows stay; an empty table gives no rows;
