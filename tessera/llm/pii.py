@@ -101,8 +101,8 @@ _NAME = "(?:" + "|".join(sorted(NAME_OF, key=len, reverse=True)) + ")"
 #: From three names on, with a plus before them or digits among them.
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ \-]+)?{_NAME}(?:[ ,.\-]{{1,2}}(?:{_NAME}|[0-9]+)(?!\w)){{2,}}(?!\w)", re.IGNORECASE)
 ITEM = re.compile(r"[^ ,.\-]+")
-AT = r"(?:\s*[\[({<]\s*(?:at|arroba|arobase|@|ät)\s*[\])}>]\s*)"
-DOT = r"(?:\s*[\[({<]\s*(?:dot|punkt|punto|point|\.)\s*[\])}>]\s*)"
+_AT, _DOT = (rf"[\[({{<]\s*(?:{words})\s*[\])}}>]" for words in ("at|arroba|arobase|@|ät", r"dot|punkt|punto|point|\."))
+AT, DOT = rf"(?:\s*{_AT}\s*)", rf"(?:\s*{_DOT}\s*)"
 PLAIN_DOT = r"(?:\s+(?:dot|punkt|punto|point)\s+)"
 DISGUISED = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{DOT}|{PLAIN_DOT})[A-Za-z0-9_%+-]+)*(?:{AT}|@|\s+(?:at|arroba|arobase)\s+)"
@@ -114,6 +114,8 @@ TOP_DOMAINS = frozenset(
     "com org net edu gov mil int info biz name pro io ai app dev co me tv cc de fr es uk us ca au at ch it nl be pt br mx ar cl eu pl ru se no dk fi ie nz in jp cn kr za".split()
 )
 BRACKET = re.compile(r"[\[({<]")
+#: Four numbers with dots of any kind between them.
+QUADS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{DOT}|{PLAIN_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
 AT_OR_DOT = re.compile(rf"(?P<at>{AT}|\s+(?:at|arroba|arobase)\s+)|(?P<dot>{DOT}|{PLAIN_DOT})", re.IGNORECASE)
 
 
@@ -183,24 +185,29 @@ def at_and_dot(m: Mapped) -> None:
             continue
         edits += [(x.start(), x.end(), "@" if x["at"] else ".") for x in found]
     m.rewrite(edits)
+    m.rewrite([(x.start(), x.end(), ".") for run in QUADS.finditer(m.text) for x in AT_OR_DOT.finditer(m.text, *run.span()) if x["dot"]])
 
 
-#: A text without any of these in lower case has nothing for the step: two short names beside each other, or a word for '.'.
-DOT_WORDS = ("dot", "punkt", "punto", "point", "[.", "(.", "{.", "<.", "[ .", "( .", "[at", "(at", "{at", "<at", "[ at", "( at", "[@", "(@", "arroba", "arobase", "ät]", "ät)")
-SHORT_NAMES = re.compile(r"(?<!\w)(?:oh|one|un|une|ein|uno|two|dos|six)(?!\w)", re.IGNORECASE)
-LONG_NAMES = tuple(name for name in NAME_OF if not SHORT_NAMES.fullmatch(name))
+#: What a text must hold for the step to change anything: a sign in brackets, or a bare word for '.' (a bare "at" counts only beside one).
+BRACKETED = re.compile(f"{_AT}|{_DOT}", re.IGNORECASE)
+DOT_WORDS = ("dot", "punkt", "punto", "point")
+BARE_DOT = re.compile(PLAIN_DOT, re.IGNORECASE)
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the normalised text shows, none overlapping a plain one of its kind."""
+    """Spans that only the normalised text shows, none overlapping a plain one of its kind.
+
+    The steps after the first need look-alikes put right first, so that all run
+    if there are any; without any of what a step changes it is left out.
+    """
     strange = not text.isascii() and STRANGE.search(text)
     lower = text.lower()
-    named = (any(w in lower for w in LONG_NAMES) or len(SHORT_NAMES.findall(lower, 0)) > 2) and SPELLED.search(text)
-    dotted = any(w in lower for w in DOT_WORDS)
+    named = strange or SPELLED.search(text)
+    dotted = strange or BRACKETED.search(text) or (any(w in lower for w in DOT_WORDS) and BARE_DOT.search(text))
     if not (strange or named or dotted):
         return {}
     m = Mapped(text)
-    for needed, step in ((strange, homoglyphs), (named or strange, spelled_digits), (dotted or strange, at_and_dot)):
+    for needed, step in ((strange, homoglyphs), (named, spelled_digits), (dotted, at_and_dot)):
         if needed:
             step(m)
     if m.text == text:
@@ -219,6 +226,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     `base` holds what the text shows plainly, `more` what shows once look-alike
     characters, digits spelled as words and disguised '@' and '.' are put right;
     its spans are those of the source. Both are in order of kind, then start.
+    Digits' names and the words for '@' and '.' are those of English, German,
+    Spanish and French that are listed above; bare words count only before one
+    of the listed ends of addresses, or between four numbers.
     Null text counts as empty; doc_id may be null or repeated; one row a
     document; an empty table gives no rows; further columns are ignored.
     """
