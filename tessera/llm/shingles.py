@@ -1,4 +1,4 @@
-"""Near-duplicates by the exact Jaccard similarity of sets of shingles, with SimHash prints in tiles as the candidates' test."""
+"""Near-duplicates by the exact Jaccard similarity of sets of shingles: bitmaps in tiles, exclusive-or and bit counts."""
 
 from __future__ import annotations
 
@@ -19,11 +19,8 @@ BANDS, ROWS = 24, 4
 _DICE = np.random.default_rng(20_240_607)
 FLIPS = _DICE.integers(0, 1 << 64, BANDS * ROWS, np.uint64)
 FACTORS = _DICE.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-#: SimHash prints of sets have so many 64-bit words.
-PRINT_WORDS = 2
-_MIX = _DICE.integers(0, 1 << 64, PRINT_WORDS, np.uint64) | np.uint64(1)
-#: Sets of fewer shingles are compared without their prints, whose bits are too coarse there.
-COARSE = 64
+#: A tile of a bucket holds about so many shingles.
+TILE = 1_000_000
 #: Eight counters in a 64-bit number, one for each bit of a byte, the highest bit first.
 SPREAD = np.array([sum(((b >> (7 - i)) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype="<u8")
 
@@ -73,29 +70,9 @@ def bands_of(joined: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def prints_of(joined: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each set, none empty, its SimHash over distinct shingles, PRINT_WORDS words wide."""
-    out = np.empty((len(counts), PRINT_WORDS), np.uint64)
-    for i, mix in enumerate(_MIX):
-        h = (joined ^ (joined >> np.uint64(31))) * mix
-        out[:, i] = majority_bits(h ^ (h >> np.uint64(29)), counts)
-    return out
-
-
-def radius_for(similarity: float) -> int:
-    """How many bits of two prints may differ: the number expected at that similarity and six standard deviations.
-
-    Sets alike to s have vectors with a cosine of 2 s / (1 + s) at least, and
-    each bit differs with the probability angle / pi.
-    """
-    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity)))) / np.pi
-    n = 64 * PRINT_WORDS
-    return int(n * p + 6 * (n * p * (1 - p)) ** 0.5) + 1
-
-
 def sets_of(rows: DataFrame, words: int) -> DataFrame:
-    """(row, doc_id, key, n, print, bands): of every whole text the name and size of its set of shingles, its SimHash and its bands' hashes."""
-    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("print", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
+    """(row, doc_id, key, n, bands): of every whole text the name and size of its set of shingles and its bands' hashes."""
+    schema = pa.schema([("row", pa.string()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2_000_000):
@@ -103,12 +80,11 @@ def sets_of(rows: DataFrame, words: int) -> DataFrame:
             full = [s for s in sets if len(s)]
             joined, counts = np.concatenate([np.zeros(0, "<u8"), *full]), np.array([len(s) for s in full], np.int64)
             bands = iter(bands_of(joined, counts).tolist() if full else [])
-            prints = iter(prints_of(joined, counts).view(np.int64).tolist() if full else [])
-            columns = [[key_of(s) for s in sets], [len(s) for s in sets], [next(prints) if len(s) else [0] * PRINT_WORDS for s in sets], [next(bands) if len(s) else [] for s in sets]]
+            columns = [[key_of(s) for s in sets], [len(s) for s in sets], [next(bands) if len(s) else [] for s in sets]]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[2:], strict=True))], schema=schema)
 
     return rows.select(F.col("row").cast("string"), F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "row string, doc_id long, key long, n int, print array<long>, bands array<long>"
+        run, "row string, doc_id long, key long, n int, bands array<long>"
     )
 
 
@@ -142,70 +118,91 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def near_in_tiles(
-    a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray], radius: int, similarity: float, block: int = 1 << 20
-) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of two tiles (sizes, labels, prints) where labels differ, sizes allow the similarity and prints are within the radius.
-
-    The tiles are walked in steps of like population counts; steps that differ
-    beyond the radius are skipped.
+def bitmaps(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For each set the bits of those shingles that others have too, and how many it has for itself."""
+    sizes = np.array([len(s) for s in sets])
+    names, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts > 1
+    place = (np.cumsum(shared) - 1)[column]
+    keep = shared[column]
+    wide = max(1, -(-int(shared.sum()) // 64)) * 64
+    out, rest, last = np.empty((len(sets), wide // 64), np.uint64), np.empty(len(sets), np.int64), 0
+    for i, n in enumerate(sizes):
+        own = place[last : last + n][keep[last : last + n]]
+        row = np.zeros(wide, bool)
+        row[own] = True
+        out[i], rest[i] = np.packbits(row).view(np.uint64), n - len(own)
+        last += n
+    return out, rest
+
+
+def tile_links(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, similarity: float, block: int = 1 << 21) -> list[tuple[int, int]]:
+    """Links that join the same classes as all pairs of sets (of two sides, if given) with that Jaccard similarity do, labels being classes already.
+
+    Sets are walked in order of size, which is the population count of their
+    bitmaps; those whose counts differ by more than the similarity allows are
+    skipped, all others are compared by exclusive-or and bit counts.
     """
-    ones = lambda x: np.bitwise_count(x).sum(axis=1, dtype=np.int64)
-    ones_a, ones_b = ones(a[2]), ones(b[2])
-    order_a, order_b = np.argsort(ones_a, kind="stable"), np.argsort(ones_b, kind="stable")
-    sorted_b = ones_b[order_b]
-    # coarse prints tell nothing: those sets meet all of like size
-    coarse_a, coarse_b = a[0] < COARSE, b[0] < COARSE
-    step = max(1, block // max(1, len(order_b)))
-    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for start in range(0, len(order_a), step):
-        i = order_a[start : start + step]
-        reached = coarse_b | coarse_a[i].any()
-        reached[order_b[slice(*np.searchsorted(sorted_b, [ones_a[i[0]] - radius, ones_a[i[-1]] + radius + 1]))]] = True
-        j = np.flatnonzero(reached)
-        apart = sum(np.bitwise_count(a[2][i, w][:, None] ^ b[2][j, w][None, :]).astype(np.int16) for w in range(PRINT_WORDS))
-        near = (apart <= radius) | coarse_a[i][:, None] | coarse_b[j][None, :]
-        near &= a[1][i][:, None] != b[1][j][None, :]
-        small, large = np.minimum(a[0][i][:, None], b[0][j][None, :]), np.maximum(a[0][i][:, None], b[0][j][None, :])
-        near &= small >= (similarity - 1e-9) * large
-        x, y = np.nonzero(near)
-        found_i.append(i[x])
-        found_j.append(j[y])
-    return np.concatenate(found_i), np.concatenate(found_j)
-
-
-def candidates(members: DataFrame, similarity: float, tile: int = 4096) -> DataFrame:
-    """Pairs (u, v) of members (band, key, n, label, print) of one band that differ in label and may be alike.
-
-    A band's members are dealt into tiles of about `tile` by a hash; each two
-    tiles of a band meet once, wherever Spark puts them, and are compared by
-    exclusive-or and bit counts. Only what passes is sent.
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    bits, rest = bitmaps([sets[i] for i in order])
+    size = sizes[order]
+    class_ = np.unique(labels[order], return_inverse=True)[1]
+    side = None if sides is None else sides[order]
+    tops = np.searchsorted(size, size / similarity * (1 + 1e-12), side="right")
+    step = max(1, block // bits.shape[1])
+    out = []
+    for i in range(len(order)):
+        for start in range(i + 1, int(tops[i]), step):
+            j = np.arange(start, min(start + step, int(tops[i])))
+            j = j[class_[j] != class_[i]] if side is None else j[(class_[j] != class_[i]) & (side[j] != side[i])]
+            if not len(j):
+                continue
+            apart = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64) + rest[j] + rest[i]
+            both = (size[i] + size[j] - apart) // 2
+            for k in j[both / (size[i] + size[j] - both) >= similarity]:
+                if class_[k] != class_[i]:
+                    out.append((int(order[i]), int(order[k])))
+                    class_[class_ == class_[k]] = class_[i]
+    return out
+
+
+def linked(members: DataFrame, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links (u, v) of members (band, key, n, label, shingles) of one band that join all classes that are alike to the similarity.
+
+    A band's members are dealt into tiles of about `tile` shingles by a hash;
+    each two tiles of a band meet once, wherever Spark puts them. Only links
+    between classes are sent, fewer than there are members.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    sizes = members.groupBy("band").agg(F.ceil(F.sum("n") / tile).cast("int").alias("parts"))
     dealt = members.join(sizes, "band").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    tiles = cut(dealt.groupBy("band", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("key", "n", "label", "print")).alias("tile")))
+    tiles = cut(dealt.groupBy("band", "part").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("key", "label", "shingles")).alias("tile")))
     first = tiles.select("band", "part", "tile", F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("other"))
-    second = tiles.select("band", F.col("part").alias("other"), F.col("tile").alias("other_tile"))
-    met = first.join(second, ["band", "other"]).select("tile", "other_tile")
-    radius = radius_for(similarity)
+    # a tile meets itself without a join
+    own = first.filter("part = other").select("tile", F.lit(None).cast(tiles.schema["tile"].dataType).alias("other_tile"))
+    second = tiles.filter("part > 0").select("band", F.col("part").alias("other"), F.col("tile").alias("other_tile"))
+    met = first.filter("part < other").join(second, ["band", "other"]).select("tile", "other_tile")
 
-    def opened(tile: pa.Scalar) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def opened(tile: pa.Scalar) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         rows = tile.values
-        prints = rows.field("print").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, PRINT_WORDS)
-        keys, sizes, labels = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "label"))
-        return keys, (sizes, labels, prints)
+        keys, labels = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "label"))
+        return keys, labels, [np.frombuffer(x, "<u8") for x in rows.field("shingles").to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            out = []
             for k in range(batch.num_rows):
-                (u, x), (v, y) = (opened(batch.column(c)[k]) for c in ("tile", "other_tile"))
-                i, j = near_in_tiles(x, y, radius, similarity)
-                u, v = u[i], v[j]
-                once = u != v
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)[once]), pa.array(np.maximum(u, v)[once])], ["u", "v"])
+                keys, labels, sets = opened(batch.column("tile")[k])
+                sides = None
+                if batch.column("other_tile")[k].is_valid:
+                    more = opened(batch.column("other_tile")[k])
+                    sides = np.arange(len(keys) + len(more[0])) < len(keys)
+                    keys, labels, sets = np.concatenate([keys, more[0]]), np.concatenate([labels, more[1]]), sets + more[2]
+                out += [(int(keys[i]), int(keys[j])) for i, j in tile_links(sets, labels, sides, similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["u", "v"])
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(n).mapInArrow(run, "u long, v long").distinct()
+    return own.unionByName(met).repartition(n).mapInArrow(run, "u long, v long")
 
 
 def classes_of(rows: DataFrame, found: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -213,9 +210,9 @@ def classes_of(rows: DataFrame, found: DataFrame, words: int, similarity: float)
 
     In each bucket of a band all sets are first compared with one of them,
     which joins the large groups of copies; what is in different classes after
-    that is compared by prints in tiles. All links are exact similarities.
+    that is compared in tiles. All links are exact similarities.
     """
-    one = cut(found.groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("print").alias("print"), F.min("bands").alias("bands")))
+    one = cut(found.groupBy("key").agg(F.min("row").alias("row"), F.min("n").alias("n"), F.min("bands").alias("bands")))
     buckets = one.select("key", "n", F.explode("bands").alias("band"))
     hubs = buckets.groupBy("band").agg(F.min(F.struct("key", "n")).alias("hub"), F.count("*").alias("members")).filter("members > 1").select("band", "hub")
     shared = cut(buckets.join(hubs, "band"))
@@ -228,8 +225,8 @@ def classes_of(rows: DataFrame, found: DataFrame, words: int, similarity: float)
     labels = cut(connected_components(verified(stars, sets, similarity)))
     named = cut(shared.join(labels, shared["key"] == labels["node"], "left").select("band", "key", "n", F.coalesce("label", "key").alias("label"), F.col("hub.key").alias("hub")))
     mixed = named.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("members")).filter("least < most AND members > 2")
-    left = named.join(mixed.select("band"), "band", "left_semi").filter("key <> hub").drop("hub").join(one.select("key", "print"), "key")
-    more = cut(verified(candidates(left, similarity), sets, similarity))
+    left = named.join(mixed.select("band"), "band", "left_semi").filter("key <> hub").drop("hub").join(sets, "key")
+    more = cut(linked(left, similarity))
     if more.isEmpty():
         return labels
     return connected_components(more.unionByName(labels.select(F.col("node").alias("u"), F.col("label").alias("v"))))

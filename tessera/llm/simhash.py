@@ -146,8 +146,9 @@ def similar_texts(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     class. A radius on 64-bit fingerprints cannot tell a similarity of 0.8, so
     candidates share one of 24 bands of least hashes, which leaves out 3.3
     pairs in a million at 0.8 (more below, fewer above); those that a common
-    neighbour has not joined already are compared by wider SimHash prints in
-    tiles, and each link is the exact similarity of both sets.
+    neighbour has not joined already are compared in tiles of bitmaps of their
+    shingles, by exclusive-or and bit counts. Each link is the exact similarity
+    of both sets.
 
     Every text counts, null as empty; texts without words are one class.
     Repeated rows and null doc_ids give as many rows. An empty table gives no
