@@ -32,15 +32,21 @@ SEPARATED = re.compile(rb"(?<![0-9])(?<![0-9][.,])(?:[0-9]{1,3}(?:,[0-9]{3})+(?:
 THOUSANDS = re.compile(rb",(?=[0-9]{3}(?![0-9]))")
 #: What a unit or a sign is glued to becomes a word of its own: '5km', '2x', '3rd', '€5'.
 GLUED = re.compile("(?<![A-Za-z0-9\x02\x80-\xff])([0-9]+(?:\x02[0-9]+)*)(?=[A-Za-z\x80-\xff]+(?![A-Za-z0-9\x02\x80-\xff]))".encode("latin-1"))
-CURRENCY = re.compile("((?:€|£|¥|₹)+)(?=[0-9])".encode())
+SIGNS = tuple(x.encode() for x in "€£¥₹")
+CURRENCY = re.compile(b"((?:" + b"|".join(SIGNS) + b")+)(?=[0-9])")
 IS_NUMBER, IS_NAME, IS_UNIT, IS_END = 1, 2, 4, 8
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     """Words, a number with its separators being one (its decimal sign as \\x02), and \\x01 for each mark that ends a sentence."""
     text = text.replace(b"\x02", b" ")
-    text = SEPARATED.sub(lambda m: re.sub(rb"[.,]", b"\x02", THOUSANDS.sub(b"", m[0])), text)
-    text = GLUED.sub(rb"\1 ", CURRENCY.sub(rb"\1 ", text))
+    # each of these changes nothing where the short pattern before it is not found
+    if re.search(rb"[0-9][.,][0-9]", text):
+        text = SEPARATED.sub(lambda m: re.sub(rb"[.,]", b"\x02", THOUSANDS.sub(b"", m[0])), text)
+    if any(sign in text for sign in SIGNS):
+        text = CURRENCY.sub(rb"\1 ", text)
+    if re.search(b"[0-9][A-Za-z\x80-\xff]", text):
+        text = GLUED.sub(rb"\1 ", text)
     return text.translate(MARKS).replace(b"\x01", b" \x01 ").split()
 
 
@@ -55,7 +61,10 @@ class Codes(dict):
         else:
             plain = word.decode("utf-8", "replace")
             low = plain.lower()
-            flags = IS_NUMBER * plain.replace("\x02", "").isdigit() + IS_NAME * (len(plain) > 1 and plain[0].isupper() and plain[1:].islower()) + IS_UNIT * (low.encode() in UNITS)
+            if low == plain:
+                flags = IS_UNIT if word in UNITS else IS_NUMBER * plain.replace("\x02", "").isdigit()
+            else:
+                flags = IS_NAME * (len(plain) > 1 and plain[0].isupper() and plain[1:].islower()) + IS_UNIT * (low.encode() in UNITS)
             code = (xxhash.xxh64_intdigest(low) & ~15) | flags
         self[word] = code
         return code

@@ -118,12 +118,23 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most: int = MOST_LABELLED) -> Chain | None:
     """A chain for 0/1 columns of `labels`, in their order; the last decides. None if too few labelled documents are there.
 
-    Fitted on `most` labelled documents at most. Features are the MOST_FEATURES
-    that tell any category best (chi-square) among those in LEAST_DOCS or more.
+    Fitted on `most` labelled documents at most, those of the least hash of
+    doc_id. Features are the MOST_FEATURES that tell any category best
+    (chi-square, ties by the feature) among those in LEAST_DOCS or more.
+
+    A null label is 0, null text is empty; labels or documents without doc_id
+    take no part. Of a doc_id's several labels the highest of each category
+    counts, of its several texts the least: the chain is the same on each run.
     """
-    wanted = labels.select("doc_id", *(F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in categories)).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    wanted = (
+        labels.select(F.col("doc_id").cast("long"), *(F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in categories))
+        .filter("doc_id IS NOT NULL")
+        .groupBy("doc_id")
+        .agg(*(F.max(c).alias(c) for c in categories))
+    )
     picked = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    sample = cut(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]))
+    labelled = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    sample = cut(labelled.groupBy("doc_id").agg(F.min("text").alias("text"), *(F.first(c).alias(c) for c in categories)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: list[Counter] = [Counter() for _ in range(len(categories) + 1)]
@@ -188,7 +199,12 @@ def score_toxicity(docs: DataFrame, chain: Chain | None, categories: tuple[str,
 
 
 def reject_toxic(docs: DataFrame, chain: Chain | None) -> DataFrame:
-    """The documents that are not toxic, with all their columns; nothing is moved."""
+    """The documents that are not toxic, with all their columns; nothing is moved.
+
+    Each row is judged by its own text, null being empty; null and repeated
+    doc_ids change nothing; an empty table stays empty; all columns stay,
+    whatever their names. Without a chain all documents stay.
+    """
     if chain is None:
         return docs
     schema = docs.schema

@@ -171,20 +171,31 @@ def test_a_bucket_of_unlike_texts(spark):
     assert least_of_classes(simhash.similar_texts(docs).collect()) == brute_classes(rows)
 
 
-def test_tiles_of_prints_lose_no_similar_sets():
+def test_tiles_of_bitmaps_against_all_pairs(spark):
     dice = np.random.default_rng(4)
-    sets = [dice.integers(0, 1 << 63, 300, np.uint64) for _ in range(40)]
-    sets += [np.concatenate([s[: 268 + i % 4 * 5], dice.integers(0, 1 << 63, 20, np.uint64)]) for i, s in enumerate(sets)]
-    sets += [s[:30] for s in sets[:10]] + [s[:28] for s in sets[:10]]
-    sets = [np.unique(s) for s in sets]
-    sizes = np.array([len(s) for s in sets])
-    prints = shingles.prints_of(np.concatenate(sets), sizes)
-    tile = (sizes, np.arange(len(sets)), prints)
-    i, j = shingles.near_in_tiles(tile, tile, shingles.radius_for(0.8), 0.8, block=500)
-    found = set(zip(i.tolist(), j.tolist(), strict=True))
-    want = {(a, b) for a in range(len(sets)) for b in range(len(sets)) if a != b and shingles.jaccard(sets[a], sets[b]) >= 0.8}
-    fine = {(a, b) for a, b in found if min(sizes[a], sizes[b]) >= shingles.COARSE}
-    assert len(want) > 60 and want <= found and len(fine) < 2 * len(want)
+    pool = dice.integers(0, 1 << 63, 900, np.uint64)
+    sets = [np.unique(dice.choice(pool[: dice.integers(30, 900)], dice.integers(1, 60))) for _ in range(60)]
+    sets += [np.unique(np.concatenate([s[: max(1, len(s) * 9 // 10)], dice.choice(pool, 2)])) for s in sets]
+    labels = np.arange(len(sets)) // 2 * 2
+    for sides in (None, np.arange(len(sets)) < 65):
+        got = shingles.tile_links(sets, labels, sides, 0.8, block=40)
+        assert all(shingles.jaccard(sets[i], sets[j]) >= 0.8 for i, j in got)
+        classes = []
+        for links in (got, [(i, j) for i in range(len(sets)) for j in range(i) if shingles.jaccard(sets[i], sets[j]) >= 0.8 and (sides is None or sides[i] != sides[j])]):
+            up = np.arange(len(sets))
+            u, v = np.array([*links, *((i, i + 1) for i in range(0, len(sets), 2))]).T
+            components.union(up, u, v)
+            classes.append(up.tolist())
+        assert classes[0] == classes[1] and len(got) > 20
+    rows = [(1, i, len(x), int(y), x.tobytes()) for i, (x, y) in enumerate(zip(sets, labels, strict=True))]
+    df = spark.createDataFrame(rows, "band long, key long, n int, label long, shingles binary")
+    found = []
+    for tile in (10**6, 300):
+        up = np.arange(len(sets))
+        u, v = np.array([*((r["u"], r["v"]) for r in shingles.linked(df, 0.8, tile).collect()), *((i, i + 1) for i in range(0, len(sets), 2))]).T
+        components.union(up, u, v)
+        found.append(up.tolist())
+    assert found[0] == found[1]
 
 
 def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
@@ -368,7 +379,14 @@ def test_base_spans():
         ("jоhn@exаmple.com", "email", "jоhn@exаmple.com"),
         ("call plus one four one five five five five one two three four ok", "phone", "plus one four one five five five five one two three four"),
         ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１"),
-        ("10[.]0[.]0[.]1", "ip", None),
+        ("10[.]0[.]0[.]1", "ip", "10[.]0[.]0[.]1"),
+        ("at 192 dot 168 dot 0 dot 12 now", "ip", "192 dot 168 dot 0 dot 12"),
+        ("10[.]0[.]0[.]999", "ip", None),
+        ("jane { at } example.com", "email", "jane { at } example.com"),
+        ("jane [ @ ] example.com", "email", "jane [ @ ] example.com"),
+        ("jane <@> example.com", "email", "jane <@> example.com"),
+        ("jane(\tat\t)example( . )com", "email", "jane(\tat\t)example( . )com"),
+        ("call plus one 800 555 0199 soon", "phone", "plus one 800 555 0199"),
     ],
 )
 def test_disguises_map_back(text, kind, found):
@@ -381,6 +399,56 @@ def test_plain_words_are_no_disguise():
         assert pii.disguised(text, pii.detect(text)) == {}, text
 
 
+def hidden(kind, dice):
+    """A made-up item of a kind, disguised."""
+    names = [x.split()[0] for x in pii.NAMES]
+    if kind == "email":
+        user, host, end = dice.choice(["jane", "bob.k", "x_y", "info9"]), dice.choice(["example", "mail-box", "corp1"]), dice.choice(["com", "org", "de"])
+        at, dot = dice.choice([" [at] ", "(at)", " { @ } ", "<at>", "[@]", " arroba ", " at "]), dice.choice([" dot ", "[.]", "(dot)", " punkt ", " [ . ] "])
+        if dice.random() < 0.3:
+            return f"{user}@{host}.{end}".replace("e", "е").replace("o", "о").replace("a", "а") if any(c in user + host + end for c in "eoa") else f"{user}[at]{host}.{end}"
+        return f"{user}{at}{host}{dot}{end}"
+    if kind == "ip":
+        parts = [str(dice.randrange(256)) for _ in range(4)]
+        return dice.choice(["[.]", "(.)", " dot ", "[dot]"]).join(parts) if dice.random() < 0.7 else ".".join(parts).translate({48 + i: 0xFF10 + i for i in range(10)})
+    if kind == "phone":
+        digits = [str(dice.randrange(10)) for _ in range(dice.randrange(8, 13))]
+        return "plus " + " ".join(names[int(d)] for d in digits) if dice.random() < 0.5 else "+" + "".join(digits).translate({48 + i: 0xFF10 + i for i in range(10)})
+    digits = "4" + "".join(str(dice.randrange(10)) for _ in range(14))
+    digits += next(str(c) for c in range(10) if checksum(digits + str(c)))
+    return " ".join(digits[i : i + 4] for i in range(0, 16, 4)).translate({48 + i: 0xFF10 + i for i in range(10)}) if dice.random() < 0.5 else "-".join(names[int(d)] for d in digits)
+
+
+def test_recall_of_planted_disguises(spark):
+    """Between words of the corpus: what was planted is found at its very place, and plain documents stay without further spans."""
+    docs = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect() if r["text"]]
+    dice = random.Random(12)
+    hits, there = Counter(), Counter()
+    for text in docs:
+        words = text.split(" ")[:60]
+        k = dice.randrange(len(words) + 1)
+        kind = dice.choice(pii.KINDS)
+        item = hidden(kind, dice)
+        before = " ".join([*words[:k], "so: "])
+        shown = f"{before}{item} ; {' '.join(words[k:])}"
+        there[kind] += 1
+        hits[kind] += (len(before), len(before) + len(item)) in pii.disguised(shown, pii.detect(shown)).get(kind, [])
+    assert all(hits[k] >= 0.97 * there[k] for k in pii.KINDS), (hits, there)
+    assert not any(pii.disguised(t, pii.detect(t)) for t in docs)
+
+
+def test_pii_query(spark, data):
+    """Counts, order and digest of the base spans against the contract."""
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = registry.queries()["op4_pii"](spark, data).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        base = brute_pii(docs[r["doc_id"]])
+        shown = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in base[k])
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [len(base[k]) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(shown.encode()).hexdigest() and r["spans"] == shown
+
+
 def test_pii_awkward(spark):
     got = pii.find_pii(texts_of(spark, [*AWKWARD, (9, "a@b.cd")])).collect()
     assert len(got) == len(AWKWARD) + 1
@@ -535,6 +603,29 @@ def test_toxicity_on_held_out_labels(spark):
     assert hits / sum(r["y"] for r in rows) > 0.85 and hits / max(1, sum(r["toxic"] for r in rows)) > 0.9
 
 
+def test_the_chain_against_brute_force(spark):
+    """Probabilities of the query's operator are those of its weights, computed from the words alone; earlier categories feed later ones."""
+    docs = texts_of(spark, [*AWKWARD, *((100 + i, f"you awful scum number{i} of the town" if i % 2 else f"you kind friend number{i} of the town") for i in range(60))])
+    labels = spark.createDataFrame([(100 + i, i % 2 * (i % 3 > 0), i % 2) for i in range(60)], "doc_id long, low_quality int, toxic int")
+    chain = toxicity.train(docs, labels, toxicity.CATEGORIES)
+    assert len(chain.weights[1]) == len(chain.weights[0]) + 1 == len(chain.index) + 2
+    rows = docs.collect()
+    for r, got in zip(rows, toxicity.score_toxicity(docs, chain, toxicity.CATEGORIES).collect(), strict=True):
+        words = set(re.sub(rb"[^0-9A-Za-z\x80-\xff]", b" ", (r["text"] or "").lower().encode()).split())
+        seen = words | {b"^" + w[:6] for w in words if len(w) > 6}
+        before = []
+        for w in chain.weights:
+            z = sum(w[i] for f, i in chain.index.items() if f in seen) + sum(w[len(chain.index) + j] * x for j, x in enumerate(before)) + w[-1]
+            p = min(max(1 / (1 + math.exp(-min(max(z, -30), 30))), 1e-6), 1 - 1e-6)
+            before.append(math.log(p / (1 - p)))
+            assert abs(got[1 + len(before) - 1] - p) < 1e-5
+        assert got["toxic"] == (1 / (1 + math.exp(-before[-1])) >= chain.threshold)
+    # conflicting and repeated labels: of a doc_id's rows the highest values count, whatever their order
+    twice = labels.unionByName(labels.filter("doc_id < 110").select("doc_id", F.lit(0).alias("low_quality"), F.lit(0).alias("toxic")))
+    again = toxicity.train(docs.unionByName(docs), twice.repartition(3), toxicity.CATEGORIES)
+    assert all(np.allclose(a, b) for a, b in zip(chain.weights, again.weights, strict=True)) and again.threshold == chain.threshold
+
+
 def test_toxicity_awkward(spark):
     docs = texts_of(spark, [*AWKWARD, *((100 + i, f"you awful scum number{i}" if i % 2 else f"you kind friend number{i}") for i in range(40))])
     labels = spark.createDataFrame([(100 + i, 0, i % 2) for i in range(40)] + [(None, 1, 1), (1, None, None)], "doc_id long, low_quality int, toxic int")
@@ -628,6 +719,118 @@ def test_bit_table_holds_each_hash(spark):
     assert {int(p) for p in np.flatnonzero(np.unpackbits(table, bitorder="little"))} == places
 
 
+def brute_held(text, item, size=5):
+    """The share of an item's windows that a text holds along alignments whose slots agree, from the words alone."""
+
+    def tokens(t):
+        out, fresh = [], True
+        for w in decontaminate.tokens_of(t.encode()):
+            if w == b"\x01":
+                fresh = True
+                continue
+            plain = w.decode()
+            kind = "#" if plain.replace("\x02", "").isdigit() else "n" if len(plain) > 1 and plain[0].isupper() and plain[1:].islower() else ""
+            if plain.lower().encode() in decontaminate.UNITS and out and out[-1][1] == "#":
+                kind = "u"
+            out.append((plain.lower(), kind, fresh and kind == "n"))
+            fresh = False
+        return out
+
+    def windows(words):
+        """(place, form, what is shown, fillers), form being words, template, or template with names that begin sentences."""
+        for i in range(len(words) - size + 1):
+            part = words[i : i + size]
+            yield i, 0, tuple(w for w, _, _ in part), ()
+            for form in (1, 2):
+                slot = [bool(k) and (form == 2 or not first) for _, k, first in part]
+                if any(slot) and (form == 1 or any(first for _, _, first in part)):
+                    yield i, form, tuple(k if s else w for (w, k, _), s in zip(part, slot, strict=True)), tuple(k + w for (w, k, _), s in zip(part, slot, strict=True) if s)
+
+    ours = list(windows(tokens(item)))
+    full = {i for i, f, _, x in ours if f == 1 and len(x) == size}
+    usable = {i for i, *_ in ours} - full or {i for i, *_ in ours}
+    if not usable:
+        return 0.0
+    by = defaultdict(list)
+    for i, form, shown, fill in windows(tokens(text)):
+        by[form > 0, shown].append((i, form, fill))
+    lines = defaultdict(list)
+    for i, form, shown, fill in ours:
+        if i in usable and not (form == 2 and len(fill) == size):
+            for at, other, theirs in by[form > 0, shown]:
+                lines[at - i].append((i, max(form, other), set(zip(fill, theirs, strict=True))))
+
+    def agrees(pairs):
+        names = [p for p in pairs if p[0][0] != "#"]
+        return len({a for a, _ in pairs}) == len(pairs) and len({b for _, b in names}) == len(names)
+
+    found = set()
+    for line in lines.values():
+        narrow = agrees(set().union(*(p for _, f, p in line if f < 2)))
+        wide = agrees(set().union(*(p for _, _, p in line)))
+        found |= {i for i, f, p in line if f == 0 or (wide if f == 2 else narrow)}
+    return len(found) / len(usable)
+
+
+def renamed(item, dice):
+    """The item with other numbers, and other names inside sentences and at their beginnings, each consistently."""
+    new = {}
+
+    def number(m):
+        return new.setdefault(m[0], str(dice.randrange(1, 10 ** len(m[0])) + 10 ** len(m[0])))
+
+    free = [a + b for a in ("Olga", "Pavel", "Quinn", "Rosa", "Sven", "Tilda") for b in ("na", "bert", "mir", "lina", "ko", "wen", "dor", "sam")]
+    dice.shuffle(free)
+
+    def name(m):
+        return m[0] if m[0] in KEPT else new.setdefault(m[0], free[len(new)])
+
+    return re.sub(r"\b[A-Z][a-z]+\b", name, re.sub(r"[0-9]+", number, item))
+
+
+KEPT = frozenset("How In After The Each Which He Farmer".split())
+
+
+def test_templates_against_brute_force(spark):
+    """Pairs and coverage on documents, planted items and changed items, against a model that sees the words only."""
+    sf = "/root/testdata/sf0.01"
+    texts = [r[0] for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").select("text").collect() if r[0]]
+    items = {r[0]: r[1] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()}
+    more = {900 + i: x for i, x in enumerate(WORD_PROBLEMS)}
+    items |= more
+    dice = random.Random(17)
+    docs, planted_in = {}, {}
+    for i, (k, x) in enumerate(items.items()):
+        around = dice.choice(texts).split(" ")[:80]
+        docs[i] = " ".join([*around[:40], ". " + renamed(x, dice) + " .", *around[40:]])
+        planted_in[i] = k
+    for i, t in enumerate(dice.sample(texts, 120), 1000):
+        docs[i] = t[:20_000]
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.contamination(*(spark.createDataFrame(list(x.items()), f"{n}_id long, text string") for x, n in ((docs, "doc"), (items, "item")))).collect()}
+    want = {}
+    for d, t in docs.items():
+        for k, x in items.items():
+            share = brute_held(t, x)
+            if share >= 0.8:
+                want[d, k] = round(share, 6)
+    assert got == want
+    found = sum((d, k) in got for d, k in planted_in.items())
+    assert found >= 0.9 * len(planted_in), (found, len(planted_in))
+    assert all((d, k) in got for d, k in planted_in.items() if k in more)
+
+
+WORD_PROBLEMS = [
+    "Maria buys 12 apples at the market and gives 5 of them to her brother Tom. How many apples does Maria have left at the end of the day?",
+    "Anna walks 3 km to the school. Ben walks 4 km. How far do Anna and Ben walk together in a week of 5 days?",
+    "In a shop a pen costs 2 dollars and a book costs 15 dollars. How much does Peter pay for 3 pens and 2 books?",
+    "A tank holds 250 litres of water and loses 8 litres an hour. After how many hours is less than 100 litres of water left in it?",
+    "Lena is 7 years older than her cousin Oskar. In 4 years Lena will be twice as old as he is now. How old is Oskar?",
+    "The bus to Berlin leaves at 9 and drives 80 km an hour. The train to Berlin leaves at 10 and drives 120 km an hour. Which one is first?",
+    "Farmer Hans has 24 cows and 36 sheep on his land near Ulm. He sells a third of the cows. How many animals does Hans keep?",
+    "Each of the 6 boxes holds 20 oranges. Clara takes 17 of them for a cake. How many oranges are left in the boxes?",
+]
+
+
 def test_planted_passages(spark):
     sf = "/root/testdata/sf0.01"
     docs, items = ({r[0]: r[1] for r in spark.read.parquet(f"{sf}/{t}.parquet").select(k, "text").collect()} for t, k in (("documents", "doc_id"), ("benchmark", "item_id")))
@@ -659,6 +862,49 @@ def test_what_is_not_the_article(spark):
     assert html.extract(pages.limit(0)).collect() == []
 
 
+ARTICLE = "<p>A first paragraph of the article, which is long enough to count.</p>"
+
+
+@pytest.mark.parametrize(
+    "inside, text",
+    [
+        ('<p class="advert">Buy now</p>', ""),
+        ('<p class="cookie-notice">We use cookies<p>Next', "Next"),
+        ('<p>One <span class="ad">buy <span>this</span> now</span>two</p>', "One two"),
+        ('<p>One <span class="ad">two</p>', "One two"),
+        ('<ul><li class="menu-item">Home<li class="menu-item">More<li>Item</ul>', "Item"),
+        ('<h2 class="section-header">Heading</h2>', "Heading"),
+        ('<p class="text">x</p><div class="share-box"><a href=x>Share</a></div>', "x"),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b</p>", "a x=2 b"),
+        ("<object>shown</object>", "shown"),
+        ("<svg><text>drawn</text></svg>after", "after"),
+        ("<p>before</p><svg><p>rest", "before rest"),
+        ("<button>press <p>rest", "press rest"),
+        ("<select><option>one <p>rest", "one rest"),
+        ("<select><option>one<option>two</select><p>rest", "rest"),
+        ("<nav>links and the rest <p>of it", "links and the rest of it"),
+        ("<script>if (a<b) {}</script>x<style>p{}</style>y<template><p>z</p></template>", "xy"),
+        ("</section></aside></b>fine", "fine"),
+        ("<form action=x>search <input></form>kept<form>mail <input></form>", "kept"),
+    ],
+)
+def test_elements_in_an_article(inside, text):
+    for before, after in (('<article class="post category-social">', "</article>"), ('<div class="entry tag-related-works">', "</div>"), ("<form><main>", "</main></form>")):
+        page = html.parse(f"<body><header>Site</header>{before}{ARTICLE}{inside}{after}</body>")
+        assert html.main_text(page, html.best_path(page)[0]) == " ".join(f"A first paragraph of the article, which is long enough to count. {text}".split()), before
+
+
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    tracemalloc.start()
+    page = html.parse("<div class='a b'>" * 100_000 + "deep text" + "</div>" * 50_000 + "</section>" * 100_000 + "<span class=ad>" * 20_000)
+    path, _ = html.best_path(page)
+    assert html.main_text(page, path) == "deep text" and path.count("/") == 100_000
+    assert tracemalloc.get_traced_memory()[1] < 200_000_000
+    tracemalloc.stop()
+
+
 def test_the_host_decides(spark):
     """A page whose comments are longer than its article is read by the path of its host."""
     page = "<div class=story><p>{a}</p></div><div class=below><p>{b}</p></div>"
