@@ -56,10 +56,14 @@ def embed(chunks: DataFrame, provider: Provider, dimension: int, batch: int = BA
 
 
 def index_chunks(chunks: DataFrame, cache: DataFrame, provider: Provider, model: str, dimension: int, now) -> DataFrame:
-    """(chunk_id, checksum, vector, cached, error) of all chunks: each content is embedded once, and only if the cache lacks it."""
-    wanted = chunks.withColumn("checksum", F.sha2("text", 256)).withColumn("model", F.lit(model)).withColumn("dimension", F.lit(dimension))
+    """(chunk_id, checksum, vector, cached, error) of all chunks: each content is embedded once, and only if the cache lacks it.
+
+    A chunk without text has no checksum and the error "blank".
+    """
+    empty = chunks.filter("text IS NULL").select("chunk_id", F.lit(None).cast("string").alias("checksum"), F.lit(None).cast("array<double>").alias("vector"), F.lit(False).alias("cached"), F.lit("blank").alias("error"))
+    wanted = chunks.filter("text IS NOT NULL").withColumn("checksum", F.sha2("text", 256)).withColumn("model", F.lit(model)).withColumn("dimension", F.lit(dimension))
     hits, misses = cache_lookup(wanted, cache, now)
     contents = misses.groupBy(*CACHE_KEY).agg(F.min("chunk_id").alias("chunk_id"), F.first("text").alias("text"))
     made = embed(contents.select("chunk_id", "text"), provider, dimension).join(contents.select("chunk_id", "checksum"), "chunk_id").drop("chunk_id")
     fresh = misses.join(made, "checksum").select("chunk_id", "checksum", "vector", F.lit(False).alias("cached"), "error")
-    return hits.select("chunk_id", "checksum", F.col("vector").cast("array<double>").alias("vector"), F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error")).unionByName(fresh)
+    return hits.select("chunk_id", "checksum", F.col("vector").cast("array<double>").alias("vector"), F.lit(True).alias("cached"), F.lit(None).cast("string").alias("error")).unionByName(fresh).unionByName(empty)

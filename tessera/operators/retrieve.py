@@ -10,16 +10,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.tokens import bm25_length, bm25_tokens
+from tessera.checkpoints import saved
+from tessera.functions.let import once
+from tessera.functions.tokens import bm25_tokens
 
 #: A side is broadcast up to so many rows; beyond, joins shuffle both sides.
 MOST_BROADCAST = 200_000
+#: And up to so many bytes, as written in JSON.
+MOST_BYTES = 64_000_000
 K1, B, RRF = 1.5, 0.75, 60
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """The same rows, to be broadcast if a count of them shows that there are few."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """The same rows, to be broadcast if their number and their size, both measured, are small."""
+    size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    rows, total = df.limit(most + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(size.cast("long")), F.lit(0))).first()
+    return F.broadcast(df) if rows <= most and total <= MOST_BYTES else df
 
 
 def top(hits: DataFrame, k: int, per: str = "query_id", score: str = "score", tie: str = "chunk_id") -> DataFrame:
@@ -28,6 +34,18 @@ def top(hits: DataFrame, k: int, per: str = "query_id", score: str = "score", ti
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+def lengths_and_terms(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(chunk_id, dl, term, tf): of each chunk its length and the counts of the wanted terms; all others are one row with a null term.
+
+    Each chunk is read and tokenized once, and counts are added up before they
+    are sent.
+    """
+    tokens = chunks.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens"))
+    words = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+    marked = words.join(wanted.select("term", F.lit(True).alias("asked")), "term", "left")
+    return marked.groupBy("chunk_id", "dl", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(chunk_id, dl, term, tf): an inverted index with each chunk's length."""
     tokens = chunks.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
@@ -36,7 +54,11 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 def corpus_stats(chunks: DataFrame) -> DataFrame:
     """One row: n, total and average length, chunks without tokens included."""
-    lengths = chunks.select(bm25_length(F.col("text")).alias("dl"))
+    return stats_of(chunks.select("chunk_id", F.size(bm25_tokens(F.col("text"))).alias("dl")))
+
+
+def stats_of(lengths: DataFrame) -> DataFrame:
+    """One row: n, total and average of the lengths (dl), one row a chunk."""
     return lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")).withColumn("avgdl", F.col("total") / F.greatest(F.col("n"), F.lit(1)))
 
 
@@ -51,21 +73,17 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) of all queries (query_id, query) at once.
 
-    Only the queries' terms are indexed; statistics are those of the whole
-    corpus, `keep` filters chunks after scoring and before the cut.
+    The corpus is read and tokenized once: each chunk leaves its length and its
+    counts of the queries' terms, which are written to the checkpoint folder;
+    statistics are counted from these. Statistics are those of the whole corpus,
+    `keep` filters chunks after scoring and before the cut.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("term"))
+    terms = saved(queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("term")))
     # all that comes of the questions has a row for each of their terms at most
-    sized = F.broadcast if terms.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda df: df
-    wanted = terms.select("term").distinct()
-    tokens = chunks.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens"))
-    index = (
-        tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        .join(sized(wanted), "term", "left_semi")
-        .groupBy("chunk_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    stats = corpus_stats(chunks)
+    sized = F.broadcast if terms.count() <= MOST_BROADCAST else lambda df: df
+    read = saved(lengths_and_terms(chunks, sized(terms.select("term").distinct())))
+    stats = stats_of(read.groupBy("chunk_id").agg(F.first("dl").alias("dl")))
+    index = read.filter("term IS NOT NULL")
     weighted = terms.join(document_frequency(index), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1)))
     hits = index.join(sized(weighted), "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
@@ -90,12 +108,16 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     Queries are a stated set that meets all vectors. A small set, by its
     counted numbers, is one matrix in every task: each batch of vectors is
     multiplied at once and sends its k best of each query only. A larger set
-    is joined.
+    is joined. Scores are rounded to six places by Spark in both ways. Vectors
+    and queries that are null, of length zero, or hold null or non-finite
+    components have no direction and take no part.
     """
+    queries = queries.filter(F.col("query_id").isNotNull() & directed(F.col("vector")))
+    vectors = vectors.filter(directed(F.col("vector")))
     n, size = queries.agg(F.count("query_id"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     if not n or n * size > MOST_NUMBERS:
         return _dense_joined(vectors, queries, k)
-    rows = queries.select("query_id", "vector").filter("query_id IS NOT NULL AND vector IS NOT NULL").collect()
+    rows = queries.select("query_id", "vector").collect()
     ids = np.array([r["query_id"] for r in rows])
     matrix = _unit_rows([r["vector"] for r in rows])
 
@@ -105,28 +127,38 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                 continue
             frame = frame.sort_values("chunk_id", kind="stable")
             held = np.asarray(frame["chunk_id"])
-            scores = np.round(_unit_rows(frame["vector"]) @ matrix.T, 6)
+            scores = _unit_rows(frame["vector"]) @ matrix.T
             out = []
             for column, query in zip(scores.T, ids, strict=True):
-                least = np.partition(column, -k)[-k] if len(column) > k else -np.inf
-                above = np.flatnonzero(column > least)
-                # of equal ones those of the smaller id, which come first
-                best = np.concatenate([above, np.flatnonzero(column == least)[: k - len(above)]])
-                out.append(pd.DataFrame({"query_id": query, "chunk_id": held[best], "score": column[best] + 0.0}))
+                steps = np.floor(column * 1e6 + 0.5)
+                least = np.partition(steps, -k)[-k] if len(steps) > k else -np.inf
+                # of equal ones those of the smaller id, which come first; also the next step, as Spark's rounding decides
+                best = np.concatenate([np.flatnonzero(steps > least), *(np.flatnonzero(steps == s)[:k] for s in (least, least - 1))])
+                out.append(pd.DataFrame({"query_id": query, "chunk_id": held[best], "score": column[best]}))
             yield pd.concat(out)
 
     kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
-    found = vectors.select("chunk_id", "vector").filter("vector IS NOT NULL").mapInPandas(run, "query_id {}, chunk_id {}, score double".format(*kinds))
-    return top(found, k)
+    found = vectors.select("chunk_id", "vector").mapInPandas(run, "query_id {}, chunk_id {}, score double".format(*kinds))
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
+def directed(vector: Column) -> Column:
+    """Whether a vector has a direction: it is there, all components are finite, and one is not zero."""
+    doubles = F.transform(vector, lambda x: x.cast("double"))
+    finite = F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(finite & F.exists(doubles, lambda x: x != 0), F.lit(False))
 
 
 def _unit_rows(vectors) -> np.ndarray:
     out = np.array([np.asarray(v, float) for v in vectors])
+    # first by the largest component, so that no square overflows or vanishes
+    out = out / np.abs(out).max(axis=1, keepdims=True)
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
 def _dense_joined(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y.cast("double") * y.cast("double"))))
+    scaled = lambda v: F.transform(v, lambda x: x.cast("double") / F.array_max(F.transform(v, lambda y: F.abs(y.cast("double")))))
+    unit = lambda v: once(scaled(v), lambda w: F.transform(w, lambda x: x / F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, y: s + y * y))))
     asked = small(queries.select("query_id", unit(F.col("vector")).alias("q")))
     units = vectors.select("chunk_id", unit(F.col("vector")).alias("v"))
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
@@ -184,22 +216,28 @@ def rerank(hits: DataFrame, chunks: DataFrame, queries: DataFrame, k: int, first
     return top(pairs.select("query_id", "chunk_id", "first_score", F.round(scorer(F.col("query"), F.col("text")), 6).alias("score")), k)
 
 
-def predicate(filters: dict[str, Any], columns: list[str]) -> Column:
-    """A filter dictionary as one condition: values, lists, ranges (gte, lte, gt, lt); None and unknown columns pass."""
+def predicate(filters: dict[str, Any], columns: list[str], absent: bool = False) -> Column:
+    """A filter dictionary as one condition: values, lists, ranges (gte, lte, gt, lt); None and unknown columns pass.
+
+    A key may name a part of a column ("metadata.year"). Rows where the value is
+    null pass only if `absent` is true: those lack the key.
+    """
     ops = {"gte": "__ge__", "lte": "__le__", "gt": "__gt__", "lt": "__lt__"}
     out = F.lit(True)
     for key, value in filters.items():
-        if value is None or key not in columns:
+        if value is None or (key not in columns and key.partition(".")[0] not in columns):
             continue
+        held, passes = F.col(key), F.lit(True)
         if isinstance(value, dict):
             for op, bound in value.items():
-                out &= getattr(F.col(key), ops[op])(bound)
+                passes &= getattr(held, ops[op])(bound)
         elif isinstance(value, (list, tuple)):
-            out &= F.col(key).isin(*value) if value else F.lit(True)
+            passes = held.isin(*value) if value else F.lit(True)
         elif isinstance(value, (str, int, float, bool)):
-            out &= F.col(key) == F.lit(value)
+            passes = held == F.lit(value)
         else:
             raise ValueError(f"no filter on {key} by {type(value).__name__}")
+        out &= F.coalesce(passes, F.lit(absent))
     return out
 
 

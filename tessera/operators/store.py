@@ -31,15 +31,19 @@ def next_version(versions: DataFrame, key: str = "document_id", number: str = "v
     return versions.groupBy(key).agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_version"))
 
 
-def reject_duplicates(new: DataFrame, existing: DataFrame, content: str = "text") -> DataFrame:
-    """New rows whose SHA-256 is not among the existing ones, each content once."""
+def reject_duplicates(new: DataFrame, existing: DataFrame, content: str = "text", key: str | None = None) -> DataFrame:
+    """New rows whose SHA-256 is not among the existing ones, each content once: the row of the least key (the first column, if not given)."""
     digest = lambda df: df.withColumn("checksum", F.sha2(F.col(content), 256))
-    return digest(new).dropDuplicates(["checksum"]).join(digest(existing).select("checksum"), "checksum", "left_anti")
+    key = key or new.columns[0]
+    rows = digest(new)
+    once = rows.groupBy("checksum").agg(F.min_by(F.struct(*new.columns), F.struct(key, *new.columns)).alias("row")).select("row.*", "checksum")
+    return once.join(digest(existing).select("checksum"), "checksum", "left_anti")
 
 
-def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """New rows replace those of their key."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new)
+def upsert(existing: DataFrame, new: DataFrame, key: str = "chunk_id", by: list[str] | None = None) -> DataFrame:
+    """New rows replace those of their key; of several new ones of a key the last by some columns (all, if not given) counts."""
+    once = latest(new, key, by or [c for c in new.columns if c != key])
+    return existing.join(once.select(key), key, "left_anti").unionByName(once)
 
 
 def delete(existing: DataFrame, ids: DataFrame | None = None, filters: dict[str, Any] | None = None, key: str = "chunk_id") -> DataFrame:
@@ -65,6 +69,13 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, now: Column, ttl: int = 86
     return wanted.join(alive, CACHE_KEY), wanted.join(alive.select(*CACHE_KEY), CACHE_KEY, "left_anti")
 
 
+def cache_invalidate(cache: DataFrame, model: str | None = None, checksums: DataFrame | None = None) -> DataFrame:
+    """The cache without the entries of a model, of some contents, or of these contents in that model; without either it is emptied."""
+    gone = cache if model is None else cache.filter(F.col("model") == model)
+    gone = gone if checksums is None else gone.join(checksums.select("checksum"), "checksum", "left_semi")
+    return cache.join(gone.select(*CACHE_KEY), CACHE_KEY, "left_anti")
+
+
 def cache_refresh(cache: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
     """Entries that were hit start their time anew."""
     touched = hits.select(*CACHE_KEY).distinct().withColumn("_now", now)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import saved  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,11 +25,3 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rounded(value: Column, places: int = 6) -> Column:
     return F.round(value.cast("double"), places)
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, for a table that is used several times; a temporary folder only where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)

@@ -38,12 +38,12 @@ def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each brand's parts written as CSV and read again."""
-    rows = F.array_sort(F.collect_list(F.array(F.col("p_partkey").cast("string"), F.concat(F.col("p_name"), F.lit(', "new"')), "p_type")))
-    held = table(spark, sf_dir, "part").groupBy("p_brand").agg(rows.alias("rows"))
+    """Each brand's parts, ten thousand keys at a time, written as CSV and read again; names hold commas, quotes and line ends."""
+    rows = F.array_sort(F.collect_list(F.array(F.col("p_partkey").cast("string"), F.concat(F.col("p_name"), F.lit(', "new"\nor\r\nold')), "p_type")))
+    held = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 10_000).alias("block")).agg(rows.alias("rows"))
     text = X.rows_to_csv(F.concat(F.array(F.array(F.lit("key"), F.lit("name"), F.lit("type"))), "rows"))
-    read = held.select("p_brand", "rows", F.md5(text.cast("binary")).alias("csv_digest"), F.md5(X.rows_to_html("rows").cast("binary")).alias("html_digest"), X.csv_table(text, 1 << 20).alias("t"))
-    return read.select("p_brand", "csv_digest", "html_digest", F.col("t.row_count").alias("row_count"), F.array_join("t.header", ",").alias("header"), (F.col("t.rows") == F.col("rows")).alias("same"))
+    read = held.select("p_brand", "block", "rows", F.md5(text.cast("binary")).alias("csv_digest"), F.md5(X.rows_to_html("rows").cast("binary")).alias("html_digest"), X.csv_table(text, 1 << 20).alias("t"))
+    return read.select("p_brand", "block", "csv_digest", "html_digest", F.col("t.row_count").alias("row_count"), F.array_join("t.header", ",").alias("header"), (F.col("t.rows") == F.col("rows")).alias("same"))
 
 
 def file_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,11 +99,11 @@ SELECT event_id, CASE WHEN NOT ok THEN NULL WHEN k = '{' THEN 'object' WHEN k =
   CASE WHEN ok AND k = '{' THEN len(json_keys(p))::INT END AS element_count, CASE WHEN ok AND k = '{' THEN array_to_string(list_sort(json_keys(p)), ',') END AS top_level_keys,
   coalesce(len(regexp_extract_all(p, '[\[{]')) > 1, false) AS has_nested, CASE WHEN NOT ok THEN 'invalid' END AS error FROM v""",
     "csv_tables": """
-WITH r AS (SELECT p_brand, p_partkey::VARCHAR AS k, concat(p_name, ', "new"') AS n, p_type AS t FROM part),
-c AS (SELECT p_brand, concat('key,name,type', chr(13), chr(10), string_agg(concat(k, ',"', replace(n, '"', '""'), '",', t), chr(13) || chr(10) ORDER BY k, n, t), chr(13), chr(10)) AS csv,
-  list(concat(k, chr(1), replace(n, '"', '&quot;'), chr(1), t) ORDER BY k, n, t) AS rows, count(*) AS m FROM r GROUP BY 1),
+WITH r AS (SELECT p_brand, p_partkey // 10000 AS block, p_partkey::VARCHAR AS k, concat(p_name, ', "new"', chr(10), 'or', chr(13), chr(10), 'old') AS n, p_type AS t FROM part),
+c AS (SELECT p_brand, block, concat('key,name,type', chr(13), chr(10), string_agg(concat(k, ',"', replace(n, '"', '""'), '",', t), chr(13) || chr(10) ORDER BY k, n, t), chr(13), chr(10)) AS csv,
+  list(concat(k, chr(1), replace(n, '"', '&quot;'), chr(1), t) ORDER BY k, n, t) AS rows, count(*) AS m FROM r GROUP BY 1, 2),
 h AS (SELECT *, concat('<table>', array_to_string(list_transform(rows, lambda x, i: CASE WHEN i = 1 THEN concat('<tr><th>', replace(x, chr(1), '</th><th>'), '</th></tr>') ELSE concat('<tr><td>', replace(x, chr(1), '</td><td>'), '</td></tr>') END), ''), '</table>') AS html FROM c)
-SELECT p_brand, md5(csv) AS csv_digest, md5(html) AS html_digest, (m + 1)::INT AS row_count, 'key,name,type' AS header, true AS same FROM h""",
+SELECT p_brand, block, md5(csv) AS csv_digest, md5(html) AS html_digest, (m + 1)::INT AS row_count, 'key,name,type' AS header, true AS same FROM h""",
     "file_checks": r"""
 WITH f AS (SELECT 'document' AS kind, text AS c FROM documents UNION ALL SELECT 'page', html FROM pages UNION ALL SELECT 'event', props FROM events),
 m AS (SELECT kind, strlen(c) AS n, CASE WHEN regexp_matches(lower(substr(c, 1, 32)), '^\s*<(!doctype html|html)') THEN 'text/html' WHEN regexp_matches(substr(c, 1, 32), '^\s*[\[{]') THEN 'application/json' ELSE 'text/plain' END AS mime FROM f)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import retrieve as R
 from tessera.operators import store as S
 from tessera.plans.common import table
+from tessera.sources import extract as X
 
 
 def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,9 +83,9 @@ def vector_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Equal vectors once rounded to one place."""
-    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.slice("embedding", 1, 2).alias("vector"))
-    return S.repeated_vectors(rows, 1)
+    """Equal whole vectors once rounded to six places, each vector being there again under another id."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    return S.repeated_vectors(rows.unionByName(rows.withColumn("chunk_id", -1 - F.col("chunk_id"))))
 
 
 def input_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,10 +152,16 @@ def metrics_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks, characters and full text of each source, in order."""
-    docs = table(spark, sf_dir, "documents")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda s: s["text"])
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.md5(F.array_join(ordered, "\n\n").cast("binary")).alias("digest"))
+    """Chunks and characters of each source, and a sum of digests of all its texts: nothing of a source meets in one task but sums."""
+    part = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), "text").cast("binary")), 1, 12), 16, 10).cast("decimal(20,0)")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.sum(part).cast("string").alias("digest"))
+
+
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's text put together again from its pages, in their order."""
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.text_pages(F.col("text"), 20)).alias("p")).select("doc_id", "p.page_number", "p.text")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda s: s["text"])
+    return pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.md5(F.array_join(ordered, "\n").cast("binary")).alias("digest"))
 
 
 def parents_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +204,7 @@ QUERIES = {
     "sessions": sessions,
     "metrics_by_tag": metrics_by_tag,
     "document_stats": document_stats,
+    "full_text": full_text,
     "parent_join": parents_joined,
     "cascade_delete": cascade,
     "user_list": users,
@@ -228,7 +236,8 @@ SELECT vec_id AS chunk_id, label FROM embeddings WHERE vec_id NOT IN (SELECT chu
     "vector_checks": """
 SELECT CASE vec_id % 7 WHEN 1 THEN 'dimension' WHEN 2 THEN 'nan' WHEN 3 THEN 'infinite' WHEN 4 THEN 'empty' END AS error, count(*) AS n FROM embeddings GROUP BY 1""",
     "vector_repeats": """
-SELECT min(vec_id) AS first, count(*) AS n FROM (SELECT vec_id, round(embedding[1]::DOUBLE, 1) AS a, round(embedding[2]::DOUBLE, 1) AS b FROM embeddings) GROUP BY a, b HAVING count(*) > 1""",
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings), t AS (SELECT * FROM v UNION ALL SELECT -1 - vec_id, v FROM v)
+SELECT min(vec_id) AS first, count(*) AS n FROM t GROUP BY v HAVING count(*) > 1""",
     "embedding_input_checks": """
 SELECT CASE WHEN text IS NULL OR trim(text) = '' THEN 'blank' WHEN length(text) > 2048 THEN 'too long' END AS error, count(*) AS n FROM documents GROUP BY 1""",
     "embedding_cache": """
@@ -250,7 +259,8 @@ s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS
 SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k""",
     "metrics_by_tag": """
 SELECT event_type, count(*) AS n, count(value) AS n_timed, max_by(event_id, (ts, event_id)) AS gauge, round(min(value), 6) AS low, round(max(value), 6) AS high FROM events GROUP BY 1""",
-    "document_stats": "SELECT source, count(*) AS n_chunks, sum(n_chars)::BIGINT AS n_chars, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents GROUP BY 1",
+    "document_stats": "SELECT source, count(*) AS n_chunks, sum(n_chars)::BIGINT AS n_chars, sum(('0x' || substr(md5(concat_ws('/', doc_id::VARCHAR, text)), 1, 12))::BIGINT)::VARCHAR AS digest FROM documents GROUP BY 1",
+    "full_text": "SELECT doc_id, ((len(string_split(text, chr(10))) - 1) // 20 + 1)::BIGINT AS n_pages, md5(text) AS digest FROM documents WHERE text IS NOT NULL",
     "parent_join": "SELECT o_custkey, o_orderstatus, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT') GROUP BY 1",
     "user_list": "SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS total FROM customer WHERE c_mktsegment = 'BUILDING'",

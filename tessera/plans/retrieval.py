@@ -25,7 +25,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters come after scoring and before the cut; statistics stay those of the corpus."""
     rows = chunks(spark, sf_dir)
-    keep = R.predicate({"language": ["en", "fr"], "chunk_index": {"gte": 10}, "year": 2024, "document_id": None}, rows.columns)
+    keep = R.predicate({"language": ["en", "fr"], "chunk_index": {"gte": 10}, "year": 2024, "document_id": None}, rows.columns, absent=True)
     return R.bm25(rows, questions(spark, sf_dir), 10, keep).select("query_id", "rank", "chunk_id", "score")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import shared_folder
 from tessera.plans.relational import JOB_STATUS
 from tessera.streaming import live as L
 
@@ -14,12 +15,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.result(L.counts(_events(spark, sf_dir), "1 hour"), "complete")
+    rows = L.result(L.counts(_events(spark, sf_dir), "1 hour"), "update", ["user_id", "w"])
     return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
 def sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.result(L.counts(_events(spark, sf_dir), "1 hour", "30 minutes", key="event_type"), "complete")
+    rows = L.result(L.counts(_events(spark, sf_dir), "1 hour", "30 minutes", key="event_type"), "update", ["event_type", "w"])
     return rows.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
@@ -36,18 +37,18 @@ def limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.create_map(*(F.lit(x) for pair in JOB_STATUS.items() for x in pair))[F.col("event_type")]
     events = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), status.alias("status"), "ts", "event_id")
-    return L.result(L.job_states(events), "update")
+    return L.result(L.job_states(events), "update", ["job_id"])
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = L.shared_folder(spark)
+    folder = shared_folder(spark)
     docs = L.stream_of(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
     L.drained(docs, "append", L.index_writer(f"{folder}/index"), f"{folder}/checkpoint")
     return L.index_stats(spark, f"{folder}/index")
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = L.shared_folder(spark)
+    folder = shared_folder(spark)
     rows = _events(spark, sf_dir).withColumn("retry_count", (F.col("event_id") % 5).cast("int"))
     L.drained(rows, "append", L.with_dead_letters(f"{folder}/good", f"{folder}/bad", "event_type = 'error'"), f"{folder}/checkpoint")
     counted = lambda name: spark.read.parquet(f"{folder}/{name}").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).withColumn("queue", F.lit(name))

@@ -148,13 +148,13 @@ def _content_sql(stopwords: list[str]) -> str:
     return f"list_filter({_CONTENT}, lambda x: regexp_full_match(x, '[a-z0-9][a-z0-9''-]*') AND length(x) >= 3 AND x NOT IN ({listed}))"
 
 
-def _language_sql(text: str) -> str:
+def language_counts_sql(text: str) -> str:
     found = _WORDS.replace("text", text)
     counts = [f"len(list_filter({found}, lambda x: x IN ({', '.join(repr(w) for w in ws)})))" for ws in tokens.PROFILES.values()]
     return ", ".join(f"{c} AS n_{code}" for c, code in zip(counts, tokens.PROFILES, strict=True))
 
 
-_BEST = """CASE WHEN length(body) < 20 OR n_en + n_fr + n_de + n_es = 0 THEN 'en'
+BEST_LANGUAGE = """CASE WHEN length(body) < 20 OR n_en + n_fr + n_de + n_es = 0 THEN 'en'
   WHEN n_en >= greatest(n_fr, n_de, n_es) THEN 'en' WHEN n_fr >= greatest(n_de, n_es) THEN 'fr' WHEN n_de >= n_es THEN 'de' ELSE 'es' END"""
 
 _SIGNS = " ".join(f"WHEN regexp_matches(lower(substr(body, 1, 2000)), '{sign.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, sign in tokens.CODE_SIGNS)
@@ -201,13 +201,13 @@ SELECT doc_id, len(b)::INT AS n_bm25, md5(array_to_string(b, ' ')) AS bm25_diges
     + ", ".join(f"substr(text, 1, {n}) AS first_{n}" for n in (60, 80, 120, 200, 300))
     + " FROM documents",
     "language_detect": f"""
-WITH c AS (SELECT doc_id, text AS body, {_language_sql("text")} FROM documents)
-SELECT doc_id, {_BEST} AS language, CASE WHEN length(body) < 20 OR n_en + n_fr + n_de + n_es = 0 THEN 0.5
+WITH c AS (SELECT doc_id, text AS body, {language_counts_sql("text")} FROM documents)
+SELECT doc_id, {BEST_LANGUAGE} AS language, CASE WHEN length(body) < 20 OR n_en + n_fr + n_de + n_es = 0 THEN 0.5
   ELSE round(greatest(n_en, n_fr, n_de, n_es)::DOUBLE / (n_en + n_fr + n_de + n_es), 4) END AS share FROM c""",
     "language_histogram": f"""
 WITH l AS (SELECT source, trim(unnest(string_split(text, chr(10)))) AS body FROM documents),
-c AS (SELECT source, body, {_language_sql("body")} FROM l WHERE length(body) >= 50),
-g AS (SELECT source, {_BEST} AS language, count(*) AS n FROM c GROUP BY ALL)
+c AS (SELECT source, body, {language_counts_sql("body")} FROM l WHERE length(body) >= 50),
+g AS (SELECT source, {BEST_LANGUAGE} AS language, count(*) AS n FROM c GROUP BY ALL)
 SELECT source, language, n, round(n::DOUBLE / sum(n) OVER (PARTITION BY source), 4) AS share FROM g""",
     "code_language": rf"""
 WITH b AS (SELECT 'page' AS kind, html AS body FROM pages UNION ALL SELECT 'event', props FROM events),

@@ -122,12 +122,17 @@ def json_properties(text: Column) -> Column:
 
 
 def csv_table(text: Column, preview: int = 20) -> Column:
-    """Header, number of rows with it, and the first rows as arrays; fields in quotes may hold commas."""
-    lines = F.filter(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n"), lambda x: x != "")
+    """Header, number of rows with it, and the first rows as arrays; fields in quotes may hold commas, quotes and line ends.
+
+    Every second part between quotes is inside of them; in the others commas
+    and line ends become separators that no text has.
+    """
+    outside = lambda x: F.translate(x, ",\n\r", "\x1f\x1e")
+    parts = F.transform(F.split(text, '"', -1), lambda x, i: F.when(i % 2 == 0, outside(x)).otherwise(x))
+    lines = F.filter(F.split(F.array_join(parts, '"'), "\x1e"), lambda x: x != "")
 
     def fields(line: Column) -> Column:
-        parts = F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-        return F.transform(parts, lambda f: F.replace(F.regexp_replace(f, r'^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+        return F.transform(F.split(line, "\x1f", -1), lambda f: F.replace(F.regexp_replace(f, r'(?s)^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
 
     return F.struct(fields(F.get(lines, F.lit(0))).alias("header"), F.size(lines).alias("row_count"), F.transform(F.slice(lines, 2, preview), fields).alias("rows"))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,16 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.checkpoints import shared_folder
 from tessera.functions.tokens import bm25_tokens
 from tessera.operators.store import TRANSITIONS
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-stream-")
-    return f"{base}/{uuid.uuid4().hex}"
-
-
 def stream_of(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A Parquet table, a folder or one file, as a stream; its schema is that of the files."""
     table = spark.read.parquet(path)
@@ -41,26 +34,41 @@ def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None
     query.awaitTermination()
 
 
-def result(stream: DataFrame, mode: str) -> DataFrame:
-    """The last state of an aggregated stream (complete), or all rows of another (append), as a table in the shared folder."""
+def result(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream says once all that is there is read, as a table in the shared folder.
+
+    complete: the last state; append: all rows; update: the last row of each of
+    the keys. Each batch has a folder of its own, so that one that is written
+    again after a failure replaces itself.
+    """
     spark, folder = stream.sparkSession, shared_folder(stream.sparkSession)
     out = f"{folder}/out"
-    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(out)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/batch=-1")
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
     drained(stream, mode, write, f"{folder}/checkpoint")
-    return spark.read.parquet(out)
+    rows = spark.read.parquet(out)
+    if mode != "update":
+        return rows.select(*stream.columns)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("row")).select(*keys, "row.*").select(*stream.columns)
 
 
 def counts(events: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes", key: str = "user_id") -> DataFrame:
-    """Events of a key in tumbling or sliding windows; state is dropped once the watermark has passed."""
+    """Events of a key in tumbling or sliding windows.
+
+    In append and update mode a window's state is dropped once the watermark
+    has passed its end, and what comes later is left out; complete mode keeps
+    all windows for good.
+    """
     window = F.window("ts", size, slide) if slide else F.window("ts", size)
     return events.withWatermark("ts", late).groupBy(key, window.alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes", key: str = "user_id") -> DataFrame:
+    """Events of a key in sessions. Spark has no update mode for these: append says a session once it is over, complete keeps all for good."""
     return events.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -94,36 +102,62 @@ def limited(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFram
     )
 
 
-def job_states(events: DataFrame) -> DataFrame:
-    """(job_id, status, n_refused) from status events (job_id, status, ts): a change that is not allowed is refused and counted."""
+#: A job that says nothing for so long (in event time) is forgotten, so that state does not grow for good.
+IDLE_DAYS = 30
+
+
+def job_states(events: DataFrame, idle_days: int = IDLE_DAYS) -> DataFrame:
+    """(job_id, status, n_refused) from status events (job_id, status, ts, event_id): a change that is not allowed is refused and counted.
+
+    A job's state is dropped when the watermark has passed its last event by
+    `idle_days`; a later event begins it anew.
+    """
 
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, refused = state.get if state.exists else ("", 0)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        status, refused, last = state.get if state.exists else ("", 0, 0)
         for rows in batches:
-            for new in rows.sort_values(["ts", "event_id"])["status"]:
+            rows = rows.sort_values(["ts", "event_id"])
+            for new in rows["status"]:
                 if (not status and new == "queued") or new in TRANSITIONS.get(status, ()):
                     status = new
                 else:
                     refused += 1
-        state.update((status, refused))
+            if len(rows):
+                last = max(last, int((rows["ts"].max() - pd.Timestamp(0)).total_seconds() * 1000))
+        state.update((status, refused, last))
+        end = last + idle_days * 86_400_000
+        if end > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(end)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "n_refused": [refused]})
 
-    return events.groupBy("job_id").applyInPandasWithState(
-        follow, "job_id long, status string, n_refused long", "status string, refused long", "update", GroupStateTimeout.NoTimeout
+    return events.withWatermark("ts", "1 day").groupBy("job_id").applyInPandasWithState(
+        follow, "job_id long, status string, n_refused long", "status string, refused long, last long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
 def with_dead_letters(good: str, bad: str, is_bad: str, most: int = 3) -> Callable[[DataFrame, int], None]:
-    """A writer that puts rows that failed `most` times into a side table and the others into the main one."""
+    """A writer that puts rows that failed `most` times into a side table and the others into the main one.
 
-    def write(batch: DataFrame, _: int) -> None:
-        marked = batch.withColumn("_dead", F.expr(is_bad) & (F.col("retry_count") >= most))
-        marked.filter("NOT _dead").drop("_dead").write.mode("append").parquet(good)
-        marked.filter("_dead").drop("_dead").write.mode("append").parquet(bad)
+    A condition that is null is no failure. Each batch has a folder of its own
+    in both tables: one that is written again replaces itself.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        dead = F.coalesce(F.expr(is_bad) & (F.col("retry_count") >= most), F.lit(False))
+        for path, rows in ((good, batch.filter(~dead)), (bad, batch.filter(dead))):
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
 
 
+def requeued(bad: DataFrame) -> DataFrame:
+    """Dead letters as new work: without their failures, and without the batch that they were in."""
+    return bad.drop("batch").withColumn("retry_count", F.lit(0).cast(bad.schema["retry_count"].dataType))
+
+
 def index_writer(path: str) -> Callable[[DataFrame, int], None]:
     """A writer that adds a batch of chunks to an inverted index; a batch that is written again replaces itself."""
 

@@ -83,7 +83,7 @@ def test_unknown_filter_types_are_refused(spark):
 def test_questions(spark):
     assert value(spark, query.rewrite(F.lit("what is revenue"))) == "revenue what is definition"
     assert value(spark, query.rewrite(F.lit("what is the revenue"))) == "revenue"
-    assert query.expanded_terms("revenue report")[:3] == ["income", "earnings", "sales"]
+    assert value(spark, query.added_terms(F.lit("revenue report")))[:3] == ["income", "earnings", "sales"]
     assert value(spark, query.embedded_filters(F.lit("year:2024 x year:2025, tag:a."))) == {"year": "2025", "tag": "a"}
 
 
