@@ -46,27 +46,50 @@ def difference_cover(most: int) -> tuple[int, np.ndarray]:
     raise AssertionError("each finite field has a primitive element")
 
 
-@functools.lru_cache(4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(n + 1, base, U), np.full(n + 1, pow(base, -1, 1 << 64), U)
-    up[0] = down[0] = 1
-    return np.cumprod(up, dtype=U), np.cumprod(down, dtype=U)
+#: Fingerprints are polynomials modulo this prime: two different strings of n bytes agree in one of them for n of all bases at
+#: most, whatever the bytes. (Modulo a power of two there are strings that agree for each base.)
+PRIME = (1 << 31) - 1
+#: Two pairs of bases, drawn once and for all; the pairs do not depend on each other.
+BASES = tuple(int(x) for x in np.random.default_rng(20_251).integers(1 << 20, PRIME - 1, 4))
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, in place, for x below 2 ** 62."""
+    for _ in range(2):
+        x = (x & U(PRIME)) + (x >> U(31))
+    x[x >= U(PRIME)] -= U(PRIME)
+    return x
+
+
+@functools.lru_cache(8)
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** i modulo the prime for i below n, in four bytes each."""
+    out, step = np.ones(1, U), base
+    while len(out) < n:
+        out = np.concatenate([out, _reduced(out * U(step))])
+        step = step * step % PRIME
+    return out.astype(np.uint32)
 
 
 class Prints:
-    """64-bit fingerprints of any window of a buffer, from prefix sums."""
+    """62-bit fingerprints of any window of a buffer, from prefix sums of two polynomials."""
 
     def __init__(self, data: np.ndarray, which: int):
-        dice = np.random.default_rng(1000 + which)
-        letters = dice.integers(0, 1 << 63, 256, dtype=U) * U(2) + U(1)
-        base = int(dice.integers(0, 1 << 62)) * 4 + 3
         # sizes in steps, so that a worker keeps one table of powers
-        up, self.down = _powers(base, max(1 << (len(data) - 1).bit_length(), PACK * 2) if len(data) else 1)
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(letters[data] * up[: len(data)], dtype=U, out=self.sums[1:])
+        n = max(1 << (len(data) - 1).bit_length(), PACK * 2) if len(data) else 1
+        self.parts = []
+        for base in BASES[2 * which : 2 * which + 2]:
+            sums = np.zeros(len(data) + 1, U)
+            # below 2 ** 31 each, so that the sum of a buffer stays below 2 ** 62; no byte counts as zero
+            np.cumsum(_reduced((data.astype(U) + U(1)) * _powers(base, n)[: len(data)]), dtype=U, out=sums[1:])
+            self.parts.append((sums, _powers(pow(base, -1, PRIME), n)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * self.down[start]
+        x, y = (_reduced(_reduced(sums[end] - sums[start]) * down[start]) for sums, down in self.parts)
+        h = (x << U(31)) | y
+        # all bits of a fingerprint tell in each part of it
+        h ^= h >> U(29)
+        h *= U(0xD6E8FEB86659FD93)
         h ^= h >> U(32)
         h *= U(0xD6E8FEB86659FD93)
         return h ^ (h >> U(29))
@@ -244,7 +267,7 @@ def repeated_strings(docs: DataFrame, length: int = 200) -> DataFrame:
     once, so that copies by the million do not meet in one task.
 
     Samples are told apart by 48 bits, which can only add strings that are
-    shown, contexts by 39 bits more, strings by 79 bits. Null text counts as empty; rows with null or repeated doc_id are
+    shown, contexts by 39 bits more, strings by 77 bits. Null text counts as empty; rows with null or repeated doc_id are
     documents like others; one row a document; an empty table gives no rows;
     further columns are ignored.
     """

@@ -260,6 +260,30 @@ def test_repeats_awkward(spark):
     assert suffixes.repeated_strings(texts_of(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("length", [64, 128, 1024])
+def test_structured_texts_are_told_apart(spark, length):
+    """Thue-Morse blocks and their complements, Fibonacci words, one letter, powers: strings that simple fingerprints confuse."""
+    morse = "".join("ab"[i.bit_count() % 2] for i in range(2 * length))
+    fib = ["a", "ab"]
+    while len(fib[-1]) < 2 * length:
+        fib.append(fib[-1] + fib[-2])
+    texts = [morse[:length], morse[length:], morse[:length].translate({97: 98, 98: 97}).replace("a", "c"), fib[-1][: 2 * length], "a" * (length + 3), "b" * length, "ab" * length, "\x00" * length, "\x00" * (length + 1)]
+    rows = list(enumerate(texts)) + [(50, f"x{morse[:length]}y")]
+    assert digests(suffixes.repeated_strings(texts_of(spark, rows), length)) == brute_repeats(rows, length)
+
+
+def test_fingerprints_of_structured_windows():
+    n = 1 << 16
+    morse = np.array([i.bit_count() % 2 for i in range(n)], np.uint8) + 97
+    for which in (0, 1):
+        prints = suffixes.Prints(morse, which)
+        for size in (128, 256, 1024, 4096):
+            starts = np.arange(0, n - size, size // 4)
+            got = prints.of(starts, starts + size)
+            names = [morse[s : s + size].tobytes() for s in starts]
+            assert len(set(got.tolist())) == len(set(names)) and all((a == b) == (x == y) for a, b, x, y in zip(got, got[1:], names, names[1:], strict=False))
+
+
 def test_difference_covers():
     for most in (1, 7, 13, 40, 133, 200):
         v, cover = suffixes.difference_cover(most)
