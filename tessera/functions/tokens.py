@@ -98,6 +98,26 @@ PROFILES = {
 }
 
 
+# Codes and names of languages (fixed values)
+LANGUAGES = {
+    "af": "Afrikaans", "ar": "Arabic", "bg": "Bulgarian", "bn": "Bengali", "ca": "Catalan", "cs": "Czech", "da": "Danish", "de": "German", "el": "Greek", "en": "English",
+    "es": "Spanish", "et": "Estonian", "fa": "Persian", "fi": "Finnish", "fr": "French", "gu": "Gujarati", "he": "Hebrew", "hi": "Hindi", "hr": "Croatian", "hu": "Hungarian",
+    "id": "Indonesian", "it": "Italian", "ja": "Japanese", "kn": "Kannada", "ko": "Korean", "lt": "Lithuanian", "lv": "Latvian", "mk": "Macedonian", "ml": "Malayalam", "mr": "Marathi",
+    "ne": "Nepali", "nl": "Dutch", "no": "Norwegian", "pa": "Punjabi", "pl": "Polish", "pt": "Portuguese", "ro": "Romanian", "ru": "Russian", "sk": "Slovak", "sl": "Slovenian",
+    "so": "Somali", "sq": "Albanian", "sr": "Serbian", "sv": "Swedish", "sw": "Swahili", "ta": "Tamil", "te": "Telugu", "th": "Thai", "tl": "Filipino", "tr": "Turkish",
+    "uk": "Ukrainian", "ur": "Urdu", "vi": "Vietnamese", "zh-cn": "Chinese (Simplified)", "zh-tw": "Chinese (Traditional)", "zh": "Chinese",
+}
+
+
+def language_name(code: Column) -> Column:
+    """The language's name, or the code itself if it has none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))[code], code)
+
+
+def is_supported(code: Column) -> Column:
+    return code.isin(*LANGUAGES)
+
+
 def language(text: Column, least: int = 20) -> Column:
     """(language, share): the language most of whose frequent words occur, and its share of all hits; en and 0.5 for short texts."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -30,6 +32,40 @@ def hashing_provider(dimension: int = 64) -> Provider:
     return embed
 
 
+class Transient(Exception):
+    """A provider's failure that may pass: no connection, a time-out, too many requests (`limited`)."""
+
+    def __init__(self, said: str, limited: bool = False):
+        super().__init__(said)
+        self.limited = limited
+
+
+def with_retries(provider: Provider, retries: int = 3, wait: Callable[[float], None] = time.sleep) -> Provider:
+    """The provider, called again after failures that may pass: after 1, 2, 4 ... seconds and up to a fifth more (30 at most),
+    twice as long (60 at most) where there were too many requests. Other failures are not tried again."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        for attempt in range(retries + 1):
+            try:
+                return provider(texts)
+            except Transient as e:
+                if attempt == retries:
+                    raise
+                pause = 2.0**attempt * (1 + 0.2 * random.random())
+                wait(min(60.0, 2 * pause) if e.limited else min(30.0, pause))
+        raise AssertionError("the last attempt returns or raises")
+
+    return call
+
+
+def batch_errors(chunks: DataFrame, most_tokens: int = 8192) -> DataFrame:
+    """(chunk_id, error) of inputs that cannot be embedded: empty, longer than four characters a token, or a chunk_id that is there twice."""
+    text = F.col("text")
+    bad = F.when(text.isNull() | (F.trim(text) == ""), "blank").when(F.length(text) > 4 * most_tokens, "too long")
+    twice = chunks.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("chunk_id", F.lit("repeated id").alias("error"))
+    return chunks.select("chunk_id", bad.alias("error")).filter("error IS NOT NULL").unionByName(twice)
+
+
 def embed(chunks: DataFrame, provider: Provider, dimension: int, batch: int = BATCH) -> DataFrame:
     """(chunk_id, vector, error): one vector for each text; a failed batch marks its own rows only."""
 

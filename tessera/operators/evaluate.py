@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.tokens import answer_sentences, grounding_tokens, metric_tokens
+from tessera.operators.context import citation_numbers
 
 
 def metrics(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
@@ -121,6 +122,68 @@ def grounding(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
+def citation_coverage(answer: Column) -> Column:
+    """The share of an answer's sentences, of ten characters or more with their citations, that cite a source by [n]; 0 if there are none."""
+    split = F.split(F.regexp_replace(answer, r"([.!?])\s+", "$1\x01"), "\x01")
+    parts = F.filter(F.transform(split, F.trim), lambda s: F.length(s) >= 10)
+    return F.when(F.size(parts) > 0, F.size(F.filter(parts, lambda s: s.rlike(r"\[\d+\]"))) / F.size(parts)).otherwise(0.0)
+
+
+#: An answer that is longer must cite something if it has sources.
+LEAST_CITED = 80
+
+
+def grounding_report(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row for each of `answers` (answer_id, answer): what is wrong with it, judged by its `sources` (answer_id, chunk_id, text).
+
+    citation_count and invalid_citations (numbers beyond the sources),
+    admits_gap, confidence (the mean similarity of the sentences that have
+    terms, to three places; 1 if there are none or no sources), n_sentences,
+    n_unsupported (claims that no source supports, unless the answer admits a
+    gap), citation_coverage, issues and valid. Issues are those of the
+    citations, of the sentences and of the response as such.
+    """
+    judged = grounding(answers, sources).filter(F.size(grounding_tokens(F.col("sentence"))) > 0)
+    number = sources.groupBy("answer_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    loose = ~F.col("supported") & F.col("factual")
+    line = F.struct("sentence_no", F.format_string("low grounding (%.2f): %s", F.col("similarity"), F.substring("sentence", 1, 80)).alias("said"))
+    of = judged.groupBy("answer_id").agg(
+        F.count(F.lit(1)).alias("n_sentences"), F.avg("similarity").alias("mean"), F.array_sort(F.collect_list(F.when(loose, line))).alias("loose")
+    )
+    cited = citation_numbers(F.col("answer"))
+    rows = answers.select("answer_id", "answer", cited.alias("cited"), admits_gap(F.col("answer")).alias("admits_gap")).join(number, "answer_id", "left").join(of, "answer_id", "left")
+    n = F.coalesce("n_sources", F.lit(0))
+    invalid = F.filter("cited", lambda c: (c < 1) | (c > n))
+    loose = F.when(F.col("admits_gap") | (n == 0), F.array()).otherwise(F.coalesce(F.transform("loose", lambda s: s["said"]), F.array()))
+    missing = F.when((F.size("cited") == 0) & (F.length(F.trim("answer")) > LEAST_CITED) & (n > 0), F.array(F.lit("no citations"))).otherwise(F.array())
+    issues = F.concat(F.transform(invalid, lambda c: F.concat(F.lit("no source ["), c.cast("string"), F.lit("]"))), missing, loose.cast("array<string>"), response_issues(F.col("answer")))
+    return rows.select(
+        "answer_id",
+        (F.size("cited") - F.size(invalid)).alias("citation_count"),
+        invalid.alias("invalid_citations"),
+        "admits_gap",
+        F.when(n > 0, F.coalesce(F.round("mean", 3), F.lit(1.0))).otherwise(1.0).alias("confidence"),
+        F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"),
+        F.size(loose).alias("n_unsupported"),
+        F.round(citation_coverage(F.col("answer")), 4).alias("citation_coverage"),
+        issues.alias("issues"),
+        (F.size(issues) == 0).alias("valid"),
+    )
+
+
+def evaluation_report(per_query: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row: the means of all metrics (four places), of latency (two), tokens (one) and citation coverage (four).
+
+    `per_query` is what metrics or answer_metrics give; `answers` has query_id,
+    answer, latency_ms and tokens.
+    """
+    said = answers.agg(
+        F.count(F.lit(1)).alias("n_answers"), F.round(F.avg("latency_ms"), 2).alias("latency_ms"), F.round(F.avg("tokens"), 1).alias("tokens"), F.round(F.avg(citation_coverage(F.col("answer"))), 4).alias("citation_coverage")
+    )
+    return macro(per_query).crossJoin(said)
+
+
+# Patterns of answers that are no answers (fixed values)
 REFUSALS = (r"(?i)^I'm (sorry|unable|not able)", r"(?i)^As an AI", r"(?i)^I cannot (answer|complete|provide|fulfill)", r"^\s*```", r"^\s*\{.*\}\s*$")
 
 

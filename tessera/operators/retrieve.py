@@ -70,6 +70,15 @@ def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, k: int | None = 10) -> DataFrame:
+    """(query_id, chunk_id, score, rank) from postings (chunk_id, dl, term, tf) of all terms (query_id, term) and the corpus's stats."""
+    weighted = terms.join(document_frequency(index), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1)))
+    hits = index.join(small(weighted), "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return scored if k is None else top(scored, k)
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column | None = None) -> DataFrame:
     """(query_id, chunk_id, score, rank) of all queries (query_id, query) at once.
 
@@ -84,10 +93,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column
     read = saved(lengths_and_terms(chunks, sized(terms.select("term").distinct())))
     stats = stats_of(read.groupBy("chunk_id").agg(F.first("dl").alias("dl")))
     index = read.filter("term IS NOT NULL")
-    weighted = terms.join(document_frequency(index), "term").crossJoin(F.broadcast(stats)).select("query_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1)))
-    hits = index.join(sized(weighted), "term").select("query_id", "chunk_id", (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("part"))
-    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = bm25_scores(index, stats, terms, None)
     if keep is not None:
         scored = scored.join(chunks.filter(keep).select("chunk_id"), "chunk_id", "left_semi")
     return scored if k is None else top(scored, k)

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.retrieve import predicate
+from tessera.checkpoints import saved
+from tessera.functions.tokens import bm25_tokens
+from tessera.operators.retrieve import bm25_scores, predicate, small, stats_of
 
 
 def page(df: DataFrame, number: int, size: int, order: list[Column]) -> DataFrame:
@@ -170,3 +173,122 @@ def after_failure(retries: Column, most: Column) -> Column:
 
 def progress(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.round(100.0 * done / total, 1)).otherwise(0.0)
+
+
+# Stages of an ingestion job and how far each is (fixed values)
+STAGES = {"extracting": 10, "ocr_check": 25, "cleaning": 40, "detecting_language": 50, "chunking": 60, "storing": 75, "completed": 100}
+
+
+def stage_progress(events: DataFrame) -> DataFrame:
+    """(job_id, stage, progress): where each job is, by its last stage event (job_id, stage, ts, event_id); unknown stages do not count."""
+    table = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
+    known = events.withColumn("progress", table[F.col("stage")]).filter("progress IS NOT NULL")
+    return known.groupBy("job_id").agg(F.max_by(F.struct("stage", "progress"), F.struct("ts", "event_id")).alias("last")).select("job_id", "last.*")
+
+
+def transition(jobs: DataFrame, ids: DataFrame, status: str) -> DataFrame:
+    """The jobs (job_id, status, ...) with those of some ids in a new status where that is allowed, and a column `refused` for the others of them."""
+    asked = ids.select("job_id").distinct().withColumn("_asked", F.lit(True))
+    may = allowed(F.col("status"), F.lit(status))
+    rows = jobs.join(asked, "job_id", "left")
+    wanted = F.coalesce("_asked", F.lit(False))
+    return rows.withColumn("refused", wanted & ~F.coalesce(may, F.lit(False))).withColumn("status", F.when(wanted & may, status).otherwise(F.col("status"))).drop("_asked")
+
+
+def cancel(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    return transition(jobs, ids, "cancelled")
+
+
+def reset_for_retry(jobs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Retrying jobs of some ids are queued again, without what is left of the last try; others of them are refused."""
+    asked = ids.select("job_id").distinct().withColumn("_asked", F.lit(True))
+    rows = jobs.join(asked, "job_id", "left").withColumn("_asked", F.coalesce("_asked", F.lit(False)))
+    again = F.col("_asked") & (F.col("status") == "retrying")
+    out = rows.withColumn("refused", F.col("_asked") & ~again)
+    for c in ("checkpoint", "error_message", "error_details", "started_at"):
+        if c in jobs.columns:
+            out = out.withColumn(c, F.when(~again, F.col(c)))
+    return out.withColumn("status", F.when(again, "queued").otherwise(F.col("status"))).drop("_asked")
+
+
+def vector_records(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Records for a collection: chunks with their vectors (chunk_id, vector) and defaults for what a chunk lacks; chunks without a vector have none."""
+    held = set(chunks.columns)
+    or_else = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in held else F.lit(default)).cast(kind).alias(c)
+    maybe = lambda c, kind: (F.col(c) if c in held else F.lit(None)).cast(kind).alias(c)
+    rows = chunks.join(vectors.filter("vector IS NOT NULL").select("chunk_id", "vector"), "chunk_id")
+    return rows.select(
+        "chunk_id", or_else("document_id", "string", ""), "vector", or_else("text", "string", ""), maybe("page_number", "int"), or_else("chunk_index", "int", 0), maybe("section_title", "string"),
+        or_else("language", "string", "unknown"), or_else("checksum", "string", ""), or_else("version", "int", 1), or_else("source", "string", ""), F.lit(model).alias("embedding_model"),
+    )
+
+
+def get_vector(vectors: DataFrame, chunk_id: Any) -> DataFrame:
+    """The record of a key: one row or none."""
+    return vectors.filter(F.col("chunk_id") == F.lit(chunk_id)).limit(1)
+
+
+def reindexed(index: DataFrame, chunks: DataFrame, key: str = "document_id") -> DataFrame:
+    """The index with all rows of the given chunks' documents replaced by these chunks."""
+    return index.join(chunks.select(key).distinct(), key, "left_anti").unionByName(chunks)
+
+
+def changed(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """Chunks whose content the index does not have yet, by checksum."""
+    return chunks.join(index.select("checksum"), "checksum", "left_anti")
+
+
+def store_unit(parts: dict[str, DataFrame], path: str, unit: str) -> None:
+    """Write the tables of one unit of work (tables, chunks, images) so that readers see all of it or nothing.
+
+    Each table has a folder of the unit's name; the list of finished units is
+    written last. A unit that is written again replaces itself.
+    """
+    for name, rows in parts.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}/unit={unit}")
+    some = next(iter(parts.values()))
+    some.sparkSession.createDataFrame([(unit,)], "unit string").coalesce(1).write.mode("overwrite").parquet(f"{path}/_units/{unit}")
+
+
+def read_units(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of a table of all finished units."""
+    done = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/_units").distinct()
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    return rows.withColumn("unit", F.col("unit").cast("string")).join(F.broadcast(done), "unit", "left_semi")
+
+
+class KeywordIndex:
+    """A BM25 index as two tables of a folder: postings, dealt by a hash of the term, and lengths."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path, buckets
+
+    def build(self, chunks: DataFrame) -> None:
+        """Index the chunks (chunk_id, text); what was there before is replaced."""
+        tokens = saved(chunks.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens")))
+        tokens.select("chunk_id", "dl").write.mode("overwrite").parquet(f"{self.path}/lengths")
+        counted = tokens.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        bucket = F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+        dealt = counted.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16))).sortWithinPartitions("term")
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings")
+
+    def status(self) -> DataFrame:
+        """One row: n, total and avgdl; n is 0 for an index that is empty or not built."""
+        return stats_of(self._read("lengths", "chunk_id long, dl int"))
+
+    def clear(self) -> None:
+        for name, schema in (("lengths", "chunk_id long, dl int"), ("postings", "chunk_id long, dl int, term string, tf long, bucket int")):
+            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.path}/{name}")
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """What bm25 gives for the indexed chunks: only the buckets of the questions' terms are read."""
+        terms = saved(queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("term")))
+        keyed = terms.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
+        index = self._read("postings", "chunk_id long, dl int, term string, tf long, bucket int").join(small(keyed), ["bucket", "term"], "left_semi")
+        return bm25_scores(index, self.status(), terms, k)
+
+    def _read(self, name: str, schema: str) -> DataFrame:
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            return self.spark.createDataFrame([], schema)

@@ -31,11 +31,22 @@ def dense_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.macro(E.metrics(*_dense_run(spark, sf_dir), KS))
 
 
+#: Questions meet documents by their first so many characters; shorter ones have no relevant document.
+PIECE = 24
+
+
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a question's first hundred characters are relevant to it."""
+    """Documents that hold a question's whole text are relevant to it."""
     asked = questions(spark, sf_dir)
     docs = chunks(spark, sf_dir).select("chunk_id", "text")
-    return docs.join(R.small(asked), F.contains(docs["text"], asked["query"])).select("query_id", "chunk_id", F.lit(1.0).alias("grade"))
+    # a document that holds a text holds its first piece: pieces meet by hash, then the whole is compared
+    piece = lambda text, at: F.substring(text, at, F.lit(PIECE))
+    keys = asked.select("query_id", "query", F.xxhash64(piece(F.col("query"), F.lit(1))).alias("h")).filter(F.length("query") >= PIECE)
+    places = F.sequence(F.lit(1), F.greatest(F.length("text") - PIECE + 1, F.lit(1)))
+    held = docs.select("chunk_id", "text", F.array_distinct(F.transform(places, lambda i: F.xxhash64(piece(F.col("text"), i)))).alias("hs"))
+    wanted = keys.agg(F.collect_set("h").alias("wanted"))
+    near = held.crossJoin(F.broadcast(wanted)).select("chunk_id", "text", F.explode(F.array_intersect("hs", "wanted")).alias("h"))
+    return near.join(R.small(keys), "h").filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id", F.lit(1.0).alias("grade"))
 
 
 def bm25_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +77,24 @@ def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.grounding(answers, sources)
 
 
+def answer_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of the grounding query, some with citations that there are sources for or not."""
+    rows, asked = chunks(spark, sf_dir), questions(spark, sf_dir)
+    hits = saved(R.bm25(rows, asked, 4).join(rows.select("chunk_id", "text"), "chunk_id"))
+    cited = F.when(F.col("query_id") % 3 == 0, F.concat("text", F.lit(" See [1] and [2-3]."))).when(F.col("query_id") % 3 == 1, F.concat("text", F.lit(" As in [2,9] it is."))).otherwise(F.col("text"))
+    answers = hits.filter("rank = 1").select(F.col("query_id").alias("answer_id"), cited.alias("answer"))
+    sources = hits.filter("rank > 1").select(F.col("query_id").alias("answer_id"), "chunk_id", "text")
+    return E.grounding_report(answers, sources).withColumn("issues", F.array_join("issues", "; ")).withColumn("invalid_citations", F.array_join(F.transform("invalid_citations", lambda c: c.cast("string")), ","))
+
+
+def evaluation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of the dense run with the assistants' turns as answers, every third sentence end being a citation."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    answer = F.when(F.col("turn") % 4 == 1, F.replace("text", F.lit(". "), F.lit(" [1]. "))).otherwise(F.col("text"))
+    answers = turns.select(F.col("conv_id").alias("query_id"), answer.alias("answer"), (F.length("text") / 7.0).alias("latency_ms"), tokens.quarter_tokens(F.col("text")).alias("tokens"))
+    return E.evaluation_report(E.metrics(*_dense_run(spark, sf_dir), KS), answers)
+
+
 def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assistants' turns, some as refusals, as JSON or cut short."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
@@ -82,6 +111,8 @@ QUERIES = {
     "answer_metrics": answer_metrics,
     "grounding": grounding,
     "response_checks": response_checks,
+    "answer_report": answer_report,
+    "evaluation_report": evaluation_report,
 }
 
 
@@ -132,4 +163,10 @@ i AS (SELECT *, length(trim(t)) < 10 AS short, length(t) > 50000 AS long,
 SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN short THEN 'too short' END, CASE WHEN long THEN 'too long' END, CASE WHEN refused THEN 'refusal' END, CASE WHEN n > 0 AND n < 3 THEN 'fewer than 3 words' END], lambda x: x IS NOT NULL), '; ') AS issues,
   NOT (short OR long OR refused OR (n > 0 AND n < 3)) AS valid,
   regexp_matches(lower(t), 'i don''t have enough information|i cannot answer|i don''t have the specific|i don''t have access to|not provided in the context|does not contain information|not mentioned in the sources|cannot find this information|the context does not|based on the provided context, i cannot') AS gap FROM i""",
+    "evaluation_report": f"""
+WITH {UNITS}, {_DENSE}, means AS ({_MACRO}), turns AS (SELECT text, CASE WHEN turn % 4 = 1 THEN replace(text, '. ', ' [1]. ') ELSE text END AS a FROM conversations WHERE role = 'assistant'),
+parts AS (SELECT length(text) / 7.0::DOUBLE AS latency, length(text) // 4 AS n, list_filter(list_transform(string_split(regexp_replace(a, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) >= 10) AS p FROM turns),
+said AS (SELECT count(*) AS n_answers, round(avg(latency), 2) AS latency_ms, round(avg(n), 1) AS tokens,
+  round(avg(CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: regexp_matches(x, '\\[[0-9]+\\]')))::DOUBLE / len(p) ELSE 0 END), 4) AS citation_coverage FROM parts)
+SELECT * FROM means, said""",
 }
