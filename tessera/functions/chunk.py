@@ -1,241 +1,265 @@
-"""Chunkers as column expressions: a text becomes an array of chunks.
+"""Chunkers: a text becomes an array of chunks.
 
-Each is a fold over the text's sentences, lines or paragraphs, so that a
-document is chunked where it is, without Python.
+Each is one walk over a text's sentences, lines or paragraphs, in time in
+proportion to the text, which Arrow brings to Python whole; what a chunk is
+made into afterwards (checksums, sizes, filters) are expressions.
 """
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.tokens import code_language, hash16, looks_like_code, quarter_tokens, sentences
+from tessera.functions.tokens import SENTENCE_END, code_language, hash16, looks_like_code, quarter_tokens
 
-STRINGS = "array<string>"
 CHUNK = "struct<content:string,chunk_type:string,section_title:string,section_hierarchy:array<string>>"
+FAMILY = CHUNK.replace(">>", ">,parent:string>")
+
+#: White space is that of ASCII, as in the expressions.
+SPACE = " \t\n\x0b\f\r"
+SENTENCE = re.compile(SENTENCE_END, re.ASCII)
+BLANK = re.compile("\n{2,}")
+HEADING = re.compile(r"(#{1,6})\s+(.+)", re.ASCII)
+RULE = re.compile("[=-]{3,}")
+FENCE = re.compile("`{3,}|~{3,}")
+TABLE_LINE = re.compile(r"\s*\|.+\|\s*", re.ASCII)
+# Lines of dense content: code, tables, lists, fences (fixed values)
+DENSE = r"^\s{4,}\S|^\|.+\|$|^\d+[.\)]\s+\S|^[-*]\s+\S|^```"
+# Where a top-level unit of code begins (fixed values)
+UNITS = {
+    "python": re.compile(r"^(async\s+def|def|class)\s+\w+", re.MULTILINE),
+    "javascript": re.compile(r"^(export\s+)?(async\s+)?function\s+\w+|^(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s+)?\(|^class\s+\w+", re.MULTILINE),
+    "typescript": re.compile(
+        r"^(export\s+)?(async\s+)?function\s+\w+|^(export\s+)?(const|let|var)\s+\w+|^(export\s+)?(abstract\s+)?class\s+\w+|^(export\s+)?interface\s+\w+|^(export\s+)?type\s+\w+\s*=",
+        re.MULTILINE,
+    ),
+    "sql": re.compile(r"^(CREATE|ALTER|DROP|INSERT|SELECT|UPDATE|DELETE|WITH)\b", re.MULTILINE | re.IGNORECASE),
+    "java": re.compile(r"^(public|private|protected|static)?\s*(class|interface|enum|void|[A-Z]\w+)\s+\w+", re.MULTILINE),
+    "go": re.compile(r"^func\s+(\(\w+\s+\*?\w+\)\s+)?\w+\s*\(", re.MULTILINE),
+    "rust": re.compile(r"^(pub\s+)?(async\s+)?fn\s+\w+|^(pub\s+)?(struct|enum|trait|impl)\s+\w+", re.MULTILINE),
+}
+_DENSE = re.compile(DENSE, re.ASCII)
 
 
-def _empty(kind: str = STRINGS) -> Column:
-    return F.array().cast(kind)
+def _pieces(parts: Iterable[str]) -> list[str]:
+    """The parts without white space around them, blank ones left out."""
+    return [p for p in (x.strip(SPACE) for x in parts) if p]
 
 
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+def _packed(parts: list[str], limit: Callable[[str], int], joined: str, overlap: int = 0, least: int = 0) -> Iterator[str]:
+    """Parts in order while their lengths stay within the limit, which may depend on the part that comes next.
 
+    The last parts that fit together into the overlap begin the next chunk.
+    """
+    now: list[str] = []
+    size = 0
+    for part in parts:
+        if now and size + len(part) > limit(part):
+            yield joined.join(now)
+            first, size = len(now), 0
+            while overlap and first and size + len(now[first - 1]) <= overlap:
+                first -= 1
+                size += len(now[first])
+            now = now[first:]
+        now.append(part)
+        size += len(part)
+    if now and size >= least:
+        yield joined.join(now)
 
-def _length(parts: Column) -> Column:
-    return F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s))
 
+def _by_sentences(text: str, size: int, least: int, overlap: int) -> Iterator[str]:
+    return _packed(_pieces(SENTENCE.split(text)), lambda _: size, " ", overlap, least)
 
-def _tail(parts: Column, overlap: int) -> Column:
-    """The last parts that fit together into the overlap."""
-    start = F.struct(_empty().alias("kept"), F.lit(overlap).alias("left"))
 
-    def step(s: Column, part: Column) -> Column:
-        fits = F.length(part) <= s["left"]
-        return F.struct(
-            F.when(fits, F.array_prepend(s["kept"], part)).otherwise(s["kept"]).alias("kept"),
-            F.when(fits, s["left"] - F.length(part)).otherwise(F.lit(-1)).alias("left"),
-        )
+def _by_paragraphs(text: str, size: int) -> Iterator[str]:
+    return _packed(_pieces(BLANK.split(text)), lambda _: size, "\n\n")
 
-    return F.aggregate(F.reverse(parts), start, step, lambda s: s["kept"])
 
+def _sections(text: str) -> Iterator[tuple[int | None, str | None, str]]:
+    """(level, heading, body) by headings with # and by underlined ones; what comes first has neither."""
+    level, heading, body = None, None, []
+    for line in text.split("\n"):
+        marked = HEADING.fullmatch(line)
+        if not marked and not (body and RULE.fullmatch(line)):
+            body.append(line)
+            continue
+        above = None if marked else body.pop()
+        if body or heading:
+            yield level, heading, "\n".join(body)
+        level, heading, body = (len(marked[1]), marked[2].strip(SPACE), []) if marked else (1 if line[0] == "=" else 2, above.strip(SPACE), [])
+    if body or heading:
+        yield level, heading, "\n".join(body)
+
+
+Found = tuple[str, str, str | None, list[str]]
+
+
+def _headings(text: str, size: int, least: int, overlap: int) -> Iterator[Found]:
+    above: list[str] = []
+    for level, heading, body in _sections(text):
+        bare = body.strip(SPACE)
+        if not bare:
+            continue
+        if level is not None:
+            above = [*above[: level - 1], heading or ""]
+        for part in _by_sentences(body, size, least, overlap) if len(body) > size else (bare,):
+            yield part, "section", heading, above
 
-def _packed(parts: Column, limit, joined: str, overlap: int = 0, least: int = 0) -> Column:
-    """Parts in order while their lengths stay within the limit; `limit` may depend on the part that comes next."""
-    start = F.struct(_empty().alias("done"), _empty().alias("now"), F.lit(0).alias("size"))
 
-    def step(s: Column, part: Column) -> Column:
-        full = (s["size"] + F.length(part) > limit(part)) & (F.size(s["now"]) > 0)
-        kept = _tail(s["now"], overlap) if overlap else _empty()
-        now = F.when(full, kept).otherwise(s["now"])
-        size = F.when(full, _length(kept) if overlap else F.lit(0)).otherwise(s["size"])
-        return F.struct(
-            F.when(full, F.array_append(s["done"], F.array_join(s["now"], joined))).otherwise(s["done"]).alias("done"),
-            F.array_append(now, part).alias("now"),
-            (size + F.length(part)).alias("size"),
-        )
+def _markdown(text: str, least: int) -> Iterator[Found]:
+    now: list[str] = []
+    size, title, code = 0, None, False
+    for line in text.split("\n"):
+        code ^= FENCE.match(line) is not None
+        heading = None if code else HEADING.fullmatch(line)
+        if heading and now and size >= least:
+            yield "\n".join(now), "markdown_section", title, []
+            now, size = [], 0
+        now.append(line)
+        size += len(line) + 1
+        title = heading[2].strip(SPACE) if heading else title
+    yield "\n".join(now), "markdown_section", title, []
 
-    def end(s: Column) -> Column:
-        return F.when((F.size(s["now"]) > 0) & (s["size"] >= least), F.array_append(s["done"], F.array_join(s["now"], joined))).otherwise(s["done"])
 
-    return F.aggregate(parts, start, step, end)
+def _tables(text: str, least: int) -> Iterator[Found]:
+    run: list[str] = []
+    in_table = False
+    for line in [*text.split("\n"), None]:
+        is_table = line is not None and TABLE_LINE.fullmatch(line) is not None
+        if run and (line is None or is_table != in_table):
+            content = "\n".join(run).strip(SPACE)
+            if content and (in_table or len(content) >= least):
+                yield content, "table" if in_table else "text", None, []
+            run = []
+        run.append(line)
+        in_table = is_table
 
 
-def _chunks(contents: Column, kind: str, title: Column | None = None, hierarchy: Column | None = None) -> Column:
-    return F.transform(
-        contents,
-        lambda c: F.struct(
-            c.alias("content"), F.lit(kind).alias("chunk_type"),
-            (F.lit(None).cast("string") if title is None else title).alias("section_title"),
-            (_empty() if hierarchy is None else hierarchy).alias("section_hierarchy"),
-        ),
-    )
+def _adaptive(text: str, size: int) -> Iterator[str]:
+    def limit(paragraph: str) -> int:
+        lines = paragraph.split("\n")
+        return int(size * max(0.3, 1.0 - sum(_DENSE.search(x) is not None for x in lines) / len(lines) * 0.7))
 
+    return _packed(_pieces(BLANK.split(text)), limit, "\n\n")
 
-def _semantic(text: Column, size: int, least: int, overlap: int) -> Column:
-    return _packed(sentences(text), lambda _: F.lit(size), " ", overlap, least)
 
+def _ocr(text: str, size: int, least: int, overlap: int) -> Iterator[str]:
+    paragraphs: list[str] = []
+    held: list[str] = []
+    for raw in [*text.split("\n"), ""]:
+        raw = raw.strip(SPACE)
+        if held and (not raw or held[-1][-1] in ".!?"):
+            paragraphs.append(" ".join(held))
+            held = []
+        if raw:
+            held.append(raw)
+    return _by_sentences("\n\n".join(paragraphs), size, least, overlap)
 
-def semantic(text: Column, size: int = 1024, least: int = 100, overlap: int = 100) -> Column:
-    """Sentences up to the size; each chunk begins with the last sentences of the one before that fit the overlap."""
-    return _chunks(_semantic(text, size, least, overlap), "semantic")
 
+def _code(text: str, language: str, size: int) -> Iterator[str]:
+    starts = [m.start() for m in UNITS[language].finditer(text)] if language in UNITS else []
+    if not starts:
+        yield from _by_paragraphs(text, size)
+        return
+    bounds = [0, *starts, len(text)]
+    for unit in _pieces(text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)):
+        yield from _by_paragraphs(unit, size) if len(unit) > size else (unit,)
 
-def sections(text: Column) -> Column:
-    """(level, heading, body) by headings with # and by underlined ones; what comes first has neither."""
-    kind = "array<struct<level:int,heading:string,body:string>>"
-    start = F.struct(_empty(kind).alias("done"), _empty().alias("body"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading"))
 
-    def flushed(s: Column, body: Column) -> Column:
-        some = (F.size(body) > 0) | (F.coalesce(s["heading"], F.lit("")) != "")
-        one = F.struct(s["level"].alias("level"), s["heading"].alias("heading"), F.array_join(body, "\n").alias("body"))
-        return F.when(some, F.array_append(s["done"], one)).otherwise(s["done"])
+def _families(text: str, parent: int, child: int, overlap: int) -> Iterator[tuple]:
+    for content, kind, title, above in _headings(text, parent, 100, 100):
+        yield content, kind, title, above, None
+        name = hashlib.sha256(content.encode()).hexdigest()[:16]
+        for part in _by_sentences(content, child, 100, overlap):
+            yield part, "child", title, above, name
 
-    def step(s: Column, line: Column) -> Column:
-        marked = line.rlike(r"^#{1,6}\s+.+$")
-        ruled = line.rlike("^([=-]{3,})$") & (F.size(s["body"]) > 0)
-        before = F.slice(s["body"], 1, F.greatest(F.size(s["body"]) - 1, F.lit(0)))
-        marks = F.length(F.regexp_extract(line, "^(#{1,6})", 1))
-        return F.struct(
-            F.when(marked, flushed(s, s["body"])).when(ruled, flushed(s, before)).otherwise(s["done"]).alias("done"),
-            F.when(marked | ruled, _empty()).otherwise(F.array_append(s["body"], line)).alias("body"),
-            F.when(marked, marks).when(ruled, F.when(line.startswith("="), 1).otherwise(2)).otherwise(s["level"]).cast("int").alias("level"),
-            F.when(marked, _strip(F.regexp_extract(line, r"^#{1,6}\s+(.+)$", 1))).when(ruled, _strip(F.get(s["body"], F.size(s["body"]) - 1))).otherwise(s["heading"]).alias("heading"),
-        )
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: flushed(s, s["body"]))
+_ITEM = [("content", pa.string()), ("chunk_type", pa.string()), ("section_title", pa.string()), ("section_hierarchy", pa.list_(pa.string()))]
 
 
-def headings(text: Column, size: int = 1024, least: int = 100, overlap: int = 100) -> Column:
-    """Sections with their place in the headings' hierarchy; longer ones by sentences."""
-    start = F.struct(_empty(f"array<{CHUNK}>").alias("done"), _empty().alias("above"))
+def _udf(chunker: Callable[..., Iterable], *columns: Column, family: bool = False) -> Column:
+    """The chunker as a column; null texts have no chunks."""
+    kind = pa.list_(pa.struct([*_ITEM, ("parent", pa.string())] if family else _ITEM))
+    names = [f.name for f in kind.value_type]
 
-    def step(s: Column, section: Column) -> Column:
-        blank = _strip(section["body"]) == ""
-        own = F.array(F.coalesce(section["heading"], F.lit("")))
-        above = F.when(section["level"].isNull(), s["above"]).otherwise(F.concat(F.slice(s["above"], 1, F.greatest(section["level"] - 1, F.lit(0))), own))
-        parts = F.when(F.length(section["body"]) > size, _semantic(section["body"], size, least, overlap)).otherwise(F.array(_strip(section["body"])))
-        return F.struct(
-            F.when(blank, s["done"]).otherwise(F.concat(s["done"], _chunks(parts, "section", section["heading"], above).cast(f"array<{CHUNK}>"))).alias("done"),
-            F.when(blank, s["above"]).otherwise(above).alias("above"),
-        )
+    def run(*columns: pa.Array) -> pa.Array:
+        rows = zip(*(c.to_pylist() for c in columns), strict=True)
+        return pa.array([[] if r[0] is None else [dict(zip(names, c, strict=True)) for c in chunker(*r)] for r in rows], kind)
 
-    return F.aggregate(sections(text), start, step, lambda s: s["done"])
+    # Spark tells an Arrow function by its signature
+    if len(columns) == 1:
 
+        def one(text: pa.Array) -> pa.Array:
+            return run(text)
 
-def markdown(text: Column, least: int = 100) -> Column:
-    """Cut at headings outside of fenced code; what is shorter than `least` goes with what follows. No largest size."""
-    start = F.struct(_empty(f"array<{CHUNK}>").alias("done"), _empty().alias("now"), F.lit(0).alias("size"), F.lit(None).cast("string").alias("heading"), F.lit(False).alias("code"))
+        return F.arrow_udf(one, f"array<{FAMILY if family else CHUNK}>")(*columns)
 
-    def one(s: Column) -> Column:
-        return _chunks(F.array(F.array_join(s["now"], "\n")), "markdown_section", s["heading"]).cast(f"array<{CHUNK}>")
+    def two(text: pa.Array, more: pa.Array) -> pa.Array:
+        return run(text, more)
 
-    def step(s: Column, line: Column) -> Column:
-        fence = line.rlike("^(`{3,}|~{3,})")
-        code = F.when(fence, ~s["code"]).otherwise(s["code"])
-        heading = line.rlike(r"^#{1,6}\s+.+$") & ~code
-        cut = heading & (F.size(s["now"]) > 0) & (s["size"] >= least)
-        return F.struct(
-            F.when(cut, F.concat(s["done"], one(s))).otherwise(s["done"]).alias("done"),
-            F.array_append(F.when(cut, _empty()).otherwise(s["now"]), line).alias("now"),
-            (F.when(cut, F.lit(0)).otherwise(s["size"]) + F.length(line) + 1).alias("size"),
-            F.when(heading, _strip(F.regexp_extract(line, r"^#{1,6}\s+(.+)$", 1))).otherwise(s["heading"]).alias("heading"),
-            code.alias("code"),
-        )
+    return F.arrow_udf(two, f"array<{FAMILY if family else CHUNK}>")(*columns)
 
-    return F.aggregate(F.split(text, "\n", -1), start, step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], one(s))).otherwise(s["done"]))
 
+def _typed(chunker: Callable[..., Iterable[str]], kind: str) -> Callable[..., Iterator[Found]]:
+    return lambda *row: ((c, kind, None, []) for c in chunker(*row))
 
-def tables(text: Column, least: int = 100) -> Column:
-    """Runs of |...| lines are chunks of their own; the text between them if it is long enough."""
-    kind = "array<struct<is_table:boolean,lines:array<string>>>"
 
-    def step(runs: Column, line: Column) -> Column:
-        is_table = line.rlike(r"^\s*\|.+\|\s*$")
-        last = F.get(runs, F.size(runs) - 1)
-        more = F.struct(is_table.alias("is_table"), F.array_append(last["lines"], line).alias("lines"))
-        fresh = F.struct(is_table.alias("is_table"), F.array(line).alias("lines"))
-        return F.when(F.coalesce(last["is_table"] == is_table, F.lit(False)), F.concat(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.array(more))).otherwise(F.array_append(runs, fresh))
+def semantic(text: Column, size: int = 1024, least: int = 100, overlap: int = 100) -> Column:
+    """Sentences up to the size; each chunk begins with the last sentences of the one before that fit the overlap."""
+    return _udf(_typed(lambda t: _by_sentences(t, size, least, overlap), "semantic"), text)
 
-    runs = F.aggregate(F.split(text, "\n", -1), _empty(kind), step)
-    found = F.transform(
-        runs,
-        lambda r: F.struct(
-            _strip(F.array_join(r["lines"], "\n")).alias("content"), F.when(r["is_table"], "table").otherwise("text").alias("chunk_type"),
-            F.lit(None).cast("string").alias("section_title"), _empty().alias("section_hierarchy"),
-        ),
-    )
-    return F.filter(found, lambda c: (c["content"] != "") & ((c["chunk_type"] == "table") | (F.length(c["content"]) >= least)))
 
+def headings(text: Column, size: int = 1024, least: int = 100, overlap: int = 100) -> Column:
+    """Sections with their place in the headings' hierarchy; longer ones by sentences."""
+    return _udf(lambda t: _headings(t, size, least, overlap), text)
 
-def _paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"\n{2,}", -1), _strip), lambda p: p != "")
 
+def markdown(text: Column, least: int = 100) -> Column:
+    """Cut at headings outside of fenced code; what is shorter than `least` goes with what follows. No largest size."""
+    return _udf(lambda t: _markdown(t, least), text)
 
-# Lines of dense content: code, tables, lists, fences (fixed values)
-DENSE = r"^\s{4,}\S|^\|.+\|$|^\d+[.\)]\s+\S|^[-*]\s+\S|^```"
+
+def tables(text: Column, least: int = 100) -> Column:
+    """Runs of |...| lines are chunks of their own; the text between them if it is long enough."""
+    return _udf(lambda t: _tables(t, least), text)
 
 
 def adaptive(text: Column, size: int = 1024) -> Column:
     """Paragraphs up to a size that shrinks with the share of dense lines, to three tenths at the least."""
-
-    def limit(paragraph: Column) -> Column:
-        lines = F.split(paragraph, "\n", -1)
-        dense = F.size(F.filter(lines, lambda x: x.rlike(DENSE)))
-        return F.floor(size * F.greatest(F.lit(0.3), 1.0 - dense / F.size(lines) * 0.7))
-
-    return _chunks(_packed(_paragraphs(text), limit, "\n\n"), "adaptive")
+    return _udf(_typed(lambda t: _adaptive(t, size), "adaptive"), text)
 
 
 def ocr(text: Column, size: int = 1024, least: int = 100, overlap: int = 100) -> Column:
     """Lines are joined unless the one before ends a sentence or is blank; then by sentences."""
-    joined = F.regexp_replace(F.array_join(F.transform(F.split(text, "\n", -1), _strip), "\n"), r"\A\n+|\n+\z", "")
-    joined = F.regexp_replace(joined, r"\n{2,}", "\u0001")
-    joined = F.regexp_replace(joined, r"(?<=[.!?])\n", "\u0001")
-    joined = F.replace(F.replace(joined, F.lit("\n"), F.lit(" ")), F.lit("\u0001"), F.lit("\n\n"))
-    return _chunks(_semantic(joined, size, least, overlap), "ocr_text")
-
-
-# Where a top-level unit of code begins (fixed values)
-UNITS = {
-    "python": r"(?m)^(?=(async\s+def|def|class)\s+\w+)",
-    "javascript": r"(?m)^(?=(export\s+)?(async\s+)?function\s+\w+|(export\s+)?(const|let|var)\s+\w+\s*=\s*(async\s+)?\(|class\s+\w+)",
-    "typescript": r"(?m)^(?=(export\s+)?(async\s+)?function\s+\w+|(export\s+)?(const|let|var)\s+\w+|(export\s+)?(abstract\s+)?class\s+\w+|(export\s+)?(interface|type|enum)\s+\w+)",
-    "sql": r"(?mi)^(?=(CREATE|ALTER|DROP|INSERT|SELECT|UPDATE|DELETE|WITH)\b)",
-    "go": r"(?m)^(?=func\s+(\(\w+\s+\*?\w+\)\s+)?\w+\s*\()",
-    "rust": r"(?m)^(?=(pub\s+)?(async\s+)?fn\s+\w+|(pub\s+)?(struct|enum|trait|impl)\s+\w+)",
-}
+    return _udf(_typed(lambda t: _ocr(t, size, least, overlap), "ocr_text"), text)
 
 
 def code(text: Column, size: int = 1024) -> Column:
     """Units of the language that the text shows; longer ones, and unknown languages, by blank lines."""
-    by_blank = lambda t: _packed(_paragraphs(t), lambda _: F.lit(size), "\n\n")
-
-    def by_unit(pattern: str) -> Column:
-        parts = F.filter(F.transform(F.split(text, pattern, -1), _strip), lambda p: p != "")
-        units = F.flatten(F.transform(parts, lambda p: F.when(F.length(p) > size, by_blank(p)).otherwise(F.array(p))))
-        return F.when(text.rlike(pattern), units).otherwise(by_blank(text))
-
-    language = code_language(text)
-    ladder = F.when(F.lit(False), _empty())
-    for name, pattern in UNITS.items():
-        ladder = ladder.when(language == name, by_unit(pattern))
-    return _chunks(ladder.otherwise(by_blank(text)), "code")
+    return _udf(_typed(lambda t, language: _code(t, language, size), "code"), text, code_language(text))
 
 
 def parent_child(text: Column, parent: int = 2048, child: int = 512, overlap: int = 64) -> Column:
     """Sections, each followed by its children by sentences; a child names its parent by the first 16 hex digits of its SHA-256."""
+    return _udf(lambda t: _families(t, parent, child, overlap), text, family=True)
+
+
+def words(text: Column, size: int = 1024) -> Column:
+    """For texts without sentences or paragraphs: sentences if there are several, else runs of a fifth as many words as the size has characters."""
 
-    def family(p: Column) -> Column:
-        own = F.struct(*(p[c].alias(c) for c in ("content", "chunk_type", "section_title", "section_hierarchy")), F.lit(None).cast("string").alias("parent"))
-        children = F.transform(
-            _semantic(p["content"], child, 100, overlap),
-            lambda c: F.struct(c.alias("content"), F.lit("child").alias("chunk_type"), p["section_title"].alias("section_title"), p["section_hierarchy"].alias("section_hierarchy"), hash16(p["content"]).alias("parent")),
-        )
-        return F.concat(F.array(own), children)
+    def cut(t: str) -> Iterator[str]:
+        if len(_pieces(SENTENCE.split(t))) > 1:
+            yield from _by_sentences(t, size, 0, 0)
+            return
+        found, step = t.split(), max(1, size // 5)
+        yield from (" ".join(found[i : i + step]) for i in range(0, len(found), step))
 
-    return F.flatten(F.transform(headings(text, parent), family))
+    return _udf(_typed(cut, "words"), text)
 
 
 STRATEGIES = {"semantic": semantic, "heading": headings, "markdown": markdown, "table_aware": tables, "code": code, "ocr": ocr, "adaptive": adaptive}
@@ -269,14 +293,17 @@ def chunk_documents(docs: DataFrame, name: str = "auto", least: int = 100, text:
     """
     if name == "auto":
         # one pass: each document takes the branch of its strategy
+        by = {"semantic": _typed(lambda t: _by_sentences(t, 1024, 100, 100), "semantic"), "heading": lambda t: _headings(t, 1024, 100, 100), "markdown": lambda t: _markdown(t, 100)}
+        by |= {"table_aware": lambda t: _tables(t, 100), "ocr": _typed(lambda t: _ocr(t, 1024, 100, 100), "ocr_text"), "adaptive": _typed(lambda t: _adaptive(t, 1024), "adaptive")}
+        in_code = _typed(lambda t, language: _code(t, language, 1024), "code")
         picked = strategy(F.col(mime) if mime else F.lit(None).cast("string"), F.col(text))
-        found = F.when(F.lit(False), _empty(f"array<{CHUNK}>"))
-        for key, chunker in STRATEGIES.items():
-            found = found.when(picked == key, chunker(F.col(text)).cast(f"array<{CHUNK}>"))
+        # code needs its language, too
+        named = F.when(picked == "code", F.concat(F.lit("code:"), code_language(F.col(text)))).otherwise(picked)
+        found = _udf(lambda t, name: in_code(t, name[5:]) if name.startswith("code:") else by[name](t), F.col(text), named)
     else:
-        found = STRATEGIES[name](F.col(text)).cast(f"array<{CHUNK}>")
+        found = STRATEGIES[name](F.col(text))
     rest = [c for c in docs.columns if c != text]
-    held = docs.select(*rest, F.filter(found, lambda c: _strip(c["content"]) != "").alias("_all"))
+    held = docs.select(*rest, found.alias("_found")).select(*rest, F.filter("_found", lambda c: F.regexp_replace(c["content"], r"\A\s+|\s+\z", "") != "").alias("_all"))
     held = held.withColumn("_long", F.filter("_all", lambda c: F.length(c["content"]) >= least))
     exploded = held.select(*rest, F.posexplode(F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.col("_all"))).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
     return exploded.withColumns(

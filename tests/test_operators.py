@@ -239,3 +239,98 @@ def test_dense_ways_agree(spark, monkeypatch):
     one = sorted(map(tuple, R.dense(copies, asked, 7).select("query_id", "rank", "chunk_id", "score").collect()))
     monkeypatch.setattr(R, "MOST_NUMBERS", 0)
     assert one == sorted(map(tuple, R.dense(copies, asked, 7).select("query_id", "rank", "chunk_id", "score").collect()))
+
+
+def markdown_model(text, least=100):
+    """Cut before headings outside of code, once there are `least` characters, line ends counted."""
+    lines, fences, cuts, title, titles, size = text.split("\n"), 0, [0], None, [], 0
+    for i, line in enumerate(lines):
+        fences += bool(re.match(r"(`{3,}|~{3,})", line))
+        m = re.match(r"^#{1,6}\s+(.+)$", line) if fences % 2 == 0 else None
+        if m and i > cuts[-1] and size >= least:
+            cuts.append(i)
+            titles.append(title)
+            size = 0
+        size += len(line) + 1
+        title = m[1].strip() if m else title
+    return [("\n".join(lines[a:b]), t) for a, b, t in zip(cuts, [*cuts[1:], len(lines)], [*titles, title], strict=True)]
+
+
+def code_model(text, size=1024):
+    starts = [m.start() for m in re.finditer(r"(?m)^(?:async\s+def|def|class)\s+\w+", text)]
+    units = strip_all(text[a:b] for a, b in zip([0, *starts], [*starts, len(text)], strict=True)) if starts else [text]
+    return [c for u in units for c in (packed(strip_all(re.split(r"\n{2,}", u)), lambda _: size, "\n\n") if len(u) > size or not starts else [u])]
+
+
+def children_model(text):
+    out = []
+    for parent in heading_model_of(text, 2048):
+        out.append((parent, None))
+        out += [(c, parent) for c in semantic_model(parent, 512, 100, 64)]
+    return out
+
+
+def heading_model_of(text, size):
+    sections, body, head = [], [], None
+    for line in text.split("\n"):
+        m = re.match(r"^(#{1,6})\s+(.+)$", line)
+        if m or (re.match(r"^([=-]{3,})$", line) and body):
+            last = None if m else body.pop()
+            if body or head:
+                sections.append("\n".join(body))
+            head, body = (m[2] if m else last).strip(), []
+        else:
+            body.append(line)
+    if body or head:
+        sections.append("\n".join(body))
+    return [c for b in sections if b.strip() for c in (semantic_model(b, size) if len(b) > size else [b.strip()])]
+
+
+def marked(spark, data, mark):
+    return spark.read.parquet(f"{data}/documents.parquet").select("doc_id", F.concat(F.lit("# Top\n"), F.replace("text", F.lit("\n"), F.lit(mark))).alias("text"))
+
+
+def test_markdown_code_and_families_against_plain_models(spark, data):
+    docs = marked(spark, data, "\n## Part\n```\n# not a head\n```\nsome more\n")
+    got = {}
+    for r in chunk.chunk_documents(docs, "markdown", least=0).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append((r["content"], r["section_title"]))
+    assert got == {r["doc_id"]: markdown_model(r["text"]) for r in docs.collect()}
+    docs = marked(spark, data, "\n\ndef f():\n    return 1\n\nclass A:\n    pass\n\n")
+    got = {}
+    for r in chunk.chunk_documents(docs, "code", least=0).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["content"])
+    python = {r["doc_id"] for r in docs.filter(tokens.code_language(F.col("text")) == "python").collect()}
+    assert python and got == {r["doc_id"]: code_model(r["text"]) if r["doc_id"] in python else packed(strip_all(re.split(r"\n{2,}", r["text"])), lambda _: 1024, "\n\n") for r in docs.collect()}
+    docs = marked(spark, data, "\n## Part\n\n| a | b |\n")
+    for r in docs.withColumn("c", chunk.parent_child(F.col("text"))).collect():
+        by_hash = {c["content"]: c["parent"] for c in r["c"]}
+        assert [(c["content"], c["parent"] is None) for c in r["c"]] == [(c, p is None) for c, p in children_model(r["text"])]
+        assert len(by_hash) > 0
+
+
+def test_strategies_by_type(spark, data):
+    docs = marked(spark, data, "\n\n| a | b |\n## Part\n")
+    types = ["text/markdown", "text/csv", "application/pdf", "application/json", "text/html", None]
+    mime = F.element_at(F.array(*map(F.lit, types)), (F.col("doc_id") % 6 + 1).cast("int"))
+    got = chunk.chunk_documents(docs.withColumn("mime", mime), mime="mime").drop("mime")
+    for i, name in enumerate(["markdown", "table_aware", "adaptive", "semantic", "heading", None]):
+        own = got.filter(F.col("doc_id") % 6 == i)
+        want = chunk.chunk_documents(docs.filter(F.col("doc_id") % 6 == i), name) if name else chunk.chunk_documents(docs.filter(F.col("doc_id") % 6 == i))
+        assert sorted(map(str, own.collect())) == sorted(map(str, want.collect())) and own.count()
+
+
+def test_a_long_text_takes_time_in_proportion(spark):
+    import time
+
+    text = "\n".join(f"Line {i} of a text that goes on. It says little! | {i} |" if i % 3 else f"| {i} | x |" for i in range(100_000))
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string").cache()
+    docs.count()
+    for name in chunk.STRATEGIES:
+        start = time.time()
+        assert chunk.chunk_documents(docs, name).count() >= 1 and time.time() - start < 40, name
+
+
+def test_words_where_there_is_nothing_else(spark):
+    rows = spark.createDataFrame([("a b c d e f g",), ("One is here. Two is there.",), (None,)], "t string").select(chunk.words(F.col("t"), 15).alias("c"))
+    assert [[c["content"] for c in r["c"]] for r in rows.collect()] == [["a b c", "d e f", "g"], ["One is here.", "Two is there."], []]
