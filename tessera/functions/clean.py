@@ -75,6 +75,7 @@ def unicode(text: Column) -> Column:
 
 
 def whitespace(text: Column) -> Column:
+    # these patterns are fixed values
     text = F.regexp_replace(text, "[  -   　]", " ")
     text = F.regexp_replace(text, " {2,}", " ")
     text = F.regexp_replace(text, r"[^\S\n]+(\n|\z)", "$1")
@@ -84,17 +85,30 @@ def whitespace(text: Column) -> Column:
 
 def ocr_artifacts(text: Column) -> Column:
     """Join words cut by a hyphen at the line's end, drop dashed page numbers and ruled lines, join three spaced letters."""
+    # these patterns are fixed values
     text = F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
     text = F.regexp_replace(text, r"(?m)^\s*-\s*\d{1,4}\s*-\s*$", "")
     text = F.regexp_replace(text, r"(?m)^[|_\-=~]{5,}\s*$", "")
     return F.regexp_replace(text, r"(?U)\b([A-Za-z]) ([A-Za-z]) ([A-Za-z])\b", "$1$2$3")
 
 
+# Words that recognition of print confuses (fixed values)
+WORD_FIXES = ((r"\bRll\b", "All"), (r"\bHl\b", "Hi"), (r"\b1\b(?=\s+[a-z])", "I"), (r"(?<=\w)rn(?=\w)", "m"), (r"\bII\b(?!\w)", "ll"))
+
+
+def ocr_words(text: Column) -> Column:
+    """Words put right that print recognition confuses: a stage of one's own choice, as it changes words that are right too."""
+    for pattern, word in WORD_FIXES:
+        text = F.regexp_replace(text, pattern, word)
+    return text
+
+
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
 def page_numbers(text: Column) -> Column:
+    # what a line of a page number alone is (fixed value)
     number = r"^(\d{1,5}|[-(\[]*\s*\d{1,5}\s*[-)\]]*|[Pp]age\s+\d+(\s+of\s+\d+)?)$"
     return F.array_join(F.filter(_lines(text), lambda x: ~F.trim(x).rlike(number)), "\n")
 
@@ -118,7 +132,7 @@ def headers_and_footers(text: Column) -> Column:
             kept = F.array_join(F.filter(lines, lambda x: ~F.array_contains(often, F.trim(x))), "\n")
             return F.when(F.size(often) > 0, kept).otherwise(F.array_join(lines, "\n"))
 
-        return F.when(F.size(lines) < 10, F.array_join(lines, "\n")).otherwise(once(once(F.array_sort(F.transform(lines, F.trim)), frequent), without))
+        return F.when(F.size(lines) < 10, F.array_join(lines, "\n")).otherwise(once(once(F.array_sort(F.transform(lines, lambda x: F.trim(x))), frequent), without))
 
     return once(_lines(text), judged)
 

@@ -70,6 +70,7 @@ def model_tokens(text: Column) -> Column:
     return F.when(F.length(text) == 0, 0).otherwise(F.greatest(F.lit(1), quarter_tokens(text)))
 
 
+# The pattern is a fixed value.
 #: A sentence ends by .!? before white space and a capital or an opening mark, but not after "e.g." or "Mr.".
 SENTENCE_END = "(?<!\\w\\.\\w.)(?<![A-Z][a-z]\\.)(?<=[.!?])\\s+(?=[A-Z\"‘“¿¡])"
 

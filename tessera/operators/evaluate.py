@@ -125,7 +125,7 @@ def grounding(answers: DataFrame, sources: DataFrame) -> DataFrame:
 def citation_coverage(answer: Column) -> Column:
     """The share of an answer's sentences, of ten characters or more with their citations, that cite a source by [n]; 0 if there are none."""
     split = F.split(F.regexp_replace(answer, r"([.!?])\s+", "$1\x01"), "\x01")
-    parts = F.filter(F.transform(split, F.trim), lambda s: F.length(s) >= 10)
+    parts = F.filter(F.transform(split, lambda x: F.trim(x)), lambda s: F.length(s) >= 10)
     return F.when(F.size(parts) > 0, F.size(F.filter(parts, lambda s: s.rlike(r"\[\d+\]"))) / F.size(parts)).otherwise(0.0)
 
 

@@ -234,7 +234,10 @@ WITH n AS (SELECT vec_id + 1 AS chunk_id, 99 AS label FROM embeddings WHERE labe
 SELECT vec_id AS chunk_id, label FROM embeddings WHERE vec_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n""",
     "vector_delete": "SELECT vec_id AS chunk_id, label FROM embeddings WHERE NOT (label >= 2 AND vec_id IN (SELECT doc_id FROM labels WHERE toxic = 1))",
     "vector_checks": """
-SELECT CASE vec_id % 7 WHEN 1 THEN 'dimension' WHEN 2 THEN 'nan' WHEN 3 THEN 'infinite' WHEN 4 THEN 'empty' END AS error, count(*) AS n FROM embeddings GROUP BY 1""",
+WITH e AS (SELECT vec_id % 7 AS k, embedding::DOUBLE[] AS v FROM embeddings),
+b AS (SELECT CASE k WHEN 1 THEN v[1:10] WHEN 2 THEN list_append(v[1:63], 'nan'::DOUBLE) WHEN 3 THEN list_append(v[1:63], 'infinity'::DOUBLE) WHEN 4 THEN []::DOUBLE[] ELSE v END AS v FROM e)
+SELECT CASE WHEN v IS NULL OR len(v) = 0 THEN 'empty' WHEN len(v) <> 64 THEN 'dimension' WHEN len(list_filter(v, lambda x: isnan(x))) > 0 THEN 'nan'
+  WHEN len(list_filter(v, lambda x: isinf(x))) > 0 THEN 'infinite' END AS error, count(*) AS n FROM b GROUP BY 1""",
     "vector_repeats": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS v FROM embeddings), t AS (SELECT * FROM v UNION ALL SELECT -1 - vec_id, v FROM v)
 SELECT min(vec_id) AS first, count(*) AS n FROM t GROUP BY v HAVING count(*) > 1""",

@@ -99,7 +99,7 @@ def html_sections(html: Column) -> Column:
         text = F.regexp_replace(x, r"(?s)<[^>]*>", "\n")
         for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
             text = F.replace(text, F.lit(name), F.lit(char))
-        return F.array_join(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda y: y != ""), "\n")
+        return F.array_join(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda y: y != ""), "\n")
 
     return F.transform(
         parts,

@@ -65,6 +65,10 @@ def test_cleaning(spark):
     assert value(spark, clean.whitespace(F.lit(" a  b \n\n\n\nc "))) == "a b\n\nc"
 
 
+def test_word_fixes(spark):
+    assert value(spark, clean.ocr_words(F.lit("Rll men, Hl! 1 see a corner and farrn II 12"))) == "All men, Hi! I see a comer and farrn ll 12"
+
+
 def test_budgets(spark):
     got = value(spark, C.allocation(F.lit(8192)))
     assert (got["effective"], got["context"], got["response"]) == (7680, 4608, 1920)

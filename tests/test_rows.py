@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import checkpoints
+from tessera.functions import clean as C
 from tessera.functions import query as Q
 from tessera.operators import embed as M
 from tessera.operators import retrieve as R
@@ -176,3 +177,12 @@ def test_expansion_against_a_plain_model(spark):
     df = spark.createDataFrame([(q,) for q in asked], "q string")
     assert [r[0] for r in df.select(Q.expand(F.col("q"))).collect()] == [model(q) for q in asked]
     assert spark.range(1).select(Q.expand(F.lit(None).cast("string")).alias("v")).first()["v"] is None
+
+
+def test_lines_are_trimmed_whatever_their_place(spark):
+    """The place of a line is not taken for the characters to trim."""
+    html = "<p>0 zero 0</p><p> 1 one 1 </p><p>10 two 2</p><h1>1 Head 0</h1>x"
+    got = spark.range(1).select(X.html_sections(F.lit(html)).alias("s")).first()["s"]
+    assert got[0]["text"] == "0 zero 0\n1 one 1\n10 two 2" and got[1]["title"] == "1 Head 0"
+    lines = [f"line {i}" for i in range(9)] + ["0 foot 9", " 0 foot 9", "0 foot 9 ", "0 foot 9"]
+    assert spark.range(1).select(C.headers_and_footers(F.lit("\n".join(lines)))).first()[0] == "\n".join(lines[:9])
