@@ -54,11 +54,12 @@ BASES = tuple(int(x) for x in np.random.default_rng(20_251).integers(1 << 20, PR
 
 
 def _reduced(x: np.ndarray) -> np.ndarray:
-    """x modulo the prime, in place, for x below 2 ** 62."""
+    """x modulo the prime, for x below 2 ** 62."""
     for _ in range(2):
-        x = (x & U(PRIME)) + (x >> U(31))
-    x[x >= U(PRIME)] -= U(PRIME)
-    return x
+        high = x >> U(31)
+        x = x & U(PRIME)
+        x += high
+    return np.where(x >= U(PRIME), x - U(PRIME), x)
 
 
 @functools.lru_cache(8)
@@ -79,9 +80,12 @@ class Prints:
         n = max(1 << (len(data) - 1).bit_length(), PACK * 2) if len(data) else 1
         self.parts = []
         for base in BASES[2 * which : 2 * which + 2]:
+            terms = np.multiply(data, _powers(base, n)[: len(data)], dtype=U)
+            # sums stay below 2 ** 62: terms are below 2 ** 39, or 2 ** 31 where there are more than 2 ** 23 of them
+            if len(terms) > 1 << 23:
+                terms = _reduced(terms)
             sums = np.zeros(len(data) + 1, U)
-            # below 2 ** 31 each, so that the sum of a buffer stays below 2 ** 62; no byte counts as zero
-            np.cumsum(_reduced((data.astype(U) + U(1)) * _powers(base, n)[: len(data)]), dtype=U, out=sums[1:])
+            np.cumsum(terms, dtype=U, out=sums[1:])
             self.parts.append((sums, _powers(pow(base, -1, PRIME), n)))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
