@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, html, lexical, licenses, mixing, pii, secrets, simhash, suffixes, topk, toxicity
+from tessera.llm import chat, decontaminate, html, lexical, licenses, mixing, negatives, pii, secrets, simhash, suffixes, topk, toxicity
 
-MODULES = (decontaminate, topk, suffixes, pii, html, toxicity, secrets, chat, mixing, simhash, lexical, licenses)
+MODULES = (decontaminate, topk, suffixes, pii, html, toxicity, secrets, chat, mixing, simhash, negatives, lexical, licenses)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
