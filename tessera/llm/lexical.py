@@ -101,13 +101,13 @@ class Segment:
         order = np.argsort(-self.most[rows].max(axis=1, initial=0) * m, kind="stable")
         rows, m = rows[order], m[order]
         open_ = np.flatnonzero(bound >= best.least)
-        self.skipped += self.runs - len(open_)
+        self.skipped += self.runs
         for i in range(0, len(open_), RUNS):
             runs = open_[i : i + RUNS]
             runs = runs[bound[runs] >= best.least]
             if not len(runs):
                 continue
-            self.read += len(runs)
+            self.read, self.skipped = self.read + len(runs), self.skipped - len(runs)
             docs = (runs[:, None] * SKIP + np.arange(SKIP)).ravel()
             score = sums[docs]
             left = bound[runs].repeat(SKIP) - summed.max(axis=1)[runs].repeat(SKIP)
@@ -221,17 +221,17 @@ def search(
 
     Each row of docs is a document: rows of one doc_id are ranked each for
     itself, a null doc_id comes last among equals. Null texts have no terms, and
-    documents without terms count nowhere. Items without terms, and those that
+    documents without terms count nowhere. Both ids are whole numbers. Items without terms, and those that
     no document fits, have no rows; items of one id are ranked each for itself
     under that id. Further columns are ignored. A text is one row in a task,
     whatever its length. `counted` gives (read, skipped) runs of documents for
     each task and segment instead.
     """
     spark = docs.sparkSession
-    out = None
+    out, asked = None, 0
     for block in _blocks(items, block_bytes):
-        found = _search_block(docs, block, k, segment_bytes, counted)
-        out = found if out is None else out.unionByName(found)
+        found = _search_block(docs, block, asked, k, segment_bytes, counted)
+        out, asked = found if out is None else out.unionByName(found), asked + len(block)
     if out is None:
         kinds = (items.schema["item_id"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString())
         return spark.createDataFrame([], "read long, skipped long" if counted else "item_id {}, rank int, doc_id {}, score long".format(*kinds))
@@ -242,7 +242,7 @@ def search(
     return ranked.select(F.col("item_id").cast(items.schema["item_id"].dataType), "rank", F.col("doc_id").cast(docs.schema["doc_id"].dataType), "score")
 
 
-def _search_block(docs: DataFrame, block: list[tuple], k: int, segment_bytes: int, counted: bool) -> DataFrame:
+def _search_block(docs: DataFrame, block: list[tuple], before: int, k: int, segment_bytes: int, counted: bool) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = {t: i for i, t in enumerate(sorted({t for _, counts in block for t in counts}))}
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -258,7 +258,7 @@ def _search_block(docs: DataFrame, block: list[tuple], k: int, segment_bytes: in
     weights = np.array([weight(n, int(x)) if x else 0 for x in df], np.int64)
     asked = [
         (place, i, np.array([vocabulary[t] for t in counts if df[vocabulary[t]]], np.int64), np.array([x for t, x in counts.items() if df[vocabulary[t]]], np.int64))
-        for place, (i, counts) in enumerate(block)
+        for place, (i, counts) in enumerate(block, before)
     ]
     shared = spark.sparkContext.broadcast((asked, weights))
 
@@ -282,9 +282,9 @@ def _search_block(docs: DataFrame, block: list[tuple], k: int, segment_bytes: in
             if len(b.ids):
                 m = len(b.ids)
                 ids = pa.array(b.ids, mask=b.null)
-                yield pa.RecordBatch.from_arrays([pa.array([place] * m, pa.int32()), pa.array([item] * m, pa.int64()), ids, pa.array(b.scores)], ["place", "item_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([place] * m, pa.int64()), pa.array([item] * m, pa.int64()), ids, pa.array(b.scores)], ["place", "item_id", "doc_id", "score"])
 
-    schema = "read long, skipped long" if counted else "place int, item_id long, doc_id long, score long"
+    schema = "read long, skipped long" if counted else "place long, item_id long, doc_id long, score long"
     return index.filter("kind = 0").select(*[c for c in FIELDS.names if c not in ("df", "n", "total")]).mapInArrow(run, schema)
 
 
