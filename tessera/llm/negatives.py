@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, table
-from tessera.llm.vectors import exact, in_64_bits, matrix, narrow, order_of, whole, widened
+from tessera.llm.vectors import as_doubles, exact, in_64_bits, matrix, narrow, order_of, whole, widened
 
 #: Codes have a bit for each direction of so many rotations, as far as these take no more than so many bytes.
 TURNS, FRAME_BYTES = 8, 64_000_000
@@ -119,7 +119,7 @@ class Windows:
         """Whether scores lie in their windows, in whole numbers, and may be among the best."""
         low, high = self.low[w], self.high[w]
         inside = ((s >= low) | (low == LEAST)) & ((s <= high) | (high == MOST))
-        return inside.astype(bool) & (s.astype(np.float64) >= self.least[w])
+        return inside.astype(bool) & (as_doubles(s) >= self.least[w])
         self.w, self.c, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, w: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
@@ -132,7 +132,7 @@ class Windows:
         best = nth < self.k
         self.w, self.c, self.s = w[best], c[best], s[best]
         last = np.flatnonzero(nth == self.k - 1)
-        self.least[w[last]] = np.maximum(self.least[w[last]], np.nextafter(s[last].astype(np.float64), -np.inf))
+        self.least[w[last]] = np.maximum(self.least[w[last]], np.nextafter(as_doubles(s[last]), -np.inf))
 
 
 def _met(asked: Asked, codes: Codes, queries: np.ndarray, rows: np.ndarray, least: np.ndarray, most: np.ndarray, pairs: np.ndarray | None = None):
@@ -330,11 +330,11 @@ def mine(
     listed = held.groupBy("query_id").agg(F.array_sort(F.collect_list(bounds)).alias("windows"))
     asked = cut(anchors.join(listed, F.col("vec_id") == F.col("query_id")).select("vec_id", "label", "v", "windows"))
     far = _search(rows, asked, dim, negatives, False, turns, query_block).filter("over = 0")
-    out = far.join(held, (far["query_id"] == held["query_id"]) & (far["window"] == held["nth"])).select(
-        far["query_id"].alias("anchor_id"), "positive_id", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
+    nth = F.row_number().over(Window.partitionBy("query_id", "window").orderBy(F.desc("score"), "vec_id"))
+    ranked = far.withColumn("rank", nth).filter(F.col("rank") <= negatives)
+    return ranked.join(held, (ranked["query_id"] == held["query_id"]) & (ranked["window"] == held["nth"])).select(
+        ranked["query_id"].alias("anchor_id"), "positive_id", "rank", F.col("vec_id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score")
     )
-    rank = F.row_number().over(Window.partitionBy("anchor_id", "positive_id").orderBy(F.desc("negative_score"), "negative_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 
 
 def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:

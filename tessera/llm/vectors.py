@@ -78,3 +78,10 @@ def order_of(scores: np.ndarray) -> np.ndarray:
         return scores
     # numbers beyond 64 bits are put in order by their place among all
     return np.searchsorted(np.array(sorted(set(scores.tolist())), object), scores)
+
+
+def as_doubles(scores: np.ndarray) -> np.ndarray:
+    """The scores as doubles; what is beyond these ends at 1e300."""
+    if scores.dtype != object:
+        return scores.astype(np.float64)
+    return np.array([float(max(-(10**300), min(10**300, x))) for x in scores], np.float64)
