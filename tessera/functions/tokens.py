@@ -33,6 +33,18 @@ def bm25_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(BM25_TOKEN), 0)
 
 
+def counted_terms(tokens: Column) -> Column:
+    """(term, tf) of each different token, in order."""
+
+    def of(ordered: Column) -> Column:
+        n = F.size(ordered)
+        new = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+        starts = F.when(n > 0, new).otherwise(F.array().cast("array<int>"))
+        return once(starts, lambda at: F.transform(at, lambda i, j: F.struct(F.get(ordered, i).alias("term"), (F.coalesce(F.get(at, j + 1), n) - i).alias("tf"))))
+
+    return once(F.sort_array(tokens), of)
+
+
 def bm25_length(text: Column) -> Column:
     """How many tokens a text has, without making them."""
     return F.regexp_count(F.lower(text), F.lit(BM25_TOKEN))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.checkpoints import saved
 from tessera.functions.let import once
-from tessera.functions.tokens import bm25_tokens
+from tessera.functions.tokens import bm25_tokens, counted_terms
 
 #: A side is broadcast up to so many rows; beyond, joins shuffle both sides.
 MOST_BROADCAST = 200_000
@@ -34,16 +34,27 @@ def top(hits: DataFrame, k: int, per: str = "query_id", score: str = "score", ti
     return hits.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
+#: Up to so many terms are looked for within each chunk's tokens; more are joined.
+MOST_LISTED = 10_000
+
+
 def lengths_and_terms(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(chunk_id, dl, term, tf): of each chunk its length and the counts of the wanted terms; all others are one row with a null term.
+    """(chunk_id, dl, term, tf): of each chunk its length and the counts of the wanted terms; one row with a null term if it has none of them.
 
-    Each chunk is read and tokenized once, and counts are added up before they
-    are sent.
+    Each chunk is read and tokenized once. Its tokens become rows only where
+    they are wanted, counted already, and nothing is shuffled; only a set of
+    terms that is too large to list is joined. Each row of chunks counts for
+    itself.
     """
-    tokens = chunks.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens"))
-    words = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-    marked = words.join(wanted.select("term", F.lit(True).alias("asked")), "term", "left")
-    return marked.groupBy("chunk_id", "dl", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    tokens = chunks.select("chunk_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens")).select("chunk_id", F.size("tokens").alias("dl"), "tokens")
+    listed = [r["term"] for r in wanted.select("term").limit(MOST_LISTED + 1).collect()]
+    if len(listed) <= MOST_LISTED:
+        held = F.filter("tokens", lambda x: x.isin(*listed)) if listed else F.array().cast("array<string>")
+        found = tokens.select("chunk_id", "dl", F.explode_outer(counted_terms(held)).alias("t"))
+        return found.select("chunk_id", "dl", "t.term", F.col("t.tf").cast("long").alias("tf"))
+    words = tokens.select("chunk_id", "dl", F.explode_outer(counted_terms(F.col("tokens"))).alias("t")).select("chunk_id", "dl", "t.*")
+    marked = words.join(small(wanted.select("term", F.lit(True).alias("asked"))), "term", "left")
+    return marked.groupBy("chunk_id", "dl", F.when(F.col("asked"), F.col("term")).alias("term")).agg(F.sum("tf").alias("tf"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -88,9 +99,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column
     `keep` filters chunks after scoring and before the cut.
     """
     terms = saved(queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("term")))
-    # all that comes of the questions has a row for each of their terms at most
-    sized = F.broadcast if terms.count() <= MOST_BROADCAST else lambda df: df
-    read = saved(lengths_and_terms(chunks, sized(terms.select("term").distinct())))
+    read = saved(lengths_and_terms(chunks, terms.select("term").distinct()))
     stats = stats_of(read.groupBy("chunk_id").agg(F.first("dl").alias("dl")))
     index = read.filter("term IS NOT NULL")
     scored = bm25_scores(index, stats, terms, None)

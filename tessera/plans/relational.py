@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import shared_folder
 from tessera.operators import retrieve as R
 from tessera.operators import store as S
+from tessera.operators.snapshots import Units, replace_documents
 from tessera.plans.common import table
 from tessera.sources import extract as X
 
@@ -183,6 +185,18 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", "c_name").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("total"))))
 
 
+def unit_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents taken in, then new texts of a third of them, each as one commit; what readers see of each document at the end."""
+    store = Units(spark, shared_folder(spark))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text")
+    replace_documents(store, docs)
+    replace_documents(store, docs.withColumn("text", F.when(F.col("document_id") % 3 == 0, F.concat("text", F.lit(" revised"))).otherwise(F.col("text"))))
+    versions = store.read("versions").groupBy("unit").agg(F.count(F.lit(1)).alias("n_versions"), F.max("version").alias("last"))
+    jobs = store.read("jobs").select("unit", F.col("version").alias("job_version"), "status")
+    rows = store.read("documents").join(versions, "unit").join(jobs, "unit")
+    return rows.select(F.col("unit").cast("long").alias("document_id"), "checksum", "n_versions", "last", "job_version", "status")
+
+
 QUERIES = {
     "status_counts": status_counts,
     "index_stats": index_stats,
@@ -208,6 +222,7 @@ QUERIES = {
     "parent_join": parents_joined,
     "cascade_delete": cascade,
     "user_list": users,
+    "unit_replace": unit_replace,
 }
 
 _STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in JOB_STATUS.items()) + " END"
@@ -267,4 +282,7 @@ SELECT event_type, count(*) AS n, count(value) AS n_timed, max_by(event_id, (ts,
     "parent_join": "SELECT o_custkey, o_orderstatus, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2",
     "cascade_delete": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT') GROUP BY 1",
     "user_list": "SELECT c_custkey, c_name, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS total FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "unit_replace": """
+SELECT doc_id AS document_id, sha256(CASE WHEN doc_id % 3 = 0 THEN concat(text, ' revised') ELSE text END) AS checksum, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS n_versions,
+  CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS last, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 1 END::INT AS job_version, 'queued' AS status FROM documents""",
 }

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import shared_folder
 from tessera.operators import retrieve as R
+from tessera.operators.keyword import KeywordIndex
 from tessera.plans.common import chunks, questions, table
 
 
@@ -29,6 +31,13 @@ def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(rows, questions(spark, sf_dir), 10, keep).select("query_id", "rank", "chunk_id", "score")
 
 
+def bm25_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same hits from an index that is kept."""
+    index = KeywordIndex(spark, shared_folder(spark))
+    index.build(chunks(spark, sf_dir))
+    return index.search(questions(spark, sf_dir), 10).select("query_id", "rank", "chunk_id", "score")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"), "label")
 
@@ -86,6 +95,7 @@ QUERIES = {
     "bm25_stats": bm25_stats,
     "bm25_document_frequency": bm25_document_frequency,
     "bm25_topk": bm25_topk,
+    "bm25_index_topk": bm25_index,
     "bm25_filtered": bm25_filtered,
     "dense_topk": dense_topk,
     "dense_filtered": dense_filtered,
@@ -132,6 +142,7 @@ SQL = {
     "bm25_stats": f"WITH t AS (SELECT len({TOKENS.format('text')}) AS dl FROM documents) SELECT count(*) AS n, sum(dl)::BIGINT AS total, round(sum(dl)::DOUBLE / greatest(count(*), 1), 6) AS avgdl FROM t",
     "bm25_document_frequency": f"WITH {BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM dfs, stats",
     "bm25_topk": f"WITH {BM25} SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('bm25', 10)}",
+    "bm25_index_topk": f"WITH {BM25} SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('bm25', 10)}",
     "bm25_filtered": f"WITH {BM25}, k AS (SELECT m.* FROM bm25 m JOIN documents d ON m.chunk_id = d.doc_id WHERE lang IN ('en', 'fr') AND doc_id >= 10) SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('k', 10)}",
     "dense_topk": f"WITH {UNITS} SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('cosines', 10)}",
     "dense_filtered": f"WITH {UNITS}, k AS (SELECT * FROM cosines WHERE label < 5) SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('k', 5)}",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.checkpoints import shared_folder
+from tessera.operators.keyword import KeywordIndex
 from tessera.plans.relational import JOB_STATUS
 from tessera.streaming import live as L
 
@@ -41,10 +42,33 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of new chunks of a keyword index."""
     folder = shared_folder(spark)
-    docs = L.stream_of(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
-    L.drained(docs, "append", L.index_writer(f"{folder}/index"), f"{folder}/checkpoint")
-    return L.index_stats(spark, f"{folder}/index")
+    kept = KeywordIndex(spark, f"{folder}/index")
+    docs = L.stream_of(spark, f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text", F.lit(0).alias("seq"))
+    L.drained(docs, "append", kept.writer(), f"{folder}/checkpoint")
+    return kept.status().select("n", "total", F.round("avgdl", 6).alias("avgdl"))
+
+
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of all documents, new texts of a third of them and removals of a fifth, in that order; what the index says at its end.
+
+    Three batches make three segments, which are merged; frequencies and totals
+    are sums over segments all along.
+    """
+    folder = shared_folder(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text", "source")
+    new = docs.filter("chunk_id % 3 = 0").select("chunk_id", F.concat_ws(" ", "source", "text").alias("text"), F.lit(1).alias("seq"))
+    gone = docs.filter("chunk_id % 5 = 0").select("chunk_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("seq"))
+    kept = KeywordIndex(spark, f"{folder}/index")
+    for number, rows in enumerate((docs.select("chunk_id", "text", F.lit(0).alias("seq")), new, gone)):
+        # a file a batch: the stream goes on where it stopped
+        rows.coalesce(1).write.mode("append").parquet(f"{folder}/changes")
+        L.drained(L.stream_of(spark, f"{folder}/changes"), "append", kept.writer(), f"{folder}/checkpoint")
+        if number == 1:
+            kept.merge(2)
+    totals = kept.status().select("n", "total")
+    return kept.frequencies().crossJoin(F.broadcast(totals))
 
 
 def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +86,7 @@ QUERIES = {
     "stream_rate_limit": limits,
     "stream_job_states": jobs,
     "stream_index": index,
+    "stream_index_changes": index_changes,
     "stream_dead_letters": dead_letters,
 }
 _TOKENS = r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{2,}'))"
@@ -78,5 +103,9 @@ WITH r AS (SELECT event_id AS request_id, floor(epoch(ts))::BIGINT AS t, row_num
 SELECT request_id, n, n <= 2 AS allowed, 86400 - t % 86400 AS retry_after FROM r""",
     "stream_index": f"""
 WITH t AS (SELECT len({_TOKENS}) AS dl FROM documents) SELECT count(*) AS n, sum(dl)::BIGINT AS total, round(sum(dl)::DOUBLE / greatest(count(*), 1), 6) AS avgdl FROM t""",
+    "stream_index_changes": f"""
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN concat_ws(' ', source, text) ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0),
+t AS (SELECT doc_id, {_TOKENS} AS w FROM d), s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS total FROM t)
+SELECT term, count(DISTINCT doc_id) AS df, any_value(n) AS n, any_value(total) AS total FROM (SELECT doc_id, unnest(w) AS term FROM t), s GROUP BY term""",
     "stream_dead_letters": "SELECT CASE WHEN event_type = 'error' AND event_id % 5 >= 3 THEN 'bad' ELSE 'good' END AS queue, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

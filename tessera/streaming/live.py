@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.checkpoints import shared_folder
-from tessera.functions.tokens import bm25_tokens
 from tessera.operators.store import TRANSITIONS
 
 
@@ -156,20 +155,3 @@ def with_dead_letters(good: str, bad: str, is_bad: str, most: int = 3) -> Callab
 def requeued(bad: DataFrame) -> DataFrame:
     """Dead letters as new work: without their failures, and without the batch that they were in."""
     return bad.drop("batch").withColumn("retry_count", F.lit(0).cast(bad.schema["retry_count"].dataType))
-
-
-def index_writer(path: str) -> Callable[[DataFrame, int], None]:
-    """A writer that adds a batch of chunks to an inverted index; a batch that is written again replaces itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        tokens = batch.select("chunk_id", bm25_tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-        terms = tokens.select("chunk_id", "dl", F.explode_outer("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("term").alias("tf"))
-        terms.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
-
-
-def index_stats(spark: SparkSession, path: str) -> DataFrame:
-    """n, total and average length over all batches: sums, so that an update never reads old texts."""
-    lengths = spark.read.parquet(path).groupBy("chunk_id").agg(F.first("dl").alias("dl"))
-    return lengths.agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("total")).withColumn("avgdl", F.round(F.col("total") / F.greatest(F.col("n"), F.lit(1)), 6))

@@ -100,28 +100,6 @@ def test_records_and_reindexing(spark):
     assert [r["chunk_id"] for r in S.changed(sums(new.unionByName(chunks.limit(1))), sums(chunks)).collect()] == [4]
 
 
-def test_units_are_seen_whole_or_not_at_all(spark, tmp_path):
-    tables = spark.createDataFrame([(1, "t")], "id int, v string")
-    images = spark.createDataFrame([(2, "i")], "id int, v string")
-    for unit in ("a", "b", "a"):
-        S.store_unit({"tables": tables, "images": images}, str(tmp_path), unit)
-    tables.write.parquet(f"{tmp_path}/tables/unit=broken")
-    assert sorted(tuple(r) for r in S.read_units(spark, str(tmp_path), "tables").select("unit", "id").collect()) == [("a", 1), ("b", 1)]
-
-
-def test_keyword_index(spark, tmp_path, data):
-    chunks = spark.read.parquet(f"{data}/documents.parquet").select(F.col("doc_id").alias("chunk_id"), "text")
-    asked = spark.read.parquet(f"{data}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    index = S.KeywordIndex(spark, f"{tmp_path}/index", buckets=4)
-    assert index.status().first()["n"] == 0 and index.search(asked).count() == 0
-    for _ in range(2):
-        index.build(chunks)
-        assert sorted(map(tuple, index.search(asked).collect())) == sorted(map(tuple, R.bm25(chunks, asked).collect()))
-    assert tuple(index.status().first()) == tuple(R.corpus_stats(chunks).first())
-    index.clear()
-    assert index.status().first()["n"] == 0
-
-
 def test_retries():
     waits, calls = [], []
 

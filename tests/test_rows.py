@@ -11,6 +11,7 @@ from tessera.operators import embed as M
 from tessera.operators import retrieve as R
 from tessera.operators import store as S
 from tessera.sources import extract as X
+from tessera.operators.keyword import KeywordIndex
 from tessera.streaming import live as L
 
 NAN, INF = float("nan"), float("inf")
@@ -139,12 +140,12 @@ def test_late_events_are_left_out_and_windows_dropped(spark, tmp_path):
 
 
 def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
-    schema = "chunk_id long, text string"
-    out, check = f"{tmp_path}/index", f"{tmp_path}/check"
+    schema = "chunk_id long, text string, seq int"
+    index = KeywordIndex(spark, f"{tmp_path}/index")
     for i in range(3):
-        stream = batches(spark, tmp_path, [[(i, "one two")]], schema)
-        L.drained(stream, "append", L.index_writer(out), check)
-    assert tuple(L.index_stats(spark, out).first()) == (3, 6, 2.0)
+        stream = batches(spark, tmp_path, [[(i, "one two", 0)]], schema)
+        L.drained(stream, "append", index.writer(), f"{tmp_path}/check")
+    assert tuple(index.status().first()) == (3, 6, 2.0)
 
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
