@@ -9,6 +9,7 @@ from tessera.checkpoints import shared_folder
 from tessera.operators.keyword import KeywordIndex
 from tessera.plans.relational import JOB_STATUS
 from tessera.streaming import live as L
+from tessera.streaming.cache import ROCKS, cached
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,11 +80,19 @@ def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted("good").unionByName(counted("bad")).select("queue", "event_type", "n")
 
 
+def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lookups of their user in a cache whose entries live six hours from their last use."""
+    lookups = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("request_id"), "ts")
+    found = L.result(cached(lookups, 6 * 3600), "append", settings=ROCKS)
+    return found.select("key", "request_id", "hit", F.round("idle", 3).alias("idle"))
+
+
 QUERIES = {
     "stream_windows": windows,
     "stream_sliding": sliding,
     "stream_sessions": sessions,
     "stream_rate_limit": limits,
+    "stream_cache": cache,
     "stream_job_states": jobs,
     "stream_index": index,
     "stream_index_changes": index_changes,
@@ -101,6 +110,9 @@ SELECT user_id, min(ts) AS first, count(*) AS n FROM s GROUP BY user_id, k""",
     "stream_rate_limit": """
 WITH r AS (SELECT event_id AS request_id, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id, floor(epoch(ts))::BIGINT // 86400 ORDER BY ts, event_id) AS n FROM events)
 SELECT request_id, n, n <= 2 AS allowed, 86400 - t % 86400 AS retry_after FROM r""",
+    "stream_cache": """
+WITH u AS (SELECT user_id AS key, event_id AS request_id, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idle FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)
+SELECT key, request_id, coalesce(idle < 21600000, false) AS hit, CASE WHEN idle < 21600000 THEN round(idle / 1000.0, 3)::DOUBLE END AS idle FROM u""",
     "stream_index": f"""
 WITH t AS (SELECT len({_TOKENS}) AS dl FROM documents) SELECT count(*) AS n, sum(dl)::BIGINT AS total, round(sum(dl)::DOUBLE / greatest(count(*), 1), 6) AS avgdl FROM t""",
     "stream_index_changes": f"""

@@ -27,13 +27,21 @@ def stream_of(spark: SparkSession, path: str, files_per_trigger: int | None = No
     return reader.parquet(path)
 
 
-def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Process all that is there and stop; a second call goes on from the checkpoint."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-def result(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+def drained(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], checkpoint: str, settings: dict[str, str] | None = None) -> None:
+    """Process all that is there and stop; a second call goes on from the checkpoint. The settings hold for this stream only."""
+    conf, before = stream.sparkSession.conf, {}
+    try:
+        for name, value in (settings or {}).items():
+            before[name] = conf.get(name, None)
+            conf.set(name, value)
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
+
+
+def result(stream: DataFrame, mode: str, keys: list[str] | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """What a stream says once all that is there is read, as a table in the shared folder.
 
     complete: the last state; append: all rows; update: the last row of each of
@@ -47,7 +55,7 @@ def result(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataF
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={0 if mode == 'complete' else number}")
 
-    drained(stream, mode, write, f"{folder}/checkpoint")
+    drained(stream, mode, write, f"{folder}/checkpoint", settings)
     rows = spark.read.parquet(out)
     if mode != "update":
         return rows.select(*stream.columns)

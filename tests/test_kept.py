@@ -10,6 +10,7 @@ from tessera.operators import snapshots
 from tessera.operators.keyword import KeywordIndex
 from tessera.operators.snapshots import Pointer, Units, replace_documents, wrong_dimension
 from tessera.streaming import live as L
+from tessera.streaming.cache import ROCKS, cached, hit_rates
 
 
 def rows(df, *columns):
@@ -178,3 +179,17 @@ def test_blocks_are_left_aside(spark, tmp_path):
     assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, R.bm25(chunks, asked).select(*hits.columns).collect()))
     read = {r["query_id"]: (r["blocks"], r["read"]) for r in report.collect()}
     assert read[1][1] < read[1][0] / 2
+
+
+def test_a_cache_over_batches(spark, tmp_path):
+    ts = lambda s: f"2024-01-01 {s // 3600:02}:{s % 3600 // 60:02}:{s % 60:02}"
+    schema = "key string, request_id long, ts string"
+    parts = [[("a", 1, ts(0)), ("a", 2, ts(50)), ("b", 3, ts(10)), (None, 9, ts(10))], [("a", 4, ts(140)), ("b", 5, ts(200)), ("c", 6, ts(900))], [("a", 7, ts(5000)), ("c", 8, ts(999))]]
+    for r in parts:
+        spark.createDataFrame(r, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("ts", F.to_timestamp("ts"))
+    got = L.result(cached(stream, 100, "10 seconds"), "append", settings=ROCKS)
+    assert rows(got, "request_id", "key", "hit", "idle") == sorted(
+        [(1, "a", False, None), (2, "a", True, 50.0), (3, "b", False, None), (4, "a", True, 90.0), (5, "b", False, None), (6, "c", False, None), (8, "c", True, 99.0), (7, "a", False, None)], key=str
+    )
+    assert rows(hit_rates(got), "key", "n", "hits", "rate") == [("a", 4, 2, 0.5), ("b", 2, 0, 0.0), ("c", 2, 1, 0.5)]
