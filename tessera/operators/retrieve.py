@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.checkpoints import saved
-from tessera.functions.let import once
 from tessera.functions.tokens import bm25_tokens, counted_terms
+from tessera.operators.products import with_few, with_many
 
 #: A side is broadcast up to so many rows; beyond, joins shuffle both sides.
 MOST_BROADCAST = 200_000
@@ -121,39 +118,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine of each query (query_id, vector) with all vectors (chunk_id, vector).
 
     Queries are a stated set that meets all vectors. A small set, by its
-    counted numbers, is one matrix in every task: each batch of vectors is
-    multiplied at once and sends its k best of each query only. A larger set
-    is joined. Scores are rounded to six places by Spark in both ways. Vectors
-    and queries that are null, of length zero, or hold null or non-finite
-    components have no direction and take no part.
+    counted numbers, is one matrix in every task. A larger one is dealt into
+    blocks that meet blocks of vectors, a matrix product a pair. Either way
+    tasks send their best of each query only. Scores are rounded to six places
+    by Spark. Vectors and queries that are null, of length zero, or hold null or
+    non-finite components have no direction and take no part; a query and a
+    vector of other length have no score.
     """
     queries = queries.filter(F.col("query_id").isNotNull() & directed(F.col("vector")))
     vectors = vectors.filter(directed(F.col("vector")))
-    n, size = queries.agg(F.count("query_id"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
-    if not n or n * size > MOST_NUMBERS:
-        return _dense_joined(vectors, queries, k)
-    rows = queries.select("query_id", "vector").collect()
-    ids = np.array([r["query_id"] for r in rows])
-    matrix = _unit_rows([r["vector"] for r in rows])
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if frame.empty:
-                continue
-            frame = frame.sort_values("chunk_id", kind="stable")
-            held = np.asarray(frame["chunk_id"])
-            scores = _unit_rows(frame["vector"]) @ matrix.T
-            out = []
-            for column, query in zip(scores.T, ids, strict=True):
-                steps = np.floor(column * 1e6 + 0.5)
-                least = np.partition(steps, -k)[-k] if len(steps) > k else -np.inf
-                # of equal ones those of the smaller id, which come first; also the next step, as Spark's rounding decides
-                best = np.concatenate([np.flatnonzero(steps > least), *(np.flatnonzero(steps == s)[:k] for s in (least, least - 1))])
-                out.append(pd.DataFrame({"query_id": query, "chunk_id": held[best], "score": column[best]}))
-            yield pd.concat(out)
-
-    kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["chunk_id"].dataType.simpleString())
-    found = vectors.select("chunk_id", "vector").mapInPandas(run, "query_id {}, chunk_id {}, score double".format(*kinds))
+    n, numbers = queries.agg(F.count("query_id"), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
+    found = with_few(vectors, queries, k) if numbers <= MOST_NUMBERS else with_many(vectors, queries, k, n)
     return top(found.withColumn("score", F.round("score", 6)), k)
 
 
@@ -164,22 +139,6 @@ def directed(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(doubles, lambda x: x != 0), F.lit(False))
 
 
-def _unit_rows(vectors) -> np.ndarray:
-    out = np.array([np.asarray(v, float) for v in vectors])
-    # first by the largest component, so that no square overflows or vanishes
-    out = out / np.abs(out).max(axis=1, keepdims=True)
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
-
-
-def _dense_joined(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    scaled = lambda v: F.transform(v, lambda x: x.cast("double") / F.array_max(F.transform(v, lambda y: F.abs(y.cast("double")))))
-    unit = lambda v: once(scaled(v), lambda w: F.transform(w, lambda x: x / F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, y: s + y * y))))
-    asked = small(queries.select("query_id", unit(F.col("vector")).alias("q")))
-    units = vectors.select("chunk_id", unit(F.col("vector")).alias("v"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return top(units.crossJoin(asked).select("query_id", "chunk_id", F.round(dot, 6).alias("score")), k)
-
-
 def min_max(hits: DataFrame) -> DataFrame:
     """Scores of each query from 0 to 1; 1 where all are equal."""
     w = Window.partitionBy("query_id")

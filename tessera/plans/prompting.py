@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import shared_folder
 from tessera.operators import ann, prompts
 from tessera.operators import context as C
 from tessera.operators import retrieve as R
+from tessera.operators.products import late_interaction as late_interaction_best
 from tessera.plans.common import table
 from tessera.plans.contexts import _HITS, _hits
-from tessera.plans.retrieval import _asked, _vectors
+from tessera.plans.retrieval import UNITS, _asked, _top, _vectors
 
 SYSTEM = "Answer from the sources and cite them by number."
 MODELS = ("meta/llama-3.1-8b-instruct", "GPT-4o-mini", "mistralai/mistral-large-2", "other")
@@ -42,17 +44,36 @@ def citation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors cut in four parts of sixteen, question against document: the five best of each."""
+    """Vectors cut in four parts of sixteen, question against document: the five best of each of all documents."""
     part = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v, i * 16 + 1, F.lit(16)))
     docs = _vectors(spark, sf_dir).select("chunk_id", part(F.col("vector")).alias("d"))
-    asked = R.small(_asked(spark, sf_dir).select("query_id", part(F.col("vector")).alias("q")))
-    scored = docs.crossJoin(asked).select("query_id", "chunk_id", F.round(prompts.max_sim(F.col("q"), F.col("d")), 6).alias("score"))
-    return R.top(scored, 5).select("query_id", "rank", "chunk_id", "score")
+    asked = _asked(spark, sf_dir).select("query_id", part(F.col("vector")).alias("vectors"))
+    found = late_interaction_best(docs.withColumnRenamed("d", "vectors"), asked, 5)
+    return R.top(found.withColumn("score", F.round("score", 6)), 5).select("query_id", "rank", "chunk_id", "score")
+
+
+def late_interaction_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty nearest by whole vectors, ordered anew by their parts."""
+    part = lambda v: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(v, i * 16 + 1, F.lit(16)))
+    vectors, asked = _vectors(spark, sf_dir), _asked(spark, sf_dir)
+    first = R.dense(vectors, asked, 50).select("query_id", "chunk_id", F.col("score").alias("first_score"))
+    pairs = first.join(asked.select("query_id", part(F.col("vector")).alias("q")), "query_id").join(vectors.select("chunk_id", part(F.col("vector")).alias("d")), "chunk_id")
+    scored = pairs.select("query_id", "chunk_id", "first_score", F.round(prompts.max_sim(F.col("q"), F.col("d")), 6).alias("score"))
+    return R.top(scored, 5).select("query_id", "rank", "chunk_id", "score", "first_score")
 
 
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ann.search(_vectors(spark, sf_dir), _asked(spark, sf_dir))
-    return found.select("query_id", "rank", "chunk_id", "score")
+    """The exact hits from an index that is kept; lists that cannot hold one are not read."""
+    index = ann.VectorIndex(spark, shared_folder(spark))
+    index.build(_vectors(spark, sf_dir))
+    return index.search(_asked(spark, sf_dir)).select("query_id", "rank", "chunk_id", "score")
+
+
+def filtered_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filter on a column that the index keeps is applied in its lists."""
+    index = ann.VectorIndex(spark, shared_folder(spark))
+    index.build(_vectors(spark, sf_dir))
+    return index.search(_asked(spark, sf_dir), 5, {"label": {"lt": 5}}).select("query_id", "rank", "chunk_id", "score")
 
 
 QUERIES = {
@@ -61,7 +82,9 @@ QUERIES = {
     "model_limits": model_limits,
     "citation_lists": citation_lists,
     "rerank_late_interaction": late_interaction,
+    "rerank_late_interaction_hits": late_interaction_reranked,
     "ann_search": approximate,
+    "ann_filtered": filtered_index,
 }
 
 _TOK = "CASE WHEN length({0}) = 0 THEN 0 ELSE greatest(1, length({0}) // 4) END"
@@ -88,4 +111,12 @@ WITH p AS (SELECT vec_id, i, list_slice(list_transform(embedding, lambda x: x::D
 b AS (SELECT q.vec_id AS query_id, d.vec_id AS chunk_id, q.i, max(list_dot_product(q.v, d.v)) AS best FROM p q JOIN benchmark k ON q.vec_id = k.item_id, p d GROUP BY 1, 2, 3),
 s AS (SELECT query_id, chunk_id, round(sum(best), 6) AS score FROM b GROUP BY 1, 2)
 SELECT query_id, rank::INT AS rank, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s) WHERE rank <= 5""",
+    "rerank_late_interaction_hits": f"""
+WITH {UNITS}, h AS (SELECT query_id, chunk_id, score AS first_score FROM {_top("cosines", 50)}),
+p AS (SELECT vec_id, i, list_slice(list_transform(embedding, lambda x: x::DOUBLE), i * 16 + 1, i * 16 + 16) AS v FROM embeddings, (SELECT unnest(range(0, 4)) AS i)),
+b AS (SELECT query_id, chunk_id, first_score, q.i, max(list_dot_product(q.v, d.v)) AS best FROM h JOIN p q ON q.vec_id = query_id JOIN p d ON d.vec_id = chunk_id GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, first_score, round(sum(best), 6) AS score FROM b GROUP BY ALL)
+SELECT query_id, rank::INT AS rank, chunk_id, score, first_score FROM {_top("s", 5)}""",
+    "ann_filtered": f"WITH {UNITS}, k AS (SELECT * FROM cosines WHERE label < 5) SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('k', 5)}",
+    "ann_search": f"WITH {UNITS} SELECT query_id, rank::INT AS rank, chunk_id, score FROM {_top('cosines', 10)}",
 }

@@ -226,15 +226,6 @@ def test_diversity_against_a_plain_model(spark, data):
     assert got == {(q, c) for q, own in taken.items() for c, _ in own}
 
 
-def test_approximate_search_finds_nine_of_ten(spark):
-    from tessera.operators import ann
-    from tessera.plans.retrieval import _asked, _vectors
-
-    sf = "/root/testdata/sf0.01"
-    vectors, asked = _vectors(spark, sf), _asked(spark, sf)
-    assert ann.recall(ann.search(vectors, asked), R.dense(vectors, asked)).first()["recall"] >= 0.9
-
-
 def test_dense_ways_agree(spark, monkeypatch):
     from tessera.plans.retrieval import _asked, _vectors
 
