@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,22 +102,22 @@ _NAME = "(?:" + "|".join(sorted(NAME_OF, key=len, reverse=True)) + ")"
 #: From three names on, with a plus before them or digits among them.
 SPELLED = re.compile(rf"(?<!\w)(?:plus[ \-]+)?{_NAME}(?:[ ,.\-]{{1,2}}(?:{_NAME}|[0-9]+)(?!\w)){{2,}}(?!\w)", re.IGNORECASE)
 ITEM = re.compile(r"[^ ,.\-]+")
-_AT, _DOT = (rf"[\[({{<]\s*(?:{words})\s*[\])}}>]" for words in ("at|arroba|arobase|@|ät", r"dot|punkt|punto|point|\."))
-AT, DOT = rf"(?:\s*{_AT}\s*)", rf"(?:\s*{_DOT}\s*)"
-PLAIN_DOT = r"(?:\s+(?:dot|punkt|punto|point)\s+)"
-DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{DOT}|{PLAIN_DOT})[A-Za-z0-9_%+-]+)*(?:{AT}|@|\s+(?:at|arroba|arobase)\s+)"
-    rf"[A-Za-z0-9-]+(?:(?:\.|{DOT}|{PLAIN_DOT})[A-Za-z0-9-]+)+",
+_AT, _DOT = (rf"[\[({{<]\s*+(?:{words})\s*+[\])}}>]" for words in ("at|arroba|arobase|@|ät", r"dot|punkt|punto|point|\."))
+_WORD_AT, _WORD_DOT = "at|arroba|arobase", "dot|punkt|punto|point"
+# A connector takes in all white space around it; it is looked for where a run of white space begins, so that each run is read once.
+_OPEN = r"(?<!\s)\s*+"
+#: '@' and '.', plain, in brackets or as a bare word.
+CONNECTOR = re.compile(
+    rf"(?P<at>@|{_OPEN}{_AT}\s*+|(?<!\s)\s++(?:{_WORD_AT})\s++)|(?P<dot>\.|{_OPEN}{_DOT}\s*+|(?<!\s)\s++(?:{_WORD_DOT})\s++)",
     re.IGNORECASE,
 )
+ATOM, LABEL = re.compile(r"[A-Za-z0-9_%+-]++"), re.compile(r"[A-Za-z0-9-]++")
+NUMBER = re.compile(r"[0-9]{1,3}(?![0-9])")
 # Ends of addresses that are taken where '.' or '@' is a bare word of the language (fixed values)
 TOP_DOMAINS = frozenset(
     "com org net edu gov mil int info biz name pro io ai app dev co me tv cc de fr es uk us ca au at ch it nl be pt br mx ar cl eu pl ru se no dk fi ie nz in jp cn kr za".split()
 )
 BRACKET = re.compile(r"[\[({<]")
-#: Four numbers with dots of any kind between them.
-QUADS = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:(?:\.|{DOT}|{PLAIN_DOT})[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-AT_OR_DOT = re.compile(rf"(?P<at>{AT}|\s+(?:at|arroba|arobase)\s+)|(?P<dot>{DOT}|{PLAIN_DOT})", re.IGNORECASE)
 
 
 class Mapped:
@@ -173,25 +174,90 @@ def spelled_digits(m: Mapped) -> None:
     m.rewrite(edits)
 
 
-def at_and_dot(m: Mapped) -> None:
-    edits = []
-    for run in DISGUISED.finditer(m.text):
-        found = list(AT_OR_DOT.finditer(m.text, *run.span()))
-        bare = [x for x in found if not BRACKET.search(x[0])]
+def _chains(text: str) -> Iterator[list[re.Match]]:
+    """Connectors that follow each other with one atom between them; each is in one chain."""
+    chain: list[re.Match] = []
+    for x in CONNECTOR.finditer(text):
+        if chain and not ATOM.fullmatch(text, chain[-1].end(), x.start()):
+            yield chain
+            chain = []
+        chain.append(x)
+    if chain:
+        yield chain
+
+
+def _before(text: str, end: int, allowed: frozenset[str]) -> int:
+    """Where the run of allowed characters that ends there begins."""
+    while end and text[end - 1] in allowed:
+        end -= 1
+    return end
+
+
+ATOM_CHARACTERS = LOCAL - {"."}
+
+
+def _addresses(text: str, chain: list[re.Match]) -> Iterator[list[re.Match]]:
+    """The connectors of each address in a chain: atoms and dots before an at, labels and one dot or more behind it."""
+    done = 0
+    for k, x in enumerate(chain if len(chain) > 1 else ()):
+        if not x["at"]:
+            continue
+        first = k
+        while first > done and chain[first - 1]["dot"]:
+            first -= 1
+        if k and first == k and done == k:
+            # what stands before belongs to the address before
+            continue
+        begin = _before(text, chain[first].start(), ATOM_CHARACTERS) if first == 0 else chain[first - 1].end()
+        if begin == chain[first].start() or (first == 0 and begin and text[begin - 1] == "."):
+            continue
+        last = k
+        while last + 1 < len(chain) and chain[last + 1]["dot"] and LABEL.fullmatch(text, chain[last].end(), chain[last + 1].start()):
+            last += 1
+        label = LABEL.match(text, chain[last].end())
+        if label is None:
+            # a dot that nothing follows is the sentence's
+            last -= 1
+            label = LABEL.match(text, chain[last].end()) if last > k else None
+        if label is None or last == k:
+            continue
+        found = chain[first : last + 1]
         # "at" as a bare word counts only where a dot is disguised too, and bare words only before a known end
-        if any(x["at"] for x in bare) and not any(x["dot"] for x in found):
+        bare = [y for y in found if y[0] not in ".@" and not BRACKET.search(y[0])]
+        if any(y["at"] for y in bare) and not any(y["dot"] and y[0] != "." for y in found):
             continue
-        if bare and re.split(r"[^A-Za-z0-9-]+", run[0])[-1].lower() not in TOP_DOMAINS:
+        if bare and label[0].lower() not in TOP_DOMAINS:
             continue
-        edits += [(x.start(), x.end(), "@" if x["at"] else ".") for x in found]
-    m.rewrite(edits)
-    m.rewrite([(x.start(), x.end(), ".") for run in QUADS.finditer(m.text) for x in AT_OR_DOT.finditer(m.text, *run.span()) if x["dot"]])
+        done = last + 1
+        yield [y for y in found if y[0] not in ".@"]
+
+
+def _quads(text: str, chain: list[re.Match]) -> Iterator[list[re.Match]]:
+    """The connectors of four numbers with dots between them."""
+    k = 0
+    while k + 2 < len(chain):
+        three = chain[k : k + 3]
+        begin = _before(text, three[0].start(), frozenset("0123456789"))
+        inner = all(NUMBER.fullmatch(text, a.end(), b.start()) for a, b in zip(three, three[1:], strict=False))
+        if all(x["dot"] for x in three) and NUMBER.fullmatch(text, begin, three[0].start()) and inner and NUMBER.match(text, three[2].end()):
+            yield [x for x in three if x[0] != "."]
+            k += 4
+        else:
+            k += 1
+
+
+def at_and_dot(m: Mapped) -> None:
+    edits = {}
+    for chain in _chains(m.text):
+        for found in (*_addresses(m.text, chain), *_quads(m.text, chain)):
+            edits |= {x.start(): (x.start(), x.end(), "@" if x["at"] else ".") for x in found}
+    m.rewrite([edits[at] for at in sorted(edits)])
 
 
 #: What a text must hold for the step to change anything: a sign in brackets, or a bare word for '.' (a bare "at" counts only beside one).
 BRACKETED = re.compile(f"{_AT}|{_DOT}", re.IGNORECASE)
 DOT_WORDS = ("dot", "punkt", "punto", "point")
-BARE_DOT = re.compile(PLAIN_DOT, re.IGNORECASE)
+BARE_DOT = re.compile(rf"(?<!\s)\s++(?:{_WORD_DOT})\s", re.IGNORECASE)
 
 
 def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
@@ -214,9 +280,13 @@ def disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
         return {}
     out: dict[str, list[Span]] = {}
     for kind, spans in detect(m.text).items():
-        for span in filter(None, map(m.source, spans)):
-            if all(span[1] <= s or e <= span[0] for s, e in plain[kind] + out.get(kind, [])):
-                out.setdefault(kind, []).append(span)
+        starts, last = [s for s, _ in plain[kind]], 0
+        for start, end in sorted(filter(None, map(m.source, spans))):
+            # plain spans are in order and apart, and so are those that are added
+            k = bisect_left(starts, end)
+            if start >= last and (k == 0 or plain[kind][k - 1][1] <= start):
+                out.setdefault(kind, []).append((start, end))
+                last = end
     return out
 
 
@@ -228,7 +298,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
     its spans are those of the source. Both are in order of kind, then start.
     Digits' names and the words for '@' and '.' are those of English, German,
     Spanish and French that are listed above; bare words count only before one
-    of the listed ends of addresses, or between four numbers.
+    of the listed ends of addresses, or between four numbers. Time grows with
+    the text's length, whatever it holds: each run of white space and each chain
+    of disguised signs is read once; a text is one string in a task.
     Null text counts as empty; doc_id may be null or repeated; one row a
     document; an empty table gives no rows; further columns are ignored.
     """

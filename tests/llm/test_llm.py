@@ -5,6 +5,7 @@ import html as stdlib_html
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -461,6 +462,34 @@ def test_recall_of_planted_disguises(spark):
     assert not any(pii.disguised(t, pii.detect(t)) for t in docs)
 
 
+@pytest.mark.parametrize("part", ["dot" + " " * 999, "a dot ", "1 dot ", "[", "[ at ", "a at ", "a@", "a.", "x (at) y dot ", "one ", "plus - ", "+1(", "а dot "])
+def test_time_grows_with_the_text(part):
+    """Twice the text takes about twice the time, whatever it repeats; before, forty thousand blanks took a minute."""
+    took = []
+    for size in (200_000, 800_000):
+        text = part * (size // len(part))
+        start = time.process_time()
+        pii.disguised(text, pii.detect(text))
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1 and took[1] < 20
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("mail me at john dot doe at example dot com", "john dot doe at example dot com"),
+        ("a dot b [at] c dot com at once. x", "a dot b [at] c dot com"),
+        ("one.two (at) site.org.", "one.two (at) site.org"),
+        ("me at home. dot by dot com", None),
+        ("10 dot 0 dot 0 dot 1 dot", "10 dot 0 dot 0 dot 1"),
+        ("1 dot 2 dot 3 dot 4444", None),
+    ],
+)
+def test_chains_of_disguised_signs(text, found):
+    spans = pii.disguised(text, pii.detect(text))
+    assert [text[s:e] for kind in spans for s, e in spans[kind]] == ([found] if found else [])
+
+
 def test_pii_query(spark, data):
     """Counts, order and digest of the base spans against the contract."""
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
