@@ -303,7 +303,7 @@ def chunk_documents(docs: DataFrame, name: str = "auto", least: int = 100, text:
     else:
         found = STRATEGIES[name](F.col(text))
     rest = [c for c in docs.columns if c != text]
-    held = docs.select(*rest, found.alias("_found")).select(*rest, F.filter("_found", lambda c: F.regexp_replace(c["content"], r"\A\s+|\s+\z", "") != "").alias("_all"))
+    held = docs.select(*rest, found.alias("_found")).select(*rest, F.filter("_found", lambda c: F.regexp_replace(c["content"], r"\A\s++|(?<!\s)\s++\z", "") != "").alias("_all"))
     held = held.withColumn("_long", F.filter("_all", lambda c: F.length(c["content"]) >= least))
     exploded = held.select(*rest, F.posexplode(F.when(F.size("_long") > 0, F.col("_long")).otherwise(F.col("_all"))).alias("chunk_index", "c")).select(*rest, "chunk_index", "c.*")
     return exploded.withColumns(

@@ -78,9 +78,9 @@ def whitespace(text: Column) -> Column:
     # these patterns are fixed values
     text = F.regexp_replace(text, "[  -   　]", " ")
     text = F.regexp_replace(text, " {2,}", " ")
-    text = F.regexp_replace(text, r"[^\S\n]+(\n|\z)", "$1")
+    text = F.regexp_replace(text, r"(?<![^\S\n])[^\S\n]++(\n|\z)", "$1")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(text, r"\A\s++|(?<!\s)\s++\z", "")
 
 
 def ocr_artifacts(text: Column) -> Column:

@@ -88,14 +88,14 @@ SENTENCE_END = "(?<!\\w\\.\\w.)(?<![A-Z][a-z]\\.)(?<=[.!?])\\s+(?=[A-Z\"‘“¿
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END, -1), lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, SENTENCE_END, -1), lambda x: F.regexp_replace(x, r"\A\s++|(?<!\s)\s++\z", "")), lambda x: x != "")
 
 
 def answer_sentences(text: Column) -> Column:
     """Sentences of an answer without its citations, from ten characters on."""
     bare = F.regexp_replace(text, r"\[\d+(?:[-,]\d+)*\]", "")
     parts = F.split(bare, '(?<=[.!?])\\s+(?=[A-Z"])|(?<=\\.)\\n+(?=[A-Z"])|(?<=\\n\\n)', -1)
-    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")), lambda x: F.length(x) >= 10)
+    return F.filter(F.transform(parts, lambda x: F.regexp_replace(x, r"\A\s++|(?<!\s)\s++\z", "")), lambda x: F.length(x) >= 10)
 
 
 def hash16(text: Column) -> Column:
