@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,9 +40,18 @@ NOT_TEXT = frozenset(
 OF_HEADINGS = frozenset("header banner masthead".split())
 TEXTUAL = frozenset("article content main post entry story body text".split())
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-FORM_END = re.compile(r"</form(?=[\s/>])", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+END_TAG = re.compile(r"</([a-zA-Z][^\s/>]*)")
 HOLDS_ARTICLE = re.compile(r"<(?:article|main|h1)\b", re.IGNORECASE)
+HEADING = re.compile(r"<h[1-6]\b", re.IGNORECASE)
+#: Words beside those of NOT_TEXT that tell only where something stands or what it is made of.
+LAYOUT = frozenset(
+    "area bar block box bottom button buttons card cards column container content div form global group header heading icon icons inner item items left line link links list "
+    "main module outer page panel post posts primary right row secondary section site small text the title top unit wrap wrapper article articles".split()
+)
+#: Elements that take all that follows if they are not closed.
+SWALLOWS = frozenset(("script", "style"))
 DIGITS = re.compile(r"\d+")
 WORD = re.compile(r"[a-z]+")
 
@@ -87,27 +97,77 @@ class Page:
         return at
 
 
-def _attributes(text: str) -> tuple[list[str], list[str]]:
-    """The class names, and all names of class, id and role."""
-    classes, every = [], []
-    for m in NAMES.finditer(text):
-        names = (m[2] or m[3] or m[4] or "").lower().split()
-        every += names
-        if m[1].lower() == "class":
-            classes += names
-    return classes, every
+def _attributes(text: str) -> tuple[list[str], list[str], bool]:
+    """The class names, the names of id and role, and whether the element is hidden."""
+    classes, names, hidden = [], [], False
+    for m in ATTRIBUTE.finditer(text):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "class":
+            classes += value.lower().split()
+        elif key in ("id", "role"):
+            names += value.lower().split()
+        elif key == "hidden" or (key == "style" and NO_DISPLAY.search(value)):
+            hidden = True
+    return classes, names, hidden
 
 
-def _marked(tag: str, names: list[str]) -> bool:
+def _marked(tag: str, classes: list[str], names: list[str]) -> bool:
     """Whether the names say that an element is not of the article."""
     if tag in ("html", "body"):
         return False
     # what is called an article is left out only for a whole name: "category-social" tells what it is about
-    if tag in ("article", "main") or any(n in TEXTUAL for n in names):
-        return any(n in NOT_TEXT for n in names)
+    if tag in ("article", "main") or any(n in TEXTUAL for n in (*classes, *names)):
+        return any(n in NOT_TEXT for n in (*classes, *names))
     words = NOT_TEXT - OF_HEADINGS if tag in HEADINGS else NOT_TEXT
-    # "has-sidebar" tells about a neighbour
-    return any(w in words for name in names if not name.startswith(("has", "with", "no-")) for w in WORD.findall(name))
+
+    def whole(name: str) -> bool:
+        # ids are often made of a heading: "search-algorithms" is no search form, "search-box" is
+        parts = WORD.findall(name)
+        return any(w in words for w in parts) and all(w in words or w in LAYOUT for w in parts)
+
+    def part(name: str) -> bool:
+        # "has-sidebar" tells about a neighbour
+        return not name.startswith(("has", "with", "no-")) and any(w in words for w in WORD.findall(name))
+
+    return any(map(whole, names)) or any(map(part if tag in CONTAINERS else whole, classes))
+
+
+def _raw_end(source: str, tag: str, at: int) -> int:
+    """Where an element whose content is no text ends, templates with those in them; -1 if nowhere."""
+    depth = 1
+    for m in re.compile(rf"<(/?){re.escape(tag)}(?=[\s/>])[^>]*>", re.IGNORECASE).finditer(source, at):
+        depth += -1 if m[1] else (tag == "template")
+        if not depth:
+            return m.end()
+    return -1
+
+
+def _left_out(tag: str, attributes: str) -> bool:
+    classes, names, hidden = _attributes(attributes)
+    return hidden or _marked(tag, classes, names)
+
+
+class Places:
+    """Where patterns are in a page; each is looked for once, in one run."""
+
+    def __init__(self, source: str):
+        self.source, self.held = source, {}
+
+    def any_in(self, pattern: re.Pattern, start: int, end: int) -> bool:
+        if pattern not in self.held:
+            self.held[pattern] = [m.start() for m in pattern.finditer(self.source)]
+        k = bisect_left(self.held[pattern], start)
+        return k < len(self.held[pattern]) and self.held[pattern][k] < end
+
+    def next_end(self, tag: str, start: int) -> int:
+        """The next end tag of that name; -1 if there is none."""
+        if "" not in self.held:
+            ends = self.held[""] = {}
+            for m in END_TAG.finditer(self.source):
+                ends.setdefault(m[1].lower(), []).append(m.start())
+        ends = self.held[""].get(tag, ())
+        k = bisect_left(ends, start)
+        return ends[k] if k < len(ends) else -1
 
 
 def parse(source: str) -> Page:
@@ -123,7 +183,7 @@ def parse(source: str) -> Page:
     #: Of the marked elements in the stack that are no containers: elements of the same name that are open in them.
     within: dict[int, int] = {}
     open_ = Counter()
-    last_end: dict[str, int] = {}
+    places, last_tag = Places(source), source.rfind(">")
 
     def text(start: int, end: int) -> None:
         nonlocal fresh
@@ -140,12 +200,7 @@ def parse(source: str) -> Page:
                 page.pieces.append((stack[-1], " ", False))
 
     def closed(tag: str, place: int) -> bool:
-        if tag not in last_end:
-            found = -1
-            for m in re.finditer(rf"</{re.escape(tag)}(?=[\s/>])", source, re.IGNORECASE):
-                found = m.start()
-            last_end[tag] = found
-        return last_end[tag] >= place
+        return places.next_end(tag, place) >= 0
 
     def pop(place: int) -> None:
         for element in stack[place:]:
@@ -165,10 +220,11 @@ def parse(source: str) -> Page:
         open_[tag] += 1
         return stack[-1]
 
-    last, form_end = 0, -1
+    last = 0
     while at < n:
         at = source.find("<", at)
-        if at < 0:
+        # after the last '>' there are no tags
+        if at < 0 or at > last_tag:
             break
         if source.startswith("<!--", at):
             text(last, at)
@@ -191,8 +247,9 @@ def parse(source: str) -> Page:
         top = stack[-1]
         if tag in RAW:
             if not closing and not empty:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(source, at)
-                at = last = n if end is None else end.end()
+                end = _raw_end(source, tag, at) if tag in SWALLOWS or closed(tag, at) else -1
+                # without an end, a script or style takes all that follows, as in browsers; others take nothing
+                at = last = end if end >= 0 else n if tag in SWALLOWS else at
             continue
         if tag in BLOCKS:
             fresh = True
@@ -207,17 +264,17 @@ def parse(source: str) -> Page:
             if closing:
                 close(tag)
                 continue
-            classes, names = _attributes(rest) if rest else ([], [])
-            out = tag in BOILERPLATE or (bool(names) and _marked(tag, names))
+            classes, names, hidden = _attributes(rest) if rest else ([], [], False)
+            marked = hidden or (bool(classes or names) and _marked(tag, classes, names))
+            out = tag in BOILERPLATE or marked
             if out and not closed(tag, at):
                 continue
-            if out and tag == "form" and not _marked(tag, names):
-                # some sites hold the whole page in one form
-                if form_end < at:
-                    form_end = FORM_END.search(source, at).start()
-                out = not HOLDS_ARTICLE.search(source, at, form_end)
+            if out and not marked:
+                # some sites hold the whole page in one form, and an article's header holds its headings
+                holds = HOLDS_ARTICLE if tag == "form" else HEADING if tag == "header" and open_["article"] + open_["main"] > 0 else None
+                out = not (holds and places.any_in(holds, at, places.next_end(tag, at)))
             step = ".".join([tag, *sorted({DIGITS.sub("#", c).replace("/", "|") for c in classes})])
-            textual = tag in ("article", "main") or any(w in TEXTUAL for c in names for w in WORD.findall(c))
+            textual = tag in ("article", "main") or any(w in TEXTUAL for c in (*classes, *names) for w in WORD.findall(c))
             push(tag, step, page.out[top] or out, textual)
             if empty and tag != "body":
                 pop(len(stack) - 1)
@@ -228,7 +285,7 @@ def parse(source: str) -> Page:
         elif closing:
             if tag in CONTROLS or open_[tag] > 0:
                 close(tag)
-        elif not empty and (tag in CONTROLS or (rest and _marked(tag, _attributes(rest)[1]))) and (closed(tag, at) or tag in IMPLIED_END):
+        elif not empty and (tag in CONTROLS or (rest and _left_out(tag, rest))) and (closed(tag, at) or tag in IMPLIED_END):
             within[push(tag, tag, True)] = 0
     text(last, n)
     return page
@@ -248,11 +305,50 @@ def scores(page: Page) -> list[int]:
     return [int(x) for x in got]
 
 
+def totals(page: Page) -> tuple[list[int], list[int], list[int]]:
+    """Of each element the characters below it: outside links, in links, and those outside links in articles; what is left out has none."""
+    n = len(page.parent)
+    plain, linked, articles = [0] * n, [0] * n, [0] * n
+    for k in range(n - 1, 0, -1):
+        if page.out[k]:
+            continue
+        plain[k] += page.own[k] - page.linked[k]
+        linked[k] += page.linked[k]
+        up = page.parent[k]
+        plain[up] += plain[k]
+        linked[up] += linked[k]
+        articles[up] += plain[k] if page.tag[k] == "article" else articles[k]
+    return plain, linked, articles
+
+
 def best_element(page: Page) -> tuple[int, int]:
-    """The element with the highest score, the first of equal ones, and its score; 0 if none has text."""
+    """The element of the article and its score; 0 if none has text.
+
+    From the one with the highest score, the first of equal ones, it goes up
+    as long as what a parent holds besides is text, too, more of it outside
+    links than in them. Above an article that must be mostly other articles,
+    above a main element nothing is.
+    """
     got = scores(page)
     i = max(range(len(got)), key=lambda k: (got[k], -k))
-    return (i, got[i]) if got[i] > 0 else (0, 0)
+    if got[i] <= 0:
+        return 0, 0
+    plain, linked, articles = totals(page)
+    best, at = got[i], i
+    while page.tag[at] != "main" and page.parent[at] > 0:
+        up = page.parent[at]
+        more, links = plain[up] - plain[at], linked[up] - linked[at]
+        if page.tag[at] == "article" or page.tag[i] == "article":
+            of_articles = articles[up] - (plain[at] if page.tag[at] == "article" else articles[at])
+            if 2 * of_articles < more or (more and not of_articles):
+                break
+        elif links > more or page.tag[up] in ("html", "body") and not more:
+            break
+        # a wrapper that adds nothing is passed on the way to one that does
+        if more:
+            i = up
+        at = up
+    return i, best
 
 
 def best_path(page: Page) -> tuple[str, int]:
@@ -262,12 +358,15 @@ def best_path(page: Page) -> tuple[str, int]:
 
 def main_text(page: Page, path: str | None) -> str:
     """The text below the elements of a path, or of the page's own best one if it has no text there."""
+    plain, linked, _ = totals(page)
     for wanted in (page.path_number(path) if path else None, page.path[best_element(page)[0]]):
         if not wanted:
             continue
+        # a menu may stand on the article's path, too
+        told = any(page.path[i] == wanted and plain[i] >= max(1, linked[i]) for i in range(len(plain)))
         inside = [False] * len(page.parent)
         for i in range(1, len(inside)):
-            inside[i] = not page.out[i] and (inside[page.parent[i]] or page.path[i] == wanted)
+            inside[i] = not page.out[i] and (inside[page.parent[i]] or (page.path[i] == wanted and (plain[i] >= linked[i] or not told)))
         parts: list[str] = []
         for at, piece, fresh in page.pieces:
             if inside[at]:
@@ -314,10 +413,12 @@ def extract(pages: DataFrame) -> DataFrame:
     page without text there uses its own best container. Menus, headers,
     footers, sidebars, notices, adverts, forms and comments are left out by
     element and by class, id or role, also single paragraphs, items, headings
-    and inline elements; a form around an article is not. What an element
-    without end tag would leave out stays. Character references are decoded,
-    white space in a block is one space, blocks are joined by one space. Memory
-    is in proportion to the page, however deep it is nested.
+    and inline elements, and what is hidden; a form around an article and the
+    header in one that holds a heading are not. Of ids, and of classes of what is
+    no container, the whole name must say so: "related-work" is a heading's.
+    What an element without end tag would leave out stays, but for scripts and
+    styles. Time and memory are in proportion to the page, whatever its markup. Character references are decoded,
+    white space in a block is one space, blocks are joined by one space.
 
     Null html counts as empty, with empty text; null url and urls without a
     host share one host; repeated rows stay; an empty table gives no rows;

@@ -947,6 +947,52 @@ def test_elements_in_an_article(inside, text):
         assert html.main_text(page, html.best_path(page)[0]) == " ".join(f"A first paragraph of the article, which is long enough to count. {text}".split()), before
 
 
+SAYS = "This sentence says something about the thing at hand, and goes on. "
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        # siblings of unlike size, and a wrapper around them
+        (f'<div class="content"><div class="lead">{SAYS * 3}</div><div class="part">{SAYS * 20}</div></div>', SAYS * 23),
+        (f'<div class="wrap"><div class="a">{SAYS * 2}</div><div class="b"><div class="c">{SAYS * 9}</div></div><div class="d">{SAYS}</div></div>', SAYS * 12),
+        # an introduction right below the container
+        (f'<div id="main">{SAYS}<div class="part">{SAYS * 20}</div></div>', SAYS * 21),
+        # two articles
+        (f"<main><article>{SAYS * 4}</article><article>{SAYS * 9}</article></main>", SAYS * 13),
+        # ids that are made of headings, and classes of paragraphs
+        (f'<article>{SAYS * 9}<section id="search-algorithms">Four</section></article>', SAYS * 9 + "Four"),
+        (f'<article>{SAYS * 9}<h2 id="related-work">Related work</h2><p class="social-history">Of old.</p></article>', SAYS * 9 + "Related work Of old."),
+        (f'<article>{SAYS * 9}<section id="related-links">No</section><div id="search-box">No</div><p class="share">No</p></article>', SAYS * 9),
+        # what is hidden
+        (f'<article>{SAYS * 9}<div hidden>No</div><div style="color:red; display : none">No</div><p>Yes</p><p hidden>No</p></article>', SAYS * 9 + "Yes"),
+        # an article's header with its heading, and the page's
+        (f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header>{SAYS * 9}</article>", "Title " + SAYS * 9),
+        (f"<article><header>By somebody</header>{SAYS * 9}</article>", SAYS * 9),
+        # templates in templates, elements that are closed nowhere
+        (f"<article>{SAYS * 9}<template><template>x</template>LEAK</template>Yes</article>", SAYS * 9 + "Yes"),
+        (f"<article>{SAYS * 9}<noscript>Yes</article>", SAYS * 9 + "Yes"),
+        (f"<article>{SAYS * 9}<iframe>Yes</article>", SAYS * 9 + "Yes"),
+        (f"<article>{SAYS * 9}<script>no</article>", SAYS * 9),
+        # menus beside the article, of links and without a name
+        (f'<div><div>{"<a href=x>Some page of ours</a> " * 9}</div><div>{SAYS * 9}</div></div>', SAYS * 9),
+        (f'<div><div class="related">{SAYS * 3}</div><div>{SAYS * 9}</div><div class="comments">{SAYS * 5}</div></div>', SAYS * 9),
+    ],
+)
+def test_nothing_of_an_article_is_lost(body, text):
+    page = html.parse(f"<html><head><title>t</title></head><body>{body}</body></html>")
+    assert html.main_text(page, None) == text.strip()
+    assert html.main_text(page, html.best_path(page)[0]) == text.strip()
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", "<form>", "<form><div>", "<div id=x{}>", "<x{} class=ad>t", "<template>", "<header>", "<", "</", "<!--", "<a '>", "<p class=ad>", "<title>", "<ul><li>", "&amp;", "<table><tr><td>"])
+def test_hostile_markup_takes_time_in_proportion(part):
+    source = "<article>" + "".join(part.replace("{}", str(i)) for i in range(1_000_000 // len(part) // 2)) + "<p>end"
+    start = time.process_time()
+    html.main_text(html.parse(source), None)
+    assert time.process_time() - start < 20
+
+
 def test_deep_pages_take_memory_in_proportion():
     import tracemalloc
 
