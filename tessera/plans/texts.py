@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import clean, tokens
+from tessera.functions.language import LanguageModel, by_line
 from tessera.plans.common import table
 
 #: What the tables lack is put around each text, so that every stage has work on every row.
@@ -94,6 +95,19 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document by a model of groups of three characters that is fitted on the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    detect = LanguageModel.fit(docs).detect(spark)
+    return docs.select("doc_id", detect(F.col("text")).alias("d")).select("doc_id", "d.language", "d.share")
+
+
+def language_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for each long line."""
+    docs = table(spark, sf_dir, "documents")
+    return by_line(docs, LanguageModel.fit(docs))
+
+
 QUERIES = {f"clean_{stage}": _cleaned(stage) for stage in MARKED} | {
     "clean_headers_footers": headers_footers,
     "clean_pipeline": clean_all,
@@ -103,6 +117,8 @@ QUERIES = {f"clean_{stage}": _cleaned(stage) for stage in MARKED} | {
     "language_histogram": language_histogram,
     "code_language": code_languages,
     "repeated_lines": repeated_lines,
+    "language_model": language_model,
+    "language_lines": language_lines,
 }
 
 
@@ -159,6 +175,18 @@ BEST_LANGUAGE = """CASE WHEN length(body) < 20 OR n_en + n_fr + n_de + n_es = 0
 
 _SIGNS = " ".join(f"WHEN regexp_matches(lower(substr(body, 1, 2000)), '{sign.replace(chr(39), chr(39) * 2)}') THEN '{name}'" for name, sign in tokens.CODE_SIGNS)
 
+# groups of three characters, their shares in each language, and the sums of their logarithms
+_GRAMS = """
+grams AS (SELECT id, (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 65536 AS g, count(*) AS n FROM (SELECT id, c, unnest(range(1, len(c) - 1)) AS i FROM codes) GROUP BY ALL)"""
+_BAYES = """
+train AS (SELECT lang, (c[i] * 961 + c[i + 1] * 31 + c[i + 2]) % 65536 AS g, count(*) AS n FROM (SELECT lang, c, unnest(range(1, len(c) - 1)) AS i FROM (
+  SELECT lang, list_transform(string_split(lower(text), ''), lambda x: unicode(x)::BIGINT) AS c FROM documents WHERE lang IS NOT NULL)) GROUP BY ALL),
+totals AS (SELECT lang, sum(n) + 32768 AS total FROM train GROUP BY lang),
+floors AS (SELECT g.id, t.lang, sum(g.n) * ln(0.5 / t.total) AS s FROM (SELECT id, sum(n) AS n FROM grams GROUP BY id) g, totals t GROUP BY g.id, t.lang, t.total),
+lifts AS (SELECT g.id, t.lang, sum(g.n * (ln((t.n + 0.5) / total) - ln(0.5 / total))) AS s FROM grams g JOIN train t USING (g) JOIN totals USING (lang) GROUP BY g.id, t.lang),
+logs AS (SELECT f.id, f.lang, f.s + coalesce(l.s, 0) AS s FROM floors f LEFT JOIN lifts l ON f.id = l.id AND f.lang = l.lang),
+told AS (SELECT id, arg_max(lang, s) AS language, 1 / sum(exp(s - m)) AS share FROM (SELECT *, max(s) OVER (PARTITION BY id) AS m FROM logs) GROUP BY id)"""
+
 SQL = {
     "clean_unicode": _clean_sql("unicode", _nest(_unicode, (r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "''"))),
     "clean_whitespace": _clean_sql(
@@ -219,4 +247,12 @@ FROM s GROUP BY ALL""",
     "repeated_lines": """
 SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
 WHERE length(line) > 3 AND length(line) < 120 GROUP BY doc_id, line HAVING count(*) >= 3""",
+    "language_model": f"""
+WITH codes AS (SELECT doc_id AS id, list_transform(string_split(lower(text), ''), lambda x: unicode(x)::BIGINT) AS c FROM documents WHERE length(text) >= 20), {_GRAMS}, {_BAYES}
+SELECT doc_id, coalesce(language, 'en') AS language, round(coalesce(share, 0.5), 4) AS share FROM documents LEFT JOIN told ON id = doc_id""",
+    "language_lines": f"""
+WITH lines AS (SELECT doc_id, line, row_number() OVER () AS id FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x: trim(x))) AS line FROM documents) WHERE length(line) >= 50),
+codes AS (SELECT id, list_transform(string_split(lower(line), ''), lambda x: unicode(x)::BIGINT) AS c FROM lines), {_GRAMS}, {_BAYES},
+n AS (SELECT doc_id, language, count(*) AS n FROM lines JOIN told USING (id) GROUP BY ALL)
+SELECT doc_id, language, n, round(n / sum(n) OVER (PARTITION BY doc_id), 4)::DOUBLE AS share FROM n""",
 }
