@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.plans.common import table
 from tessera.sources import extract as X
+from tessera.sources import structure as T
 
 
 def text_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +63,57 @@ def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", X.pdf_section_title(first).alias("title"), X.needs_ocr(F.lit(1), F.col("n_chars") % 9).alias("needs_ocr"), X.pdf_date(F.concat(F.lit("D:"), (20200101 + F.col("doc_id") % 40).cast("string"), F.lit("120000"))).alias("created"))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose line ends become headings of three levels, with a heading in a fence before."""
+    head = F.concat(F.lit("before\n\n# Top of "), "source", F.lit("\n```\n# no heading\n```\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.replace("text", F.lit("\n"), F.lit("\n\n## Part\ntext\n#### Deep\n### Less deep\n"))).alias("text"))
+
+
+def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.markdown_sections(_marked(spark, sf_dir))
+    return found.select("doc_id", "section", "level", "title", F.array_join("path", " > ").alias("path"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each brand's parts, ten thousand keys at a time, as two Markdown tables with text between, read again as rows."""
+    line = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    name = F.concat("p_name", F.lit(" \\| new"))
+    held = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 10_000).alias("block")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line(F.col("p_partkey").cast("string"), name, "p_type").alias("line")))), lambda r: r["line"]), "\n").alias("lines")
+    )
+    text = F.concat(F.lit("| no | table |\n\n| key | name | type |\n|---|:-:|--:|\n"), "lines", F.lit("\n\ntext\n```\n| a |\n|---|\n```\n| x |\n|---|\n| y |"))
+    rows = T.markdown_tables(held.select(F.concat_ws("/", "p_brand", "block").alias("doc_id"), text.alias("text")))
+    return rows.select("doc_id", "table_no", "row_no", "head", F.array_join("cells", ";").alias("cells"))
+
+
+def html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same parts as HTML: a table with a head, one within a cell, end tags that are left out; read again as cells."""
+    row = F.concat(F.lit("<tr><td>"), F.col("p_partkey").cast("string"), F.lit("</td>\n<td class=x>"), "p_name", F.lit(" &amp; <b>new</b>\n<td><table><tr><td>"), "p_type", F.lit("</td></tr></table></td></tr>"))
+    held = table(spark, sf_dir, "part").groupBy("p_brand", F.floor(F.col("p_partkey") / 10_000).alias("block")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", row.alias("row")))), lambda r: r["row"]), "\n").alias("rows")
+    )
+    page = F.concat(F.lit("<p>text</p><table border=1><thead><tr><th>key<td>name<th>type</thead><tbody>"), "rows", F.lit("</tbody></table><script>'<table><tr><td>'</script><table><tr><th>x</th></tr></table>"))
+    return T.html_tables(held.select(F.concat_ws("/", "p_brand", "block").alias("page_id"), page.alias("html")))
+
+
+def html_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' own sections, each paragraph of every page being made a heading of the second level with a text."""
+    marked = F.regexp_replace("html", r"<p>", "<h2>Part</h2>text<h3>Sub</h3><p>")
+    found = T.html_sections(table(spark, sf_dir, "pages").select("page_id", marked.alias("html")))
+    return found.groupBy("page_id", "level").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("path")).alias("deepest"))
+
+
+def html_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = T.html_meta(table(spark, sf_dir, "pages")).filter("name <> 'title'")
+    return found.select("page_id", "name", "content")
+
+
 QUERIES = {
+    "markdown_sections": markdown_sections,
+    "markdown_tables": markdown_tables,
+    "html_tables": html_tables,
+    "html_nested_sections": html_nested,
+    "html_meta": html_meta,
     "text_pages": text_pages,
     "text_counts": text_counts,
     "markdown_counts": markdown_counts,
@@ -75,7 +126,35 @@ QUERIES = {
 }
 
 _NL = "chr(10)"
+_BLOCKS = """
+p AS (SELECT concat(p_brand, '/', p_partkey // 10000) AS doc_id, p_partkey, p_name, p_type, row_number() OVER (PARTITION BY p_brand, p_partkey // 10000 ORDER BY p_partkey) AS r FROM part), b AS (SELECT DISTINCT doc_id FROM p)"""
 SQL = {
+    "markdown_sections": r"""
+WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+s AS (
+  SELECT doc_id, 0 AS section, 0 AS level, NULL AS title, '' AS path, 'before' AS body FROM d
+  UNION ALL SELECT doc_id, 1, 1, concat('Top of ', source), concat('Top of ', source), concat('```', chr(10), '# no heading', chr(10), '```', chr(10), l[1]) FROM d
+  UNION ALL SELECT doc_id, 3 * i - 5 + k, [2, 4, 3][k], ['Part', 'Deep', 'Less deep'][k], concat('Top of ', source, ' > Part', ['', ' > Deep', ' > Less deep'][k]), ['text', '', l[i]][k]
+    FROM (SELECT doc_id, source, l, unnest(range(2, len(l) + 1)) AS i FROM d), (SELECT unnest([1, 2, 3]) AS k)
+)
+SELECT doc_id, section::BIGINT AS section, level::INT AS level, title, path, md5(regexp_replace(regexp_replace(body, '^\s+', ''), '\s+$', '')) AS digest FROM s""",
+    "markdown_tables": f"""
+WITH {_BLOCKS}, h AS (
+  SELECT doc_id, 1 AS table_no, 0 AS row_no, true AS head, 'key;name;type' AS cells FROM b
+  UNION ALL SELECT doc_id, 1, r, false, concat(p_partkey, ';', p_name, ' | new;', p_type) FROM p
+  UNION ALL SELECT doc_id, 2, 0, true, 'x' FROM b UNION ALL SELECT doc_id, 2, 1, false, 'y' FROM b
+) SELECT doc_id, table_no::INT AS table_no, row_no::INT AS row_no, head, cells FROM h""",
+    "html_tables": f"""
+WITH {_BLOCKS}, h AS (
+  SELECT doc_id AS page_id, 1 AS table_no, 1 AS row_no, k AS cell_no, true AS head, ['key', 'name', 'type'][k] AS text FROM b, (SELECT unnest([1, 2, 3]) AS k)
+  UNION ALL SELECT doc_id, 1, r + 1, k, false, [p_partkey::VARCHAR, concat(p_name, ' & new'), p_type][k] FROM p, (SELECT unnest([1, 2, 3]) AS k)
+  UNION ALL SELECT doc_id, 2, 1, 1, true, 'x' FROM b
+) SELECT page_id, table_no::BIGINT AS table_no, row_no::BIGINT AS row_no, cell_no::BIGINT AS cell_no, head, text FROM h""",
+    "html_nested_sections": r"""
+WITH c AS (SELECT page_id, len(regexp_extract_all(html, '<p>')) AS n, len(regexp_extract_all(html, '<h1[ >]')) AS tops FROM pages)
+SELECT page_id, 0 AS level, 1 AS n, 0 AS deepest FROM c UNION ALL SELECT page_id, 1, tops, 1 FROM c WHERE tops > 0
+UNION ALL SELECT page_id, 2, n, 2 FROM c WHERE n > 0 UNION ALL SELECT page_id, 3, n, 3 FROM c WHERE n > 0""",
+    "html_meta": r"""SELECT page_id, 'charset' AS name, regexp_extract(html, '<meta charset="([^"]*)"', 1) AS content FROM pages WHERE contains(html, '<meta charset="')""",
     "text_pages": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents)
 SELECT doc_id, (i // 5 + 1)::INT AS page_number, concat('Lines ', i // 5 * 5 + 1, '-', least((i // 5 + 1) * 5, n)) AS title, md5(string_agg(line, chr(10) ORDER BY i)) AS digest FROM l GROUP BY doc_id, i // 5, n""",
