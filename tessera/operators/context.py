@@ -132,3 +132,73 @@ def truncated(text: Column, budget: int) -> Column:
     tokens = model_tokens(text)
     kept = F.substring(text, F.lit(1), F.floor(F.length(text) * budget / tokens).cast("int"))
     return F.when(tokens <= budget, text).otherwise(F.concat(kept, F.lit("\n[Content truncated]")))
+
+
+def source_header(number: Column, row: dict[str, Column]) -> Column:
+    """[Source n] | title | § section | p.n | [source✓] | score:0.123, without what is null.
+
+    `row` has the columns title (or null), document_id, section, page, source,
+    score and rerank. Without a title the document's first eight characters
+    stand in; a reranked source is ticked, and its rerank score is the one shown.
+    """
+    title = F.coalesce(F.nullif(row["title"], F.lit("")), F.concat(F.lit("Document "), F.substring(row["document_id"].cast("string"), 1, 8)))
+    return F.concat_ws(
+        " | ", F.concat(F.lit("[Source "), number.cast("string"), F.lit("]")), title, F.concat(F.lit("§ "), F.nullif(row["section"], F.lit(""))), F.concat(F.lit("p."), row["page"].cast("string")),
+        F.concat(F.lit("["), F.replace(F.nullif(row["source"], F.lit("")), F.lit("_reranked"), F.lit("✓")), F.lit("]")),
+        F.when(row["rerank"].isNotNull(), F.format_string("rerank:%.3f", row["rerank"])).otherwise(F.format_string("score:%.3f", row["score"])),
+    )
+
+
+def build_context(rows: DataFrame, budget: int) -> DataFrame:
+    """(query_id, n_sources, n_tokens, context): sources chosen by score within a budget of tokens, set in the order of documents.
+
+    Rows have query_id, chunk_id, document_id, chunk_index, text, title,
+    section, page, source, score and rerank. From the highest score on, blocks
+    of header and text are taken while their tokens fit; if the first does not,
+    its text is cut to the budget less fifty. Numbers follow the order in which
+    the blocks are shown.
+    """
+    fields = ("title", "document_id", "section", "page", "source", "score", "rerank")
+    block = lambda number: F.concat(source_header(number, {c: F.col(c) for c in fields}), F.lit("\n"), F.trim("text"), F.lit("\n"))
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    placed = rows.withColumn("place", F.row_number().over(by_score))
+    placed = placed.withColumn("tokens", model_tokens(block(F.col("place")))).withColumn("used", F.sum("tokens").over(by_score))
+    over = F.col("used") > budget
+    kept = placed.filter(~over | (F.col("place") == 1)).withColumn("text", F.when(over, truncated(F.col("text"), budget - 50)).otherwise(F.col("text")))
+    shown = kept.withColumn("number", F.row_number().over(Window.partitionBy("query_id").orderBy("document_id", "chunk_index")))
+    blocks = F.array_sort(F.collect_list(F.struct("number", block(F.col("number")).alias("block"))))
+    used = F.coalesce(F.sum(F.when(~over, F.col("tokens"))), F.lit(0))
+    return shown.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_sources"), used.alias("n_tokens"), F.array_join(F.transform(blocks, lambda b: b["block"]), "\n").alias("context"))
+
+
+def usage(limit: Column, context: Column, response: Column, system: Column) -> Column:
+    """total, percent of the window to one place, remaining, and whether it fits."""
+    total = context + response + system
+    return F.struct(
+        total.alias("total"), F.when(limit > 0, F.round(total / limit * 100, 1)).otherwise(0.0).alias("percent"),
+        F.greatest(limit - total, F.lit(0)).alias("remaining"), (total <= limit).alias("within"),
+    )
+
+
+def fits(text: Column, budget: Column) -> Column:
+    return model_tokens(F.coalesce(text, F.lit(""))) <= budget
+
+
+def remaining(text: Column, budget: Column) -> Column:
+    return F.greatest(budget - model_tokens(F.coalesce(text, F.lit(""))), F.lit(0))
+
+
+def references(cited: Column) -> Column:
+    """A list of references to be put behind an answer; `cited` is an array of (index, title, section, page). Empty without any."""
+    line = lambda c: F.concat_ws(" | ", F.concat(F.lit("["), c["index"].cast("string"), F.lit("]")), F.nullif(c["title"], F.lit("")), F.concat(F.lit("Section: "), F.nullif(c["section"], F.lit(""))), F.concat(F.lit("Page "), c["page"].cast("string")))
+    return F.when(F.size(cited) > 0, F.concat(F.lit("\n\n## References\n"), F.array_join(F.transform(cited, line), "\n"))).otherwise("")
+
+
+def referenced(cited: Column) -> Column:
+    """The same sources for a further prompt, each with its preview."""
+
+    def line(c: Column) -> Column:
+        place = F.concat_ws(", ", F.concat(F.lit("p. "), c["page"].cast("string")), F.nullif(c["section"], F.lit("")))
+        return F.concat(F.lit("["), c["index"].cast("string"), F.lit("] "), F.coalesce(c["title"], F.lit("")), F.when(place != "", F.concat(F.lit(" ("), place, F.lit(")"))).otherwise(""), F.lit(': """'), c["preview"], F.lit('"""'))
+
+    return F.concat_ws("\n", F.lit("## Referenced Sources"), F.array_join(F.transform(cited, line), "\n"))

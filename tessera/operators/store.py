@@ -233,3 +233,41 @@ def reindexed(index: DataFrame, chunks: DataFrame, key: str = "document_id") ->
 def changed(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """Chunks whose content the index does not have yet, by checksum."""
     return chunks.join(index.select("checksum"), "checksum", "left_anti")
+
+
+def soft_delete(rows: DataFrame, ids: DataFrame, key: str, now: Column) -> DataFrame:
+    """The rows with deleted_at set where a key is among the ids; those that were deleted before keep their time."""
+    gone = ids.select(key).distinct().withColumn("_gone", F.lit(True))
+    return rows.join(gone, key, "left").withColumn("deleted_at", F.coalesce("deleted_at", F.when(F.col("_gone"), now))).drop("_gone")
+
+
+def active(rows: DataFrame) -> DataFrame:
+    return rows.filter("deleted_at IS NULL")
+
+
+def children(parents: DataFrame, rows: DataFrame, key: str, order: list[Column], number: int, size: int) -> DataFrame:
+    """A page (from 1) of the child rows of each parent, in order, with their place and how many there are."""
+    held = rows.join(parents.select(key).distinct(), key, "left_semi")
+    w = Window.partitionBy(key)
+    placed = held.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("total", F.count(F.lit(1)).over(w))
+    return placed.filter((F.col("place") > (number - 1) * size) & (F.col("place") <= number * size))
+
+
+def create(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The existing rows and the new ones; a key that is there already, repeats or is null is an error."""
+    wrong = new.groupBy(key).count().filter(f"`{key}` IS NULL OR count > 1").select(key).unionByName(new.join(existing.select(key), key, "left_semi").select(key)).limit(1).collect()
+    if wrong:
+        raise ValueError(f"{key} {wrong[0][0]} is there already, repeats or is null")
+    return existing.unionByName(new)
+
+
+def update(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """The existing rows with the other columns of changes, where these are not null; keys that do not exist change nothing."""
+    columns = [c for c in changes.columns if c != key]
+    given = changes.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
+    return existing.join(given, key, "left").select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in existing.columns))
+
+
+def exist(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The ids with whether there is a row of each."""
+    return ids.join(rows.select(key).distinct().withColumn("exists", F.lit(True)), key, "left").withColumn("exists", F.coalesce("exists", F.lit(False)))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import chunking, composite, contexts, evaluation, extraction, prompting, queries as question_plans, relational, retrieval, streams, texts
+from tessera.plans import chunking, composite, contexts, evaluation, extraction, lifecycle, prompting, queries as question_plans, relational, retrieval, streams, texts
 
-MODULES = (texts, extraction, chunking, question_plans, retrieval, contexts, evaluation, relational, streams, composite, prompting)
+MODULES = (texts, extraction, chunking, question_plans, retrieval, contexts, evaluation, relational, streams, composite, prompting, lifecycle)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
