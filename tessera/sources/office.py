@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A part of a file that is larger than this once unpacked is an error of the file.
 LARGEST_PART = 256 * 1024 * 1024
+#: A sheet's used range, cells without a value among them, has at most so many; one with more is an error of its file.
+MOST_CELLS = 5_000_000
 # Namespaces and types of the file formats (fixed values)
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -169,6 +171,9 @@ def _rows_of(sheet: ElementTree.Element, shared: list[str]) -> list[list[str]]:
                 text = "True" if text == "1" else "False"
             own[_column(cell.get("r")) if cell.get("r") else k] = text
     wide = max((c for row in found.values() for c in row), default=-1) + 1
+    if wide * (max(found, default=-1) + 1) > MOST_CELLS:
+        # one cell in a far corner spans a table that no task could hold
+        raise ValueError(f"the used range of a sheet has more than {MOST_CELLS} cells")
     return [[found.get(r, {}).get(c, "") for c in range(wide)] for r in range(max(found, default=-1) + 1)] if wide else []
 
 

@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources import extract, office
@@ -101,3 +102,13 @@ def test_files_on_spark(spark, tmp_path):
     rows = {(r["n"], r["part"]): r["text"] or r["error"] for r in got.select(name.alias("n"), "part", "text", "error").collect()}
     assert rows["a.docx", "page"] == "hello" and "b.XLSX" in {k for k, _ in rows} and rows["c.docx", "error"].startswith("BadZipFile") and "entities" in rows["d.docx", "error"]
     assert rows["f.pptx", "error"] and not any(k == "e.txt" for k, _ in rows)
+
+
+def test_a_cell_in_a_far_corner():
+    import pytest
+
+    far = sheet_file(("S", '<row r="1"><c r="A1"><v>1</v></c></row><row r="1048576"><c r="XFD1048576"><v>2</v></c></row>'))
+    with pytest.raises(ValueError, match="used range"):
+        office.xlsx(far)
+    near = office.xlsx(sheet_file(("S", '<row r="900"><c r="ZZ900"><v>1</v></c></row>')))
+    assert next(r for r in near if r["part"] == "table")["rows"][-1][-1] == "1"
