@@ -52,7 +52,8 @@ class Best:
         if len(ids) > self.k:
             kth = np.partition(steps, -self.k, axis=0)[-self.k]
             self.least = np.maximum(self.least, kth)
-        row, q = np.nonzero(steps >= self.least - 1)
+        # minus infinity stands for no score at all
+        row, q = np.nonzero((steps >= self.least - 1) & (scores > -np.inf))
         self.q = np.concatenate([self.q, q])
         self.scores = np.concatenate([self.scores, scores[row, q]])
         new = ids.take(pa.array(row))
@@ -217,3 +218,43 @@ def late_interaction(documents: DataFrame, queries: DataFrame, k: int) -> DataFr
         yield from best.found(ids)
 
     return documents.select("chunk_id", "vectors").mapInArrow(run, "query_id {}, chunk_id {}, score double".format(*kinds(documents, queries)))
+
+
+def weighted_terms(chunks: DataFrame, weights: list[tuple], queries: list, kind: str, avgdl: float, share, k: int) -> DataFrame:
+    """(query_id, chunk_id, score), the candidates of each task: sums of weighted terms for all questions at once.
+
+    chunks has chunk_id, dl and terms, an array of (term, tf); weights are
+    (place of the question, term, weight), a stated set that goes to every task
+    as one matrix. A batch of chunks is a matrix of share(tf, dl, avgdl).
+    """
+    terms = sorted({t for _, t, _ in weights})
+    place = {t: i for i, t in enumerate(terms)}
+    matrix = np.zeros((len(terms), len(queries)))
+    for q, t, w in weights:
+        matrix[place[t], q] = w
+    held = chunks.sparkSession.sparkContext.broadcast((pa.array(terms, pa.string()), matrix, queries))
+    query_kind = to_arrow_type(chunks.sparkSession.createDataFrame([], f"q {kind}").schema["q"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, matrix, queries = held.value
+        best, asked = Best(np.zeros((len(queries), 0)), k), (matrix > 0).astype(float)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                lists = part.column("terms")
+                flat = lists.flatten()
+                at = pc.index_in(flat.field("term"), terms)
+                known = at.is_valid().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))[known]
+                if not len(owner):
+                    continue
+                column = at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+                tf, dl = flat.field("tf").to_numpy(zero_copy_only=False)[known].astype(float), part.column("dl").to_numpy(zero_copy_only=False)[owner]
+                rows = np.zeros((len(lists), len(terms)))
+                rows[owner, column] = share(tf, dl, avgdl)
+                # a chunk without any of a question's terms has no score for it
+                scores = np.where((rows > 0).astype(float) @ asked > 0, rows @ matrix, -np.inf)
+                best.scored(scores, part.column("chunk_id"))
+        yield from best.found(pa.array(queries, query_kind))
+
+    return chunks.select("chunk_id", "dl", "terms").mapInArrow(run, f"query_id {kind}, chunk_id {chunks.schema['chunk_id'].dataType.simpleString()}, score double")

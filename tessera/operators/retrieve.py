@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.checkpoints import saved
 from tessera.functions.tokens import bm25_tokens, counted_terms
-from tessera.operators.products import with_few, with_many
+from tessera.operators.products import weighted_terms, with_few, with_many
 
 #: A side is broadcast up to so many rows; beyond, joins shuffle both sides.
 MOST_BROADCAST = 200_000
@@ -88,15 +89,23 @@ def bm25_scores(index: DataFrame, stats: DataFrame, terms: DataFrame, k: int | N
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column | None = None) -> DataFrame:
-    """(query_id, chunk_id, score, rank) of all queries (query_id, query) at once.
+    """(query_id, chunk_id, score, rank) of all queries (query_id, query) at once; chunk_id and query_id are one row's each.
 
     The corpus is read and tokenized once: each chunk leaves its length and its
     counts of the queries' terms, which are written to the checkpoint folder;
     statistics are counted from these. Statistics are those of the whole corpus,
-    `keep` filters chunks after scoring and before the cut.
+    `keep` filters chunks after scoring and before the cut. If the questions'
+    weights are few, by their counted numbers, all questions are scored by a
+    matrix product in each task, which sends its best only; else, or for all
+    scores, postings are joined.
     """
     terms = saved(queries.select("query_id", F.explode(F.array_distinct(bm25_tokens(F.col("query")))).alias("term")))
-    read = saved(lengths_and_terms(chunks, terms.select("term").distinct()))
+    wanted = terms.select("term").distinct()
+    if k is not None and (numbers := wanted.limit(MOST_LISTED + 1).count()) <= MOST_LISTED:
+        n_queries = terms.select("query_id").distinct().count()
+        if numbers * n_queries <= MOST_NUMBERS:
+            return _bm25_few(chunks, terms, k, keep)
+    read = saved(lengths_and_terms(chunks, wanted))
     stats = stats_of(read.groupBy("chunk_id").agg(F.first("dl").alias("dl")))
     index = read.filter("term IS NOT NULL")
     scored = bm25_scores(index, stats, terms, None)
@@ -105,6 +114,25 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column
     return scored if k is None else top(scored, k)
 
 
+def _share(tf, dl, avgdl: float):
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / max(avgdl, 1)))
+
+
+def _bm25_few(chunks: DataFrame, terms: DataFrame, k: int, keep: Column | None) -> DataFrame:
+    asked = terms.collect()
+    listed = sorted({r["term"] for r in asked})
+    tokens = chunks.select("chunk_id", bm25_tokens(F.coalesce("text", F.lit(""))).alias("tokens"), (F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))).alias("kept"))
+    held = F.filter("tokens", lambda x: x.isin(*listed)) if listed else F.array().cast("array<string>")
+    read = saved(tokens.select("chunk_id", "kept", F.size("tokens").alias("dl"), held.alias("held")).select("chunk_id", "kept", "dl", counted_terms(F.col("held")).alias("terms")))
+    n, total, avgdl = stats_of(read).first()
+    df = dict(read.select(F.explode("terms").alias("t")).groupBy("t.term").count().collect())
+    places = {q: i for i, q in enumerate(sorted({r["query_id"] for r in asked}))}
+    weights = [(places[r["query_id"]], r["term"], math.log(1 + (n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5))) for r in asked if r["term"] in df]
+    kind = terms.schema["query_id"].dataType.simpleString()
+    found = weighted_terms(read.filter("kept"), weights, list(places), kind, avgdl, _share, k)
+    return top(found.withColumn("score", F.round("score", 6)), k)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
