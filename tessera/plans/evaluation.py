@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import evaluate as E
 from tessera.operators import retrieve as R
+from tessera.operators.holders import holders
 from tessera.plans import texts
 from tessera.plans.common import chunks, questions, saved, table
 from tessera.plans.retrieval import BM25, UNITS, _asked, _top, _vectors
@@ -31,22 +32,9 @@ def dense_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.macro(E.metrics(*_dense_run(spark, sf_dir), KS))
 
 
-#: Questions meet documents by their first so many characters; shorter ones have no relevant document.
-PIECE = 24
-
-
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a question's whole text are relevant to it."""
-    asked = questions(spark, sf_dir)
-    docs = chunks(spark, sf_dir).select("chunk_id", "text")
-    # a document that holds a text holds its first piece: pieces meet by hash, then the whole is compared
-    piece = lambda text, at: F.substring(text, at, F.lit(PIECE))
-    keys = asked.select("query_id", "query", F.xxhash64(piece(F.col("query"), F.lit(1))).alias("h")).filter(F.length("query") >= PIECE)
-    places = F.sequence(F.lit(1), F.greatest(F.length("text") - PIECE + 1, F.lit(1)))
-    held = docs.select("chunk_id", "text", F.array_distinct(F.transform(places, lambda i: F.xxhash64(piece(F.col("text"), i)))).alias("hs"))
-    wanted = keys.agg(F.collect_set("h").alias("wanted"))
-    near = held.crossJoin(F.broadcast(wanted)).select("chunk_id", "text", F.explode(F.array_intersect("hs", "wanted")).alias("h"))
-    return near.join(R.small(keys), "h").filter(F.contains("text", F.col("query"))).select("query_id", "chunk_id", F.lit(1.0).alias("grade"))
+    return saved(holders(chunks(spark, sf_dir), questions(spark, sf_dir)).withColumn("grade", F.lit(1.0)))
 
 
 def bm25_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
