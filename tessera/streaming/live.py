@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,33 +80,56 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "10 m
     return events.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: The window of requests without a time.
+TIMELESS = -(1 << 62)
+
+
 def limited(requests: DataFrame, limit: int = 60, seconds: int = 60) -> DataFrame:
     """(client, request_id, n, allowed, retry_after) of requests (client, request_id, ts): a tumbling window's first `limit` pass.
 
-    The state of a client's window is its count; it is dropped when the
-    watermark passes the window's end.
+    Those of one batch are counted in order of time and request. The state of a
+    client has a count for each window that is not over; a count is dropped when
+    the watermark passes the window's end. Requests without a time share a
+    window that does not end, and have no retry_after.
     """
 
+    def kept(state: GroupState, counts: dict[int, int]) -> None:
+        ends = {w: int((w + 1) * seconds * 1000) for w in counts if w != TIMELESS}
+        now = state.getCurrentWatermarkMs()
+        counts = {w: n for w, n in counts.items() if ends.get(w, now + 1) > now}
+        if not counts:
+            if state.exists:
+                state.remove()
+            return
+        state.update((list(counts), list(counts.values())))
+        if ends := [ends[w] for w in counts if w in ends]:
+            state.setTimeoutTimestamp(min(ends))
+
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        client, window = key
+        counts = dict(zip(*state.get, strict=True)) if state.exists else {}
         if state.hasTimedOut:
-            state.remove()
+            kept(state, counts)
             return
-        seen = state.get[0] if state.exists else 0
-        for rows in batches:
-            rows = rows.sort_values(["ts", "request_id"])
-            n = seen + pd.RangeIndex(1, len(rows) + 1)
-            seen += len(rows)
-            past = (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().astype("int64") % seconds
-            yield pd.DataFrame({"client": client, "request_id": rows["request_id"], "n": n, "allowed": n <= limit, "retry_after": (seconds - past).to_numpy()})
-        state.update((seen,))
-        end = int((window + 1) * seconds * 1000)
-        if end > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(end)
-
-    keyed = requests.withWatermark("ts", "1 minute").withColumn("window_no", F.floor(F.unix_timestamp("ts") / seconds))
-    return keyed.groupBy("client", "window_no").applyInPandasWithState(
-        judge, "client long, request_id long, n long, allowed boolean, retry_after long", "seen long", "append", GroupStateTimeout.EventTimeTimeout
+        # a client's requests of one batch: they come in parts, not in order
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        ids, window = rows["request_id"].to_numpy(), rows["window_no"].to_numpy()
+        order = np.lexsort((ids, rows["ts"].to_numpy(), window))
+        window = window[order]
+        starts = np.flatnonzero(np.r_[True, window[1:] != window[:-1]])
+        sizes, own = np.diff(np.r_[starts, len(window)]), window[starts].tolist()
+        seen = np.array([counts.get(w, 0) for w in own], np.int64)
+        n = np.arange(1, len(window) + 1) + np.repeat(seen - starts, sizes)
+        counts.update(zip(own, (seen + sizes).tolist(), strict=True))
+        kept(state, counts)
+        yield pd.DataFrame({"client": key[0], "request_id": ids[order], "n": n, "allowed": n <= limit, "retry_after": rows["left"].to_numpy()[order]})
+
+    at = F.unix_timestamp("ts")
+    keyed = requests.withWatermark("ts", "1 minute").select(
+        "client", "request_id", "ts", F.coalesce(F.floor(at / seconds), F.lit(TIMELESS)).alias("window_no"), (seconds - F.pmod(at, F.lit(seconds))).alias("left")
+    )
+    return keyed.groupBy("client").applyInPandasWithState(
+        judge, "client long, request_id long, n long, allowed boolean, retry_after long", "windows array<long>, seen array<long>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

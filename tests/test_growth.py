@@ -1,6 +1,14 @@
 """Steps that grew faster than their input, against plain models."""
 
+import glob
+
+from pyspark.sql import functions as F
+
+from tessera.functions import chunk
 from tessera.operators.holders import PIECE, holders
+from tessera.plans import streams
+from tessera.sources import structure
+from tessera.streaming import live
 
 
 def test_holders_against_every_pair(spark):
@@ -12,3 +20,50 @@ def test_holders_against_every_pair(spark):
     docs = spark.createDataFrame(texts, "chunk_id long, text string")
     got = sorted(tuple(r) for r in holders(docs, spark.createDataFrame(asked, "query_id long, query string")).collect())
     assert got == sorted((q, i) for q, a in asked for i, t in texts if a is not None and t is not None and a in t)
+
+
+def test_limits_of_a_client_with_very_many_requests(spark, tmp_path):
+    """A client's requests of one batch are counted in order, however many there are; counts go on; a time may be null."""
+    day, many = 86_400, 25_000
+    first = [(1, i, (many - i) * 7) for i in range(many)] + [(2, 90_000, 5), (2, 90_001, None), (None, 90_002, 5)]
+    second = [(2, 90_003, 200_000), (2, 90_004, None), (1, 90_005, 200_000), (2, 90_006, 200_000)]
+    schema = "client long, request_id long, s long"
+    for rows in (first, second):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").select("client", "request_id", F.timestamp_seconds("s").alias("ts"))
+    got = {r["request_id"]: (r["n"], r["allowed"], r["retry_after"]) for r in live.result(live.limited(stream, 2, day), "append").collect()}
+    want, counts = {}, {}
+    for rows in (first, second):
+        for c, i, s in sorted(rows, key=lambda r: (r[2] is None, r[2] or 0, r[1])):
+            w = (c, None if s is None else s // day)
+            counts[w] = counts.get(w, 0) + 1
+            want[i] = (counts[w], counts[w] <= 2, None if s is None else day - s % day)
+    # what comes without a time after a watermark is there is late or not as Spark decides
+    late = {90_004}
+    assert {i: v for i, v in got.items() if i not in late} == {i: v for i, v in want.items() if i not in late}
+
+
+def test_changes_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word w{i % 7} w{i % 3}", "s") for i in range(200)], "doc_id long, text string, source string")
+    docs.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(streams, "shared_folder", lambda _: f"{tmp_path}/kept")
+    found = {r["term"]: (r["df"], r["n"]) for r in streams.index_changes(spark, str(tmp_path)).collect()}
+    assert found["word"] == (160, 160) and len(glob.glob(f"{tmp_path}/kept/changes/*.parquet")) > 3
+
+
+def test_chunks_of_a_batch_in_parts(spark, monkeypatch):
+    texts = ["# A\n" + "one two. " * 40 + "\n\n# B\n" + "x y " * 50, None, "", "short", "# C\n" + "z. " * 100] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    told = lambda: {n: sorted(map(str, chunk.chunk_documents(docs, n).collect())) for n in ("markdown", "adaptive", "heading", "code")}
+    whole = told()
+    monkeypatch.setattr(chunk, "PART", 300)
+    assert told() == whole and all(whole.values())
+
+
+def test_tokens_of_pages_are_not_shuffled(spark):
+    page = "<table><tr><td>1<td>2<tr><th>3</table><td>no<table><thead><tr><td>4</thead><tr><td>5<table><tr><td>6</table></table>"
+    found = structure.html_tables(spark.createDataFrame([(1, page), (2, None), (3, page)], "page_id long, html string"))
+    want = [(1, 1, 1, False, "1"), (1, 1, 2, False, "2"), (1, 2, 1, True, "3"), (2, 1, 1, True, "4"), (2, 2, 1, False, "5 6")]
+    assert sorted((r["page_id"], r["table_no"], r["row_no"], r["cell_no"], r["head"], r["text"]) for r in found.collect()) == [(p, *w) for p in (1, 3) for w in want]
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")
