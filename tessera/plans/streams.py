@@ -63,8 +63,8 @@ def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = docs.filter("chunk_id % 5 = 0").select("chunk_id", F.lit(None).cast("string").alias("text"), F.lit(2).alias("seq"))
     kept = KeywordIndex(spark, f"{folder}/index")
     for number, rows in enumerate((docs.select("chunk_id", "text", F.lit(0).alias("seq")), new, gone)):
-        # a file a batch: the stream goes on where it stopped
-        rows.coalesce(1).write.mode("append").parquet(f"{folder}/changes")
+        # the files of one write are one batch: the stream goes on where it stopped
+        rows.write.mode("append").parquet(f"{folder}/changes")
         L.drained(L.stream_of(spark, f"{folder}/changes"), "append", kept.writer(), f"{folder}/checkpoint")
         if number == 1:
             kept.merge(2)
