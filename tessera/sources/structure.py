@@ -9,6 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.checkpoints import saved
+
+#: A task's pages are of about so many bytes; their tokens take some fifteen times as many.
+PART = 4_000_000
 # What lines of Markdown are (fixed values)
 FENCE, HEADING, TABLE_LINE = r"^\s{0,3}```", r"^(#{1,6})\s+(\S.*)$", r"^\s*\|.+\|\s*$"
 SEPARATOR = r"^\s*\|(\s*:?-+:?\s*\|)+\s*$"
@@ -116,23 +120,35 @@ def html_tables(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
     is a th or in a thead. Rows and cells end where the next one begins, as end
     tags may be left out; what stands between cells is in none.
     """
-    t = html_tokens(pages, key, html)
+    # pages meet their tasks before they become tokens, in parts that do not grow with the table; all windows have one order, so that tokens are sorted once
+    read = saved(pages.select(key, html))
+    total = read.agg(F.coalesce(F.sum(F.octet_length(html).cast("long")), F.lit(0))).first()[0]
+    parts = max(int(read.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    t = html_tokens(read.repartition(parts, F.col(key)), key, html)
+    t = t.withColumn("token", F.when(F.col("tag") == "", F.col("token")))
     of = lambda *tags: F.col("tag").isin(*tags)
     opens, closes = of("table") & ~F.col("closing"), of("table") & F.col("closing")
     w = Window.partitionBy(key).orderBy("n")
+    number = lambda what: F.sum(F.when(what, 1).otherwise(0)).over(w)
     t = t.withColumn("depth", F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w))
-    outer = opens & (F.col("depth") == 1)
-    t = t.withColumn("table_no", F.sum(F.when(outer, 1).otherwise(0)).over(w)).filter((F.col("depth") >= 1) & ~outer)
-    top = F.col("depth") == 1
-    in_table = Window.partitionBy(key, "table_no").orderBy("n")
-    t = t.withColumn("row_no", F.sum(F.when(top & of("tr") & ~F.col("closing"), 1).otherwise(0)).over(in_table))
-    t = t.withColumn("thead", F.last(F.when(top & of("thead", "tbody", "tfoot"), of("thead") & ~F.col("closing")), True).over(in_table))
-    in_row = Window.partitionBy(key, "table_no", "row_no").orderBy("n")
-    begins = top & of("td", "th") & ~F.col("closing")
-    t = t.withColumn("cell_no", F.sum(F.when(begins, 1).otherwise(0)).over(in_row))
-    # inside: the last thing that opened or closed a cell opened it
+    outer, top = opens & (F.col("depth") == 1), F.col("depth") == 1
+    new_row, begins = top & of("tr") & ~F.col("closing"), top & of("td", "th") & ~F.col("closing")
+    t = t.withColumns({"table_no": number(outer), "rows": number(new_row), "cells": number(begins)})
+    # numbers within a table or a row are those of the page less what there was before it began
+    since = lambda what, value: F.last(F.when(what, value), True).over(w)
+    # the last thing in a table that was a part of it, and in a row that opened or closed a cell
+    group = F.when(outer, F.lit(False)).when(top & of("thead", "tbody", "tfoot"), of("thead") & ~F.col("closing"))
     ends = top & F.col("tag").isin("td", "th", "tr", "thead", "tbody", "tfoot", "caption") & F.col("closing")
-    t = t.withColumn("inside", F.coalesce(F.last(F.when(begins, True).when(ends, False), True).over(in_row), F.lit(False)))
+    inside = F.when(begins, F.lit(True)).when(outer | new_row | ends, F.lit(False))
+    t = t.withColumns(
+        {
+            "row_no": F.col("rows") - since(outer, F.col("rows")),
+            "cell_no": F.col("cells") - since(outer | new_row, F.col("cells")),
+            "thead": F.last(group, True).over(w),
+            "inside": F.coalesce(F.last(inside, True).over(w), F.lit(False)),
+        }
+    )
+    t = t.filter((F.col("depth") >= 1) & ~outer)
     cells = t.filter((F.col("row_no") > 0) & (F.col("cell_no") > 0) & (F.col("inside") | begins))
     piece = F.when(F.col("tag") == "", F.struct("n", F.col("token").alias("s"))).when(~begins, F.struct("n", F.lit(" ").alias("s")))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda x: x["s"]), "")
