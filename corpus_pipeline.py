@@ -20,8 +20,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.reject_toxic(docs, toxicity.train(docs, labels, toxicity.CATEGORIES))
 
 
-#: Texts are copies if their sets of shingles of five words have this Jaccard similarity.
-WORDS, SIMILARITY = 5, 0.8
+#: Texts are copies if their fingerprints differ by so many bits at most, or if their sets of shingles of five words have this Jaccard similarity.
+RADIUS, WORDS, SIMILARITY = 3, 5, 0.8
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     are copies of each other. An empty table stays empty; columns stay as they
     are, whatever their names.
     """
-    return simhash.one_of_each_class(docs, WORDS, SIMILARITY)
+    return simhash.one_of_each_class(docs, WORDS, SIMILARITY, RADIUS)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
