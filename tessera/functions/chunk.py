@@ -11,7 +11,9 @@ import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -179,17 +181,32 @@ def _families(text: str, parent: int, child: int, overlap: int) -> Iterator[tupl
             yield part, "child", title, above, name
 
 
+#: About so many bytes of texts are Python objects at a time.
+PART = 1_000_000
 _ITEM = [("content", pa.string()), ("chunk_type", pa.string()), ("section_title", pa.string()), ("section_hierarchy", pa.list_(pa.string()))]
 
 
 def _udf(chunker: Callable[..., Iterable], *columns: Column, family: bool = False) -> Column:
     """The chunker as a column; null texts have no chunks."""
-    kind = pa.list_(pa.struct([*_ITEM, ("parent", pa.string())] if family else _ITEM))
-    names = [f.name for f in kind.value_type]
+    fields = [pa.field(*f) for f in ([*_ITEM, ("parent", pa.string())] if family else _ITEM)]
+
+    def some(*columns: pa.Array) -> pa.Array:
+        values, ends = [[] for _ in fields], [0]
+        for row in zip(*(c.to_pylist() for c in columns), strict=True):
+            for found in chunker(*row) if row[0] is not None else ():
+                for held, value in zip(values, found, strict=True):
+                    held.append(value)
+            ends.append(len(values[0]))
+        items = pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(values, fields, strict=True)], fields=fields)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
 
     def run(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(c.to_pylist() for c in columns), strict=True)
-        return pa.array([[] if r[0] is None else [dict(zip(names, c, strict=True)) for c in chunker(*r)] for r in rows], kind)
+        # some texts at a time are Python objects, so that memory is that of the batch and of these
+        sizes = pc.fill_null(pc.binary_length(columns[0]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        part = np.cumsum(sizes) // PART
+        starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()]
+        out = [some(*(c.slice(a, b - a) for c in columns)) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)]
+        return out[0] if len(out) == 1 else pa.concat_arrays(out)
 
     # Spark tells an Arrow function by its signature
     if len(columns) == 1:
