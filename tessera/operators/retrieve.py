@@ -114,7 +114,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = 10, keep: Column
     return scored if k is None else top(scored, k)
 
 
-def _share(tf, dl, avgdl: float):
+def share(tf, dl, avgdl: float):
+    """A term's part of a score but for its weight, of numbers or arrays of numpy."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / max(avgdl, 1)))
 
 
@@ -129,7 +130,7 @@ def _bm25_few(chunks: DataFrame, terms: DataFrame, k: int, keep: Column | None)
     places = {q: i for i, q in enumerate(sorted({r["query_id"] for r in asked}))}
     weights = [(places[r["query_id"]], r["term"], math.log(1 + (n - df[r["term"]] + 0.5) / (df[r["term"]] + 0.5))) for r in asked if r["term"] in df]
     kind = terms.schema["query_id"].dataType.simpleString()
-    found = weighted_terms(read.filter("kept"), weights, list(places), kind, avgdl, _share, k)
+    found = weighted_terms(read.filter("kept"), weights, list(places), kind, avgdl, share, k)
     return top(found.withColumn("score", F.round("score", 6)), k)
 
 

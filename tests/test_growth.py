@@ -1,10 +1,14 @@
 """Steps that grew faster than their input, against plain models."""
 
 import glob
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import chunk
+from tessera.operators import keyword
+from tessera.operators import retrieve as R
 from tessera.operators.holders import PIECE, holders
 from tessera.plans import streams
 from tessera.sources import structure
@@ -67,3 +71,43 @@ def test_tokens_of_pages_are_not_shuffled(spark):
     assert sorted((r["page_id"], r["table_no"], r["row_no"], r["cell_no"], r["head"], r["text"]) for r in found.collect()) == [(p, *w) for p in (1, 3) for w in want]
     plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.count("Exchange") == plan.count("REPARTITION_BY_NUM")
+
+
+@pytest.mark.parametrize(("numbers", "worth"), [(4_000_000, 0), (60, 4), (60, 0)])
+def test_a_search_keeps_no_row_for_each_posting(spark, tmp_path, monkeypatch, numbers, worth):
+    """Questions in one group or many, with a first look or without, chunks that are void, names as ids: the same hits, and few rows are kept meanwhile."""
+    dice, kept = random.Random(5), []
+    text = lambda: " ".join(f"w{int(dice.random() ** 3 * 40)}" for _ in range(dice.randrange(5, 60)))
+    texts = {f"c{i}": text() for i in range(600)}
+    asked = spark.createDataFrame([(q, " ".join(f"w{dice.randrange(45)}" for _ in range(8))) for q in range(20)] + [(None, "w1 w44")], "query_id long, query string")
+    index = keyword.KeywordIndex(spark, f"{tmp_path}/index", run=8)
+    index.build(spark.createDataFrame(list(texts.items()), "chunk_id string, text string"))
+    new = {f"c{i}": None if i % 2 else text() for i in range(0, 200)}
+    index.apply(spark.createDataFrame([(i, t, 0) for i, t in new.items()], "chunk_id string, text string, seq int"))
+    texts = {i: t for i, t in (texts | new).items() if t is not None}
+    monkeypatch.setattr(keyword, "MOST_NUMBERS", numbers)
+    monkeypatch.setattr(keyword, "WORTH", worth)
+
+    def saved(df):
+        df = R.saved(df)
+        kept.append(df.count())
+        return df
+
+    monkeypatch.setattr(keyword, "saved", saved)
+    told = lambda df: sorted(map(str, df.select("query_id", "chunk_id", "score", "rank").collect()))
+    chunks = spark.createDataFrame(list(texts.items()), "chunk_id string, text string")
+    assert told(index.search(asked, 3)) == told(R.top(R.bm25(chunks, asked, None), 3))
+    postings = sum(len(set(t.split())) for t in texts.values())
+    assert max(kept) < postings / 2
+
+
+def test_writing_an_index_shuffles_no_postings(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(200))
+    chunks = spark.createDataFrame([(i, words) for i in range(300)], "chunk_id long, text string")
+    index = keyword.KeywordIndex(spark, f"{tmp_path}/index")
+    index.build(chunks)
+    data = glob.glob(f"{tmp_path}/index/data/*")[0]
+    runs = spark.read.parquet(f"{data}/runs")
+    # some rows a run of chunks, no row a term and run
+    assert runs.count() <= 300 / keyword.RUN + 1 and runs.select(F.sum(F.size("places"))).first()[0] == 60_000
+    assert index.frequencies().filter("df = 300").count() == 200
