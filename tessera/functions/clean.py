@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,47 +51,83 @@ INJECTIONS = (
 REDACTED = "[INJECTION-REDACTED]"
 
 
+# What a phrase needs in lower case: one word of each group (fixed values)
+NEEDED = (
+    (("ignore",), ("previous",), ("instruction",)),
+    (("you",), ("are",), ("now",)),
+    (("forget",), ("your",), ("instruction", "training", "rules")),
+    (("new",), ("system",), ("prompt",), (":",)),
+    (("mode", "prompt", "instruction"), ("developer", "jailbreak", "dan", "god", "unrestricted")),
+    (("<",), ("system", "user", "assistant", "im_start", "im_end")),
+    (("[inst]", "[/inst]", "<<sys>>", "<</sys>>"),),
+    (("restriction", "filter", "limit"), ("without", "with no"), ("act",)),
+    (("print",), ("prompt",), ("system", "initial", "original")),
+    (("reveal",), ("prompt", "instruction"), ("system", "internal", "secret")),
+    (("follow", "obey", "adhere"), ("do",), ("not",), ("instruction", "rule", "guideline")),
+)
+#: What \s and Java's patterns take for white space.
+SPACES = " \t\n\x0b\f\r"
+
+
+def where(text: Column, needed: Callable[[Column], Column], change: Stage) -> Column:
+    """The change where the text has what it needs: a plain search costs a small part of a pattern."""
+    return once(text, lambda t: F.when(needed(t), change(t)).otherwise(t))
+
+
+def has(*parts: str) -> Callable[[Column], Column]:
+    """Whether a text holds one of the parts."""
+    return lambda t: reduce(or_, (t.contains(p) for p in parts))
+
+
+def beyond_ascii(text: Column) -> Column:
+    return F.octet_length(text) != F.length(text)
+
+
 @F.pandas_udf(StringType())
 def _composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+    def plain(t: str) -> str:
+        t = unicodedata.normalize("NFC", t)
+        for old, new in REPLACED.items():
+            t = t.replace(old, new)
+        return t
+
+    return text.map(plain, na_action="ignore")
 
 
 def newlines(text: Column) -> Column:
-    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    return where(text, has("\r"), lambda t: F.replace(F.replace(t, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
 
 
 def compose(text: Column) -> Column:
-    """NFC, for which Spark has no function; plain ASCII does not go to Python's normaliser."""
-    return F.when(text.rlike(r"[^\x00-\x7f]"), _composed(F.when(text.rlike(r"[^\x00-\x7f]"), text))).otherwise(text)
+    """NFC, for which Spark has no function, and plain characters for those of REPLACED; plain ASCII does not go to Python."""
+    return F.when(beyond_ascii(text), _composed(F.when(beyond_ascii(text), text))).otherwise(text)
 
 
-def plain_characters(text: Column) -> Column:
-    text = F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    for old, new in REPLACED.items():
-        text = F.replace(text, F.lit(old), F.lit(new))
-    return text
+def without_controls(text: Column) -> Column:
+    return F.regexp_replace(text, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
 
 
 def unicode(text: Column) -> Column:
-    return plain_characters(compose(text))
+    return without_controls(compose(text))
 
 
 def whitespace(text: Column) -> Column:
     # these patterns are fixed values
-    text = F.regexp_replace(text, "[  -   　]", " ")
-    text = F.regexp_replace(text, " {2,}", " ")
-    text = F.regexp_replace(text, r"(?<![^\S\n])[^\S\n]++(\n|\z)", "$1")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return F.regexp_replace(text, r"\A\s++|(?<!\s)\s++\z", "")
+    text = where(text, beyond_ascii, lambda t: F.regexp_replace(t, "[  -   　]", " "))
+    text = where(text, has("  "), lambda t: F.regexp_replace(t, " {2,}", " "))
+    ends = lambda t: reduce(or_, (t.contains(f"{c}\n") | t.endswith(c) for c in SPACES if c != "\n"))
+    text = where(text, ends, lambda t: F.regexp_replace(t, r"(?<![^\S\n])[^\S\n]++(\n|\z)", "$1"))
+    text = where(text, has("\n\n\n"), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return F.btrim(text, F.lit(SPACES))
 
 
 def ocr_artifacts(text: Column) -> Column:
     """Join words cut by a hyphen at the line's end, drop dashed page numbers and ruled lines, join three spaced letters."""
     # these patterns are fixed values
-    text = F.regexp_replace(text, r"(?U)(\w)-\n(\w)", "$1$2")
-    text = F.regexp_replace(text, r"(?m)^\s*-\s*\d{1,4}\s*-\s*$", "")
-    text = F.regexp_replace(text, r"(?m)^[|_\-=~]{5,}\s*$", "")
-    return F.regexp_replace(text, r"(?U)\b([A-Za-z]) ([A-Za-z]) ([A-Za-z])\b", "$1$2$3")
+    text = where(text, has("-\n"), lambda t: F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2"))
+    text = where(text, lambda t: t.contains("-") & t.rlike(r"-\s*+\d{1,4}\s*-"), lambda t: F.regexp_replace(t, r"(?m)^\s*-\s*\d{1,4}\s*-\s*$", ""))
+    text = where(text, lambda t: t.rlike(r"[|_\-=~]{5}"), lambda t: F.regexp_replace(t, r"(?m)^[|_\-=~]{5,}\s*$", ""))
+    return where(text, lambda t: t.rlike(r" [A-Za-z] [A-Za-z](?![A-Za-z0-9_])"), lambda t: F.regexp_replace(t, r"(?U)\b([A-Za-z]) ([A-Za-z]) ([A-Za-z])\b", "$1$2$3"))
 
 
 # Words that recognition of print confuses (fixed values)
@@ -138,13 +176,29 @@ def headers_and_footers(text: Column) -> Column:
 
 
 def empty_lines(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\A(\s*\n)+", ""), r"(\n\s*)+\z", "")
+    """Without the lines of white space that begin and end the text; the runs are cut off first, so that time is in proportion to them."""
+
+    def first(t: Column, body: Column) -> Column:
+        return F.concat(F.substring_index(F.substr(t, F.lit(1), F.length(t) - F.length(body)), "\n", -1), body)
+
+    def last(t: Column, body: Column) -> Column:
+        return F.concat(body, F.substring_index(F.substr(t, F.length(body) + 1), "\n", 1))
+
+    text = once(text, lambda t: once(F.ltrim(t, F.lit(SPACES)), lambda body: first(t, body)))
+    return once(text, lambda t: once(F.rtrim(t, F.lit(SPACES)), lambda body: last(t, body)))
 
 
 def injections(text: Column) -> Column:
-    for pattern in INJECTIONS:
-        text = F.regexp_replace(text, pattern, REDACTED.replace("[", r"\[").replace("]", r"\]"))
-    return text
+    marker = REDACTED.replace("[", r"\[").replace("]", r"\]")
+
+    def replaced(lower: Column) -> Column:
+        # what a phrase needs is looked for in the text as it came: no phrase can begin or end in the marker
+        out = text
+        for pattern, groups in zip(INJECTIONS, NEEDED, strict=True):
+            out = where(out, lambda _, g=groups: reduce(and_, (has(*words)(lower) for words in g)), lambda t, p=pattern: F.regexp_replace(t, p, marker))
+        return out
+
+    return once(F.lower(text), replaced)
 
 
 def injection_count(text: Column) -> Column:
@@ -170,6 +224,6 @@ def clean_column(df: DataFrame, column: str, stages: tuple[tuple[str, Stage], ..
         if stage is unicode:
             # the one step in Python stands alone, so that the others compile as one
             df = df.withColumn(column, compose(F.col(column)))
-            stage = plain_characters
+            stage = without_controls
         df = df.withColumn(column, stage(F.col(column)))
     return df
