@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.let import once
 from tessera.functions.tokens import model_tokens
 
 # Tokens that models take, by parts of their names; the first that fits counts (fixed values)
@@ -56,10 +57,34 @@ def key_terms(text: Column, most: int = 5) -> Column:
     return F.slice(F.filter(words, lambda w: ~w.isin(*NO_TERMS)), 1, most)
 
 
+def three_places(value: Column) -> Column:
+    """A number as text with three places, rounded by its exact binary value, halves to the even digit, as printf does.
+
+    format_string rounds the shortest decimal: 234.1925, which lies below its decimal, becomes 234.193 there. From 2**63 on, and
+    for what is not finite, the text is still that of format_string.
+    """
+
+    def of(x: Column) -> Column:
+        whole = F.floor(F.abs(x))
+        # the rest in two parts, so that both products are exact
+        rest = once(F.abs(x) - whole, lambda r: once(r.cast("float").cast("double"), lambda high: F.struct((high * 1000).alias("high"), ((r - high) * 1000).alias("low"))))
+        text = once(once(rest, rounded), lambda n: F.concat((whole + F.when(n == 1000, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0")))
+        sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+        return F.when(F.abs(x) < 2.0**63, F.concat(sign, text)).when(x.isNotNull(), F.format_string("%.3f", x))
+
+    def rounded(p: Column) -> Column:
+        n = F.floor(p["high"])
+        beyond = (p["high"] - n - 0.5) + p["low"]
+        return n + F.when((beyond > 0) | ((beyond == 0) & (n % 2 == 1)), 1).otherwise(0)
+
+    return once(value.cast("double"), of)
+
+
 def citation_list(rows: DataFrame) -> DataFrame:
-    """(query_id, as_text, as_json) of numbered citations (query_id, index, document_id, score)."""
+    """(query_id, as_text, as_json) of numbered citations (query_id, index, document_id, score); what is null is left out of its line."""
     held = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("index", "document_id", "score"))).alias("cited"))
-    line = lambda c: F.concat(F.lit("["), c["index"].cast("string"), F.lit("] "), c["document_id"], F.format_string(" (%.3f)", c["score"]))
+    shown = lambda c: F.concat(F.lit(" ("), three_places(c["score"]), F.lit(")"))
+    line = lambda c: F.concat_ws("", F.lit("["), c["index"].cast("string"), F.lit("] "), c["document_id"].cast("string"), shown(c))
     return held.select("query_id", F.array_join(F.transform("cited", line), "\n").alias("as_text"), F.to_json("cited").alias("as_json"))
 
 
